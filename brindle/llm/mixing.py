@@ -72,8 +72,8 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source_key", F.col("prefix").alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
+def plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """Sizes per document, and per source: source_key, source_size, target, times, threshold."""
     sizes = written(
         docs.select(
             F.col("doc_id"), F.col("source").cast("string").alias("source"), source_key(F.col("source").cast("string")).alias("source_key"),
@@ -85,6 +85,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     planned = targets.withColumn("times", times).withColumn("budget", F.col("target") - F.col("times") * F.col("source_size"))
     edges = thresholds(sizes.select("source_key", "size", "hash"), planned.where("budget < source_size").select("source_key", "budget"))
-    plan = planned.join(edges, "source_key", "left").select("source_key", "source_size", "target", "times", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
-    once = (F.col("hash") < F.col("threshold")).cast("long")
-    return sizes.join(plan, "source_key").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + once)).alias("taken"))
+    return sizes, written(planned.join(edges, "source_key", "left").select("source_key", "source_size", "target", "times", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold")), "mix-plan")
+
+
+def copies() -> Column:
+    """How often a document with `hash` is taken under its source's `times` and `threshold`."""
+    return F.col("times") + (F.col("hash") < F.col("threshold")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken."""
+    sizes, sources = plan(docs, weights, share, most)
+    return sizes.join(sources, "source_key").select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: rows of docs, all columns, as often as they are taken."""
+    _, sources = plan(docs, weights, share, most)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col("source").cast("string")).alias("source_key"), id_hash(F.col("doc_id")).alias("hash"))
+    taken = packed.join(sources, "source_key").withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies().cast("int"))))
+    return taken.select("row.*")

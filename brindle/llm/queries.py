@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, packing, quality, token_orc, viterbi
+from brindle.llm import audio, chat, langid, mixing, ngram_join, packing, pii, quality, token_orc, viterbi
 from brindle.llm.common import table
 
 
@@ -16,14 +16,30 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op1_langid(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.Rule(4, 85, 100))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.op4_audio(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op6_chat(spark, table(spark, sf_dir, "conversations"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.op7_token_orc(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -32,15 +48,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op9_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op4_audio": op4_audio,
     "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
     "op7_token_orc": op7_token_orc,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}
