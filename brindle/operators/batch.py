@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Dense ids from 0 in the given order: ranges are sorted in parallel, and only one count per range goes to the driver."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = placed.withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(before.select("_part", "_base"), "_part").withColumn(name, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rid_part", F.spark_partition_id())
+    within = placed.withColumn("_rid_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = within.groupBy("_rid_part").agg(F.count("*").alias("_rid_n"))
+    before = sizes.withColumn("_rid_base", F.coalesce(F.sum("_rid_n").over(Window.orderBy("_rid_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return within.join(before.select("_rid_part", "_rid_base"), "_rid_part").withColumn(name, F.col("_rid_base") + F.col("_rid_at")).drop("_rid_part", "_rid_at", "_rid_base")
 
 
 def take_slice(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:

@@ -106,10 +106,10 @@ def _(t):
     return C.sft_item(V.captions(t), V.codes(t))
 
 
-REASON = "x AS (SELECT c_custkey AS uid, c_mktsegment AS profile, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS "similar", n_name AS target_caption, CASE WHEN c_custkey % 7 = 0 THEN '   ' ELSE ' because ' || c_name END AS cot FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+REASON = "x AS (SELECT c_custkey AS uid, c_mktsegment AS profile, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS alike, n_name AS target_caption, CASE WHEN c_custkey % 7 = 0 THEN '   ' ELSE ' because ' || c_name END AS cot FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
-@query("build_sft_reason", f"WITH {REASON} SELECT uid, {V.chat(('system', SYSTEM), ('user', 'profile || chr(10) || ' + repr('Similar: ') + ' || coalesce("similar", ' + repr('None') + ') || chr(10) || ' + repr('Target: ') + ' || target_caption'), ('assistant', 'trim(cot)'))} AS messages FROM x WHERE length(trim(cot)) > 0")
+@query("build_sft_reason", f"WITH {REASON} SELECT uid, {V.chat(('system', SYSTEM), ('user', 'profile || chr(10) || ' + repr('Similar: ') + ' || coalesce(alike, ' + repr('None') + ') || chr(10) || ' + repr('Target: ') + ' || target_caption'), ('assistant', 'trim(cot)'))} AS messages FROM x WHERE length(trim(cot)) > 0")
 def _(t):
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("uid"), F.lit(0).alias("split"), F.col("c_mktsegment").alias("profile"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("similar"),

