@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import audio, chat, langid, mixing, ngram_join, packing, pii, quality, token_orc, viterbi
 from brindle.llm.common import table
+from brindle.llm.sql import SQL as SQL
 
 
 def vocabulary(name: str) -> str:
@@ -68,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
-SQL: dict[str, str] = {}
+
