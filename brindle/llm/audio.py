@@ -104,7 +104,7 @@ def log_mel(samples: bytes, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(mels).astype(np.float32), np.concatenate(energies)
 
 
-def segments(energy: np.ndarray, high: float = 0.25, low: float = -0.25) -> list[tuple[int, int]]:
+def segments(energy: np.ndarray, high: float = 0.5, low: float = 0.1) -> list[tuple[int, int]]:
     """Frame spans [first, end): runs above the low threshold with a frame above the high one (in deviations from the median)."""
     middle, spread = np.median(energy), energy.std() + 1e-6
     above, strong = energy >= middle + low * spread, energy >= middle + high * spread
