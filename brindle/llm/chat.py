@@ -34,17 +34,17 @@ def unescape(text: Column) -> Column:
 
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, leaf, node, depth of every message on the best `branches` paths of each tree; nodes: tree, node, parent, score."""
-    now = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("score").cast("double").alias("score")), "chat-pointers")
-    jumps = []
-    while now.where("up IS NOT NULL").limit(1).count():
-        jumps.append(now.select("tree", "node", "up").where("up IS NOT NULL"))
+    start = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("score").cast("double").alias("score")), "chat-pointers")
+    # Messages whose pointer has passed their root are done and join no further.
+    going, now, jumps, zero = start.where("up IS NOT NULL"), start, [], F.lit(0)
+    while going.limit(1).count():
+        jumps.append(going.select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        further = now.join(above, ["tree", "up"], "left")
-        zero = F.lit(0)
-        now = written(
-            further.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", zero)).alias("depth"), (F.col("score") + F.coalesce("score2", zero)).alias("score")),
-            "chat-pointers",
+        moved = going.join(above, ["tree", "up"], "left").select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", zero)).alias("depth"), (F.col("score") + F.coalesce("score2", zero)).alias("score")
         )
+        moved = written(moved, "chat-pointers")
+        going, now = moved.where("up IS NOT NULL"), now.where("up IS NULL").unionByName(moved)
     parents = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = now.join(parents, ["tree", "node"], "left_anti")
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node"))
