@@ -50,9 +50,9 @@ def unfenced(text: Column) -> Column:
 
 
 def json_from_response(text: Column, schema: str) -> Column:
-    """The response parsed as JSON, or else its first braced part."""
+    """The response's braced part parsed as JSON, or else all of it without fences."""
     plain = unfenced(text)
-    return F.coalesce(F.from_json(plain, schema), F.from_json(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), schema))
+    return F.coalesce(F.from_json(F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit("")), schema), F.from_json(plain, schema))
 
 
 def normalised_answer(text: Column) -> Column:

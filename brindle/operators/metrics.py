@@ -30,7 +30,7 @@ def recall_at(predicted: Column, truth: Column, k: int) -> Column:
 
 def ndcg_at(predicted: Column, truth: Column, k: int) -> Column:
     """Binary gains, a repeated hit counts once, ideal over min(|truth|, k)."""
-    first = F.slice(predicted, 1, k)
+    first, truth = F.slice(predicted, 1, k), real(truth)
     gains = F.transform(first, lambda p, i: F.when(F.array_contains(truth, p) & (F.array_position(first, p) == i + 1), F.lit(1.0) / F.log2(i + F.lit(2.0))).otherwise(F.lit(0.0)))
     ideal = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(F.array_distinct(truth)), F.lit(k)), F.lit(1))), lambda i: F.lit(1.0) / F.log2(i + F.lit(1.0)))
     return F.when(F.size(truth) > 0, F.coalesce(vec.total(gains), F.lit(0.0)) / vec.total(ideal)).otherwise(F.lit(0.0))

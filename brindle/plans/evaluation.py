@@ -12,16 +12,16 @@ from brindle.plans import views as V
 from brindle.plans.registry import query
 from brindle.streaming import stateful as S
 
-RANK = f"{V.INTER}, {V.BASKETS}, d AS (SELECT uid, pred, truth, list_distinct(truth) AS gt, pred[1:10] AS p FROM baskets)"
+RANK = f"{V.INTER}, {V.BASKETS}, d AS (SELECT uid, pred, truth, list_distinct(list_filter(truth, lambda x: x <> 0)) AS gt, list_filter(pred[1:10], lambda x: x <> 0) AS p FROM baskets)"
 
 
-@query("agg_pass_at_k", f"WITH {RANK} SELECT round(avg(CASE WHEN len(list_intersect(p, truth)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS p10, round(avg(CASE WHEN len(list_intersect(pred[1:1], truth)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS p1 FROM d")
+@query("agg_pass_at_k", f"WITH {RANK} SELECT round(avg(CASE WHEN len(list_intersect(p, truth)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS p10, round(avg(CASE WHEN len(list_intersect(list_filter(pred[1:1], lambda x: x <> 0), truth)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS p1 FROM d")
 def _(t):
     p, g = F.col("pred"), F.col("truth")
     return M.overall(V.baskets(t), {"p10": M.pass_at(p, g, 10), "p1": M.pass_at(p, g, 1)}).select(F.round("p10", 6).alias("p10"), F.round("p1", 6).alias("p1"))
 
 
-@query("agg_pos1_pass", f"WITH {RANK} SELECT round(avg(CASE WHEN list_contains(p, truth[1]) THEN 1.0 ELSE 0.0 END), 6) AS p10 FROM d")
+@query("agg_pos1_pass", f"WITH {RANK} SELECT round(avg(CASE WHEN list_contains(pred[1:10], truth[1]) THEN 1.0 ELSE 0.0 END), 6) AS p10 FROM d")
 def _(t):
     return M.overall(V.baskets(t), {"p10": M.first_truth_at(F.col("pred"), F.col("truth"), 10)}).select(F.round("p10", 6).alias("p10"))
 
@@ -38,7 +38,7 @@ def _(t):
     return rows.select("uid", F.round(M.recall_at(F.col("pred"), F.col("truth"), 10), 6).alias("recall"), M.pass_at(F.col("pred"), F.col("truth"), 10).alias("pass"))
 
 
-@query("agg_ndcg", f"WITH {RANK}, g AS (SELECT uid, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM d), f AS (SELECT uid, x, min(i) AS i FROM g GROUP BY uid, x), h AS (SELECT f.uid, sum(1 / log2(i + 1)) AS dcg FROM f JOIN d USING (uid) WHERE list_contains(gt, x) GROUP BY f.uid) SELECT uid, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(len(gt), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM d LEFT JOIN h USING (uid)")
+@query("agg_ndcg", f"WITH {RANK}, g AS (SELECT uid, unnest(pred[1:10]) AS x, generate_subscripts(pred[1:10], 1) AS i FROM d), f AS (SELECT uid, x, min(i) AS i FROM g GROUP BY uid, x), h AS (SELECT f.uid, sum(1 / log2(i + 1)) AS dcg FROM f JOIN d USING (uid) WHERE list_contains(gt, x) AND x <> 0 GROUP BY f.uid) SELECT uid, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(len(gt), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM d LEFT JOIN h USING (uid)")
 def _(t):
     return V.baskets(t).select("uid", F.round(M.ndcg_at(F.col("pred"), F.col("truth"), 10), 6).alias("ndcg"))
 

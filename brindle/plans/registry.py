@@ -32,3 +32,10 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
+
+
+def same(name: str, of: str) -> None:
+    """Registers a query under a second name: one operator that an inventory lists twice."""
+    QUERIES[name] = QUERIES[of]
+    if of in SQL:
+        SQL[name] = SQL[of]

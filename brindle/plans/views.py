@@ -66,7 +66,7 @@ CLICKS = "clicks AS (SELECT o_custkey AS uid, o_orderdate AS ts, l_orderkey AS o
 INTER = (
     CLICKS
     + ", listed AS (SELECT uid, "
-    + ", ".join(f'list("{f}" ORDER BY ts, ok, ln, pid, sup) AS "{f}"' for f in ("pid", "sup", *ACTION_TESTS))
+    + ", ".join(f'list("{f}" ORDER BY ts, ok, ln, pid, sup, longview, "like", follow, forward, not_interested) AS "{f}"' for f in ("pid", "sup", *ACTION_TESTS))
     + " FROM clicks GROUP BY uid), inter AS (SELECT uid, CASE WHEN uid % 5 = 4 THEN 1 ELSE 0 END AS split, "
     + f"{_PAST.format('pid')} AS hist_pid, {_LAST.format('pid')} AS target_pid, {_PAST.format('sup')} AS goods_pid, {_LAST.format('sup')} AS target_goods_pid, "
     + ", ".join(f"""{_PAST.format(f'"{a}"')} AS hist_{a}, {_LAST.format(f'"{a}"')} AS target_{a}""" for a in ACTION_TESTS)

@@ -69,7 +69,7 @@ def read_dir(spark: SparkSession, path: str, recursive: bool = True, skip_corrup
 
 def read_filelist(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet files that a JSON list names."""
-    named = json.loads("".join(r["value"] for r in spark.read.option("wholetext", "true").text(path).collect()))
+    named = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
     return spark.read.parquet(*named)
 
 
@@ -81,7 +81,7 @@ def read_column(spark: SparkSession, path: str, column: str, rows: int) -> DataF
 def read_generations(spark: SparkSession, path: str) -> DataFrame:
     """One row per sample of a generation document `{..., samples: {id: {...}}}`."""
     sample = "struct<prompt:string,generations:array<string>,ground_truth:string,logprobs:array<double>,metadata:map<string,string>>"
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     doc = raw.select(F.from_json("value", f"struct<model_name:string,task_name:string,split:string,total_time:double,samples:map<string,{sample}>>").alias("d"))
     return doc.select("d.model_name", "d.task_name", "d.split", F.explode("d.samples").alias("sample_id", "s")).select("model_name", "task_name", "split", "sample_id", "s.*")
 
@@ -124,7 +124,7 @@ def worker_of(place: Column, workers: int) -> Column:
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """Rows of all, columns by name, missing ones NULL."""
-    out = frames[0]
+    out = frames[0].select(*frames[0].columns)
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
@@ -155,14 +155,19 @@ def write_sharded(df: DataFrame, path: str, rows: int, order: list[str]) -> list
     return out
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small driver-side document, such as a file list or a report."""
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small driver-side file."""
     fs, p, _ = _fs(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data))
     out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small driver-side document, such as a file list or a report."""
+    write_bytes(spark, path, text.encode())
+
+
 def write_results(spark: SparkSession, path: str, results: dict) -> None:
     write_text(spark, path, json.dumps(results, ensure_ascii=False, indent=2))
 
