@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import vec
+from brindle.operators.batch import with_row_id
 
 
 def similar_users(
@@ -55,17 +59,44 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3) -> DataFrame:
-    """Exact dense top-k by dot product of a stated query set against all rows.
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, block: int = 2048) -> DataFrame:
+    """query, candidate, score, place: exact dense top-k by dot product of a stated query set against all other rows.
 
-    Queries are packed into blocks of bounded rows; each block meets every vector once, and each side's top k is kept
-    per partition before the shuffle (a window group limit), so no pair list is shuffled.
+    Queries go out in blocks of at most `block` rows, whose size is thereby bounded; each task multiplies its vectors
+    with a block and keeps k candidates a query, so what is shuffled is k rows per query and task and never the pairs.
+    Ties: the score rounded to six digits, then the smaller id.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    pairs = vectors.select(F.col(key).alias("candidate"), F.col(vector).alias("_v")).join(q, F.col("query") != F.col("candidate"))
-    scored = pairs.select("query", "candidate", vec.dot(F.col("_q"), F.col("_v")).alias("score"))
+    numbered = with_row_id(queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")), ["q"])
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    found = None
+    for at in range(0, max(1, numbered.count()), block):
+        held = numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).select("q", "v").collect()
+        part = rows.mapInArrow(_nearest(np.array([r["q"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64), k), "query long, candidate long, score double")
+        found = part if found is None else found.unionByName(part)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "candidate"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """The k best candidates of each query among a task's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
+        best, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                c = np.asarray(part.column(0))
+                scores = matrix @ np.asarray(part.column(1).flatten(), np.float64).reshape(len(c), -1).T
+                scores[ids[:, None] == c] = -np.inf
+                every, names = np.concatenate([best, scores], axis=1), np.concatenate([who, np.broadcast_to(c, scores.shape)], axis=1)
+                order = np.lexsort((names, -np.round(every, 6)), axis=1)[:, :k]
+                best, who = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(who[real]), pa.array(best[real])], names=["query", "candidate", "score"])
+
+    return run
 
 
 def slot_filled(text: Column, slots: dict[str, Column], limits: dict[str, int]) -> Column:
