@@ -62,12 +62,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, mb: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded bytes, so that very long texts do not pile up in a worker."""
+    """The same rows in batches of bounded bytes, so that very long texts do not pile up in a worker.
+
+    Parts of a batch are copied to start at offset 0: some Arrow string kernels misread arrays with an offset.
+    """
     for batch in batches:
         at = 0
         while at < batch.num_rows:
             n = min(rows, batch.num_rows - at)
             while n > 1 and batch.slice(at, n).nbytes > mb << 20:
                 n //= 2
-            yield batch.slice(at, n)
+            part = batch.slice(at, n)
+            yield part if n == batch.num_rows else part.take(pa.array(range(n), pa.int32()))
             at += n
