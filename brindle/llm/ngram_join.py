@@ -1,11 +1,14 @@
 """N-gram Jaccard join: every pair of documents whose shingle sets overlap enough ends up in one component.
 
 1. One pass makes each document's set of 64-bit shingle hashes, its size and a 128-bit fingerprint. Equal sets are one
-   class. The same pass counts shingles that recur within a batch; the most frequent ones (at most HOT, over all
-   documents) go last in the order below. That list only speeds the search, any order is right.
-2. Prefix filter: of two sets with Jaccard t, each holds a shared shingle among its first n - ceil(t * n) + 1. Prefixes
-   are dealt by shingle and sorted by set size; neighbours of compatible size are chained, so a group of any size gives
-   a chain and not its pairs. Connected chains are the candidate components: every true pair lies within one.
+   class. The same pass counts words and shingles that recur within a batch; the most frequent ones (at most HOT of
+   each, over all documents) go last in the order below. These lists only speed the search, any order is right.
+2. Prefix filter: shingles are ordered by recurrence, then by how frequent their words are, then by hash, so that a set's
+   first ones are shared with its near copies and hardly with any other. Two sets with Jaccard t share SHARED of their
+   first n - ceil(t * n) + SHARED shingles (all of fewer). Prefixes are dealt by shingle and sorted by set size. Up to
+   PAIRED documents of a shingle are paired and the pairs' shared shingles counted; more are chained, each to the next
+   of compatible size, so a group of any size gives a chain and not its pairs. Pairs with enough shared shingles and
+   chains connect the candidate components: every true pair lies within one.
 3. T-occurrence search in blocks of at most BLOCK sets: inverted lists, of which the long ones are set aside
    (DivideSkip), the short ones are merged by a heap that skips (MergeSkip), and candidates are probed in the long ones
    by binary search. Counts are exact overlaps. Only links between sets not yet connected are reported.
@@ -38,8 +41,9 @@ from pyspark.sql import functions as F
 from brindle.llm.common import slices, written
 from brindle.llm.components import connected_components
 
-HOT, HOT_LEAST, BLOCK, LEADERS = 200_000, 3, 512, 16
-_WORDS: dict[str, int] = {}
+HOT, HOT_LEAST, WORD_LEAST, BLOCK, LEADERS = 200_000, 3, 8, 512, 16
+#: Shingles that prefixes must share, and the size to which a shingle's documents are paired rather than chained.
+SHARED, PAIRED = 4, 32
 
 
 class Rule(NamedTuple):
@@ -60,33 +64,44 @@ def _fold(w: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; A-Z are lower-cased."""
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a batch's distinct words, the words of all texts as places there, and where each text's words start and end. A-Z are lower-cased."""
     text = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     cut = pc.split_pattern(pc.replace_substring_regex(text, r"[\t\n\x0b\x0c\r]", " "), " ")
     words = cut.flatten().dictionary_encode()
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
     keys = words.dictionary.to_pylist()
-    for key in keys:
-        if key not in _WORDS:
-            _WORDS[key] = xxhash.xxh3_64_intdigest(key)
-    hashed = np.fromiter((_WORDS[key] for key in keys), np.uint64, len(keys))
-    real = np.fromiter((key != "" for key in keys), bool, len(keys))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+    real = np.fromiter(map(bool, keys), bool, len(keys))
+    del keys
     codes = np.asarray(words.indices)
     keep = real[codes] if len(codes) else np.zeros(0, bool)
-    bounds = np.concatenate([[0], np.cumsum(keep)])[np.asarray(cut.offsets)]
-    w = hashed[codes[keep]]
-    every = _fold(w, k) if len(w) >= k else np.zeros(0, np.uint64)
+    return hashed, codes[keep], np.concatenate([[0], np.cumsum(keep)])[np.asarray(cut.offsets)]
+
+
+def _sets(hashed: np.ndarray, codes: np.ndarray, bounds: np.ndarray, k: int, weights: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's sorted distinct shingle hashes, and the sums of their words' weights."""
+    w, g = hashed[codes], np.zeros(len(codes), np.int64) if weights is None else weights[codes]
+    n = len(w) - k + 1
+    every = _fold(w, k) if n > 0 else np.zeros(0, np.uint64)
+    sums = sum(g[j : j + n] for j in range(k)) if n > 0 else g[:0]
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(every[a : b - k + 1]))
+            if weights is None:
+                out.append((np.unique(every[a : b - k + 1]), g[:0]))
+            else:
+                found, first = np.unique(every[a : b - k + 1], return_index=True)
+                out.append((found, sums[a + first]))
         else:
-            out.append(_fold(w[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+            out.append((_fold(w[a:b], b - a) if b > a else np.zeros(0, np.uint64), np.zeros(int(b > a), np.int64)))
     return out
 
 
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return [s for s, _ in _sets(*_words(column), k)]
+
+
 def _need(n: int, rule: Rule) -> int:
     """The least overlap of a set of n with any set that it links with."""
     return -(-rule.num * n // rule.den)
@@ -97,22 +112,23 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame, rule: Rule) -> DataFrame:
-    """kind 0: doc_id, n, f1, f2 of each document; kind 1: shingle f1 that n documents of one batch have."""
+    """kind 0: doc_id, n, f1, f2 of each document; kind 1: shingle f1 that n documents of one batch have; kind 2: word f1 that occurs n times in one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8192, 16):
-            sets = shingle_sets(batch.column(1), rule.words)
+            hashed, codes, bounds = _words(batch.column(1))
+            sets = [s for s, _ in _sets(hashed, codes, bounds, rule.words)]
             prints = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             found, times = np.unique(np.concatenate(sets), return_counts=True)
-            often = times >= HOT_LEAST
-            hot, m = found[often].view(np.int64), int(often.sum())
-            n = len(sets)
+            uses = np.bincount(codes, minlength=len(hashed))
+            often, used = times >= HOT_LEAST, uses >= WORD_LEAST
+            m = int(often.sum() + used.sum())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(np.array([0, 1], np.int32), [n, m])),
+                    pa.array(np.repeat(np.array([0, 1, 2], np.int32), [len(sets), often.sum(), used.sum()])),
                     pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
-                    pa.array(np.concatenate([[len(s) for s in sets], times[often]]).astype(np.int64)),
-                    pa.array(np.concatenate([prints[:, 0], hot])),
+                    pa.array(np.concatenate([[len(s) for s in sets], times[often], uses[used]]).astype(np.int64)),
+                    pa.array(np.concatenate([prints[:, 0], found[often].view(np.int64), hashed[used].view(np.int64)])),
                     pa.array(np.concatenate([prints[:, 1], np.zeros(m, np.int64)])),
                 ],
                 names=["kind", "doc_id", "n", "f1", "f2"],
@@ -121,34 +137,47 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
     return _docs(docs).mapInArrow(rows, "kind int, doc_id long, n long, f1 long, f2 long")
 
 
-def candidate_edges(docs: DataFrame, rule: Rule, hot: np.ndarray) -> DataFrame:
-    """Edges a, b whose components hold every linking pair. hot: frequent shingles, the rarest first."""
+def _frequent(facts: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the HOT most frequent shingles (1) or words (2), by hash."""
+    rows = facts.where(F.col("kind") == kind).groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "f1").limit(HOT).collect()
+    hashes = np.array([r["f1"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def _places(known: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where `found` hashes are in sorted `known` ones, and which are there at all."""
+    if not len(known):
+        return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return at, known[at] == found
+
+
+def candidate_edges(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Edges a, b whose components hold every linking pair. shingles, words: hashes and counts of frequent ones (at most HOT each)."""
     spark = docs.sparkSession
-    by_hash = np.argsort(hot)
-    shared = spark.sparkContext.broadcast((hot[by_hash], by_hash))
+    rank = np.argsort(np.lexsort(shingles)) + 1
+    shared = spark.sparkContext.broadcast((shingles[0], rank, words[0], np.log2(words[1] + 1).astype(np.int64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        known, ranks, common, logs = shared.value
         seen: set[bytes] = set()
-        for batch in slices(batches, 8192, 16):
+        for batch in slices(batches, 8192, 8):
             ids, sizes, tokens = [], [], []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.words), strict=True):
+            hashed, codes, bounds = _words(batch.column(1))
+            at, there = _places(common, hashed)
+            weights = np.where(there, logs[at] if len(logs) else 0, 0)
+            for doc, (s, weight) in zip(batch.column(0).to_pylist(), _sets(hashed, codes, bounds, rule.words, weights), strict=True):
                 if doc is None or not len(s):
                     continue
                 if (f := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(f)
                 n = len(s)
-                p = n - _need(n, rule) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    frequent = known[at] == s
-                    cold = s[~frequent][:p]
-                    if len(cold) < p:
-                        late = at[frequent]
-                        cold = np.concatenate([cold, known[late[np.argsort(rank[late])][: p - len(cold)]]])
-                else:
-                    cold = s[:p]
+                p = n - _need(n, rule) + SHARED
+                at, there = _places(known, s)
+                place = (np.where(there, ranks[at], 0) << 16 if len(ranks) else 0) + weight
+                cold = s[np.lexsort((s, place))[:p]]
                 ids.append(doc)
                 sizes.append(n)
                 tokens.append(cold)
@@ -159,28 +188,64 @@ def candidate_edges(docs: DataFrame, rule: Rule, hot: np.ndarray) -> DataFrame:
                     names=["token", "n", "doc_id"],
                 )
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: dict[tuple[int, int], list[int]] = {}
         parent: dict[int, int] = {}
-        last = (None, 0, 0)
+        group: list[tuple[int, int]] = []
+        last, long = None, False
+
+        def near(x: tuple[int, int], y: tuple[int, int]) -> bool:
+            return rule.den * x[0] >= rule.num * y[0]
+
+        def chained(x: tuple[int, int], y: tuple[int, int]) -> None:
+            # Sizes rise: neighbours too far apart separate all before from all after them.
+            if near(x, y) and _union(parent, x[1], y[1]):
+                pairs.setdefault((min(x[1], y[1]), max(x[1], y[1])), [0, 0])[0] += SHARED
+
+        def ended() -> None:
+            for i, x in enumerate([] if long else group):
+                for y in group[i + 1 :]:
+                    if near(x, y) and x[1] != y[1]:
+                        found = pairs.setdefault((min(x[1], y[1]), max(x[1], y[1])), [0, 0])
+                        found[0] += 1
+                        found[1] = min(SHARED, _need(y[0], rule))
+
         for batch in batches:
             token, n, doc = (np.asarray(c) for c in batch.columns)
             if not len(token):
                 continue
-            if last[0] is not None:
-                token, n, doc = np.concatenate([[last[0]], token]), np.concatenate([[last[1]], n]), np.concatenate([[last[2]], doc])
-            last = (token[-1], n[-1], doc[-1])
-            # n rises within a token: neighbours too far apart in size separate all before from all after them.
-            near = np.flatnonzero((token[1:] == token[:-1]) & (doc[1:] != doc[:-1]) & (rule.den * n[:-1].astype(np.int64) >= rule.num * n[1:].astype(np.int64)))
-            a, b = [], []
-            for x, y in zip(doc[near].tolist(), doc[near + 1].tolist(), strict=True):
-                if _union(parent, x, y):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            # Shingles of a single document need no look, except at the edges of a batch.
+            alike = np.concatenate([[False], token[1:] == token[:-1]])
+            busy = alike | np.concatenate([alike[1:], [True]])
+            busy[0] = True
+            for t, size, d in zip(token[busy].tolist(), n[busy].tolist(), doc[busy].tolist(), strict=True):
+                if t != last:
+                    ended()
+                    group, last, long = [], t, False
+                if long:
+                    chained(group[0], (size, d))
+                    group[0] = (size, d)
+                    continue
+                group.append((size, d))
+                if len(group) > PAIRED:
+                    for x, y in zip(group, group[1:], strict=False):
+                        chained(x, y)
+                    group, long = group[-1:], True
+            if len(pairs) > 200_000:
+                yield _counted(pairs)
+                pairs.clear()
+        ended()
+        yield _counted(pairs)
 
     dealt = _docs(docs).mapInArrow(prefixes, "token long, n int, doc_id long").repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    return dealt.mapInArrow(chains, "a long, b long")
+    counted = dealt.mapInArrow(met, "a long, b long, shared int, need int").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    return counted.where(F.col("shared") >= F.when(F.col("need") > 0, F.col("need")).otherwise(SHARED)).select("a", "b")
+
+
+def _counted(pairs: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
+    a, b = ([k[i] for k in pairs] for i in (0, 1))
+    shared, need = ([v[i] for v in pairs.values()] for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32()), pa.array(need, pa.int32())], names=["a", "b", "shared", "need"])
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -203,11 +268,15 @@ class Index:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = [len(s) for s in sets]
         owner = np.repeat(np.arange(len(sets)), self.sizes)
-        _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # A list of one set meets no other.
+        several = counts > 1
+        keep = several[inverse]
+        owner, inverse = owner[keep], (np.cumsum(several) - 1)[inverse[keep]]
         order = np.argsort(inverse, kind="stable")
-        ends = np.cumsum(np.bincount(inverse))
-        self.lists = [p.tolist() for p in np.split(owner[order], ends[:-1])]
-        self.of = np.split(inverse, np.cumsum(self.sizes)[:-1])
+        ends = np.cumsum(counts[several])
+        self.lists = [p.tolist() for p in np.split(owner[order], ends[:-1])] if len(ends) else []
+        self.of = np.split(inverse, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
 
     def search(self, query: int, least: int, after: int, rule: Rule, done) -> Iterator[int]:
         """Positions past `after` that link with `query`, by DivideSkip with threshold `least`; done(p) ones are passed over."""
@@ -287,7 +356,7 @@ def searched(rows: DataFrame, rule: Rule) -> DataFrame:
         held: list[tuple] = []
         at = None
         out: list[tuple[int, int]] = []
-        for batch in batches:
+        for batch in slices(batches, 1024, 8):
             for component, block, doc, group, asked, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (component, block) != at:
                     out += block_links(held, rule) if len(held) > 1 else []
@@ -321,15 +390,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     facts = written(described(docs, rule), "jaccard-facts")
     own = facts.where("kind = 0")
-    often = facts.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "f1").limit(HOT).collect()
-    hot = np.array([r["f1"] for r in reversed(often)], np.int64).view(np.uint64)
-
-    edges = candidate_edges(docs, rule, hot)
+    edges = candidate_edges(docs, rule, _frequent(facts, 1), _frequent(facts, 2))
     labels = written(connected_components(edges).select(F.col("node").alias("doc_id"), "component"), "jaccard-labels")
     numbered = _blocked(labels, 0)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096, 16):
+        for batch in slices(batches, 4096, 8):
             sets = shingle_sets(batch.column(1), rule.words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets])],
