@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")), "edges")
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(root.select("hi", F.col("m").alias("lo")))
         now = written(small.distinct(), "edges")

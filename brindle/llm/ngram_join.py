@@ -199,8 +199,8 @@ def candidate_edges(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.
 
         def chained(x: tuple[int, int], y: tuple[int, int]) -> None:
             # Sizes rise: neighbours too far apart separate all before from all after them.
-            if near(x, y) and _union(parent, x[1], y[1]):
-                pairs.setdefault((min(x[1], y[1]), max(x[1], y[1])), [0, 0])[0] += SHARED
+            if near(x, y):
+                _union(parent, x[1], y[1])
 
         def ended() -> None:
             for i, x in enumerate([] if long else group):
@@ -235,6 +235,10 @@ def candidate_edges(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.
                 yield _counted(pairs)
                 pairs.clear()
         ended()
+        # A task's chains leave as stars, which take few rounds to connect.
+        for d in list(parent):
+            if (root := _find(parent, d)) != d:
+                pairs.setdefault((root, d), [0, 0])[0] += SHARED
         yield _counted(pairs)
 
     dealt = _docs(docs).mapInArrow(prefixes, "token long, n int, doc_id long").repartition("token").sortWithinPartitions("token", "n", "doc_id")
