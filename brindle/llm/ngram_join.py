@@ -406,7 +406,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 names=["doc_id", "component", "blocks", "block", "n", "shingles"],
             )
 
-    wanted = _docs(docs).join(numbered, "doc_id").select("doc_id", "text", "component", "blocks", "block")
+    # The candidates grow with the documents: both sides are dealt by id at every size, never broadcast.
+    wanted = _docs(docs).join(numbered.hint("merge"), "doc_id").select("doc_id", "text", "component", "blocks", "block")
     sets = written(wanted.mapInArrow(with_sets, "doc_id long, component long, blocks int, block int, n int, shingles binary").where("n > 0"), "jaccard-sets")
     alone = sets.withColumn("grp", F.col("doc_id")).withColumn("asked", F.lit(True))
     links = written(searched(alone, rule), "jaccard-links")

@@ -24,7 +24,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles with Jaccard 0.8 or more, directly or through others, the smallest id stays."""
     groups = ngram_join.jaccard_components(docs, ngram_join.Rule(5, 80, 100))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Dealt by id at every size: what goes grows with the documents.
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
