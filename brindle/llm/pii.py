@@ -1,12 +1,13 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field that makes labels consistent.
 
-Base spans come from four patterns (email, ip, card with a Luhn check, phone) and always stay. In a text that has any, a
+Base spans come from four patterns (email, ip, card with a Luhn check, phone) and always stay. In every text a
 conditional random field over its candidate tokens (those with a digit or an '@', and repeats of tokens inside base
 spans) looks for further mentions: neighbouring candidates share a chain potential, and repeated or similar tokens,
 however far apart, share a skip potential that favours one label. Loopy sum-product message passing runs over the whole
 text; a token outside base spans is added where its posterior reaches SURE. Evidence of a token's shape alone stays
-below even odds, so only agreement with other mentions adds a span. In a text without base spans every token's unary
-potential favours 'none', and so does their joint state: nothing is added and no messages are needed.
+below even odds, so only agreement with other mentions or with neighbouring candidates adds a span. A run of candidates
+can agree by its chain potentials alone, so texts without base spans are inferred too; only a text without a candidate
+token needs no messages.
 
 Potentials are fitted in closed form (piecewise) to the base labels of a sample of at most `sample` expected documents.
 
@@ -104,9 +105,9 @@ class Graph:
         last: dict[str, int] = {}
         for i, ((a, b), y) in enumerate(zip(tokens, label, strict=True)):
             token = text[a:b]
-            key = _key(token)
-            if not (y or "@" in token or any(c.isdigit() for c in token) or key in named):
+            if not (y or "@" in token or any(map(str.isdigit, token)) or (named and _key(token) in named)):
                 continue
+            key = _key(token)
             n = len(self.at)
             if n and self.at[-1] == i - 1:
                 self.chain.append((n - 1, n))
@@ -173,7 +174,7 @@ class Field:
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Base spans and those that the field adds, by kind and start."""
-        if not base:
+        if not (base or "@" in text or any(map(str.isdigit, text))):
             return []
         graph = Graph(text, base)
         chance = self.posterior(graph)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -328,6 +329,27 @@ def test_field_adds_a_repeated_mention_only():
     assert field.spans("15550109999 and 15550109999", []) == []
 
 
+def test_field_runs_on_texts_without_base_spans():
+    # Compared with the sum over all joint states. One kind is likely beside itself.
+    field = pii.Field({("shape", "200000", "3"): 40, ("shape", "200000", "0"): 40, ("chain", "3", "3"): 30, ("chain", "0", "0"): 4000, ("chain", "0", "3"): 1, ("chain", "3", "0"): 1})
+    for groups in (1, 2, 4, 6):
+        text = "paid by " + " ".join(["4111", "1112", "5678", "2345", "6781", "3456"][:groups]) + " today"
+        assert not pii.base_spans(text)
+        graph = pii.Graph(text, [])
+        unary = np.array([field.unary[s] for s in graph.shapes])
+        weight = np.zeros((groups, 5))
+        for y in itertools.product(range(5), repeat=groups):
+            score = sum(unary[i, k] for i, k in enumerate(y)) + sum(field.chain[a, b] for a, b in zip(y, y[1:], strict=False))
+            weight[np.arange(groups), y] += np.exp(score)
+        chance = weight / weight.sum(axis=1, keepdims=True)
+        assert np.allclose(field.posterior(graph), chance, atol=1e-2)
+        sure = [i for i in range(groups) if chance[i].argmax() and chance[i].max() >= pii.SURE]
+        marked = {i for i in range(groups) for _, a, b in field.spans(text, []) if a <= graph.where[i][0] < b}
+        assert marked == set(sure)
+        assert bool(sure) == (groups >= 4)
+    assert field.spans("no candidate here", []) == []
+
+
 def test_masking(docs, rows):
     assert pii.masked("a x@y.z b", [(0, 2, 7)]) == "a [EMAIL] b"
     assert pii.masked("0123456789", [(2, 1, 6), (3, 4, 8)]) == "0[CARD]89"
