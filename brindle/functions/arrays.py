@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Ids that a sequential state runs over at a time.
+PART = 64
+
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, not once per element of a lambda that reads it."""
@@ -77,9 +80,27 @@ def loss_mask(ids: Column, start: tuple[int, ...], end: tuple[int, ...]) -> Colu
         return out
 
     marks = let(ids, lambda v: F.transform(v, lambda _, i: F.struct(matches(v, i, start).alias("s"), matches(v, i, end).alias("e"))))
-    state = F.aggregate(
-        marks,
-        F.struct(F.lit(False).alias("on"), F.array().cast("array<int>").alias("out")),
-        lambda acc, m: F.struct(F.when(acc["on"], ~m["e"]).otherwise(m["s"]).alias("on"), F.array_append(acc["out"], acc["on"].cast("int")).alias("out")),
-    )
-    return state["out"]
+    step = lambda on, m: F.when(on, ~m["e"]).otherwise(m["s"])
+
+    def run(part: Column, on: bool) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(on).alias("on"), F.array().cast("array<int>").alias("out")),
+            lambda acc, m: F.struct(step(acc["on"], m).alias("on"), F.array_append(acc["out"], acc["on"].cast("int")).alias("out")),
+        )
+
+    # An appended array is copied, so parts of PART ids are run from either state, and the states at their starts choose.
+    def joined(v: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(v), F.lit(PART)), lambda i: i < F.size(v))
+        runs = F.transform(F.transform(firsts, lambda i: F.slice(v, i + 1, F.lit(PART))), lambda part: F.struct(run(part, False).alias("off"), run(part, True).alias("on")))
+        return let(runs, chosen)
+
+    def chosen(runs: Column) -> Column:
+        states = F.aggregate(
+            runs,
+            F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("at")),
+            lambda acc, r: F.struct(F.when(acc["on"], r["on"]["on"]).otherwise(r["off"]["on"]).alias("on"), F.array_append(acc["at"], acc["on"]).alias("at")),
+        )["at"]
+        return let(states, lambda at: F.flatten(F.transform(runs, lambda r, i: F.when(F.get(at, i), r["on"]["out"]).otherwise(r["off"]["out"]))))
+
+    return let(marks, joined)

@@ -204,6 +204,13 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(F.transform(A.loss_mask(ids, (32,), (46,)), lambda x: x.cast("string")), "").alias("m"))
 
 
+@query("fn_loss_mask_whole")
+def _(t):
+    # The mask of every text to its end; fn_loss_mask and its SQL hold the first 400 characters. An empty text has no ids.
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return t.documents.select("doc_id", F.array_join(F.transform(A.loss_mask(ids, (32,), (46,)), lambda x: x.cast("string")), "").alias("m"))
+
+
 @query("fn_seq_score_position", f"WITH {V.INTER} SELECT uid, array_to_string(list_transform(hist_like, lambda x, i: CASE WHEN i = list_sum(hist_like) THEN 1 ELSE 0 END), ',') AS s FROM inter WHERE len(hist_like) > 0")
 def _(t):
     rows = V.interactions(t).where("size(hist_like) > 0")
