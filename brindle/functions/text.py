@@ -58,7 +58,8 @@ def json_from_response(text: Column, schema: str) -> Column:
 def normalised_answer(text: Column) -> Column:
     """Lower case without punctuation, articles and extra white space."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    # (?U): an article beside a letter outside ASCII is part of its word; white space is Unicode's and the four separators.
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def exact_match(answer: Column, golden: Column) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import arrays as A
+from brindle.functions import text as T
 from brindle.plans import catalogue
 from brindle.plans.registry import Tables
 
@@ -43,3 +46,19 @@ def test_loss_mask_across_parts(spark):
     for start, end in (((1, 2), (3, 1)), ((1, 1), (1, 2, 3)), ((2,), (2,))):
         for r in df.select("i", A.loss_mask(F.col("ids"), start, end).alias("m")).collect():
             assert r["m"] == brute_mask(rows[r["i"]], start, end)
+
+
+def brute_answer(text):
+    plain = "".join(c for c in text.lower() if c not in string.punctuation)
+    return " ".join(re.sub(r"\b(a|an|the)\b", " ", plain).split())
+
+
+def test_normalised_answers_of_whole_texts(spark, texts):
+    found = {r["doc_id"]: r["answer"] for r in catalogue.QUERIES["fn_normalize_answer_whole"](spark, SF).collect()}
+    assert found == {d: None if t is None else brute_answer(t) for d, t in texts.items()}
+
+
+def test_normalised_answers_outside_ascii(spark):
+    odd = ["The naïve a b", "éa the öa an à a", "a\u00a0the\u2003x\x1cy\x0bz", "日a本 a 語", "AN Éan, THE-END", "", " a ", "the_a x"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", T.normalised_answer(F.col("t")).alias("a")).collect()
+    assert {r["i"]: r["a"] for r in rows} == {i: brute_answer(t) for i, t in enumerate(odd)}
