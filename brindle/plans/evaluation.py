@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import arrays as A
 from brindle.functions import policy as P
+from brindle.operators import batch as B
 from brindle.operators import groupwise as G
 from brindle.operators import metrics as M
 from brindle.plans import views as V
@@ -424,6 +425,16 @@ def _(t):
     return rows.select("doc_id", F.round(M.bleu(F.col("w"), F.col("w")), 6).alias("same"), F.round(M.bleu(F.col("w"), F.array(F.lit("zzz"))), 6).alias("none"))
 
 
+@query("agg_bleu_whole")
+def _(t):
+    # Whole texts of all documents, each against the next document's (the first one's for the last); agg_bleu and its SQL
+    # hold 30 words of some and compare them with themselves.
+    rows = B.with_row_id(t.documents.select("doc_id", F.split("text", " ").alias("w")), ["doc_id"])
+    ends = rows.agg(F.max("row_id").alias("last"))
+    after = rows.join(F.broadcast(ends)).select(F.when(F.col("row_id") == 0, F.col("last")).otherwise(F.col("row_id") - 1).alias("row_id"), F.col("w").alias("ref"))
+    return M.bleu_rows(rows.join(after, "row_id"), "doc_id", "w", "ref").select("doc_id", F.round("bleu", 6).alias("bleu"))
+
+
 @query("sink_report", "SELECT lang, round(sum(n_chars) FILTER (source = 'src1'), 2) AS recall_src1, round(sum(n_chars) FILTER (source = 'src2'), 2) AS pass_src2 FROM documents GROUP BY lang")
 def _(t):
     rows = t.documents.groupBy("lang", F.when(F.col("source") == "src1", "recall_src1").when(F.col("source") == "src2", "pass_src2").alias("metric")).agg(F.sum("n_chars").cast("double").alias("v"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 import re
 import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import arrays as A
 from brindle.functions import text as T
+from brindle.operators import metrics as M
 from brindle.plans import catalogue
 from brindle.plans.registry import Tables
 
@@ -62,3 +65,35 @@ def test_normalised_answers_outside_ascii(spark):
     odd = ["The naïve a b", "éa the öa an à a", "a\u00a0the\u2003x\x1cy\x0bz", "日a本 a 語", "AN Éan, THE-END", "", " a ", "the_a x"]
     rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", T.normalised_answer(F.col("t")).alias("a")).collect()
     assert {r["i"]: r["a"] for r in rows} == {i: brute_answer(t) for i, t in enumerate(odd)}
+
+
+def brute_bleu(c, r, longest=4):
+    total = 0.0
+    for n in range(1, longest + 1):
+        mine, theirs = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (c, r))
+        hits, add = sum((mine & theirs).values()), float(n > 1)
+        if not hits + add:
+            return 0.0
+        total += math.log((hits + add) / (max(len(c) - n + 1, 0) + add))
+    return math.exp(total / longest) * (math.exp(1 - len(r) / len(c)) if len(c) < len(r) else 1.0)
+
+
+def test_bleu_of_whole_texts(spark, texts):
+    found = {r["doc_id"]: r["bleu"] for r in catalogue.QUERIES["agg_bleu_whole"](spark, SF).collect()}
+    ids = sorted(texts)
+    words = {d: [] if texts[d] is None else texts[d].split(" ") for d in ids}
+    assert set(found) == set(ids)
+    for d, e in zip(ids, ids[1:] + ids[:1], strict=True):
+        assert found[d] == pytest.approx(brute_bleu(words[d], words[e]), abs=2e-6)
+    assert any(0 < x < 1 for x in found.values())
+
+
+def test_bleu_of_partial_overlaps(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcd") for _ in range(rng.randint(0, 12))]) for i in range(60)]
+    rows += [(60, ["the"] * 7, ["the", "cat", "the"]), (61, ["a"], ["a", "b", "c"]), (62, None, ["a"]), (63, ["a"], None), (64, ["a b", "c"], ["a", "b c"]), (None, ["a", "b"], ["a", "b"])]
+    df = spark.createDataFrame(rows, "k int, c array<string>, r array<string>")
+    got = {r["k"]: r["bleu"] for r in M.bleu_rows(df, "k", "c", "r").collect()}
+    assert len(got) == len(rows)
+    for k, c, r in rows:
+        assert got[k] == pytest.approx(brute_bleu(c or [], r or []), abs=1e-9)
