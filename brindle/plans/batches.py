@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from brindle.operators import batch as B
@@ -166,6 +168,70 @@ def _(t):
     return B.take_ids(B.take_ids(rows(t), there), back)
 
 
+# The same on all rows with the table's count as batch size; the queries above and their SQL hold 100 to 2,000 rows.
+
+ALL = f"{ROWS}, c AS (SELECT count(*) AS n FROM orders)"
+
+
+def all_rows(t):
+    return rows(t), t.orders.count()
+
+
+def _step(n: int, least: int) -> int:
+    """The smallest step from `least` on that visits every one of n places."""
+    return next(m for m in range(least, least + n + 1) if math.gcd(m, n) == 1)
+
+
+@query("dp_select_idxs_whole", f"WITH {ALL} SELECT r AS row_id, k FROM b JOIN (SELECT r, (r * 31) % n AS row_id FROM c, (SELECT unnest(range(2 * n)) AS r FROM c)) USING (row_id)")
+def _(t):
+    r, n = all_rows(t)
+    return B.take_ids(r, t.spark.range(2 * n).select(F.col("id").alias("new_id"), ((F.col("id") * 31) % n).alias("row_id")))
+
+
+@query("dp_concat_whole", f"WITH {ALL} SELECT row_id + n * r AS row_id, k FROM b, c, range(2) t(r)")
+def _(t):
+    r, n = all_rows(t)
+    return B.concat((r, n), (r, n))
+
+
+@query("dp_chunk_whole", f"WITH {ALL} SELECT row_id // ((n + 19) // 20) AS chunk, row_id // 64 AS piece, count(*) AS n FROM b, c GROUP BY ALL")
+def _(t):
+    # Equal chunks need a size that divides: ids up to the next multiple belong to padding that has no rows.
+    r, n = all_rows(t)
+    return r.groupBy(B.chunk_id(n + -n % 20, 20).alias("chunk"), B.split_id(64).alias("piece")).agg(F.count("*").alias("n"))
+
+
+@query("dp_reorder_whole", f"WITH {ALL} SELECT n - 1 - row_id AS row_id, k FROM b, c")
+def _(t):
+    r, n = all_rows(t)
+    return B.take_ids(r, t.spark.range(n).select((n - 1 - F.col("id")).alias("new_id"), F.col("id").alias("row_id")))
+
+
+@query("dp_repeat_whole", f"WITH {ROWS} SELECT row_id * 3 + r AS row_id, k FROM b, range(3) t(r)")
+def _(t):
+    return B.repeat(rows(t), 3)
+
+
+@query("dp_tile_whole", f"WITH {ALL} SELECT r * n + row_id AS row_id, k FROM b, c, range(3) t(r)")
+def _(t):
+    r, n = all_rows(t)
+    return B.repeat(r, 3, interleave=False, rows=n)
+
+
+@query("dp_iterator_whole", f"WITH {ROWS} SELECT row_id // 100 AS mini, count(*) AS n FROM b GROUP BY ALL")
+def _(t):
+    r, n = all_rows(t)
+    return r.groupBy(B.batch_ids(n + -n % 100, 100).alias("mini")).agg(F.count("*").alias("n"))
+
+
+@query("dp_reverse_idx_whole", f"WITH {ROWS} SELECT row_id, k FROM b")
+def _(t):
+    r, n = all_rows(t)
+    there = t.spark.range(n).select(F.col("id").alias("row_id"), ((F.col("id") * _step(n, 7)) % n).alias("new_id"))
+    back = there.select(F.col("new_id").alias("row_id"), F.col("row_id").alias("new_id"))
+    return B.take_ids(B.take_ids(r, there), back)
+
+
 @query("dp_collate", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def _(t):
     return t.orders.groupBy("o_custkey").agg(F.size(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).cast("long").alias("n"))

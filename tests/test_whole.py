@@ -97,3 +97,23 @@ def test_bleu_of_partial_overlaps(spark):
     assert len(got) == len(rows)
     for k, c, r in rows:
         assert got[k] == pytest.approx(brute_bleu(c or [], r or []), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1437])
+def test_batch_algebra_takes_all_rows(spark, tmp_path, size):
+    # Sizes that divide by nothing in use; the keys have gaps and come out of order.
+    keys = [3 * i + 1 for i in range(size)]
+    spark.createDataFrame([(k,) for k in reversed(keys)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[f"dp_{name}_whole"](spark, str(tmp_path)).select(*fields).collect())
+    fields = ["row_id", "k"]
+    n = size
+    assert got("repeat") == [(3 * i + j, k) for i, k in enumerate(keys) for j in range(3)]
+    assert got("tile") == list(enumerate(keys * 3))
+    assert got("concat") == list(enumerate(keys * 2))
+    assert got("reorder") == list(enumerate(reversed(keys)))
+    assert got("reverse_idx") == list(enumerate(keys))
+    assert got("select_idxs") == [(i, keys[i * 31 % n]) for i in range(2 * n)]
+    fields = ["chunk", "piece", "n"]
+    assert got("chunk") == sorted((*key, m) for key, m in Counter((i // -(-n // 20), i // 64) for i in range(n)).items())
+    fields = ["mini", "n"]
+    assert got("iterator") == sorted(Counter(i // 100 for i in range(n)).items())
