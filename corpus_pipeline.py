@@ -44,7 +44,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", known_language), ("ngram_join", one_of_each), ("pii", without_pii), ("mixing", mixed), ("packing", packed)]
-#: Loopy message passing, components and tokenizers have no SQL; a test holds run() against a brute-force version.
+#: Loopy message passing, components and tokenizers have no SQL. Tests check the stages one by one; none holds run() against a
+#: brute-force version, so rows that mixing or packing drops would not show.
 ORACLE_SQL = None
 
 
