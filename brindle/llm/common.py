@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A group of more rows than the larger of these, LEAST and a 1/SHARE of all rows, is not joined by a shuffle on its key.
+LEAST, SHARE = 500, 10_000
 #: Words are runs of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -75,3 +79,37 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, mb: int) -> Iterator[pa
             part = batch.slice(at, n)
             yield part if n == batch.num_rows else part.take(pa.array(range(n), pa.int32()))
             at += n
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, after which the Python worker gives its free memory back: workers are used again by later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return run
+
+
+def with_group(rows: DataFrame, keys: list[str], *aggregates: Column, total: int, of: DataFrame | None = None) -> DataFrame:
+    """rows with aggregates of their key's group in `of` (rows themselves if not given), which has `total` rows.
+
+    Groups above the bound are broadcast, at most SHARE of them; their rows are dealt by a hash of all columns. The other
+    groups meet in a shuffle join. So no task gets more than a small share of all rows, whatever a key holds.
+    """
+    per = (rows if of is None else of).groupBy(*keys).agg(*aggregates, F.count("*").alias("_n"))
+    names = [c for c in per.columns if c not in (*keys, "_n")]
+    limit = max(LEAST, total // SHARE)
+    large = per.where(F.col("_n") > limit).select(*keys, *[F.col(c).alias(f"_large_{c}") for c in names], F.lit(True).alias("_large"))
+    # The optimizer folds a constant key away, and with it the dealing; least() of a column stays.
+    small = per.where(F.col("_n") <= limit).withColumn("_deal", F.least(F.col("_n"), F.lit(0).cast("long"))).drop("_n")
+    marked = rows.join(F.broadcast(large), keys, "left").withColumn("_deal", F.when(F.col("_large"), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    met = marked.join(small.hint("merge"), ["_deal", *keys], "left")
+    return met.select(*rows.columns, *[F.coalesce(c, f"_large_{c}").alias(c) for c in names])

@@ -2,26 +2,30 @@
 
 1. One pass makes each document's set of 64-bit shingle hashes, its size and a 128-bit fingerprint. Equal sets are one
    class. The same pass counts words and shingles that recur within a batch; the most frequent ones (at most HOT of
-   each, over all documents) go last in the order below. These lists only speed the search, any order is right.
+   each) go last in the order below. These lists only speed the search, any order is right.
 2. Prefix filter: shingles are ordered by recurrence, then by how frequent their words are, then by hash, so that a set's
-   first ones are shared with its near copies and hardly with any other. Two sets with Jaccard t share SHARED of their
-   first n - ceil(t * n) + SHARED shingles (all of fewer). Prefixes are dealt by shingle and sorted by set size. Up to
-   PAIRED documents of a shingle are paired and the pairs' shared shingles counted; more are chained, each to the next
-   of compatible size, so a group of any size gives a chain and not its pairs. Pairs with enough shared shingles and
-   chains connect the candidate components: every true pair lies within one.
-3. T-occurrence search in blocks of at most BLOCK sets: inverted lists, of which the long ones are set aside
+   first ones are shared with its near copies and hardly with any other. If x, no larger than y, links with y, at least k
+   of x's first |x| - ceil(2t/(1+t) |x|) + k shingles are among y's first |y| - ceil(t |y|) + k. The lists are
+   range-partitioned by shingle and set size, which spreads a frequent shingle over tasks. With k a share of |x|, a
+   document stays only if that many of its entries stand beside one of another document of compatible size: documents
+   that share a passage, but little else, go. With k = 1 (x's index prefix, y's probe prefix), each entry that is left is
+   tied to the last index entry before it if their sizes are compatible: one row an entry at most. What a range begins
+   with is tied to what the ranges before it end with. The ties' components hold every linking pair.
+3. T-occurrence search in blocks of at most BLOCK shingles: inverted lists, of which the long ones are set aside
    (DivideSkip), the short ones are merged by a heap that skips (MergeSkip), and candidates are probed in the long ones
-   by binary search. Counts are exact overlaps. Only links between sets not yet connected are reported.
-4. A component of several blocks is finished exactly and without all pairs: leaders of each block's linked groups are
-   searched among themselves; then every set outside the component's largest linked group is searched against all of
-   the component's blocks. Two members of the largest group need no comparison, they are linked already.
+   by binary search. Counts are exact overlaps. Sets are searched for until those not yet searched for are one group:
+   a large group of near copies takes a few searches and not one for each pair.
+4. A component of several blocks is cut smaller first: its shingles are counted, exactly now, and step 2 is repeated with
+   the rarest first. What is still larger is finished exactly: leaders of each block's linked groups are searched among
+   themselves; then the sets outside the component's largest linked group are searched for, in chunks, in those blocks
+   whose set sizes are compatible. A task holds one chunk and one block.
 
 Links of different texts are never dropped: two sets either share a block, or both lie in the linked group, or one of
-them is searched against all blocks.
+them is searched for in the other's block.
 
 Nulls, ties and repeats: a null text has no shingles and links with nothing; a null id links with nothing and has a null
-component; rows of equal id are one node. Texts with fewer words than a shingle are one shingle. Other columns are not
-read. An empty table gives no rows.
+component; rows of equal id are one node. Texts with fewer words than a shingle are one shingle; very long texts are
+handled whole. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,15 +39,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, written
+from brindle.llm.common import released, slices, with_group, written
 from brindle.llm.components import connected_components
 
-HOT, HOT_LEAST, WORD_LEAST, BLOCK, LEADERS = 200_000, 3, 8, 512, 16
-#: Shingles that prefixes must share, and the size to which a shingle's documents are paired rather than chained.
-SHARED, PAIRED = 4, 32
+HOT, HOT_LEAST, WORD_LEAST, LEADERS = 200_000, 3, 8, 16
+#: Shingles of a block, nodes whose ties a task holds, and the k of the prefix filter as a percentage of the smaller set.
+BLOCK, HELD, BESIDE = 1 << 20, 300_000, 6
 
 
 class Rule(NamedTuple):
@@ -107,6 +112,16 @@ def _need(n: int, rule: Rule) -> int:
     return -(-rule.num * n // rule.den)
 
 
+def _least_equal(n: int, rule: Rule) -> int:
+    """The least overlap of a set of n with one that is no smaller and links with it."""
+    return -(-2 * rule.num * n // (rule.num + rule.den))
+
+
+def _beside(n: int) -> int:
+    """The k of the prefix filter for a smaller set of n."""
+    return max(1, n * BESIDE // 100)
+
+
 def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -134,7 +149,7 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
                 names=["kind", "doc_id", "n", "f1", "f2"],
             )
 
-    return _docs(docs).mapInArrow(rows, "kind int, doc_id long, n long, f1 long, f2 long")
+    return _docs(docs).mapInArrow(released(rows), "kind int, doc_id long, n long, f1 long, f2 long")
 
 
 def _frequent(facts: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +168,10 @@ def _places(known: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, known[at] == found
 
 
-def candidate_edges(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Edges a, b whose components hold every linking pair. shingles, words: hashes and counts of frequent ones (at most HOT each)."""
+def prefix_entries(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """token, place, doc_id of the first shingles of all documents. place is four times the set's size, and 1 more beyond
+    the index prefix and 2 more beyond the probe prefix of k = 1. shingles, words: hashes and counts of frequent ones (at most HOT each).
+    """
     spark = docs.sparkSession
     rank = np.argsort(np.lexsort(shingles)) + 1
     shared = spark.sparkContext.broadcast((shingles[0], rank, words[0], np.log2(words[1] + 1).astype(np.int64)))
@@ -163,7 +180,7 @@ def candidate_edges(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.
         known, ranks, common, logs = shared.value
         seen: set[bytes] = set()
         for batch in slices(batches, 8192, 8):
-            ids, sizes, tokens = [], [], []
+            ids, places, tokens = [], [], []
             hashed, codes, bounds = _words(batch.column(1))
             at, there = _places(common, hashed)
             weights = np.where(there, logs[at] if len(logs) else 0, 0)
@@ -174,82 +191,144 @@ def candidate_edges(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.
                     continue
                 seen.add(f)
                 n = len(s)
-                p = n - _need(n, rule) + SHARED
                 at, there = _places(known, s)
                 place = (np.where(there, ranks[at], 0) << 16 if len(ranks) else 0) + weight
-                cold = s[np.lexsort((s, place))[:p]]
+                need, equal = _need(n, rule), _least_equal(n, rule)
+                cold = s[np.lexsort((s, place))[: max(n - need + _beside(need) + 1, n - equal + _beside(n))]]
                 ids.append(doc)
-                sizes.append(n)
                 tokens.append(cold)
+                at = np.arange(len(cold))
+                places.append(4 * n + (at > n - equal) + (at > n - need))
             if ids:
                 each = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.repeat(np.array(ids, np.int64), each))],
-                    names=["token", "n", "doc_id"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.repeat(np.array(ids, np.int64), each))],
+                    names=["token", "place", "doc_id"],
                 )
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: dict[tuple[int, int], list[int]] = {}
-        parent: dict[int, int] = {}
-        group: list[tuple[int, int]] = []
-        last, long = None, False
+    return written(_docs(docs).mapInArrow(released(prefixes), "token long, place int, doc_id long"), "jaccard-prefixes")
 
-        def near(x: tuple[int, int], y: tuple[int, int]) -> bool:
-            return rule.den * x[0] >= rule.num * y[0]
 
-        def chained(x: tuple[int, int], y: tuple[int, int]) -> None:
-            # Sizes rise: neighbours too far apart separate all before from all after them.
-            if near(x, y):
-                _union(parent, x[1], y[1])
+def rarest_entries(sets: DataFrame, rule: Rule) -> DataFrame:
+    """prefix_entries of `doc_id, n, shingles` rows, with shingles in order of how many of these rows have them, and then by hash.
 
-        def ended() -> None:
-            for i, x in enumerate([] if long else group):
-                for y in group[i + 1 :]:
-                    if near(x, y) and x[1] != y[1]:
-                        found = pairs.setdefault((min(x[1], y[1]), max(x[1], y[1])), [0, 0])
-                        found[0] += 1
-                        found[1] = min(SHARED, _need(y[0], rule))
+    Only shingles of several rows are entries: the others tie nothing. So a set with enough shingles of its own has none,
+    whatever passages it shares with many others.
+    """
 
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024, 8):
+            each = np.asarray(batch.column(1))
+            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(np.asarray(batch.column(0)), each)), pa.array(np.repeat(each, each))], names=["token", "doc_id", "n"])
+
+    rows = sets.select("doc_id", "n", "shingles").mapInArrow(released(exploded), "token long, doc_id long, n int")
+    total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shared = with_group(rows, ["token"], F.count("*").alias("df"), total=total).where("df > 1")
+    per = shared.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    n = F.col("n").cast("long")
+    own, probe = n - F.size("x"), n - F.ceil(n * rule.num / F.lit(rule.den)) + 1
+    index = n - F.ceil(2 * n * rule.num / F.lit(rule.num + rule.den)) + 1
+    cut = F.slice("x", F.lit(1), F.greatest(probe - own, F.lit(0)).cast("int"))
+    each = per.select("doc_id", n.alias("n"), (index - own).alias("upto"), F.posexplode(cut).alias("i", "x"))
+    return written(each.select(F.col("x.token").alias("token"), (4 * F.col("n") + (F.col("i") >= F.col("upto")).cast("int")).cast("int").alias("place"), "doc_id"), "jaccard-rarest")
+
+
+def beside_others(entries: DataFrame, rule: Rule) -> DataFrame:
+    """The entries that stand beside another document's of the same shingle and compatible size, of documents that have enough of them."""
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            token, n, doc = (np.asarray(c) for c in batch.columns)
+            if not batch.num_rows:
+                continue
+            # Each batch starts with the last row of the one before it. A part's own ends count as being beside another.
+            rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            token, size = np.asarray(rows.column(0)), np.asarray(rows.column(1)).astype(np.int64) >> 2
+            near = (token[1:] == token[:-1]) & (rule.num * size[1:] <= rule.den * size[:-1])
+            busy = np.concatenate([[last is None or held], near]) | np.concatenate([near, [False]])
+            last, held = rows.slice(rows.num_rows - 1), bool(busy[-1])
+            yield rows.slice(0, rows.num_rows - 1).filter(pa.array(busy[:-1]))
+        if last is not None:
+            yield last
+
+    found = entries.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(released(beside), entries.schema)
+    n = F.shiftright("place", 2).cast("long")
+    need = F.greatest(F.lit(1), F.floor(F.ceil(n * rule.num / F.lit(rule.den)) * BESIDE / F.lit(100)))
+    count = F.count("*").over(Window.partitionBy("doc_id", n))
+    return written(found.withColumn("beside", count).where(F.col("beside") >= need).drop("beside"), "jaccard-beside")
+
+
+def tied_edges(entries: DataFrame, rule: Rule) -> DataFrame:
+    """Edges a, b whose components hold every linking pair that has entries in common."""
+    spark = entries.sparkSession
+
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kind 0: edge a, b. kind 1: b, of size n, is to be tied to what came before this part. kind 2: the part's first token a and last token b, and its last index entry n, doc of that."""
+        part = TaskContext.get().partitionId()
+        parent: dict[int, int] = {}
+        first = last = index = None
+        for batch in batches:
+            token, place, doc = (np.asarray(c) for c in batch.columns)
             if not len(token):
                 continue
             # Shingles of a single document need no look, except at the edges of a batch.
             alike = np.concatenate([[False], token[1:] == token[:-1]])
             busy = alike | np.concatenate([alike[1:], [True]])
             busy[0] = True
-            for t, size, d in zip(token[busy].tolist(), n[busy].tolist(), doc[busy].tolist(), strict=True):
+            open_ = []
+            for t, at, d in zip(token[busy].tolist(), place[busy].tolist(), doc[busy].tolist(), strict=True):
                 if t != last:
-                    ended()
-                    group, last, long = [], t, False
-                if long:
-                    chained(group[0], (size, d))
-                    group[0] = (size, d)
-                    continue
-                group.append((size, d))
-                if len(group) > PAIRED:
-                    for x, y in zip(group, group[1:], strict=False):
-                        chained(x, y)
-                    group, long = group[-1:], True
-            if len(pairs) > 200_000:
-                yield _counted(pairs)
-                pairs.clear()
-        ended()
-        # A task's chains leave as stars, which take few rounds to connect.
-        for d in list(parent):
-            if (root := _find(parent, d)) != d:
-                pairs.setdefault((root, d), [0, 0])[0] += SHARED
-        yield _counted(pairs)
-
-    dealt = _docs(docs).mapInArrow(prefixes, "token long, n int, doc_id long").repartition("token").sortWithinPartitions("token", "n", "doc_id")
-    counted = dealt.mapInArrow(met, "a long, b long, shared int, need int").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
-    return counted.where(F.col("shared") >= F.when(F.col("need") > 0, F.col("need")).otherwise(SHARED)).select("a", "b")
-
-
-def _counted(pairs: dict[tuple[int, int], list[int]]) -> pa.RecordBatch:
-    a, b = ([k[i] for k in pairs] for i in (0, 1))
-    shared, need = ([v[i] for v in pairs.values()] for i in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32()), pa.array(need, pa.int32())], names=["a", "b", "shared", "need"])
+                    first, last, index = (t if first is None else first), t, None
+                if index is None:
+                    if t == first:
+                        open_.append((at >> 2, d))
+                elif rule.num * (at >> 2) <= rule.den * index[0]:
+                    _union(parent, index[1], d)
+                if not at & 3:
+                    index = (at >> 2, d)
+            if open_:
+                yield _ties(1, part, None, [d for _, d in open_], [n for n, _ in open_])
+            if len(parent) > HELD:
+                yield _stars(part, parent)
+                parent = {}
+        yield _stars(part, parent)
+        if first is not None:
+            n, d = index or (None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((2, part, first, last, n, d), TIES.values(), strict=True)], names=list(TIES))
+
+    ties = written(entries.where("place % 4 < 2").repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(released(tied), "kind int, part int, a long, b long, n long, doc long"), "jaccard-ties")
+    # One row per part goes to the driver.
+    before, carried = None, []
+    for r in ties.where("kind = 2").orderBy("part").collect():
+        if before and before[0] == r["a"]:
+            carried.append((r["part"], *before[1:]))
+        if r["doc"] is not None:
+            before = (r["b"], r["n"], r["doc"])
+        elif not (before and before[0] == r["a"] == r["b"]):
+            before = None
+    edges = ties.where("kind = 0").select("a", "b")
+    if carried:
+        ends = spark.createDataFrame(carried, "part int, before long, a long")
+        late = ties.where("kind = 1").select("part", "b", "n").join(F.broadcast(ends), "part").where(F.col("n") * rule.num <= F.col("before") * rule.den)
+        edges = edges.unionByName(late.select("a", "b"))
+    return edges
+
+
+ORDER = ["token", "place", "doc_id"]
+TIES = {"kind": pa.int32(), "part": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "doc": pa.int64()}
+
+
+def _ties(kind: int, part: int, a: list[int] | None, b: list[int], n: list[int] | None) -> pa.RecordBatch:
+    none = pa.nulls(len(b), pa.int64())
+    columns = [pa.array(np.full(len(b), kind, np.int32)), pa.array(np.full(len(b), part, np.int32)), none if a is None else pa.array(a, pa.int64()), pa.array(b, pa.int64()), none if n is None else pa.array(n, pa.int64()), none]
+    return pa.RecordBatch.from_arrays(columns, names=list(TIES))
+
+
+def _stars(part: int, parent: dict[int, int]) -> pa.RecordBatch:
+    """A task's ties as stars, which take few rounds to connect."""
+    pairs = [(root, d) for d in list(parent) if (root := _find(parent, d)) != d]
+    return _ties(0, part, [p[0] for p in pairs], [p[1] for p in pairs], None)
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -328,50 +407,70 @@ class Index:
 
 
 def block_links(rows: list[tuple[int, int, bool, np.ndarray]], rule: Rule) -> list[tuple[int, int]]:
-    """Links that connect what is not connected yet. rows: id, linked group, whether it is searched for, set; by set size."""
+    """Links that connect all linking sets of which one is asked for. rows: id, linked group, whether it is asked for, set; by set size.
+
+    Sets are searched for until those not searched for yet are in one group: between them there is nothing left to find.
+    """
     parent: dict[int, int] = {}
     first: dict[int, int] = {}
+    size = [1] * len(rows)
+
+    def join(p: int, q: int) -> int:
+        p, q = _find(parent, p), _find(parent, q)
+        if p != q:
+            _union(parent, p, q)
+            size[min(p, q)] += size[max(p, q)]
+        return min(p, q)
+
     for p, (doc, group, _, _) in enumerate(rows):
         for key in (doc, group):
-            _union(parent, first.setdefault(key, p), p)
+            join(first.setdefault(key, p), p)
     index = Index([r[3] for r in rows])
-    every = all(r[2] for r in rows)
-    links = []
-    apart = len({_find(parent, p) for p in range(len(rows))}) - 1
-    for p, (doc, _, asked, s) in enumerate(rows):
-        if not apart:
+    links: list[tuple[int, int]] = []
+    fixed = [p for p, r in enumerate(rows) if not r[2]]
+    left = [p for p, r in enumerate(rows) if r[2]]
+    while left:
+        roots = {_find(parent, p) for p in fixed}
+        if len({_find(parent, p) for p in left} | roots) == 1:
             break
-        if not asked:
-            continue
-        n = len(s)
-        # If every row is searched for, partners are no smaller, which raises the overlap that they need.
-        least, after = (-(-2 * rule.num * n // (rule.num + rule.den)), p) if every else (_need(n, rule), -1)
-        for other in index.search(p, least, after, rule, lambda q, p=p: _find(parent, q) == _find(parent, p)):
-            if _union(parent, p, other):
-                links.append((doc, rows[other][0]))
-                apart -= 1
+        # The group whose sets wait: that of the sets not asked for, or the largest one.
+        main = roots.pop() if len(roots) == 1 else None if roots else max({_find(parent, p) for p in left}, key=lambda r: (size[r], -r))
+        grows = not fixed
+        if grows and size[main] == 1:
+            main = None
+        waiting = []
+        for p in left:
+            if main is not None and _find(parent, p) == _find(parent, main):
+                waiting.append(p)
+                continue
+            for other in index.search(p, _need(len(rows[p][3]), rule), -1, rule, lambda q, p=p: _find(parent, q) == _find(parent, p)):
+                links.append((rows[p][0], rows[other][0]))
+                root = join(p, other)
+                if grows and size[root] > (size[_find(parent, main)] if main is not None else 1):
+                    main = root
+        left = waiting
     return links
 
 
-def searched(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Links a, b of `component, block, doc_id, grp, asked, n, shingles`, block by block."""
+def searched(rows: DataFrame, unit: list[str], rule: Rule) -> DataFrame:
+    """Links a, b of `*unit, doc_id, grp, asked, n, shingles`, unit by unit."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
         out: list[tuple[int, int]] = []
         for batch in slices(batches, 1024, 8):
-            for component, block, doc, group, asked, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (component, block) != at:
+            for *here, doc, group, asked, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != at:
                     out += block_links(held, rule) if len(held) > 1 else []
-                    held, at = [], (component, block)
+                    held, at = [], here
                 held.append((doc, group, asked, np.frombuffer(raw, np.uint64)))
             yield _pairs(out)
             out = []
         yield _pairs(block_links(held, rule) if len(held) > 1 else [])
 
-    dealt = rows.repartition("component", "block").sortWithinPartitions("component", "block", "n", "doc_id")
-    return dealt.select("component", "block", "doc_id", "grp", "asked", "shingles").mapInArrow(links, "a long, b long")
+    dealt = rows.repartition(*unit).sortWithinPartitions(*unit, "n", "doc_id")
+    return dealt.select(*unit, "doc_id", "grp", "asked", "shingles").mapInArrow(released(links), "a long, b long")
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -379,9 +478,13 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _blocked(rows: DataFrame, salt: int) -> DataFrame:
-    """rows with `blocks` by their number per component, and a `block` by a salted hash of the id."""
-    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return rows.drop("blocks", "block").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("blocks").cast("long")).cast("int"))
+    """rows with `blocks` by their component's shingles, and a `block` by a salted hash of the id.
+
+    Components of several blocks are at most one for every BLOCK / 2 shingles; a row of them is broadcast.
+    """
+    large = rows.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    sized = rows.drop("blocks", "block").join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("blocks").cast("long")).cast("int"))
 
 
 def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -390,50 +493,72 @@ def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.drop("grp").join(groups, "doc_id", "left").withColumn("grp", F.coalesce("linked", "doc_id")).drop("linked")
 
 
+def _finished(several: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
+    """The links that are left in components of several blocks: rows outside a component's largest group are searched for
+    in blocks of all rows. Blocks hold sets of one size class, so a chunk meets those of its own class and the two beside it."""
+    step = float(np.log(rule.den / rule.num)) if rule.num < rule.den else 1.0
+    grouped = _grouped(several, links)
+    sums = grouped.groupBy("component", "grp").agg(F.count("*").alias("rows"))
+    main = sums.groupBy("component").agg(F.max_by("grp", F.struct("rows", "grp")).alias("main"))
+    rest = written(grouped.join(F.broadcast(main), "component").withColumn("cls", F.floor(F.log("n") / step).cast("int")), "jaccard-rest")
+
+    def counted(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy("component", "cls").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+
+    near = lambda c: F.explode(F.array(*[F.col(c) + F.lit(i) for i in (-1, 0, 1)]))
+    one = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n).cast("long")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rest.where("grp <> main")
+    blocks, chunks = counted(rest, "blocks"), counted(outside, "chunks")
+    units = ["component", "cls", "block", "chunk_cls", "chunk"]
+    columns = [*units, "doc_id", "grp", "asked", "n", "shingles"]
+    rest = rest.drop("blocks", "block")
+    index = rest.join(F.broadcast(blocks), ["component", "cls"]).withColumn("block", one("blocks", -1))
+    index = index.withColumn("chunk_cls", near("cls")).join(F.broadcast(chunks.withColumnRenamed("cls", "chunk_cls")), ["component", "chunk_cls"]).withColumn("chunk", all_of("chunks")).withColumn("asked", F.lit(False))
+    probes = outside.drop("blocks", "block").join(F.broadcast(chunks), ["component", "cls"]).withColumn("chunk", one("chunks", -2)).withColumnRenamed("cls", "chunk_cls")
+    probes = probes.withColumn("cls", near("chunk_cls")).join(F.broadcast(blocks), ["component", "cls"]).withColumn("block", all_of("blocks")).withColumn("asked", F.lit(True))
+    return searched(probes.select(*columns).unionByName(index.select(*columns)), units, rule)
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     facts = written(described(docs, rule), "jaccard-facts")
     own = facts.where("kind = 0")
-    edges = candidate_edges(docs, rule, _frequent(facts, 1), _frequent(facts, 2))
-    labels = written(connected_components(edges).select(F.col("node").alias("doc_id"), "component"), "jaccard-labels")
-    numbered = _blocked(labels, 0)
+    entries = prefix_entries(docs, rule, _frequent(facts, 1), _frequent(facts, 2))
+    labels = connected_components(tied_edges(beside_others(entries, rule), rule)).select(F.col("node").alias("doc_id"), "component")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096, 8):
             sets = shingle_sets(batch.column(1), rule.words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets])],
-                names=["doc_id", "component", "blocks", "block", "n", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets])], names=["doc_id", "component", "n", "shingles"])
 
     # The candidates grow with the documents: both sides are dealt by id at every size, never broadcast.
-    wanted = _docs(docs).join(numbered.hint("merge"), "doc_id").select("doc_id", "text", "component", "blocks", "block")
-    sets = written(wanted.mapInArrow(with_sets, "doc_id long, component long, blocks int, block int, n int, shingles binary").where("n > 0"), "jaccard-sets")
-    alone = sets.withColumn("grp", F.col("doc_id")).withColumn("asked", F.lit(True))
-    links = written(searched(alone, rule), "jaccard-links")
+    wanted = _docs(docs).join(labels.hint("merge"), "doc_id").select("doc_id", "text", "component")
+    sets = written(wanted.mapInArrow(released(with_sets), "doc_id long, component long, n int, shingles binary").where("n > 0"), "jaccard-sets")
+    block = ["component", "block"]
+    alone = _blocked(sets.withColumn("grp", F.col("doc_id")).withColumn("asked", F.lit(True)), 0)
+    links = written(searched(alone.where("blocks = 1"), block, rule), "jaccard-links")
 
     several = alone.where("blocks > 1")
-    salt, before = 1, several.count()
-    many = before > 0
-    while before:
-        leading = _grouped(several, links)
-        place = F.row_number().over(Window.partitionBy("component", "block", "grp").orderBy("doc_id"))
-        leading = written(_blocked(leading.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place"), salt), "jaccard-leaders")
-        links = written(links.unionByName(searched(leading, rule)), "jaccard-links")
-        several, salt, after = leading.where("blocks > 1"), salt + 1, leading.where("blocks > 1").count()
-        if after >= before:
-            break
-        before = after
-    if many:
-        rest = written(_grouped(alone.where("blocks > 1"), links), "jaccard-rest")
-        main = rest.groupBy("component", "grp").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"))
-        split = rest.join(main, "component")
-        probes = split.where("grp <> main").withColumn("asked", F.lit(True))
-        each = probes.withColumn("own", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asked", F.lit(True))
-        index = split.where("grp = main").withColumn("asked", F.lit(False))
-        links = written(links.unionByName(searched(each.select(*rest.columns).unionByName(index.select(*rest.columns)), rule)), "jaccard-links")
-
-    same = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"))
-    copies = own.where("n > 0 AND doc_id IS NOT NULL").join(same, ["n", "f1", "f2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    if not several.isEmpty():
+        again = connected_components(tied_edges(rarest_entries(written(several, "jaccard-several"), rule), rule)).select(F.col("node").alias("doc_id"), "component")
+        alone = written(_blocked(several.drop("component").join(again.hint("merge"), "doc_id"), 0), "jaccard-several")
+        links = written(links.unionByName(searched(alone, block, rule)), "jaccard-links")
+        several = alone.where("blocks > 1")
+        leading, before, salt = several, several.count(), 1
+        while before:
+            place = F.row_number().over(Window.partitionBy(*block, "grp").orderBy("doc_id"))
+            first = _grouped(leading, links).withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
+            leading = written(_blocked(first, salt), "jaccard-leaders")
+            links = written(links.unionByName(searched(leading, block, rule)), "jaccard-links")
+            leading, salt = leading.where("blocks > 1"), salt + 1
+            before, last = leading.count(), before
+            if before >= last:
+                break
+        if salt > 1:
+            links = written(links.unionByName(_finished(several, links, rule)), "jaccard-links")
+
+    known = own.where("n > 0 AND doc_id IS NOT NULL")
+    copies = with_group(known.select("doc_id", "n", "f1", "f2"), ["n", "f1", "f2"], F.min("doc_id").alias("b"), total=known.count()).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     final = connected_components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
     return own.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
