@@ -1,9 +1,9 @@
-"""Token ids of whole texts with the tokenizers library, each distinct word encoded once per worker."""
+"""Token ids of whole texts with the tokenizers library, each distinct word of a batch encoded once."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,108 +17,127 @@ _LOADED: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def encoder(path: str, byte_level: bool) -> "Encoder":
-    """The worker's encoder of a vocabulary file; its word cache outlives a task."""
+    """The worker's encoder of a vocabulary file. It holds the vocabulary and nothing of the texts."""
     if (path, byte_level) not in _LOADED:
         _LOADED[path, byte_level] = Encoder(path, byte_level)
     return _LOADED[path, byte_level]
 
 
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each start and length, one after the other."""
+    ends = np.cumsum(lens)
+    out = np.repeat((starts - ends + lens).astype(np.int32), lens)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
+    """Ids equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
     No token of either vocabulary family reaches from a non-space to the white space after it, so a text falls apart
-    before every single space or newline. Texts with runs of white space or unusual white space take one whole call.
-    Strings of special tokens inside a text are ordinary text. The cache is emptied when it holds `cap` words.
+    before every single space or newline. Texts with runs of white space, unusual white space or the string of a special
+    token, in any case of letters, take one whole call.
     """
 
-    def __init__(self, path: str, byte_level: bool, cap: int = 700_000) -> None:
+    def __init__(self, path: str, byte_level: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.byte_level, self.cap, self.words = byte_level, cap, {}
-        self.mark = self._whole("\n" if byte_level else "|")
-        self.tails = {c: self._whole(c) for c in ".,"}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _joined(self, keys: list[str], lead: str, size: int = 64) -> None:
-        """Encodes keys in few calls, told apart by a mark that none of them contains."""
-        strip = self.byte_level and not lead
-        sep = "\n" + lead if self.byte_level else " | "
-        groups = [keys[i : i + size] for i in range(0, len(keys), size)]
-        joined = [sep.lstrip(" ") + sep.join([k[1:] for k in g] if strip else g) for g in groups]
-        mark = np.frombuffer(self.mark, "<u4")[0]
-        for group, code in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.asarray(code.ids, "<u4")
-            cuts = np.flatnonzero(ids == mark) * 4
-            if len(cuts) != len(group):
-                for k in group:
-                    self.words[k] = self._whole(k[1:] if strip else lead + k if self.byte_level else k)
-                continue
-            raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids) * 4]
-            for k, a, b in zip(group, (cuts + 4).tolist(), ends, strict=True):
-                self.words[k] = raw[a:b]
-
-    def _learn(self, missing: Iterable[str]) -> None:
-        """Fills the cache for keys; a word's final full stop or comma is a token of its own after a letter."""
-        known, need, compose = self.words, set(), []
-        for key in missing:
-            base, tail = (key[:-1], key[-1]) if len(key) > 2 and key[-1] in ".," and key[-2] < "Ā" and key[-2].isalpha() else (key, "")
-            if self.byte_level:
-                lead, base = (base[0], "\r" + base[1:]) if base[:1] in ("\n", "\r") else ("", base)
+        self.byte_level = byte_level
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = "(?i)" + "|".join([UNSAFE[byte_level], *special])
+        self.mark = self.whole("\n" if byte_level else "|")[0]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _joined(self, words: pa.Array, lead: str, size: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and where each word's start and how many they are. Words go out many in a call, told apart by
+        a mark that none of them contains; a call that gives another number of marks is done again word by word."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first, between = ("\n" + lead, "\n" + lead) if self.byte_level else ("| ", " | ")
+        edges = np.append(np.arange(0, len(words), size), len(words))
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words)
+        calls = pc.binary_join_element_wise(pa.scalar(first, pa.large_string()), pc.binary_join(lists, pa.scalar(between, pa.large_string())), pa.scalar("", pa.large_string()))
+        ids, starts, lens, at = [], [], [], 0
+        for i, code in enumerate(self.tokenizer.encode_batch_fast(calls.to_pylist(), add_special_tokens=False)):
+            found = np.asarray(code.ids, "<u4")
+            cuts = np.flatnonzero(found == self.mark)
+            if len(cuts) != edges[i + 1] - edges[i]:
+                parts = [self.whole(lead + w if self.byte_level else w) for w in words.slice(edges[i], edges[i + 1] - edges[i]).to_pylist()]
+                found = np.concatenate(parts)
+                each = np.array([len(p) for p in parts], np.int64)
+                begin = np.cumsum(each) - each
             else:
-                lead, base = "", base.lower() if base.isascii() else base
-            if lead == "\n" or base != key:
-                compose.append((key, base, lead, tail))
-            if base not in known:
-                need.add(base)
+                begin = cuts + 1
+                each = np.append(cuts[1:], len(found)) - begin
+            ids.append(found)
+            starts.append(begin + at)
+            lens.append(each)
+            at += len(found)
+        return np.concatenate(ids), np.concatenate(starts), np.concatenate(lens)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for words as the splits below leave them."""
+        n = len(words)
         if self.byte_level:
-            self._joined([k for k in need if k[:1] != "\r"], " ")
-            self._joined([k for k in need if k[0] == "\r" and k != "\r"], "")
-            known["\r"] = b""
+            # After a newline, or at a text's start (marked by a return), a word has no space in front.
+            newline = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+            bare = newline | pc.starts_with(words, "\r").to_numpy(zero_copy_only=False)
+            groups = [(np.flatnonzero(~bare), " ", False), (np.flatnonzero(bare), "", True)]
         else:
-            known[""] = b""
-            self._joined([k for k in need if k and "|" not in k], " ")
-            for k in need:
-                if "|" in k:
-                    known[k] = self._whole(k)
-        for key, base, lead, tail in compose:
-            known[key] = (self.mark if lead == "\n" else b"") + known[base] + (self.tails[tail] if tail else b"")
+            piped = pc.match_substring(words, "|").to_numpy(zero_copy_only=False)
+            groups = [(np.flatnonzero(~piped), "", False)]
+        ids, starts, lens, at = [], np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for places, lead, cut in groups:
+            some = words.take(pa.array(places))
+            found, begin, each = self._joined(pc.utf8_slice_codeunits(some, 1) if cut else some, lead)
+            if cut and len(places):
+                # The newline itself is the mark just before the word's ids.
+                found, begin, each = self._with_newlines(found, begin, each, newline[places])
+            ids.append(found)
+            starts[places], lens[places] = begin + at, each
+            at += len(found)
+        if not self.byte_level:
+            for i in np.flatnonzero(piped):
+                found = self.whole(words[int(i)].as_py())
+                ids.append(found)
+                starts[i], lens[i] = at, len(found)
+                at += len(found)
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), starts, lens
+
+    def _with_newlines(self, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, newline: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = ids[_ranges(starts, lens)]
+        ends = np.cumsum(lens)
+        flat = np.insert(flat, (ends - lens)[newline], self.mark)
+        each = lens + newline
+        return flat, np.cumsum(each) - each, each
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts (null: empty), one after the other, and where each text's ids start and end."""
         text = pc.fill_null(column.cast(pa.large_string()), "")
         text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-        whole = np.flatnonzero(pc.match_substring_regex(text, UNSAFE[self.byte_level]).to_numpy(zero_copy_only=False))
+        whole = np.flatnonzero(pc.match_substring_regex(text, self.unsafe).to_numpy(zero_copy_only=False))
         if len(whole):
-            late = [self._whole(text[int(i)].as_py()) for i in whole]
+            late = [self.whole(text[int(i)].as_py()) for i in whole]
             text = pc.if_else(pa.array(np.isin(np.arange(len(text)), whole)), pa.scalar("", pa.large_string()), text)
         if self.byte_level:
             spaced = pc.replace_substring(text, "\n", " \n")
             cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), spaced, pa.scalar("", pa.large_string())), " ")
         else:
-            cut = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
+            # Letters are lowered by the vocabulary's normaliser too; done before, fewer words differ.
+            cut = pc.split_pattern(pc.replace_substring(pc.ascii_lower(text), "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
         bounds, codes = np.asarray(cut.offsets), np.asarray(words.indices)
-        keys = words.dictionary.to_pylist()
-        if len(self.words) > self.cap:
-            self.words.clear()
-        known = self.words
-        self._learn([k for k in keys if k not in known])
-        parts = [known[k] for k in keys]
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        starts = np.cumsum(lens) - lens
+        flat, starts, lens = self._words(words.dictionary)
         each = lens[codes]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(starts[codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.concatenate([[0], ends])[bounds]
+        ids = flat[_ranges(starts[codes], each)]
+        offsets = np.concatenate([[0], np.cumsum(each)])[bounds]
         if len(whole):
             pieces = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             for i, x in zip(whole, late, strict=True):
-                pieces[i] = np.frombuffer(x, "<u4")
+                pieces[i] = x
             ids, offsets = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         return ids, offsets

@@ -5,7 +5,8 @@ each stripe a narrower one. ORC stores the id lists as run-length encoded intege
 on doc_id lets a point lookup skip stripes. Files can be split at stripes, so reading is parallel within a file.
 
 Nulls, ties and repeats: a null text is an empty document; rows with a null id come first; rows of equal id follow each
-other, ordered by text; every row is one document. An empty table gives an empty file set. Other columns are not read.
+other, ordered by text; every row is one document, very long texts included. An empty table gives an empty file set.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import shared_path, slices
+from brindle.llm.common import released, shared_path, slices
 from brindle.llm.encoding import encoder
 
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens int, ids array<int>"
@@ -30,7 +31,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, coder = TaskContext.get().partitionId(), 0, encoder(vocabulary, byte_level)
-        for batch in slices(batches, 4096, 16):
+        for batch in slices(batches, 8192, 24):
             ids, bounds = coder.encode(batch.column(1))
             n = batch.num_rows
             out = np.insert(ids, bounds[1:], end_id).astype(np.int32)
@@ -45,7 +46,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(tokenised, FILE_SCHEMA)
+        ordered.mapInArrow(released(tokenised), FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "10000")
@@ -84,7 +85,7 @@ def token_positions(files: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return files.mapInArrow(summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(released(summed), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_orc(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
