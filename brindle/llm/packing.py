@@ -1,12 +1,14 @@
 """Packing along a space-filling curve: similar documents become neighbours in the training sequences.
 
 Each document's byte 4-grams are hashed into a vector, the vector is projected to a few dimensions, and the projected
-point's Hilbert index is the sort key. Rows are range-partitioned by (key, hash of the id), which also spreads a large
-group of copies over partitions, and each range is packed as one stream: a sequence ends after exactly `size` ids. What
-is left at the end of a range is cut into sequences of powers of two, which need no padding.
-
-Nulls, ties and repeats: a null text is an empty document, which is one end id; rows of equal key follow each other by
-a hash of id and text; every row is packed. An empty table gives no rows. Other columns are not read.
+point's Hilbert index is the sort key. Rows are dealt to ranges of the curve that hold about as many bytes each; a piece
+of the curve with more bytes than a range, such as a large group of copies, is spread over several by a hash of id and
+text. Each range is sorted by key and packed as one stream: a sequence ends after exactly `size` ids. What is left at
+the end of a range is cut into sequences of powers of two, which need no padding.
+
+Nulls, ties and repeats: a null text is an empty document, which is one end id; a null id keeps its pieces; rows of equal
+key follow each other by a hash of id and text; every row is packed. Very long texts are cut over as many sequences as
+they need. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, text_bytes
+from brindle.llm.common import released, slices, text_bytes, written
 from brindle.llm.encoding import encoder
 
+#: Bits of a curve key, its leading bits by which bytes are summed, the bytes of a range, and the most ranges.
+KEY, LEAD, RANGE, RANGES = 40, 18, 16 << 20, 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -75,7 +79,24 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 4096, 16):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve_keys(text_bytes(batch.column(1))))], names=["doc_id", "text", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(keyed, "doc_id long, text string, key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(keyed), "doc_id long, text string, key long")
+
+
+def in_curve_ranges(keyed: DataFrame) -> DataFrame:
+    """`doc_id, text, key` in partitions that are ranges of the curve of about equal bytes, each sorted by key.
+
+    Bytes are summed by the key's leading bits, at most 2**LEAD rows, which fix where each piece of the curve begins in the
+    sum of all bytes and so its range.
+    """
+    rows = written(keyed.withColumn("tie", F.xxhash64("doc_id", "text")).withColumn("lead", F.shiftright("key", KEY - LEAD)), "packing-keys")
+    sums = written(rows.groupBy("lead").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("bytes")), "packing-bytes")
+    total = sums.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    ranges = max(1, min(RANGES, -(-total // RANGE)))
+    first = F.sum("bytes").over(Window.orderBy("lead")) - F.col("bytes")
+    spread = F.shiftrightunsigned("tie", 11) / float(1 << 53)
+    place = F.floor((F.col("first") + F.col("bytes") * spread) * ranges / F.lit(max(total, 1)))
+    dealt = rows.join(F.broadcast(sums.select("lead", "bytes", first.alias("first"))), "lead").withColumn("range", F.least(place, F.lit(ranges - 1)).cast("int"))
+    return dealt.repartitionById(ranges, "range").sortWithinPartitions("key", "tie")
 
 
 class _Stream:
@@ -127,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, by
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, coder, end = _Stream(TaskContext.get().partitionId(), size), encoder(vocabulary, byte_level), np.uint32(end_id).tobytes()
-        for batch in slices(batches, 4096, 16):
+        for batch in slices(batches, 8192, 24):
             ids, bounds = coder.encode(batch.column(1))
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 stream.add(doc, ids[a:b].tobytes() + end)
@@ -135,6 +156,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int = 2048, by
         stream.end()
         yield stream.take()
 
-    tie = F.xxhash64("doc_id", "text")
-    ordered = with_curve_key(docs).withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
-    return ordered.select("doc_id", "text").mapInArrow(packed, PIECES)
+    return in_curve_ranges(with_curve_key(docs)).select("doc_id", "text").mapInArrow(released(packed), PIECES)
