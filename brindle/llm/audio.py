@@ -4,10 +4,12 @@
 files: a polyphase FIR resampler by UP/DOWN, overlapped Hann frames, log-mel filterbanks, and segments by hysteresis on
 frame energy (a segment starts at the high threshold and lasts until energy falls below the low one). Log-mel windows of
 one fixed shape (FRAMES x MELS, the last padded with the floor) form an Arrow fixed-shape tensor column with the time
-span of each window, kept as an Arrow IPC stream in a binary column.
+span of each window, kept as an Arrow IPC stream in a binary column. Media are a written table in the shared folder;
+features come from what is read back of it.
 
 Nulls, ties and repeats: a null text is empty and gives 64 zero bytes; equal texts give equal values; every row has a
-result. Other columns are not read.
+result, a null id too. Very long texts are processed whole, their frames in blocks. An empty table gives no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, text_bytes
+from brindle.llm.common import released, slices, text_bytes, written
 
 RATE, UP, DOWN, TAPS = 8000, 2, 5, 8
 FRAME, HOP, MELS, FRAMES = 256, 128, 24, 8
@@ -138,7 +140,7 @@ def encode(docs: DataFrame) -> DataFrame:
             raw = text_bytes(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array([to_media(payload(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(stored), "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, segments array<struct<start_s:double,end_s:double>>, tensor binary"
@@ -160,10 +162,10 @@ def features(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), spans, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[c.split()[0] for c in FEATURES.replace(":double,", "").split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(released(read), FEATURES)
 
 
 def op4_audio(docs: DataFrame) -> DataFrame:
-    """The contract's digests; feature is frames, segments and a checksum of the tensor stream."""
+    """The contract's digests, then the segments and the tensor stream; feature is frames, segments and a checksum of that stream."""
     digest = F.concat_ws(":", F.col("frames").cast("string"), F.size("segments").cast("string"), F.hex(F.crc32("tensor")))
-    return features(encode(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"))
+    return features(written(encode(docs), "audio-media")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest.alias("feature"), "segments", "tensor")
