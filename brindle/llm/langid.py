@@ -9,8 +9,9 @@ Profiles are fitted on a sample bounded by `per_language` expected documents of
 id; prediction reads whole texts and nothing but the text.
 
 Nulls, ties and repeats: a null text or one without a letter is `und` with score 0; so is every document if no row has a
-label. Rows with a null id or label are not learned from. n-grams of equal count rank by a fixed hash. Every row is
-predicted. Other columns are not read.
+label, or the table is empty. Rows with a null id or label are not learned from. n-grams of equal count rank by a fixed
+hash. Every row is predicted, from its whole text. Other columns are not read. The driver holds one row a language, and
+KEPT n-grams of each: labels are languages, not free text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, texts
+from brindle.llm.common import released, slices, texts
 
 LONGEST, KEPT, UNKNOWN = 3, 300, "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,7 +64,7 @@ def fit_profiles(labelled: DataFrame, per_language: int = 1500) -> dict[str, lis
                 out += [(lang, g, n) for g, n in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
 
-    ranked = drawn.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ranked = drawn.mapInArrow(released(counted), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     rows = ranked.withColumn("place", place).where(F.col("place") <= KEPT).collect()
     profiles: dict[str, list[str]] = {}
@@ -75,7 +76,7 @@ def fit_profiles(labelled: DataFrame, per_language: int = 1500) -> dict[str, lis
 class Ranker:
     """Distances of documents to profiles. Words' n-grams are numbered once per worker task."""
 
-    def __init__(self, profiles: dict[str, list[str]], cap: int = 300_000) -> None:
+    def __init__(self, profiles: dict[str, list[str]], cap: int = 150_000) -> None:
         self.names = sorted(profiles)
         self.number: dict[str, int] = {}
         self.words: dict[str, np.ndarray] = {}
@@ -130,7 +131,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
             found = [model.predict(t) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(predicted), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, profiles: dict[str, list[str]], least: float) -> DataFrame:
@@ -142,7 +143,7 @@ def accepted(docs: DataFrame, profiles: dict[str, list[str]], least: float) -> D
             found = [model.predict(t) for t in texts(batch.column(batch.schema.get_field_index("text")))]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(released(kept), docs.schema)
 
 
 def op1_langid(docs: DataFrame) -> DataFrame:

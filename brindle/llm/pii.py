@@ -11,8 +11,9 @@ token needs no messages.
 
 Potentials are fitted in closed form (piecewise) to the base labels of a sample of at most `sample` expected documents.
 
-Nulls, ties and repeats: a null text has no spans; spans are sorted by kind, then start; every row has a result. Other
-columns are not read (redaction passes them through).
+Nulls, ties and repeats: a null text has no spans and stays null; a null id keeps its row; spans are sorted by kind, then
+start; every row has a result, of its whole text. An empty table gives no rows. Other columns are not read (redaction
+passes them through).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices, texts
+from brindle.llm.common import released, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SURE, ROUNDS, DAMP, SHAPE_CAP, CERTAIN = 0.8, 12, 0.3, -1.0, 8.0
@@ -220,7 +221,7 @@ def fit_field(docs: DataFrame, sample: int = 5000) -> Field:
             rows = [(*k, n) for k, n in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["what", "a", "b", "n"])
 
-    sums = drawn.mapInArrow(counted, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    sums = drawn.mapInArrow(released(counted), "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     return Field({(r["what"], r["a"], r["b"]): r["n"] for r in sums})
 
 
@@ -241,7 +242,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        released(found), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -269,7 +270,7 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in new]).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(cleaned, docs.schema)
+    return docs.mapInArrow(released(cleaned), docs.schema)
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:

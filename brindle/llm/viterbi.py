@@ -9,7 +9,8 @@ count as one piece.
 Spaces become the meta symbol and one is put in front. Where no piece has the meta symbol after another character, the
 text falls apart before each meta symbol that follows another character, so distinct words are counted once per worker.
 
-Nulls, ties and repeats: null and empty texts have 0 tokens and score 0; every row is counted. Other columns are not read.
+Nulls, ties and repeats: null and empty texts have 0 tokens and score 0; every row is counted, a null id too, and very
+long texts whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import slices
+from brindle.llm.common import released, slices
 
 META = "▁"
 UNKNOWN = 10.0
@@ -43,7 +44,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], cap: int = 700_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], cap: int = 300_000) -> None:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -131,4 +132,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             n, score = model.totals(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(score)], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(counted, "doc_id long, n_tokens long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(counted), "doc_id long, n_tokens long, score double")
