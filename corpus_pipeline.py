@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+Nulls, ties and repeats, by stage: a document with a null text, or without a letter, goes in the first stage; documents
+with a null id stay and link with nothing; of rows with equal ids all stay or go together; a null source is a source of
+its own. Very long texts go through whole. Extra columns, whatever their names, are carried to the mixing stage's
+output. An empty table gives no rows, with the columns of the last stage.
+"""
 
 from __future__ import annotations
 
@@ -44,8 +50,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", known_language), ("ngram_join", one_of_each), ("pii", without_pii), ("mixing", mixed), ("packing", packed)]
-#: Loopy message passing, components and tokenizers have no SQL. Tests check the stages one by one; none holds run() against a
-#: brute-force version, so rows that mixing or packing drops would not show.
+#: Loopy message passing, components and tokenizers have no SQL; a test holds run() against a plain Python version of all
+#: five stages: which documents stay, how their texts change, how often they are taken, and each token id's place.
 ORACLE_SQL = None
 
 
