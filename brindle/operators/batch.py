@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import scratch
+
+
+def in_ranges(df: DataFrame, order: list[str], part: str = "_rid_part", at: str = "_rid_at") -> DataFrame:
+    """df sorted in ranges: `part` numbers a row's range in the given order, `at` its place there.
+
+    The placed rows are written once and read back. Both numbers come from that one run: planned again, a range
+    partitioning may sample other bounds and coalesce other ranges, and rows would change their range.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path = scratch(df.sparkSession, "ranges")
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def range_bases(ranges: DataFrame, total: Column, base: str = "_rid_base", part: str = "_rid_part") -> DataFrame:
+    """Per range the sum of `total` over the ranges before it. One row per range, so it may be broadcast."""
+    sums = ranges.groupBy(part).agg(total.alias("_rid_n"))
+    before = F.sum("_rid_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(sums.select(part, F.coalesce(before, F.lit(0)).alias(base)))
+
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Dense ids from 0 in the given order: ranges are sorted in parallel, and only one count per range goes to the driver."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rid_part", F.spark_partition_id())
-    within = placed.withColumn("_rid_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = within.groupBy("_rid_part").agg(F.count("*").alias("_rid_n"))
-    before = sizes.withColumn("_rid_base", F.coalesce(F.sum("_rid_n").over(Window.orderBy("_rid_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(before.select("_rid_part", "_rid_base"), "_rid_part").withColumn(name, F.col("_rid_base") + F.col("_rid_at")).drop("_rid_part", "_rid_at", "_rid_base")
+    """Dense ids from 0 in the given order: ranges are sorted in parallel, and only one count per range meets in a task.
+
+    Rows of equal keys share a range; an order that ends in a unique key deals evenly and does not change from run to run.
+    """
+    placed = in_ranges(df, order)
+    return placed.join(range_bases(placed, F.count("*")), "_rid_part").withColumn(name, F.col("_rid_base") + F.col("_rid_at")).drop("_rid_part", "_rid_at", "_rid_base")
 
 
 def take_slice(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vec
+from brindle.operators.batch import in_ranges, range_bases
 
 
 def real(codes: Column) -> Column:
@@ -44,16 +45,13 @@ def overall(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Exact ROC-AUC with average ranks for ties: 0.5 for a single class, 0.0 without rows.
 
-    Rows are first summed to one per distinct score. Scores are cut into ranges by an approximate quantile table of
-    fixed size, so the running rank is a sum inside each range plus one number per range: no step sees all scores in one
-    task.
+    Rows are first summed to one per distinct score. Scores are sorted in ranges that are written once, so the running
+    rank is a sum inside each range plus one number per range: no step sees all scores in one task.
     """
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(label) > 0).cast("long")).alias("p"), F.count("*").alias("n"))
-    ranged = per.repartitionByRange("s").sortWithinPartitions("s").withColumn("_part", F.spark_partition_id())
-    sums = ranged.groupBy("_part").agg(F.sum("n").alias("_n"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ranged.join(base.select("_part", "_base"), "_part").withColumn("rank", F.col("_base") + before + (F.col("n") + 1) / 2)
+    ranged = in_ranges(per, ["s"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_rid_part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = ranged.join(range_bases(ranged, F.sum("n")), "_rid_part").withColumn("rank", F.col("_rid_base") + before + (F.col("n") + 1) / 2)
     one = ranks.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.coalesce(F.sum("p"), F.lit(0)).alias("np"), F.coalesce(F.sum(F.col("n") - F.col("p")), F.lit(0)).alias("nn"))
     value = (F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))
     return one.select(F.when(F.col("np") + F.col("nn") == 0, F.lit(0.0)).when((F.col("np") == 0) | (F.col("nn") == 0), F.lit(0.5)).otherwise(value).alias("auc"))

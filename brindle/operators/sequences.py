@@ -159,22 +159,15 @@ def math_score(texts: pd.Series, truths: pd.Series) -> pd.Series:
     return pd.Series([float(t is not None and (x := boxed(t)) is not None and math_equal(x, y)) for t, y in zip(texts, truths, strict=True)])
 
 
-@F.pandas_udf(DoubleType())
-def point_score(texts: pd.Series, truths: pd.Series) -> pd.Series:
+def point_score(text: Column, box: Column) -> Column:
     """Pointing answers: JSON list of [x, y] inside the box 'x1,y1,x2,y2'. 1 / sqrt(place * points) for the first inside, 0 for none, -1 if
     the list does not parse or has three or more points on one line."""
-
-    def one(t: str, box: str) -> float:
-        try:
-            points = [(float(x), float(y)) for x, y in json.loads(t)]
-            x1, y1, x2, y2 = map(float, box.split(","))
-        except (TypeError, ValueError):
-            return -1.0
-        if len(points) > 2 and all((points[1][0] - points[0][0]) * (p[1] - points[0][1]) == (points[1][1] - points[0][1]) * (p[0] - points[0][0]) for p in points[2:]):
-            return -1.0
-        for place, (x, y) in enumerate(points, 1):
-            if x1 <= x <= x2 and y1 <= y <= y2:
-                return 1 / (place * len(points)) ** 0.5
-        return 0.0
-
-    return pd.Series([one(t, b) for t, b in zip(texts, truths, strict=True)])
+    points = F.from_json(text, "array<array<double>>")
+    corner = F.transform(F.split(box, ","), lambda x: F.trim(x).try_cast("double"))
+    whole = lambda a, n: F.size(a).eqNullSafe(F.lit(n)) & F.coalesce(F.forall(a, lambda x: x.isNotNull()), F.lit(False))
+    valid = whole(corner, 4) & F.coalesce(F.forall(points, lambda p: whole(p, 2)), F.lit(False))
+    first, second = F.get(points, 0), F.get(points, 1)
+    on_line = lambda p: (second[0] - first[0]) * (p[1] - first[1]) == (second[1] - first[1]) * (p[0] - first[0])
+    line = (F.size(points) > 2) & F.forall(points, on_line)
+    place = F.array_position(F.transform(points, lambda p: p[0].between(corner[0], corner[2]) & p[1].between(corner[1], corner[3])), F.lit(True))
+    return F.when(~valid | line, F.lit(-1.0)).when(place > 0, 1 / F.sqrt(place * F.size(points))).otherwise(F.lit(0.0))

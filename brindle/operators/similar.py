@@ -6,10 +6,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.batch import with_row_id
+from brindle.session import scratch
+
+
+def overlaps(tokens: DataFrame, queries: DataFrame, pool: int = 1000, other: bool = True, block: int = 4096) -> DataFrame:
+    """query, candidate, overlap, nq, nc: for a stated query set, the `pool` users of all with the largest token overlap.
+
+    tokens and queries have (uid, token), repeats allowed. Each user's distinct tokens become one row, once. Queries go out
+    one block of at most `block` users at a time, as inverted lists; a task counts the overlaps of its users with the block
+    and keeps `pool` a query, however hot a token is: the pairs of a token are never rows. Ties go to the smaller id.
+    """
+    spark = tokens.sparkSession
+    listed = lambda df: df.select(F.col("uid").cast("long").alias("uid"), F.col("token").cast("string").alias("token")).where("token IS NOT NULL").groupBy("uid").agg(F.collect_set("token").alias("tokens"))
+    path, schema = scratch(spark, "overlaps"), "query long, candidate long, overlap long, nq int, nc int"
+    for name, df in (("users", tokens), ("queries", queries)):
+        listed(df).write.parquet(f"{path}/{name}")
+    users = spark.read.parquet(f"{path}/users")
+    numbered = with_row_id(spark.read.parquet(f"{path}/queries"), ["uid"])
+    for at in range(0, max(1, numbered.count()), block):
+        held = numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).select("uid", "tokens").collect()
+        met = users.mapInArrow(_overlapping([r["uid"] for r in held], [r["tokens"] for r in held], pool, other), schema)
+        met.write.parquet(f"{path}/met/block={at // block}")
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("overlap").desc(), "candidate"))
+    every = spark.read.schema(schema).parquet(f"{path}/met").select("query", "candidate", "overlap", "nq", "nc")
+    return every.withColumn("_p", first).where(F.col("_p") <= pool).drop("_p")
+
+
+def _overlapping(ids: list[int], tokens: list[list[str]], pool: int, other: bool, most: int = 1 << 20):
+    """The `pool` largest overlaps of each query among a task's users. A step expands about `most` list entries and four times as many pairs at most."""
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    flat = pa.array([x for y in tokens for x in y], pa.string()).dictionary_encode()
+    names, codes = flat.dictionary, np.asarray(flat.indices)
+    order = np.argsort(codes, kind="stable")
+    owner = np.repeat(np.arange(len(ids)), sizes)[order]
+    counts = np.bincount(codes, minlength=len(names)).astype(np.int64)
+    starts, ids = np.cumsum(counts) - counts, np.array(ids, np.int64)
+
+    def pruned(rows: list[np.ndarray]) -> list[np.ndarray]:
+        q, c, o, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        by = np.lexsort((c, -o, q))
+        q, c, o, n = q[by], c[by], o[by], n[by]
+        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+        place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, np.int64)
+        keep = place < pool
+        return [q[keep], c[keep], o[keep], n[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
+        rows: list[list[np.ndarray]] = []
+        held = 0
+        few = max(1, 4 * most // len(ids))
+        parts = (b.slice(i, few).take(pa.array(range(min(few, b.num_rows - i)), pa.int32())) for b in batches for i in range(0, b.num_rows, few))
+        for batch in parts:
+            users, lists = np.asarray(batch.column(0)), batch.column(1)
+            length = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy()
+            of = np.repeat(np.arange(len(users)), length)[code >= 0]
+            code = code[code >= 0]
+            steps = np.cumsum(counts[code]) // most
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for part in np.split(np.arange(len(code)), np.flatnonzero(np.diff(steps)) + 1 if len(code) else []):
+                if not len(part):
+                    continue
+                n = counts[code[part]]
+                ends = np.cumsum(n)
+                hits = owner[np.repeat(starts[code[part]] - ends + n, n) + np.arange(ends[-1])]
+                found.append(np.unique(np.repeat(of[part], n) * len(ids) + hits, return_counts=True))
+            if not found:
+                continue
+            # A user whose tokens fall into two steps has two counts with a query: they are added up.
+            pair, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64)
+            query, user = pair % len(ids), pair // len(ids)
+            keep = ids[query] != users[user] if other else np.ones(len(pair), bool)
+            rows.append([query[keep], users[user][keep], times[keep], length[user][keep]])
+            held += int(keep.sum())
+            if held > 2 * most:
+                rows = [pruned(rows)]
+                held = len(rows[0][0])
+        if rows:
+            q, c, o, n = pruned(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q]), pa.array(c), pa.array(o.astype(np.int64)), pa.array(sizes[q].astype(np.int32)), pa.array(n.astype(np.int32))], names=["query", "candidate", "overlap", "nq", "nc"]
+            )
+
+    return run
 
 
 def similar_users(
@@ -17,21 +104,11 @@ def similar_users(
 ) -> DataFrame:
     """query, candidate, overlap, score, place: Jaccard top-k over the `pool` candidates with the largest overlap.
 
-    tokens and queries have (uid, token), repeats allowed. One operator covers every retrieval variant: the token
-    function and history length are the caller's, the guards are parameters. Ties: score, overlap, then the smaller id.
-    Posting lists stay rows: hot tokens are split by the adaptive skew join, counts are combined before the shuffle.
+    One operator covers every retrieval variant: the token function and history length are the caller's, the guards are
+    parameters. Ties: score, overlap, then the smaller id.
     """
-    t, q = tokens.select("uid", "token").distinct(), queries.select("uid", "token").distinct()
-    sizes_t, sizes_q = (x.groupBy("uid").agg(F.count("*").alias("n")) for x in (t, q))
-    met = q.select(F.col("uid").alias("query"), "token").join(t.select(F.col("uid").alias("candidate"), "token"), "token")
-    if other:
-        met = met.where("query <> candidate")
-    counted = met.groupBy("query", "candidate").agg(F.count("*").alias("overlap"))
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("overlap").desc(), "candidate"))
-    pooled = counted.withColumn("_p", first).where(F.col("_p") <= pool).drop("_p")
     scored = (
-        pooled.join(sizes_q.select(F.col("uid").alias("query"), F.col("n").alias("nq")), "query")
-        .join(sizes_t.select(F.col("uid").alias("candidate"), F.col("n").alias("nc")), "candidate")
+        overlaps(tokens, queries, pool, other)
         .withColumn("score", F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")))
         .withColumn("recall", F.col("overlap") / F.col("nq"))
         .where(F.col("score") >= min_score)
@@ -59,22 +136,26 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: st
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, block: int = 2048) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, block: int = 8192) -> DataFrame:
     """query, candidate, score, place: exact dense top-k by dot product of a stated query set against all other rows.
 
-    Queries go out in blocks of at most `block` rows, whose size is thereby bounded; each task multiplies its vectors
-    with a block and keeps k candidates a query, so what is shuffled is k rows per query and task and never the pairs.
+    Queries go out one block at a time, of at most `block` rows, which bounds what the driver and a task hold. Each task
+    multiplies its vectors with the block and keeps k candidates a query; a block's candidates are written before the
+    next one starts, so what is shuffled in the end is k rows per query and task and never the pairs.
     Ties: the score rounded to six digits, then the smaller id.
     """
+    spark = vectors.sparkSession
+    path = scratch(spark, "nearest")
+    schema = "query long, candidate long, score double"
     numbered = with_row_id(queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")), ["q"])
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    found = None
     for at in range(0, max(1, numbered.count()), block):
         held = numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).select("q", "v").collect()
-        part = rows.mapInArrow(_nearest(np.array([r["q"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64), k), "query long, candidate long, score double")
-        found = part if found is None else found.unionByName(part)
+        found = rows.mapInArrow(_nearest(np.array([r["q"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64), k), schema)
+        found.write.parquet(f"{path}/block={at // block}")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "candidate"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    every = spark.read.schema(schema).parquet(path).select("query", "candidate", "score")
+    return every.withColumn("place", place).where(F.col("place") <= k)
 
 
 def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
@@ -85,8 +166,8 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
             return
         best, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
                 c = np.asarray(part.column(0))
                 scores = matrix @ np.asarray(part.column(1).flatten(), np.float64).reshape(len(c), -1).T
                 scores[ids[:, None] == c] = -np.inf
@@ -97,11 +178,3 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(who[real]), pa.array(best[real])], names=["query", "candidate", "score"])
 
     return run
-
-
-def slot_filled(text: Column, slots: dict[str, Column], limits: dict[str, int]) -> Column:
-    """Each '{name}' in a template replaced by its codes, cut to the name's limit."""
-    out = text
-    for name, codes in slots.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.array_join(F.slice(codes, 1, limits[name]), ""))
-    return out

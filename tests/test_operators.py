@@ -33,6 +33,46 @@ def test_row_ids_are_dense(spark):
     assert sorted((r["row_id"], r["id"]) for r in rows) == [(i, i) for i in range(1000)]
 
 
+@pytest.fixture
+def planned(spark):
+    """Sets the number of shuffle partitions and adaptive execution for one test."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    yield lambda *values: [spark.conf.set(k, v) for k, v in zip(keys, values, strict=True)]
+    for k, v in zip(keys, before, strict=True):
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("partitions", "adaptive"), [("8", "true"), ("64", "false"), ("200", "true")])
+def test_row_ids_of_many_wide_rows(spark, planned, partitions, adaptive):
+    planned(partitions, adaptive)
+    n = 500_000
+    wide = spark.range(n).withColumn("h", F.xxhash64("id")).withColumn("pad", F.sha2(F.col("id").cast("string").cast("binary"), 512)).withColumn("more", F.concat("pad", "pad"))
+    out = B.with_row_id(wide, ["h", "id"])
+    row = out.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("d"), F.count_distinct("id").alias("ids"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+    assert tuple(row) == (n, n, n, 0, n - 1)
+    # The order holds: neighbours by row_id rise in h.
+    pairs = out.select("row_id", "h").join(out.select((F.col("row_id") + 1).alias("row_id"), F.col("h").alias("before")), "row_id")
+    assert pairs.where("before >= h").count() == 0
+    per = R.shards(wide.select("id", "pad"), 1000, ["id"]).groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    assert per.count() == 500 and per.where("n <> 1000 OR lo <> shard * 1000 OR hi <> shard * 1000 + 999").count() == 0
+
+
+@pytest.mark.parametrize(("partitions", "adaptive"), [("8", "true"), ("64", "false"), ("200", "true")])
+def test_auc_of_many_scores(spark, planned, partitions, adaptive):
+    planned(partitions, adaptive)
+    n = 400_000
+    rng = np.random.RandomState(5)
+    scores, labels = rng.randint(0, 300_000, n) / 7.0, rng.randint(0, 2, n)
+    import pandas as pd
+
+    ranks = pd.Series(scores).rank().to_numpy()
+    pos = int(labels.sum())
+    exact = (ranks[labels == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos))
+    df = spark.createDataFrame(pd.DataFrame({"y": labels, "s": scores})).repartition(16)
+    assert M.auc(df, "y", "s").first()["auc"] == pytest.approx(exact, abs=1e-9)
+
+
 def test_batch_algebra(spark):
     df = B.with_row_id(spark.range(10), ["id"])
     ids = lambda x: [r["id"] for r in x.orderBy("row_id").collect()]
@@ -176,3 +216,32 @@ def test_json_and_points(spark):
     assert [r["x"] for r in df.select(Q.json_plain("t").alias("x")).collect()] == ['{"a":"é"}', "{bad \\u00e9", "plain", None]
     pts = spark.createDataFrame([("[[1,1]]", "0,0,2,2"), ("[[9,9],[1,1]]", "0,0,2,2"), ("x", "0,0,1,1"), ("[[0,0],[1,1],[2,2]]", "0,0,1,1")], "p string, b string")
     assert [round(r["s"], 3) for r in pts.select(Q.point_score("p", "b").alias("s")).collect()] == [1.0, 0.5, -1.0, -1.0]
+
+
+def test_overlaps_of_hot_tokens(spark):
+    """Every user has one token in common; steps and pruning are small, so that users and queries span several."""
+    from collections import Counter, defaultdict
+
+    rng = random.Random(6)
+    rows = [(u, "all") for u in range(300)] + [(u, f"t{rng.randint(0, 25)}") for u in range(300) for _ in range(rng.randint(0, 12))] + [(7, None)]
+    own = defaultdict(set)
+    for u, x in rows:
+        if x is not None:
+            own[u].add(x)
+    df = spark.createDataFrame(rows, "uid int, token string").repartition(5)
+    out = defaultdict(list)
+    for r in U.overlaps(df, df.where("uid % 10 = 0"), pool=20, block=7).collect():
+        assert (r["nq"], r["nc"]) == (len(own[r["query"]]), len(own[r["candidate"]]))
+        out[r["query"]].append((-r["overlap"], r["candidate"]))
+    for q in range(0, 300, 10):
+        want = sorted((-len(own[q] & own[c]), c) for c in own if c != q)[:20]
+        assert sorted(out[q]) == want
+    import pyarrow as pa
+
+    users = sorted(own)
+    batches = [pa.RecordBatch.from_arrays([pa.array(users[i : i + 50]), pa.array([sorted(own[u]) for u in users[i : i + 50]])], names=["uid", "tokens"]) for i in range(0, 300, 50)]
+    for most in (3, 40, 10**6):
+        found = Counter()
+        for b in U._overlapping([3, 5], [sorted(own[3]), sorted(own[5])], 30, True, most)(iter(batches)):
+            found.update({(q, c): o for q, c, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)})
+        assert found == Counter({(q, c): -o for q in (3, 5) for o, c in sorted((-len(own[q] & own[c]), c) for c in own if c != q)[:30]})
