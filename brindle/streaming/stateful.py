@@ -9,13 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.session import scratch
+
 
 def sample_key(*parts: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(p).cast("string") for p in parts]).cast("binary"))
 
 
-def exactly_once(stream: DataFrame, *keys: str) -> DataFrame:
-    """Each (file, epoch, index) once, also over restarts with the same checkpoint."""
+def exactly_once(stream: DataFrame, *keys: str, time: str | None = None, late: str | None = None) -> DataFrame:
+    """Each (file, epoch, index) once, also over restarts with the same checkpoint.
+
+    With `time` and `late`, keys older than the watermark leave the state, so it is bounded by the rows of that span;
+    without them every key is remembered, which only a finite replay should do.
+    """
+    if time and late:
+        return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
     return stream.dropDuplicates(list(keys))
 
 
@@ -89,6 +97,13 @@ def staleness_after_sync(in_flight: int, queued: int) -> int:
     return in_flight + queued
 
 
+def requeued(df: DataFrame, cancelled: Column, order: str) -> DataFrame:
+    """`place` in the next round: samples whose rollout was cancelled go first, all in their order."""
+    from brindle.operators.batch import with_row_id
+
+    return with_row_id(df.withColumn("_later", F.when(cancelled, 0).otherwise(1)), ["_later", order], "place").drop("_later")
+
+
 def step_rollup(df: DataFrame, step: str, every: int, name: str, value: str) -> DataFrame:
     """Tumbling windows of `every` steps; works on streams in complete or update mode."""
     return df.groupBy(F.floor(F.col(step) / every).alias("block"), name).agg(F.sum(value).alias("sum"), F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"), F.count("*").alias("n"))
@@ -119,8 +134,23 @@ def sessions(df: DataFrame, time: str, gap: str, *by: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that is available now, as a table: for finite replays and tests."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything that is available now, as a table: for finite replays and tests.
+
+    Rows go to Parquet in the shared folder and never to the driver. A micro-batch has a folder of its own that a repeat
+    overwrites; in complete mode the last one is the table.
+    """
+    path = scratch(stream.sparkSession, name)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.exception():
+        raise query.exception()
+    if query.lastProgress is None:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, batch long").parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return rows.select(*stream.columns)
