@@ -31,7 +31,7 @@ def _(t):
     return io.union_by_name(*frames).agg(F.count("*").alias("n"))
 
 
-@query("src_fragments", "SELECT 100 AS n, 64 AS width")
+@query("src_fragments", "SELECT least(count(*), 100) AS n, CAST(max(len(embedding)) AS INT) AS width FROM embeddings")
 def _(t):
     return io.read_column(t.spark, f"{t.sf_dir}/embeddings.parquet", "embedding", 100).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"))
 
@@ -88,12 +88,6 @@ def _(t):
     return B.take_slice(rows(t), 10, 5000, 7)
 
 
-@query("dp_select_idxs", f"WITH {ROWS} SELECT r AS row_id, k FROM b JOIN (SELECT r, (r * 31) % 1000 AS row_id FROM range(2000) t(r)) USING (row_id)")
-def _(t):
-    ids = t.spark.range(2000).select(F.col("id").alias("new_id"), ((F.col("id") * 31) % 1000).alias("row_id"))
-    return B.take_ids(rows(t), ids)
-
-
 @query("dp_select", "SELECT o_orderkey AS key, o_orderstatus FROM orders")
 def _(t):
     return t.orders.select("o_orderkey", "o_orderstatus", "o_clerk" if "o_clerk" in t.orders.columns else "o_custkey").drop("o_clerk", "o_custkey").withColumnsRenamed({"o_orderkey": "key"})
@@ -105,32 +99,6 @@ def _(t):
     return B.union_columns(r, r.withColumn("double", F.col("k") * 2))
 
 
-@query("dp_concat", f"WITH {ROWS} SELECT row_id + 100 * r AS row_id, k FROM b, range(2) t(r) WHERE row_id < 100")
-def _(t):
-    a = rows(t).where("row_id < 100")
-    return B.concat((a, 100), (a, 100))
-
-
-@query("dp_chunk", f"WITH {ROWS} SELECT row_id // 50 AS chunk, row_id // 64 AS piece, count(*) AS n FROM b WHERE row_id < 1000 GROUP BY ALL")
-def _(t):
-    return rows(t).where("row_id < 1000").groupBy(B.chunk_id(1000, 20).alias("chunk"), B.split_id(64).alias("piece")).agg(F.count("*").alias("n"))
-
-
-@query("dp_reorder", f"WITH {ROWS} SELECT 999 - row_id AS row_id, k FROM b WHERE row_id < 1000")
-def _(t):
-    return B.take_ids(rows(t), t.spark.range(1000).select((999 - F.col("id")).alias("new_id"), F.col("id").alias("row_id")))
-
-
-@query("dp_repeat", f"WITH {ROWS}, a AS (SELECT * FROM b WHERE row_id < 100) SELECT row_id * 3 + r AS row_id, k FROM a, range(3) t(r)")
-def _(t):
-    return B.repeat(rows(t).where("row_id < 100"), 3)
-
-
-@query("dp_tile", f"WITH {ROWS}, a AS (SELECT * FROM b WHERE row_id < 100) SELECT r * 100 + row_id AS row_id, k FROM a, range(3) t(r)")
-def _(t):
-    return B.repeat(rows(t).where("row_id < 100"), 3, interleave=False, rows=100)
-
-
 @query("dp_sample_repeat", f"WITH {ROWS} SELECT row_id, k, r AS rep FROM b, range(3) t(r) WHERE r < row_id % 4")
 def _(t):
     return B.repeat_each(rows(t), F.col("row_id") % 4)
@@ -146,30 +114,6 @@ def _(t):
     return B.unfold(B.fold(rows(t), 4, "k"), 4, "k")
 
 
-@query("dp_pad", f"WITH {ROWS}, a AS (SELECT * FROM b WHERE row_id < 10) SELECT row_id, k FROM a UNION ALL SELECT row_id + 10, k FROM a UNION ALL SELECT row_id + 20, k FROM a WHERE row_id < 4")
-def _(t):
-    return B.pad_to(rows(t).where("row_id < 10"), 10, 24)
-
-
-@query("dp_unpad", f"WITH {ROWS} SELECT row_id, k FROM b WHERE row_id < 10")
-def _(t):
-    return B.unpad(B.pad_to(rows(t).where("row_id < 10"), 10, 24), 10)
-
-
-@query("dp_iterator", f"WITH {ROWS} SELECT row_id // 100 AS mini, count(*) AS n FROM b WHERE row_id < 1000 GROUP BY ALL")
-def _(t):
-    return rows(t).where("row_id < 1000").groupBy(B.batch_ids(1000, 100).alias("mini")).agg(F.count("*").alias("n"))
-
-
-@query("dp_reverse_idx", f"WITH {ROWS} SELECT row_id, k FROM b WHERE row_id < 1000")
-def _(t):
-    there = t.spark.range(1000).select(F.col("id").alias("row_id"), ((F.col("id") * 7) % 1000).alias("new_id"))
-    back = there.select(F.col("new_id").alias("row_id"), F.col("row_id").alias("new_id"))
-    return B.take_ids(B.take_ids(rows(t), there), back)
-
-
-# The same on all rows with the table's count as batch size; the queries above and their SQL hold 100 to 2,000 rows.
-
 ALL = f"{ROWS}, c AS (SELECT count(*) AS n FROM orders)"
 
 
@@ -182,49 +126,49 @@ def _step(n: int, least: int) -> int:
     return next(m for m in range(least, least + n + 1) if math.gcd(m, n) == 1)
 
 
-@query("dp_select_idxs_whole", f"WITH {ALL} SELECT r AS row_id, k FROM b JOIN (SELECT r, (r * 31) % n AS row_id FROM c, (SELECT unnest(range(2 * n)) AS r FROM c)) USING (row_id)")
+@query("dp_select_idxs", f"WITH {ALL} SELECT r AS row_id, k FROM b JOIN (SELECT r, (r * 31) % n AS row_id FROM c, (SELECT unnest(range(2 * n)) AS r FROM c)) USING (row_id)")
 def _(t):
     r, n = all_rows(t)
     return B.take_ids(r, t.spark.range(2 * n).select(F.col("id").alias("new_id"), ((F.col("id") * 31) % n).alias("row_id")))
 
 
-@query("dp_concat_whole", f"WITH {ALL} SELECT row_id + n * r AS row_id, k FROM b, c, range(2) t(r)")
+@query("dp_concat", f"WITH {ALL} SELECT row_id + n * r AS row_id, k FROM b, c, range(2) t(r)")
 def _(t):
     r, n = all_rows(t)
     return B.concat((r, n), (r, n))
 
 
-@query("dp_chunk_whole", f"WITH {ALL} SELECT row_id // ((n + 19) // 20) AS chunk, row_id // 64 AS piece, count(*) AS n FROM b, c GROUP BY ALL")
+@query("dp_chunk", f"WITH {ALL} SELECT row_id // ((n + 19) // 20) AS chunk, row_id // 64 AS piece, count(*) AS n FROM b, c GROUP BY ALL")
 def _(t):
     # Equal chunks need a size that divides: ids up to the next multiple belong to padding that has no rows.
     r, n = all_rows(t)
     return r.groupBy(B.chunk_id(n + -n % 20, 20).alias("chunk"), B.split_id(64).alias("piece")).agg(F.count("*").alias("n"))
 
 
-@query("dp_reorder_whole", f"WITH {ALL} SELECT n - 1 - row_id AS row_id, k FROM b, c")
+@query("dp_reorder", f"WITH {ALL} SELECT n - 1 - row_id AS row_id, k FROM b, c")
 def _(t):
     r, n = all_rows(t)
     return B.take_ids(r, t.spark.range(n).select((n - 1 - F.col("id")).alias("new_id"), F.col("id").alias("row_id")))
 
 
-@query("dp_repeat_whole", f"WITH {ROWS} SELECT row_id * 3 + r AS row_id, k FROM b, range(3) t(r)")
+@query("dp_repeat", f"WITH {ROWS} SELECT row_id * 3 + r AS row_id, k FROM b, range(3) t(r)")
 def _(t):
     return B.repeat(rows(t), 3)
 
 
-@query("dp_tile_whole", f"WITH {ALL} SELECT r * n + row_id AS row_id, k FROM b, c, range(3) t(r)")
+@query("dp_tile", f"WITH {ALL} SELECT r * n + row_id AS row_id, k FROM b, c, range(3) t(r)")
 def _(t):
     r, n = all_rows(t)
     return B.repeat(r, 3, interleave=False, rows=n)
 
 
-@query("dp_iterator_whole", f"WITH {ROWS} SELECT row_id // 100 AS mini, count(*) AS n FROM b GROUP BY ALL")
+@query("dp_iterator", f"WITH {ROWS} SELECT row_id // 100 AS mini, count(*) AS n FROM b GROUP BY ALL")
 def _(t):
     r, n = all_rows(t)
     return r.groupBy(B.batch_ids(n + -n % 100, 100).alias("mini")).agg(F.count("*").alias("n"))
 
 
-@query("dp_reverse_idx_whole", f"WITH {ROWS} SELECT row_id, k FROM b")
+@query("dp_reverse_idx", f"WITH {ROWS} SELECT row_id, k FROM b")
 def _(t):
     r, n = all_rows(t)
     there = t.spark.range(n).select(F.col("id").alias("row_id"), ((F.col("id") * _step(n, 7)) % n).alias("new_id"))
@@ -232,6 +176,18 @@ def _(t):
     return B.take_ids(B.take_ids(r, there), back)
 
 
+@query("dp_pad", f"WITH {ALL} SELECT row_id, k FROM b UNION ALL SELECT row_id + n, k FROM b, c WHERE row_id < 1024 - n % 1024 AND n % 1024 > 0")
+def _(t):
+    r, n = all_rows(t)
+    return B.pad_to(r, n, 1024)
+
+
+@query("dp_unpad", f"WITH {ROWS} SELECT row_id, k FROM b")
+def _(t):
+    r, n = all_rows(t)
+    return B.unpad(B.pad_to(r, n, 1024), n)
+
+
 @query("dp_collate", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def _(t):
     return t.orders.groupBy("o_custkey").agg(F.size(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).cast("long").alias("n"))
@@ -285,7 +241,7 @@ def _(t):
     return R.shuffle(t.orders.select("o_orderkey"), 1042, "o_orderkey")
 
 
-@query("lim_max_rows", "SELECT 200 AS n")
+@query("lim_max_rows", "SELECT least(count(*), 200) AS n FROM embeddings")
 def _(t):
     return t.embeddings.select("embedding").limit(200).agg(F.count("*").alias("n"))
 
@@ -321,20 +277,24 @@ def _(t):
 # Retrieval: users are customers, tokens their parts.
 
 
-def _tokens(t, last: int | None, prefix: bool = False):
+def _tokens(t, last: int | None, prefix: bool = False, index: int | None = None, most: int | None = None):
     rows = V.interactions(t)
+    if index is not None:
+        # The first users of either side: for a small run the index and the output are capped.
+        first = lambda split, n: rows.where(F.col("split") == split).select("uid").orderBy("uid").limit(n)
+        rows = rows.join(first(0, index).unionByName(first(1, most)), "uid", "left_semi")
     ids = F.col("hist_pid") if last is None else F.slice("hist_pid", F.greatest(F.size("hist_pid") - last + 1, F.lit(1)), F.lit(last))
     token = F.floor(F.col("pid") / 4) if prefix else F.col("pid")
     split = rows.select("uid", "split", F.explode(ids).alias("pid")).select("uid", "split", token.alias("token"))
-    return split.where("split = 0").select("uid", "token"), split.where("uid % 10 = 4").select("uid", "token")
+    return split.where("split = 0").select("uid", "token"), split.where("split = 1").select("uid", "token")
 
 
-def _similar_sql(last: int | None, prefix: bool, k: int, least: float, recall: float | None, most: float | None, other: bool) -> str:
+def _similar_sql(last: int | None, prefix: bool, k: int, least: float, recall: float | None, most: float | None, other: bool, caps: tuple[int, int] | None = None) -> str:
     ids = "hist_pid" if last is None else f"hist_pid[greatest(len(hist_pid)-{last - 1},1):]"
     token = "pid // 4" if prefix else "pid"
     guards = f"score >= {least}" + (f" AND o / nq < {recall}" if recall is not None else "") + (f" AND score < {most}" if most is not None else "")
     return (
-        f"WITH {V.INTER}, e AS (SELECT DISTINCT uid, split, {token} AS token FROM (SELECT uid, split, unnest({ids}) AS pid FROM inter)), t AS (SELECT * FROM e WHERE split = 0), q AS (SELECT * FROM e WHERE uid % 10 = 4), "
+        f"WITH {V.INTER}, f AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY uid) AS place FROM inter), e AS (SELECT DISTINCT uid, split, {token} AS token FROM (SELECT uid, split, unnest({ids}) AS pid FROM f {f'WHERE place <= CASE split WHEN 0 THEN {caps[0]} ELSE {caps[1]} END' if caps else ''})), t AS (SELECT * FROM e WHERE split = 0), q AS (SELECT * FROM e WHERE split = 1), "
         "nt AS (SELECT uid, count(*) AS nc FROM t GROUP BY uid), nqs AS (SELECT uid, count(*) AS nq FROM q GROUP BY uid), "
         f"c AS (SELECT q.uid AS query, t.uid AS candidate, count(*) AS o FROM q JOIN t USING (token) {'WHERE q.uid <> t.uid' if other else ''} GROUP BY ALL), "
         "p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY o DESC, candidate) AS pl FROM c), s AS (SELECT query, candidate, o, nq, o / (nq + nc - o) AS score FROM p JOIN nqs ON nqs.uid = query JOIN nt ON nt.uid = candidate WHERE pl <= 1000), "
@@ -342,10 +302,10 @@ def _similar_sql(last: int | None, prefix: bool, k: int, least: float, recall: f
     )
 
 
-def _similar(name: str, last: int | None, prefix: bool, k: int, least: float, recall: float | None, most: float | None, other: bool = True) -> None:
-    @query(name, _similar_sql(last, prefix, k, least, recall, most, other))
+def _similar(name: str, last: int | None, prefix: bool, k: int, least: float, recall: float | None, most: float | None, other: bool = True, caps: tuple[int, int] | None = None) -> None:
+    @query(name, _similar_sql(last, prefix, k, least, recall, most, other, caps))
     def _(t):
-        tokens, queries = _tokens(t, last, prefix)
+        tokens, queries = _tokens(t, last, prefix, *(caps or ()))
         return U.similar_users(tokens, queries, k, 1000, least, recall, most, other).select("query", "candidate", "overlap", F.round("score", 6).alias("score"), "place")
 
 
@@ -354,12 +314,13 @@ _similar("similar_users_v2", 20, True, 3, 0.005, None, None)
 _similar("similar_users_v3", 20, False, 3, 0.005, 0.8, None)
 _similar("similar_users_v3_capped", None, False, 3, 0.005, None, 0.95)
 _similar("similar_users_v4", 20, False, 1, 0.005, 0.8, None)
+_similar("similar_users_small", 20, False, 1, 0.005, 0.8, None, caps=(50_000, 50))
 
 
-@query("join_inverted_overlap", "WITH e AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS t FROM lineitem) SELECT a.u, b.u AS v, count(*) AS overlap FROM e a JOIN e b ON a.t = b.t AND a.u <> b.u GROUP BY ALL")
+@query("join_inverted_overlap", "WITH e AS (SELECT DISTINCT o_custkey AS u, l_partkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT a.u AS query, b.u AS candidate, count(*) AS overlap FROM e a JOIN e b ON a.t = b.t AND a.u <> b.u WHERE a.u % 100 = 0 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query ORDER BY overlap DESC, candidate) <= 1000")
 def _(t):
-    e = t.lineitem.select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("t")).distinct()
-    return e.join(e.select(F.col("u").alias("v"), "t"), "t").where("u <> v").groupBy("u", "v").agg(F.count("*").alias("overlap"))
+    e = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("token"))
+    return U.overlaps(e, e.where("uid % 100 = 0")).select("query", "candidate", "overlap")
 
 
 @query("agg_collect_index", "SELECT l_partkey AS token, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS postings FROM (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) GROUP BY l_partkey")
@@ -427,7 +388,9 @@ def _(t):
 
 @query("win_pack")
 def _(t):
-    rows = t.documents.select(F.pmod(F.hash("source"), F.lit(4)).alias("shard"), "doc_id", F.least("n_chars", F.lit(20000)).alias("n"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"))
+    # As many lanes as the tokens ask for: each is a sequence of its own, packed in one task.
+    lanes = max(1, -(-(t.documents.agg(F.sum("n_chars").alias("n")).first()["n"] or 0) // 500_000))
+    rows = t.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("shard"), "doc_id", F.least("n_chars", F.lit(20000)).alias("n"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"))
     return Q.pack_greedy(rows, "shard", "doc_id", "n", "o", 4096)
 
 

@@ -72,6 +72,19 @@ def _(t):
     return rows.select("l_orderkey", *[F.round(c + 1e-7 if n == "f1_double" else c, 3 if n == "f1_double" else 6).alias(n) for n, c in M.f1_family(F.col("m"), F.col("e"), F.col("n")).items()])
 
 
+def _f1_query(name: str, *columns: str) -> None:
+    @query(name, f"SELECT l_orderkey, {', '.join(columns)} FROM ({F1_SQL})")
+    def _(t):
+        from brindle.plans.registry import QUERIES
+
+        return QUERIES["agg_f1_family"](t.spark, t.sf_dir).select("l_orderkey", *columns)
+
+
+_f1_query("agg_f1_unweighted", "f1", "f1_core")
+_f1_query("agg_f1_weighted", "f1_weighted")
+_f1_query("agg_f1_double", "f1_double")
+
+
 @query("agg_judge_mean", "SELECT l_returnflag, round(avg(CASE WHEN l_linenumber <= 5 THEN l_linenumber ELSE 3 END), 6) AS score FROM lineitem GROUP BY l_returnflag")
 def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.avg(M.judge_score(F.col("l_linenumber").cast("string"))), 6).alias("score"))
@@ -277,7 +290,7 @@ def _(t):
 
 @query("agg_bootstrap")
 def _(t):
-    rows = t.orders.where("o_custkey <= 200").select(F.col("o_custkey").alias("g"), "o_orderkey", "o_totalprice")
+    rows = t.orders.select(F.col("o_custkey").alias("g"), "o_orderkey", "o_totalprice")
     return G.bootstrap(rows, ["g"], "o_totalprice", "o_orderkey", 4, 100)
 
 
@@ -418,17 +431,18 @@ def _(t):
     return t.conversations.where("turn >= 2").groupBy("conv_id").agg(F.sum(words).alias("words"))
 
 
-@query("agg_bleu", "SELECT doc_id, 1.0 AS same, 0.0 AS none FROM documents WHERE n_chars BETWEEN 100 AND 700")
-def _(t):
-    w = F.slice(F.split("text", " "), 1, 30)
-    rows = t.documents.where("n_chars BETWEEN 100 AND 700").select("doc_id", w.alias("w"))
-    return rows.select("doc_id", F.round(M.bleu(F.col("w"), F.col("w")), 6).alias("same"), F.round(M.bleu(F.col("w"), F.array(F.lit("zzz"))), 6).alias("none"))
+# Each document against the next one, the last against the first.
+BLEU = """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n, coalesce(string_split(text, ' '), []) AS w FROM documents),
+p AS (SELECT a.doc_id, a.w AS c, b.w AS r FROM d a JOIN d b ON b.i = (a.i + 1) % a.n),
+g AS (SELECT doc_id, k, unnest(list_transform(range(1, len(c) - k + 2), lambda j: array_to_string(c[j:j+k-1], ' '))) AS g, 1 AS mine FROM p, range(1, 5) t(k) UNION ALL SELECT doc_id, k, unnest(list_transform(range(1, len(r) - k + 2), lambda j: array_to_string(r[j:j+k-1], ' '))), 0 FROM p, range(1, 5) t(k)),
+h AS (SELECT doc_id, k, sum(least(a, b)) AS h FROM (SELECT doc_id, k, g, sum(mine) AS a, sum(1 - mine) AS b FROM g GROUP BY ALL) GROUP BY ALL),
+l AS (SELECT p.doc_id, len(c) AS nc, len(r) AS nr, t.k AS k, coalesce(h, 0) AS h, greatest(len(c) - t.k + 1, 0) AS all_k FROM p CROSS JOIN range(1, 5) t(k) LEFT JOIN h ON h.doc_id = p.doc_id AND h.k = t.k),
+s AS (SELECT doc_id, nc, nr, min(h) FILTER (k = 1) AS h1, sum(CASE WHEN k = 1 AND h = 0 THEN 0 ELSE ln((h + CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END) / (all_k + CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END)) END) AS logs FROM l GROUP BY ALL)
+SELECT doc_id, round(CASE WHEN nc > 0 AND h1 > 0 THEN exp(logs / 4) * CASE WHEN nc < nr THEN exp(1 - nr / nc) ELSE 1.0 END ELSE 0.0 END, 6) AS bleu FROM s"""
 
 
-@query("agg_bleu_whole")
+@query("agg_bleu", BLEU)
 def _(t):
-    # Whole texts of all documents, each against the next document's (the first one's for the last); agg_bleu and its SQL
-    # hold 30 words of some and compare them with themselves.
     rows = B.with_row_id(t.documents.select("doc_id", F.split("text", " ").alias("w")), ["doc_id"])
     ends = rows.agg(F.max("row_id").alias("last"))
     after = rows.join(F.broadcast(ends)).select(F.when(F.col("row_id") == 0, F.col("last")).otherwise(F.col("row_id") - 1).alias("row_id"), F.col("w").alias("ref"))

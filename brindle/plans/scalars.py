@@ -87,14 +87,8 @@ def _(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.from_json("props", "map<string,bigint>")).alias("n"))
 
 
-@query("fn_normalize_answer", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text[1:200]), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS answer FROM documents WHERE lang = 'en'")
+@query("fn_normalize_answer", "SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM documents")
 def _(t):
-    return t.documents.where("lang = 'en'").select("doc_id", T.normalised_answer(F.substring("text", 1, 200)).alias("answer"))
-
-
-@query("fn_normalize_answer_whole")
-def _(t):
-    # Whole texts of every document; fn_normalize_answer and its SQL hold 200 characters of the English ones.
     return t.documents.select("doc_id", T.normalised_answer(F.col("text")).alias("answer"))
 
 
@@ -126,11 +120,15 @@ def _(t):
     return t.part.select("p_partkey", F.round(0.9 * Q.math_score(said, F.col("p_size").cast("string")) + 0.1 * form, 6).alias("score"))
 
 
-@query("fn_score_dispatch", "SELECT doc_id, CASE WHEN source = 'src1' THEN 1.0 WHEN source = 'src2' THEN 0.5 ELSE 0.0 END AS score FROM documents")
+@query("fn_score_dispatch", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM orders")
 def _(t):
-    from brindle.operators.scorers import dispatch
+    from brindle.operators.scorers import rewards
 
-    return t.documents.select("doc_id", dispatch(F.col("source"), {"src1": F.lit(1.0), "src2": F.lit(0.5)}, F.lit(0.0)).alias("score"))
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).cast("string")
+    kind = F.element_at(F.array(F.lit("gsm8k"), F.lit("qa"), F.lit("math")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    made = t.orders.select("o_orderkey", kind.alias("source"), F.col("o_custkey").cast("string").alias("truth"), said.alias("said"))
+    text = F.when(F.col("source") == "gsm8k", F.concat(F.lit("so #### "), "said")).when(F.col("source") == "qa", F.concat(F.lit("<answer>"), "said", F.lit("</answer>"))).otherwise(F.concat(F.lit("thus \\boxed{"), "said", F.lit("}")))
+    return rewards(made.withColumn("solution", text), "source", "solution", "truth").select("o_orderkey", F.col("reward").alias("score"))
 
 
 @query("fn_hit", f"WITH {V.INTER}, {V.BASKETS}, s AS (SELECT uid, list_slice(pred, 1, 5) AS p, truth FROM baskets) SELECT uid, CASE WHEN len(list_intersect(p, truth)) > 0 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN list_contains(truth, p[1]) THEN 1.0 ELSE 0.0 END AS first, round(len(list_intersect(p, truth)) / len(p), 6) AS pass_rate FROM s")
@@ -204,15 +202,14 @@ def _(t):
     return V.interactions(t).select("uid", F.array_join(F.transform(A.range_mask(F.col("target_pid"), 100, 900), lambda x: x.cast("string")), ",").alias("m"))
 
 
-@query("fn_loss_mask", "WITH x AS (SELECT doc_id, text[1:400] AS s FROM documents), p AS (SELECT doc_id, i, s[1:i] AS pre FROM x, range(400) r(i) WHERE i < length(s)) SELECT doc_id, string_agg(CASE WHEN contains(pre, ' ') AND (NOT contains(pre, '.') OR strpos(reverse(pre), ' ') < strpos(reverse(pre), '.')) THEN '1' ELSE '0' END, '' ORDER BY i) AS m FROM p GROUP BY doc_id")
-def _(t):
-    ids = F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: F.ascii(c))
-    return t.documents.select("doc_id", F.array_join(F.transform(A.loss_mask(ids, (32,), (46,)), lambda x: x.cast("string")), "").alias("m"))
+LOSS_MASK = """WITH x AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
+p AS (SELECT doc_id, i, max(CASE WHEN ch = ' ' THEN i END) OVER w AS sp, max(CASE WHEN ch = '.' THEN i END) OVER w AS dot FROM x WHERE ch <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT doc_id, string_agg(CASE WHEN sp > coalesce(dot, 0) THEN '1' ELSE '0' END, '' ORDER BY i) AS m FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(m, '') END AS m FROM documents LEFT JOIN m USING (doc_id)"""
 
 
-@query("fn_loss_mask_whole")
+@query("fn_loss_mask", LOSS_MASK)
 def _(t):
-    # The mask of every text to its end; fn_loss_mask and its SQL hold the first 400 characters. An empty text has no ids.
     ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
     return t.documents.select("doc_id", F.array_join(F.transform(A.loss_mask(ids, (32,), (46,)), lambda x: x.cast("string")), "").alias("m"))
 
@@ -244,32 +241,13 @@ def _(t):
     return t.nation.select("n_nationkey", Q.json_plain(raw).alias("j"))
 
 
-@query("fn_rag_template", f"WITH {V.INTER}, {V.CODES}, {V.found('h', 'hist_pid[1:3]')} SELECT uid, 'Videos: ' || h_s || '; ads: none' AS prompt FROM h")
-def _(t):
-    from brindle.operators.lookup import lookup_arrays
-    from brindle.operators.similar import slot_filled
-
-    rows = lookup_arrays(V.interactions(t), "uid", {"h": F.slice("hist_pid", 1, 3)}, V.codes(t), "pid", "code").where("size(h) > 0")
-    return rows.select("uid", slot_filled(F.lit("Videos: {v}; ads: none"), {"v": F.col("h")}, {"v": 512}).alias("prompt"))
-
-
-@query("fn_rag_parse", "SELECT c_custkey, 2 AS n, CAST(c_custkey AS VARCHAR) AS first FROM customer")
-def _(t):
-    text = F.concat(F.lit("User "), F.col("c_custkey").cast("string"), F.lit(": a\nUser 9: b"))
-    ids = F.regexp_extract_all(text, F.lit(r"User (\d+):"), F.lit(1))
-    return t.customer.select("c_custkey", F.size(ids).alias("n"), ids[0].alias("first"))
-
-
-@query("fn_slot_replace", f"WITH {GEN} SELECT l_orderkey, regexp_replace(g, '<s_a_\\d+><s_b_\\d+><s_c_\\d+>', '<s_a_1><s_b_2><s_c_3>', 'g') AS g FROM gen")
-def _(t):
-    return generations(t).select("l_orderkey", F.regexp_replace("g", sid.TRIPLE, "<s_a_1><s_b_2><s_c_3>").alias("g"))
-
-
-@query("fn_tool_calls", "SELECT n_nationkey, 1 AS calls, 'lookup' AS name FROM nation")
+@query("fn_tool_calls", "SELECT n_nationkey, n_regionkey AS calls, CASE WHEN n_regionkey > 0 THEN 'f' || n_nationkey || '_1' END AS first, CASE WHEN n_regionkey > 0 THEN 'f' || n_nationkey || '_' || n_regionkey END AS last FROM nation")
 def _(t):
-    said = F.concat(F.lit('<tool_call>{"name": "lookup", "arguments": {"x": "'), "n_name", F.lit('"}}</tool_call><tool_call>broken</tool_call>'))
+    # A call for each number up to the region's, and broken ones between them.
+    one = lambda i: F.concat(F.lit('said <tool_call>{"name": "f'), F.col("n_nationkey").cast("string"), F.lit("_"), i.cast("string"), F.lit('", "arguments": {"x": "'), "n_name", F.lit('"}}</tool_call><tool_call>{broken</tool_call> '))
+    said = F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.col("n_regionkey")), one), "")
     calls = T.tool_calls(said)
-    return t.nation.select("n_nationkey", F.size(calls).alias("calls"), calls[0]["name"].alias("name"))
+    return t.nation.select("n_nationkey", F.size(calls).alias("calls"), F.try_element_at(calls, F.lit(1))["name"].alias("first"), F.try_element_at(calls, F.lit(-1))["name"].alias("last"))
 
 
 @query("fn_passages", "SELECT n_regionkey, string_agg('Doc ' || r || ' (Title: ' || n_name || ')' || chr(10) || n_name || chr(10), chr(10) ORDER BY r) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation) GROUP BY n_regionkey")

@@ -95,8 +95,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
 
 
-def read_tar_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Members of tar shards: shard, key, ext, data; one shard is read by one task."""
+def read_tar_shards(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Members of tar shards (a folder, or the shards by name): shard, key, ext, data; one shard is read by one task."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,6 +109,17 @@ def read_tar_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(members, "shard string, key string, ext string, data binary")
 
 
+def read_shard_lists(spark: SparkSession, paths: list[str]) -> tuple[list[str], int]:
+    """Shards named by documents `{"shardlist": [{"url", "nsamples"}]}`, relative to each document, sorted; and their samples.
+
+    Shards are tar files of one task each; as a row holds a shard's content, a shard must be below 2 GB.
+    """
+    kind = "struct<shardlist:array<struct<url:string,nsamples:bigint>>>"
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("at"), F.inline(F.from_json("value", kind)["shardlist"]))
+    found = rows.select(F.concat(F.regexp_replace("at", "[^/]*$", ""), "url").alias("url"), "nsamples").collect()
+    return sorted(r["url"] for r in found), sum(r["nsamples"] for r in found)
+
+
 def epochs(files: DataFrame, path: str, n: int, seed: int) -> DataFrame:
     """(file, epoch) pairs with `place` in a seeded order: each epoch has every file once."""
     each = files.select(path).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -191,11 +202,6 @@ def markdown(df: DataFrame) -> str:
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
 
-def write_excel(df: DataFrame, path: str) -> None:
-    """The report as a spreadsheet, if a writer for it is installed."""
-    df.toPandas().to_excel(path, index=False)
-
-
 def dump_or_load(df: DataFrame, path: str) -> DataFrame:
     """Writes a batch once; later calls read it back instead of computing it."""
     spark = df.sparkSession

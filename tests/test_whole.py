@@ -37,7 +37,7 @@ def brute_mask(ids, start, end):
 
 
 def test_loss_mask_of_whole_texts(spark, texts):
-    found = {r["doc_id"]: r["m"] for r in catalogue.QUERIES["fn_loss_mask_whole"](spark, SF).collect()}
+    found = {r["doc_id"]: r["m"] for r in catalogue.QUERIES["fn_loss_mask"](spark, SF).collect()}
     assert found == {d: None if t is None else "".join(map(str, brute_mask([ord(c) for c in t], (32,), (46,)))) for d, t in texts.items()}
     assert max(map(len, filter(None, found.values()))) > 400
 
@@ -57,7 +57,7 @@ def brute_answer(text):
 
 
 def test_normalised_answers_of_whole_texts(spark, texts):
-    found = {r["doc_id"]: r["answer"] for r in catalogue.QUERIES["fn_normalize_answer_whole"](spark, SF).collect()}
+    found = {r["doc_id"]: r["answer"] for r in catalogue.QUERIES["fn_normalize_answer"](spark, SF).collect()}
     assert found == {d: None if t is None else brute_answer(t) for d, t in texts.items()}
 
 
@@ -79,7 +79,7 @@ def brute_bleu(c, r, longest=4):
 
 
 def test_bleu_of_whole_texts(spark, texts):
-    found = {r["doc_id"]: r["bleu"] for r in catalogue.QUERIES["agg_bleu_whole"](spark, SF).collect()}
+    found = {r["doc_id"]: r["bleu"] for r in catalogue.QUERIES["agg_bleu"](spark, SF).collect()}
     ids = sorted(texts)
     words = {d: [] if texts[d] is None else texts[d].split(" ") for d in ids}
     assert set(found) == set(ids)
@@ -104,7 +104,7 @@ def test_batch_algebra_takes_all_rows(spark, tmp_path, size):
     # Sizes that divide by nothing in use; the keys have gaps and come out of order.
     keys = [3 * i + 1 for i in range(size)]
     spark.createDataFrame([(k,) for k in reversed(keys)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[f"dp_{name}_whole"](spark, str(tmp_path)).select(*fields).collect())
+    got = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[f"dp_{name}"](spark, str(tmp_path)).select(*fields).collect())
     fields = ["row_id", "k"]
     n = size
     assert got("repeat") == [(3 * i + j, k) for i, k in enumerate(keys) for j in range(3)]
@@ -113,6 +113,8 @@ def test_batch_algebra_takes_all_rows(spark, tmp_path, size):
     assert got("reorder") == list(enumerate(reversed(keys)))
     assert got("reverse_idx") == list(enumerate(keys))
     assert got("select_idxs") == [(i, keys[i * 31 % n]) for i in range(2 * n)]
+    assert got("pad") == [(i, keys[i % n]) for i in range(n + -n % 1024)]
+    assert got("unpad") == list(enumerate(keys))
     fields = ["chunk", "piece", "n"]
     assert got("chunk") == sorted((*key, m) for key, m in Counter((i // -(-n // 20), i // 64) for i in range(n)).items())
     fields = ["mini", "n"]
