@@ -73,51 +73,82 @@ def fit_profiles(labelled: DataFrame, per_language: int = 1500) -> dict[str, lis
     return profiles
 
 
+def _key(gram: str) -> int:
+    """An n-gram of up to three code points as one number, 21 bits each."""
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
+
+
 class Ranker:
-    """Distances of documents to profiles. Words' n-grams are numbered once per worker task."""
+    """Distances of documents to profiles. The n-grams of a batch's distinct words are numbered together."""
 
-    def __init__(self, profiles: dict[str, list[str]], cap: int = 150_000) -> None:
+    def __init__(self, profiles: dict[str, list[str]], cap: int = 300_000) -> None:
         self.names = sorted(profiles)
-        self.number: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.cap = cap
-        self.tie = np.zeros(1 << 12, np.int64)
-        self.places = np.full((len(self.names), 1 << 12), -1, np.int64)
+        self.cap, self.ties = cap, {}
+        self.known = np.array(sorted({_key(g) for grams_ in profiles.values() for g in grams_}), np.int64)
+        # The last column is that of n-grams in no profile.
+        self.places = np.full((len(self.names), len(self.known) + 1), -1, np.int64)
         for i, name in enumerate(self.names):
             for place, g in enumerate(profiles[name]):
-                self.places[i, self._of(g)] = place
-
-    def _of(self, gram: str) -> int:
-        if (n := self.number.get(gram)) is None:
-            n = self.number[gram] = len(self.number)
-            if n >= len(self.tie):
-                self.tie = np.concatenate([self.tie, np.zeros_like(self.tie)])
-                self.places = np.concatenate([self.places, np.full_like(self.places, -1)], axis=1)
-            self.tie[n] = xxhash.xxh3_64_intdigest(gram) & ((1 << 32) - 1)
-        return n
-
-    def predict(self, text: str) -> tuple[str, float]:
-        seen = Counter(LETTERS.findall(text.lower()))
-        if not self.names or not seen or not any(map(str.isalpha, text)):
+                self.places[i, np.searchsorted(self.known, _key(g))] = place
+
+    def _tie(self, key: int) -> int:
+        if (found := self.ties.get(key)) is None:
+            gram = "".join(chr(c) for c in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if c)
+            found = self.ties[key] = xxhash.xxh3_64_intdigest(gram) & ((1 << 32) - 1)
+        return found
+
+    def _numbered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of all words as numbers, and which of them each word has: places among them, word after word, and how many."""
+        chars = np.frombuffer(("_" + "__".join(words) + "_").encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        owner = np.repeat(np.arange(len(words)), sizes)
+        keys, of = [], []
+        for n in range(1, LONGEST + 1):
+            same = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+            key = chars[same]
+            for j in range(1, n):
+                key = key << 21 | chars[same + j]
+            real = key != ord("_")
+            keys.append(key[real])
+            of.append(owner[same][real])
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        owners = np.concatenate(of)
+        return every, inverse[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        index: dict[str, int] = {}
+        seen = []
+        for text in texts:
+            found = Counter(LETTERS.findall(text.lower()))
+            seen.append((np.array([index.setdefault(w, len(index)) for w in found], np.int64), np.fromiter(found.values(), np.int64, len(found))))
+        if not self.names or not index:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        every, grams_, sizes = self._numbered(list(index))
+        if len(self.ties) > self.cap:
+            self.ties.clear()
+        ties = np.fromiter(map(self._tie, every.tolist()), np.int64, len(every))
+        at = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
+        places = self.places[:, np.where(self.known[at] == every, at, len(self.known))]
+        starts = np.cumsum(sizes) - sizes
+        return [self._nearest(w, n, text, grams_, starts, sizes, ties, places) for (w, n), text in zip(seen, texts, strict=True)]
+
+    def _nearest(self, words: np.ndarray, times: np.ndarray, text: str, grams_: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ties: np.ndarray, places: np.ndarray) -> tuple[str, float]:
+        if not len(words) or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        if len(self.words) > self.cap:
-            self.words.clear()
-        known = self.words
-        parts = []
-        for word in seen:
-            if (ids := known.get(word)) is None:
-                ids = known[word] = np.array([self._of(g) for g in grams(word)], np.int64)
-            parts.append(ids)
-        weights = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        counts = np.bincount(np.concatenate(parts), weights, minlength=len(self.number)).astype(np.int64)
+        each = sizes[words]
+        ends = np.cumsum(each)
+        counts = np.bincount(grams_[np.repeat(starts[words] - ends + each, each) + np.arange(ends[-1])], np.repeat(times, each), minlength=len(ties)).astype(np.int64)
         found = np.flatnonzero(counts)
-        order = (counts.max() - counts[found] << 32) | self.tie[found]
+        order = (counts.max() - counts[found] << 32) | ties[found]
         if len(found) > KEPT:
             first = np.argpartition(order, KEPT - 1)[:KEPT]
             found, order = found[first], order[first]
         ranked = found[np.argsort(order, kind="stable")]
-        places = self.places[:, ranked]
-        out = np.where(places < 0, KEPT, np.abs(places - np.arange(len(ranked)))).sum(axis=1)
+        here = places[:, ranked]
+        out = np.where(here < 0, KEPT, np.abs(here - np.arange(len(ranked)))).sum(axis=1)
         best = int(np.argmin(out))
         return self.names[best], max(0.0, 1.0 - float(out[best]) / (KEPT * len(ranked)))
 
@@ -127,8 +158,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ranker(profiles)
-        for batch in slices(batches, 4096, 16):
-            found = [model.predict(t) for t in texts(batch.column(1))]
+        for batch in slices(batches, 1024, 4):
+            found = model.predict_all(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(predicted), "doc_id long, lang_pred string, score double")
@@ -139,8 +170,8 @@ def accepted(docs: DataFrame, profiles: dict[str, list[str]], least: float) -> D
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ranker(profiles)
-        for batch in slices(batches, 4096, 16):
-            found = [model.predict(t) for t in texts(batch.column(batch.schema.get_field_index("text")))]
+        for batch in slices(batches, 1024, 4):
+            found = model.predict_all(texts(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(released(kept), docs.schema)
