@@ -11,8 +11,8 @@ is shared again by weight (water filling in closed form over sources sorted by c
 A target of q times the source's size plus a rest takes every document q times and, below the threshold, once more.
 
 Nulls, ties and repeats: a null text has size 0; null is a source of its own, after all others; rows with the same id
-share a hash and are kept or left together; a null id has a hash too. Sources of size 0 have target 0. Other columns are
-not read and are free to have any name.
+share a hash and are kept or left together; a null id has a hash too. Sources of size 0 have target 0. Very long texts
+count with all their words. An empty table gives no rows. Other columns are not read and are free to have any name.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import word_count, written
+from brindle.operators.batch import in_ranges, range_bases, with_row_id
 
 #: Hash bits, and the bits that each refinement resolves.
 BITS, STEP = 48, 12
@@ -37,23 +38,23 @@ def source_key(source: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source_key, source_size, target from `source, source_key, size`. Windows run over one row per source."""
-    per = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    ranked = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
-    every = Window.partitionBy()
-    full = Window.orderBy(F.col("cap") / F.col("weight"), "source_key").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(full), F.lit(0.0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(full), F.lit(0.0))
-    )
+    """source_key, source_size, target from `source, source_key, size`.
+
+    Sources may be many: they are numbered, and their capacities summed up, in sorted ranges and never in one task.
+    """
+    per = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    capped = with_row_id(per, ["last", "source", "source_key"], "place").withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
+    ranked = in_ranges(capped.select("source_key", "source_size", "weight", "cap", (F.col("cap") / F.col("weight")).alias("ratio")), ["ratio", "source_key"])
+    whole = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    ahead = Window.partitionBy("_rid_part").orderBy("_rid_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranked.join(range_bases(ranked, F.sum("cap"), "caps"), "_rid_part").join(range_bases(ranked, F.sum("weight"), "weights"), "_rid_part")
+    before = lambda c, base: F.col(base) + F.coalesce(F.sum(c).over(ahead), F.lit(0.0))
     # With the sources before it full, a source's level either stays below its capacity per weight or fills it too.
-    levels = ranked.withColumn("level", level).withColumn("at", F.row_number().over(Window.orderBy(F.col("cap") / F.col("weight"), "source_key")))
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    water = F.first(fits, ignorenulls=True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return levels.withColumn("water", water).select(
-        "source_key", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("weight"))).alias("target")
-    )
+    levels = summed.withColumn("level", (F.lit(whole["size"] * share) - before("cap", "caps")) / (F.lit(whole["weight"]) - before("weight", "weights")))
+    water = levels.where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct("ratio", "source_key")).alias("water")).first()["water"]
+    target = F.col("cap") if water is None else F.least(F.col("cap"), F.lit(water) * F.col("weight"))
+    return ranked.select("source_key", "source_size", target.alias("target"))
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
