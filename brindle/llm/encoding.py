@@ -1,4 +1,4 @@
-"""Token ids of whole texts with the tokenizers library, each distinct word of a batch encoded once."""
+"""Token ids of whole texts with the tokenizers library, each distinct word encoded once while a worker remembers it."""
 
 from __future__ import annotations
 
@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 ODD = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts that are encoded in one call, by whether the vocabulary is byte-level.
 UNSAFE = {True: f"[{ODD}]|[ \n][ \n]|^ | $", False: f"[{ODD}]"}
+#: Words that an encoder remembers with their ids, as Arrow and NumPy arrays: about 40 bytes each.
+CAP = 600_000
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def encoder(path: str, byte_level: bool) -> "Encoder":
-    """The worker's encoder of a vocabulary file. It holds the vocabulary and nothing of the texts."""
+    """The worker's encoder of a vocabulary file, which outlives a task with the words that it remembers."""
     if (path, byte_level) not in _LOADED:
         _LOADED[path, byte_level] = Encoder(path, byte_level)
     return _LOADED[path, byte_level]
@@ -36,7 +38,7 @@ class Encoder:
 
     No token of either vocabulary family reaches from a non-space to the white space after it, so a text falls apart
     before every single space or newline. Texts with runs of white space, unusual white space or the string of a special
-    token, in any case of letters, take one whole call.
+    token, in any case of letters, take one whole call. When CAP words are remembered, those of the last batch stay.
     """
 
     def __init__(self, path: str, byte_level: bool) -> None:
@@ -48,6 +50,7 @@ class Encoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unsafe = "(?i)" + "|".join([UNSAFE[byte_level], *special])
         self.mark = self.whole("\n" if byte_level else "|")[0]
+        self.known = (pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -79,6 +82,23 @@ class Encoder:
             at += len(found)
         return np.concatenate(ids), np.concatenate(starts), np.concatenate(lens)
 
+    def _remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and lengths of distinct words; only those that are not remembered are encoded."""
+        names, ids, starts, lens = self.known
+        at = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        found, begin, each = self._words(fresh)
+        at = at.astype(np.int64)
+        at[new] = len(names) + np.arange(len(new))
+        ids, starts, lens = np.concatenate([ids, found]), np.concatenate([starts, begin + len(ids)]), np.concatenate([lens, each])
+        if len(names) + len(new) <= CAP:
+            self.known = (pa.concat_arrays([names, fresh]), ids, starts, lens)
+        else:
+            own = lens[at]
+            self.known = (words, ids[_ranges(starts[at], own)], np.cumsum(own) - own, own)
+        return ids, starts[at], lens[at]
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same for words as the splits below leave them."""
         n = len(words)
@@ -131,7 +151,7 @@ class Encoder:
             cut = pc.split_pattern(pc.replace_substring(pc.ascii_lower(text), "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
         bounds, codes = np.asarray(cut.offsets), np.asarray(words.indices)
-        flat, starts, lens = self._words(words.dictionary)
+        flat, starts, lens = self._remembered(words.dictionary)
         each = lens[codes]
         ids = flat[_ranges(starts[codes], each)]
         offsets = np.concatenate([[0], np.cumsum(each)])[bounds]
