@@ -226,23 +226,23 @@ def fit_field(docs: DataFrame, sample: int = 5000) -> Field:
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in slices(batches, 4096, 16):
             rows = []
             for text in texts(batch.column(1)):
                 base = base_spans(text)
                 spans = field.spans(text, base)
                 per = Counter(k for k, _, _ in base)
-                rows.append((*(per[k] for k in range(4)), hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(spans), len(spans) - len(base)))
+                rows.append((*(per[k] for k in range(4)), hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(spans), len(spans) - len(base), len(spans)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+                [batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        released(found), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        released(found), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     )
 
 
