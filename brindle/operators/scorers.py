@@ -41,6 +41,13 @@ def math(solution: Column, truth: Column) -> Column:
     return math_score(solution, truth)
 
 
+@scorer("geo3k")
+def geo3k(solution: Column, truth: Column, form: float = 0.1) -> Column:
+    """A share `form` for thinking first and boxing the answer, the rest for a right one."""
+    shaped = F.regexp_like(solution, F.lit(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$")).cast("double")
+    return F.lit(1 - form) * math(solution, truth) + F.lit(form) * shaped
+
+
 def dispatch(source: Column, scores: dict[str, Column], default: Column | None = None) -> Column:
     """The score of a row's data source; an unknown source is an error unless there is a default."""
     out = F.when(F.lit(False), F.lit(0.0))

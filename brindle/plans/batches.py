@@ -317,7 +317,7 @@ _similar("similar_users_v4", 20, False, 1, 0.005, 0.8, None)
 _similar("similar_users_small", 20, False, 1, 0.005, 0.8, None, caps=(50_000, 50))
 
 
-@query("join_inverted_overlap", "WITH e AS (SELECT DISTINCT o_custkey AS u, l_partkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT a.u AS query, b.u AS candidate, count(*) AS overlap FROM e a JOIN e b ON a.t = b.t AND a.u <> b.u WHERE a.u % 100 = 0 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY query ORDER BY overlap DESC, candidate) <= 1000")
+@query("join_inverted_overlap", "WITH e AS (SELECT DISTINCT o_custkey AS u, l_partkey AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT query, candidate, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY overlap DESC, candidate) AS place FROM (SELECT a.u AS query, b.u AS candidate, count(*) AS overlap FROM e a JOIN e b ON a.t = b.t AND a.u <> b.u WHERE a.u % 100 = 0 GROUP BY 1, 2)) WHERE place <= 1000")
 def _(t):
     e = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("token"))
     return U.overlaps(e, e.where("uid % 100 = 0")).select("query", "candidate", "overlap")

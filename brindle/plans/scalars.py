@@ -10,6 +10,7 @@ from brindle.functions import sid
 from brindle.functions import text as T
 from brindle.functions import vec as X
 from brindle.operators import sequences as Q
+from brindle.operators.scorers import SCORERS
 from brindle.plans import views as V
 from brindle.plans.registry import query
 
@@ -116,8 +117,7 @@ def _(t):
 @query("fn_geo3k", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.9 END AS score FROM part")
 def _(t):
     said = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("<think>a</think> ")).otherwise(F.lit("")), F.lit("\\boxed{"), F.col("p_size").cast("string"), F.lit("}"))
-    form = F.regexp_like(said, F.lit(r"(?s)^<think>.*</think>.*\\boxed\{.*\}")).cast("double")
-    return t.part.select("p_partkey", F.round(0.9 * Q.math_score(said, F.col("p_size").cast("string")) + 0.1 * form, 6).alias("score"))
+    return t.part.select("p_partkey", F.round(SCORERS["geo3k"](said, F.col("p_size").cast("string")), 6).alias("score"))
 
 
 @query("fn_score_dispatch", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM orders")
