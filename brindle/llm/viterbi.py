@@ -44,14 +44,15 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, pieces: list[tuple[str, float]], cap: int = 300_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], cap: int = 1_000_000) -> None:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.lowest = min((s for _, s in pieces), default=0.0)
         self.splits = not any(META in p.lstrip(META) for p, _ in pieces)
-        self.cap, self.words = cap, {}
+        # Words that are remembered, as arrays: pieces, score, whether the first and the last piece are unknown.
+        self.cap, self.known = cap, (pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, bool))
 
     def count(self, text: str) -> tuple[int, float, bool, bool]:
         """Pieces and score of a text whose spaces are meta symbols, and whether it starts and ends with an unknown."""
@@ -84,6 +85,19 @@ class Counter:
         count, score, _, _ = self.count(META + text.replace(" ", META))
         return count, score
 
+    def remembered(self, words: pa.Array) -> list[np.ndarray]:
+        """count() of distinct words; only those that are not remembered are counted. When `cap` words are, the last batch's stay."""
+        names, *columns = self.known
+        at = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        found = [self.count(META + k) for k in fresh.to_pylist()]
+        at[new] = len(names) + np.arange(len(new))
+        columns = [np.concatenate([c, np.array([f[i] for f in found], c.dtype)]) for i, c in enumerate(columns)]
+        here = [c[at] for c in columns]
+        self.known = (pa.concat_arrays([names, fresh]), *columns) if len(names) + len(new) <= self.cap else (words, *here)
+        return here
+
     def totals(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         text = pc.fill_null(column.cast(pa.large_string()), "")
         if not self.splits:
@@ -93,22 +107,14 @@ class Counter:
         whole = pc.match_substring_regex(text, f"  |^ | $|{META}").to_numpy(zero_copy_only=False)
         cut = pc.split_pattern(text, " ")
         words = cut.flatten().dictionary_encode()
-        if len(self.words) > self.cap:
-            self.words.clear()
-        keys = words.dictionary.to_pylist()
-        for k in keys:
-            if k not in self.words:
-                self.words[k] = self.count(META + k)
-        found = [self.words[k] for k in keys]
         codes, bounds = np.asarray(words.indices), np.asarray(cut.offsets)
-        pieces = np.array([f[0] for f in found], np.int64)[codes]
         # An unknown end meets an unknown start: one piece. A start is the meta symbol, which is mostly known.
-        opens, closes = np.array([f[2] for f in found], bool)[codes], np.array([f[3] for f in found], bool)[codes]
+        pieces, worth, opens, closes = (c[codes] for c in self.remembered(words.dictionary))
         joined = np.zeros(len(codes), np.int64)
         joined[1:] = opens[1:] & closes[:-1]
         joined[bounds[:-1][bounds[:-1] < len(codes)]] = 0
         counts = np.concatenate([[0], np.cumsum(pieces - joined)])
-        scores = np.concatenate([[0.0], np.cumsum(np.array([f[1] for f in found], np.float64)[codes])])
+        scores = np.concatenate([[0.0], np.cumsum(worth)])
         n, s = counts[bounds[1:]] - counts[bounds[:-1]], scores[bounds[1:]] - scores[bounds[:-1]]
         for i in np.flatnonzero(whole):
             n[i], s[i] = self.total(text[int(i)].as_py())
