@@ -4,8 +4,8 @@ Every rule is evaluated once per document. The ledger keeps the measurements and
 named, versioned mask over those bits, so policies can be applied, compared and ablated later without reading a text
 again.
 
-Nulls, ties and repeats: a null text has no words and fails `too_short`; every row gets a ledger row. Other columns are
-not read.
+Nulls, ties and repeats: a null text has no words and fails `too_short`; every row gets a ledger row, a null id too. Very
+long texts are measured whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +40,24 @@ def _let(value: Column, body) -> Column:
 
 
 def repeated_words(words: Column, span: int = 8) -> Column:
-    """Words that lie in a span-word window which occurs twice or more. Windows are told apart by 64-bit hashes."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (span - 1)), lambda i: F.xxhash64(F.slice(words, i, span)))
+    """Words that lie in a span-word window which occurs twice or more; span is a power of two.
+
+    Windows are told apart by 64-bit hashes. A window's hash is that of its halves' hashes, so each word is read once and
+    a window of 8 takes three steps.
+    """
+    if span & (span - 1):
+        raise ValueError("a window's words must be a power of two")
+
+    def doubled(width: int):
+        def both(h: Column) -> Column:
+            n = F.size(h) - width
+            return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
+
+        return both
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for step in range(span.bit_length() - 1):
+        hashes = _let(hashes, doubled(1 << step))
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -55,7 +71,7 @@ def repeated_words(words: Column, span: int = 8) -> Column:
 
     none = F.lit(0).cast("long")
     any_twice = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(none))
-    return F.when(F.size(words) >= 2 * span - 7, any_twice).otherwise(none)
+    return F.when(F.size(words) > span, any_twice).otherwise(none)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -95,16 +111,18 @@ def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[version])).cast("long")) == 0)
 
 
-def ablations(rows: DataFrame, version: str = "v2") -> DataFrame:
-    """Per rule of a policy: rule, fails (documents that fail it), only (documents that only it removes). One bitwise aggregation."""
-    whole = mask(POLICIES[version])
-    own = F.col("failed").bitwiseAND(F.lit(whole).cast("long"))
-    one = rows.agg(*[
-        x
-        for r in POLICIES[version]
-        for x in (F.count_if(own.bitwiseAND(F.lit(mask((r,))).cast("long")) != 0).alias(f"{r}_f"), F.count_if(own == mask((r,))).alias(f"{r}_o"))
-    ])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_f").alias("fails"), F.col(f"{r}_o").alias("only")) for r in POLICIES[version]])).alias("x")).select("x.*")
+def ablations(rows: DataFrame, versions: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """Per policy version and rule: version, rule, fails (documents that fail it), only (documents that only it removes), removed (documents the policy removes).
+
+    The ledger is summed to one row per distinct mask, at most 2**rules; policies and rules are bits of those masks.
+    """
+    masks = rows.groupBy("failed").agg(F.count("*").alias("n"))
+    tests = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(r).alias("rule"), F.lit(mask((r,))).cast("long").alias("bit"), F.lit(mask(POLICIES[v])).cast("long").alias("all")) for v in versions for r in POLICIES[v]])
+    each = masks.select("failed", "n", F.explode(tests).alias("t")).select("n", "t.*", F.col("failed").bitwiseAND(F.col("t.all")).alias("own"))
+    counted = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    return each.groupBy("version", "rule").agg(
+        counted(F.col("own").bitwiseAND(F.col("bit")) != 0).alias("fails"), counted(F.col("own") == F.col("bit")).alias("only"), counted(F.col("own") != 0).alias("removed")
+    )
 
 
 def op10_quality(docs: DataFrame) -> DataFrame:
