@@ -9,7 +9,9 @@ Template: `<|role|>`, newline, text, `<|end|>`, newline. Inside texts and roles
 entities (`|` too in roles), so no control string can occur there, and reading back undoes it exactly.
 
 Nulls, ties and repeats: null texts and roles are empty; rows of equal turn follow each other by role and text; repeated
-rows are turns of their own; a null conversation id is a conversation of its own. Other columns are not read.
+rows are turns of their own; a null conversation id is a conversation of its own; rows of a given conversation -1 join the
+probe that op6_chat adds under that id. Very long texts are formatted whole. An empty table gives the probe alone. Other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_ngram_join": op2_ngram_join,
@@ -68,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "quality_ablations": quality_ablations,
 }
 

@@ -7,7 +7,7 @@ WORDS = f"list_filter(string_split_regex({{}}, '{SPACE}'), lambda w: w <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') AS g FROM w, range(1, 100000) t(i) WHERE i <= greatest(len(ws) - 3, least(len(ws), 1))),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1), lambda i: array_to_string(ws[i:i+3], ' '))) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
@@ -30,7 +30,7 @@ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS lo
 CAST(sum(length({SAFE.format('text')}) + length(replace({SAFE.format('role')}, '|', '&#124;')) + 13) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
 OP10 = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+7], ' ')) AS n FROM w, range(1, 100000) t(i) WHERE i <= len(ws) - 7),
+e AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+7], ' ')) AS n FROM e),
 r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM g, range(8) t(j) WHERE n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
 u AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE length(regexp_replace(line, '{SPACE}', '', 'g')) > 0 GROUP BY doc_id),
@@ -41,4 +41,8 @@ f AS (SELECT *, CAST(n_words < 20 AS BIGINT) + CAST(100 * n_repeat_words > 30 *
 + CAST(n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS BIGINT) * 16 + CAST(n_letters = 0 AS BIGINT) * 32 AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f"""
 
-SQL = {"op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
+RULES = [("v1", 0, "too_short", 3), ("v1", 1, "repeats_itself", 3)] + [("v2", i, r, 63) for i, r in enumerate(("too_short", "repeats_itself", "symbols", "repeated_lines", "odd_word_length", "no_letters"))]
+ABLATIONS = f"""WITH q AS ({OP10}), t(version, bit, rule, mask) AS (VALUES {", ".join(f"('{v}', {1 << i}, '{r}', {m})" for v, i, r, m in RULES)})
+SELECT version, rule, count(*) FILTER (failed & bit <> 0) AS fails, count(*) FILTER (failed & mask = bit) AS only, count(*) FILTER (failed & mask <> 0) AS removed FROM t LEFT JOIN q ON true GROUP BY ALL"""
+
+SQL = {"quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import defaultdict
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -73,6 +75,72 @@ def test_pipeline_stages(spark, docs, rows, empty, tmp_path):
     assert langid.KEPT == 300
 
 
+def plain_mix(rows):
+    """Rows of doc_id, text, source as often as they are taken, by sorting and counting."""
+    import hashlib as h
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    per = defaultdict(int)
+    for _, t, s in rows:
+        per[s] += size(t)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(per, key=lambda s: (s is None, s or "")))}
+    left, open_, target = 1.5 * sum(per.values()), set(per), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * per[s]}
+        target |= {s: 2 * per[s] for s in full} if full else {s: level * weight[s] for s in open_}
+        left -= sum(2 * per[s] for s in full)
+        open_ = open_ - full if full else set()
+    out = []
+    for s in per:
+        mine = [(int(h.md5(str(d).encode()).hexdigest()[:12], 16), d, t) for d, t, x in rows if x == s]
+        times = int(target[s] // per[s]) if per[s] else 0
+        budget, used, edge = target[s] - times * per[s], 0, 0
+        if budget < per[s]:
+            for value in sorted({m[0] for m in mine}):
+                used += sum(size(t) for v, _, t in mine if v == value)
+                if used > budget:
+                    edge = value
+                    break
+        out += [(d, t) for v, d, t in mine for _ in range(times + (v < edge))]
+    return out
+
+
+def test_run_equals_brute_force(spark, docs, rows, tmp_path):
+    """The five stages in plain Python: which documents go, how texts change, how often rows are taken, and every id's place."""
+    import corpus_pipeline
+    from brindle.llm import pii
+    import test_documents as plain
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    predict = plain.plain_languages([r[:3] for r in rows])
+    known = [r for r in rows if (found := predict(r[1]))[0] != "und" and found[1] >= corpus_pipeline.LEAST_SCORE]
+    assert 10 < len(known) < len(rows)
+    groups = plain.brute_components(known, 5, 80)
+    one = [r for r in known if groups[r[0]][1] == r[0]]
+    assert len(one) < len(known)
+    field = pii.fit_field(spark.createDataFrame([(r[0], r[1]) for r in one], "doc_id long, text string"))
+    clean = [(r[0], pii.masked(r[1], field.spans(r[1], plain.base_by_regex(r[1]))), r[3]) for r in one]
+    assert any("[EMAIL]" in t for _, t, _ in clean)
+    taken = plain_mix(clean)
+    coder = plain.tokenizers.Tokenizer.from_file(plain.vocabulary("word_bpe_49k.json"))
+    want = Counter()
+    ids = {}
+    for d, t in taken:
+        ids[d] = [*coder.encode(t, add_special_tokens=False).ids, 1]
+        want.update((d, i) for i in range(len(ids[d])))
+    got, places = Counter(), defaultdict(list)
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        part = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)) == p["ids_crc32"] and p["doc_tokens"] == len(ids[p["doc_id"]])
+        got.update((p["doc_id"], p["start"] + i) for i in range(p["length"]))
+        places[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert got == want
+    for parts in places.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] & (ends[-1] - 1) == 0 and ends[-1] <= 2048
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_sql_agrees(spark):
     import duckdb
