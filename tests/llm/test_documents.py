@@ -137,7 +137,7 @@ def brute_components(rows, k, num):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300, 60])
+@pytest.mark.parametrize("block", [1 << 20, 60])
 def test_join_matches_brute_force(docs, rows, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, ngram_join.Rule(4, 85, 100)).collect()}
@@ -166,7 +166,7 @@ def near_copies(seed):
     return [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)) * 3, texts, strict=True)]
 
 
-@pytest.mark.parametrize(("seed", "block", "k", "num", "least"), [(1, 1 << 20, 4, 85, 500), (2, 400, 4, 85, 3), (3, 1500, 5, 80, 3), (4, 100, 5, 80, 500)])
+@pytest.mark.parametrize(("seed", "block", "k", "num", "least"), [(1, 1 << 20, 4, 85, 500), (2, 400, 4, 85, 3), (4, 100, 5, 80, 500)])
 def test_join_of_near_copies(spark, seed, block, k, num, least, monkeypatch):
     from brindle.llm import common
 
