@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.batch import with_row_id
@@ -22,21 +22,37 @@ def overlaps(tokens: DataFrame, queries: DataFrame, pool: int = 1000, other: boo
     and keeps `pool` a query, however hot a token is: the pairs of a token are never rows. Ties go to the smaller id.
     """
     spark = tokens.sparkSession
-    listed = lambda df: df.select(F.col("uid").cast("long").alias("uid"), F.col("token").cast("string").alias("token")).where("token IS NOT NULL").groupBy("uid").agg(F.collect_set("token").alias("tokens"))
+    # A fixed number of partitions: coalesced by their few bytes, the counting below would have few tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(df: DataFrame) -> DataFrame:
+        named = df.select(F.col("uid").cast("long").alias("uid"), F.col("token").cast("string").alias("token")).where("token IS NOT NULL")
+        return named.repartition(parts, "uid").groupBy("uid").agg(F.collect_set("token").alias("tokens"))
+
     path, schema = scratch(spark, "overlaps"), "query long, candidate long, overlap long, nq int, nc int"
     for name, df in (("users", tokens), ("queries", queries)):
         listed(df).write.parquet(f"{path}/{name}")
     users = spark.read.parquet(f"{path}/users")
-    numbered = with_row_id(spark.read.parquet(f"{path}/queries"), ["uid"])
-    for at in range(0, max(1, numbered.count()), block):
-        held = numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).select("uid", "tokens").collect()
+    for at, held in enumerate(_blocks(spark.read.parquet(f"{path}/queries"), "uid", block)):
         met = users.mapInArrow(_overlapping([r["uid"] for r in held], [r["tokens"] for r in held], pool, other), schema)
-        met.write.parquet(f"{path}/met/block={at // block}")
+        met.write.parquet(f"{path}/met/block={at}")
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("overlap").desc(), "candidate"))
     every = spark.read.schema(schema).parquet(f"{path}/met").select("query", "candidate", "overlap", "nq", "nc")
     return every.withColumn("_p", first).where(F.col("_p") <= pool).drop("_p")
 
 
+def _blocks(queries: DataFrame, key: str, block: int) -> Iterator[list[Row]]:
+    """A stated query set in lists of at most `block` rows; only one is held at a time. Without queries, one empty list."""
+    first = queries.limit(block + 1).collect()
+    if len(first) <= block:
+        yield first
+        return
+    del first
+    numbered = with_row_id(queries, [key])
+    for at in range(0, numbered.count(), block):
+        yield numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).collect()
+
+
 def _overlapping(ids: list[int], tokens: list[list[str]], pool: int, other: bool, most: int = 1 << 20):
     """The `pool` largest overlaps of each query among a task's users. A step expands about `most` list entries and four times as many pairs at most."""
     sizes = np.array([len(x) for x in tokens], np.int64)
@@ -147,12 +163,11 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int =
     spark = vectors.sparkSession
     path = scratch(spark, "nearest")
     schema = "query long, candidate long, score double"
-    numbered = with_row_id(queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")), ["q"])
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    for at in range(0, max(1, numbered.count()), block):
-        held = numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).select("q", "v").collect()
+    for at, held in enumerate(_blocks(asked, "q", block)):
         found = rows.mapInArrow(_nearest(np.array([r["q"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64), k), schema)
-        found.write.parquet(f"{path}/block={at // block}")
+        found.write.parquet(f"{path}/block={at}")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "candidate"))
     every = spark.read.schema(schema).parquet(path).select("query", "candidate", "score")
     return every.withColumn("place", place).where(F.col("place") <= k)

@@ -13,6 +13,7 @@ from brindle.operators import sequences as Q
 from brindle.operators import similar as U
 from brindle.plans import views as V
 from brindle.plans.registry import query
+from brindle.session import scratch
 from brindle.sources import io
 
 
@@ -285,7 +286,10 @@ def _tokens(t, last: int | None, prefix: bool = False, index: int | None = None,
         rows = rows.join(first(0, index).unionByName(first(1, most)), "uid", "left_semi")
     ids = F.col("hist_pid") if last is None else F.slice("hist_pid", F.greatest(F.size("hist_pid") - last + 1, F.lit(1)), F.lit(last))
     token = F.floor(F.col("pid") / 4) if prefix else F.col("pid")
-    split = rows.select("uid", "split", F.explode(ids).alias("pid")).select("uid", "split", token.alias("token"))
+    path = scratch(t.spark, "tokens")
+    # Both sides come from one pass over the histories.
+    rows.select("uid", "split", F.explode(ids).alias("pid")).select("uid", "split", token.alias("token")).write.partitionBy("split").parquet(path)
+    split = t.spark.read.schema("uid long, token long, split int").parquet(path)
     return split.where("split = 0").select("uid", "token"), split.where("split = 1").select("uid", "token")
 
 
