@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import audio, chat, langid, mixing, ngram_join, packing, pii, quality, token_orc, viterbi
+from brindle.llm import audio, chat, filter_audit, langid, mixing, ngram_join, packing, pii, quality, token_orc, viterbi
 from brindle.llm.common import table
 from brindle.llm.sql import SQL as SQL
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op13_filter_audit(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op13_filter_audit": op13_filter_audit,
     "quality_ablations": quality_ablations,
 }
 

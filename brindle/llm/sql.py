@@ -45,4 +45,17 @@ RULES = [("v1", 0, "too_short", 3), ("v1", 1, "repeats_itself", 3)] + [("v2", i,
 ABLATIONS = f"""WITH q AS ({OP10}), t(version, bit, rule, mask) AS (VALUES {", ".join(f"('{v}', {1 << i}, '{r}', {m})" for v, i, r, m in RULES)})
 SELECT version, rule, count(*) FILTER (failed & bit <> 0) AS fails, count(*) FILTER (failed & mask = bit) AS only, count(*) FILTER (failed & mask <> 0) AS removed FROM t LEFT JOIN q ON true GROUP BY ALL"""
 
-SQL = {"quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
+OP13 = f"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS INT)
++ 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS INT) AS failed, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+f(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT f.x || g.x || h.x || i.x || j.x AS filter_order, [f.b, g.b, h.b, i.b, j.b] AS bits FROM f, f g, f h, f i, f j WHERE f.b | g.b | h.b | i.b | j.b = 31),
+s AS (SELECT filter_order, k AS step, substr(filter_order, k, 1) AS x, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS ahead FROM o, range(1, 6) r(k)),
+r AS (SELECT part, filter_order, step, x, sum(n) FILTER (failed & (ahead | bit) = 0) AS kept, sum(n) FILTER (failed & ahead = 0 AND failed & bit <> 0) AS removed, sum(n) FILTER (failed & ahead <> 0 AND failed & bit <> 0) AS redundant,
+sum(n) FILTER (failed = bit) AS unique_fails, sum(good) FILTER (failed & ahead = 0 AND failed & bit <> 0) AS good_lost, sum(toxic) FILTER (failed & ahead = 0 AND failed & bit <> 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM r"""
+
+SQL = {"op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
