@@ -45,6 +45,28 @@ RULES = [("v1", 0, "too_short", 3), ("v1", 1, "repeats_itself", 3)] + [("v2", i,
 ABLATIONS = f"""WITH q AS ({OP10}), t(version, bit, rule, mask) AS (VALUES {", ".join(f"('{v}', {1 << i}, '{r}', {m})" for v, i, r, m in RULES)})
 SELECT version, rule, count(*) FILTER (failed & bit <> 0) AS fails, count(*) FILTER (failed & mask = bit) AS only, count(*) FILTER (failed & mask <> 0) AS removed FROM t LEFT JOIN q ON true GROUP BY ALL"""
 
+CRC = "list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+OP12 = f"""WITH RECURSIVE z AS (SELECT {CRC} AS crc),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT o.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fate FROM o, z),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]+', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE fate <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, left(role, 1) AS x, regexp_replace(text, '{SPACE}', '', 'g') AS solid FROM d),
+e AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair FROM p),
+s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM e GROUP BY conv_id),
+ins(g, g1, added) AS (VALUES (0, 0, ''), (1, 1, ''), (2, 2, ''), (3, 3, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 2, 'I'), (1, 3, 'II'), (2, 3, 'I'), (3, 2, 'I')),
+arc(g1, g2, x, label, price) AS (VALUES (0, 1, 's', 'K', 0), (0, 2, 'u', 'K', 0), (1, 2, 'u', 'K', 0), (2, 3, 'a', 'K', 0), (3, 2, 'u', 'K', 0), (0, 2, NULL, 'R', 1), (1, 2, NULL, 'R', 1), (2, 3, NULL, 'R', 1), (3, 2, NULL, 'R', 1), (0, 0, NULL, 'D', 2), (1, 1, NULL, 'D', 2), (2, 2, NULL, 'D', 2), (3, 3, NULL, 'D', 2)),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS g, {{'c': 0, 'a': ''}} AS best FROM o
+UNION ALL SELECT w.conv_id, e.i, arc.g2, min({{'c': best.c + 5 * length(added) + price + CASE WHEN fault = 'truncated' AND label <> 'D' THEN 5 ELSE 0 END, 'a': best.a || added || label}})
+FROM w JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 JOIN ins USING (g) JOIN arc ON arc.g1 = ins.g1 AND coalesce(arc.x, e.x) = e.x AND (label = 'D' OR fault NOT IN ('blank', 'duplicate')) GROUP BY w.conv_id, e.i, arc.g2),
+b AS (SELECT w.conv_id, min({{'c': best.c + 5 * length(added), 'a': best.a || added}}) AS best FROM w LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id JOIN ins USING (g) WHERE w.i = coalesce(n, 0) AND g1 IN (0, 3) GROUP BY w.conv_id),
+l AS (SELECT conv_id, unnest(string_split(best.a, '')) AS label, unnest(range(length(best.a))) AS k FROM b WHERE best.a <> ''),
+m AS (SELECT *, sum(CAST(label <> 'I' AS INT)) OVER (PARTITION BY conv_id ORDER BY k) AS i FROM l),
+q AS (SELECT m.conv_id, m.k, label, e.role, CASE WHEN label = 'I' THEN '' ELSE text END AS text, sum(CAST(label <> 'K' OR x <> 's' AS INT)) OVER (PARTITION BY m.conv_id ORDER BY m.k) AS said FROM m LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM m.conv_id AND e.i = m.i WHERE label <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN label = 'K' THEN role WHEN said % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS said FROM q GROUP BY conv_id)
+SELECT b.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM b LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
 OP13 = f"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
 d AS (SELECT part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS INT)
@@ -58,4 +80,4 @@ sum(n) FILTER (failed = bit) AS unique_fails, sum(good) FILTER (failed & ahead =
 SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
 CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM r"""
 
-SQL = {"op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
+SQL = {"op12_repair": OP12, "op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
