@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import audio, chat, filter_audit, langid, mixing, ngram_join, packing, pii, quality, repair, token_orc, viterbi
+from brindle.llm import audio, chat, filter_audit, langid, licenses, mixing, ngram_join, packing, pii, quality, repair, token_orc, viterbi
 from brindle.llm.common import table
 from brindle.llm.sql import SQL as SQL
 
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op11_licenses(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.op12_repair(table(spark, sf_dir, "conversations"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_licenses": op11_licenses,
     "op12_repair": op12_repair,
     "op13_filter_audit": op13_filter_audit,
     "quality_ablations": quality_ablations,
