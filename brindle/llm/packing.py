@@ -1,10 +1,10 @@
 """Packing along a space-filling curve: similar documents become neighbours in the training sequences.
 
 Each document's byte 4-grams are hashed into a vector, the vector is projected to a few dimensions, and the projected
-point's Hilbert index is the sort key. Rows are dealt to ranges of the curve that hold about as many bytes each; a piece
-of the curve with more bytes than a range, such as a large group of copies, is spread over several by a hash of id and
-text. Each range is sorted by key and packed as one stream: a sequence ends after exactly `size` ids. What is left at
-the end of a range is cut into sequences of powers of two, which need no padding.
+point's Hilbert index is the sort key. Rows are dealt to ranges of the curve that hold about as many bytes each, bounded
+by whole keys at every size of the table; only rows of one and the same key, such as a large group of copies, are spread
+over several ranges by a hash of id and text. Each range is sorted by key and packed as one stream: a sequence ends after
+exactly `size` ids. What is left at the end of a range is cut into sequences of powers of two, which need no padding.
 
 Nulls, ties and repeats: a null text is an empty document, which is one end id; a null id keeps its pieces; rows of equal
 key follow each other by a hash of id and text; every row is packed. Very long texts are cut over as many sequences as
@@ -19,14 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import released, slices, text_bytes, written
 from brindle.llm.encoding import encoder
 
-#: Bits of a curve key, its leading bits by which bytes are summed, the bytes of a range, and the most ranges.
-KEY, LEAD, RANGE, RANGES = 40, 18, 16 << 20, 100_000
+#: The bytes of a range, and the most ranges: beyond that they grow, which costs no memory as a range is streamed.
+RANGE, RANGES = 16 << 20, 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -83,20 +83,14 @@ def with_curve_key(docs: DataFrame) -> DataFrame:
 
 
 def in_curve_ranges(keyed: DataFrame) -> DataFrame:
-    """`doc_id, text, key` in partitions that are ranges of the curve of about equal bytes, each sorted by key.
+    """`doc_id, text, key, tie` in partitions that are ranges of the curve, each sorted by key.
 
-    Bytes are summed by the key's leading bits, at most 2**LEAD rows, which fix where each piece of the curve begins in the
-    sum of all bytes and so its range.
+    Ranges are bounded by whole keys, and by a hash only among rows of one key; Spark draws the bounds from a sample of the
+    rows, which is written first so that a repeated task meets the same rows.
     """
-    rows = written(keyed.withColumn("tie", F.xxhash64("doc_id", "text")).withColumn("lead", F.shiftright("key", KEY - LEAD)), "packing-keys")
-    sums = written(rows.groupBy("lead").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("bytes")), "packing-bytes")
-    total = sums.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    ranges = max(1, min(RANGES, -(-total // RANGE)))
-    first = F.sum("bytes").over(Window.orderBy("lead")) - F.col("bytes")
-    spread = F.shiftrightunsigned("tie", 11) / float(1 << 53)
-    place = F.floor((F.col("first") + F.col("bytes") * spread) * ranges / F.lit(max(total, 1)))
-    dealt = rows.join(F.broadcast(sums.select("lead", "bytes", first.alias("first"))), "lead").withColumn("range", F.least(place, F.lit(ranges - 1)).cast("int"))
-    return dealt.repartitionById(ranges, "range").sortWithinPartitions("key", "tie")
+    rows = written(keyed.withColumn("tie", F.xxhash64("doc_id", "text")), "packing-keys")
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("n")).first()["n"] or 0
+    return rows.repartitionByRange(max(1, min(RANGES, -(-total // RANGE))), "key", "tie").sortWithinPartitions("key", "tie")
 
 
 class _Stream:

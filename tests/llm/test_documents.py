@@ -698,12 +698,17 @@ def test_ablations_by_hand(spark):
     assert out["v2", "too_short"] == (4, 2, 6) and out["v2", "symbols"] == (2, 1, 6) and out["v2", "no_letters"] == (1, 1, 6) and out["v2", "repeated_lines"] == (0, 0, 6)
 
 
-def test_ranges_of_the_curve_are_even(spark, monkeypatch):
-    """A third of all rows are one text: it is spread over several ranges, and ranges hold similar bytes."""
-    monkeypatch.setattr(packing, "RANGE", 20_000)
+@pytest.mark.parametrize("size", [20_000, 600])
+def test_ranges_follow_the_curve(spark, monkeypatch, size):
+    """Ranges hold similar bytes and are apart on the curve but for rows of one key; a third of all rows are one text."""
+    monkeypatch.setattr(packing, "RANGE", size)
     rng = np.random.RandomState(2)
-    texts = ["the same text again and again"] * 1000 + [" ".join(f"{w:x}" for w in rng.randint(0, 10**6, rng.randint(1, 40))) for _ in range(2000)]
+    near = [f"{'alpha beta gamma delta ' * 8}{i}" for i in range(600)]  # one crowded stretch of the curve
+    texts = ["the same text again and again"] * 1000 + near + [" ".join(f"{w:x}" for w in rng.randint(0, 10**6, rng.randint(1, 40))) for _ in range(1400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    per = packing.in_curve_ranges(packing.with_curve_key(df)).groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("b")).collect()
+    per = packing.in_curve_ranges(packing.with_curve_key(df)).groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("b"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
     bytes_ = [r["b"] for r in per]
-    assert len(bytes_) >= 10 and max(bytes_) < 2.5 * sum(bytes_) / len(bytes_)
+    assert len(bytes_) >= 10 and max(bytes_) < 2.5 * sum(bytes_) / len(bytes_) + 4000
+    ranges = sorted((r["low"], r["high"]) for r in per)
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sum(a[1] == b[0] for a, b in zip(ranges, ranges[1:])) > 1  # the copies are spread
