@@ -1,15 +1,19 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field that makes labels consistent.
 
 Base spans come from four patterns (email, ip, card with a Luhn check, phone) and always stay. In every text a
-conditional random field over its candidate tokens (those with a digit or an '@', and repeats of tokens inside base
-spans) looks for further mentions: neighbouring candidates share a chain potential, and repeated or similar tokens,
-however far apart, share a skip potential that favours one label. Loopy sum-product message passing runs over the whole
-text; a token outside base spans is added where its posterior reaches SURE. Evidence of a token's shape alone stays
-below even odds, so only agreement with other mentions or with neighbouring candidates adds a span. A run of candidates
-can agree by its chain potentials alone, so texts without base spans are inferred too; only a text without a candidate
-token needs no messages.
+conditional random field over its candidate tokens (those with a digit or an '@', and other spellings of base spans)
+looks for further mentions. Neighbouring candidates share a chain potential. Repeated or similar tokens, however far
+apart, share a skip potential that favours one label: a run of tokens whose letters and digits are those of a base span
+(a phone's also without its country code) is tied to that span, other repeats to the first of them. Loopy sum-product
+message passing runs over the whole text until no message moves by more than 1e-4, or for ROUNDS rounds; ties are stars,
+so a label reaches its repeats in two. Base labels are certain, however many repeats there are. A token outside base spans is added where its posterior reaches SURE. Evidence of
+a token's shape alone stays below even odds, so only agreement adds a span; where a token is tied to a base span, its
+shape may speak against it by FLOOR at most, so that agreement can win. A run of candidates can agree by its chain
+potentials alone, so texts without base spans are inferred too; only a text without a candidate token needs no messages.
 
 Potentials are fitted in closed form (piecewise) to the base labels of a sample of at most `sample` expected documents.
+For the skip potential each base span that has an earlier one of equal key is masked, and it is counted how often that
+one's label is right; AGREE is counted before any table is seen.
 
 Nulls, ties and repeats: a null text has no spans and stays null; a null id keeps its row; spans are sorted by kind, then
 start; every row has a result, of its whole text. An empty table gives no rows. Other columns are not read (redaction
@@ -31,7 +35,11 @@ from pyspark.sql import functions as F
 from brindle.llm.common import released, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
-SURE, ROUNDS, DAMP, SHAPE_CAP, CERTAIN = 0.8, 12, 0.3, -1.0, 8.0
+SURE, ROUNDS, DAMP, SHAPE_CAP, FLOOR, CERTAIN = 0.8, 100, 0.3, -1.0, -1.5, 1e9
+#: Prior counts of repeats that are something else, and that are personal data too.
+AGREE = (1.0, 200.0)
+#: A mention's tokens at most, and the least digits by which a number is taken for a repeat.
+REACH, LEAST_DIGITS = 8, 7
 
 Span = tuple[int, int, int]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,6 +50,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
 PLAIN = re.compile(r"[^0-9A-Za-z]+")
+SPELT = re.compile(r"[\[({<]\s?(?:at|dot)\s?[\])}>]", re.IGNORECASE)
 EDGES = ".,;:!?\"'()[]<>{}#*$%&|"
 
 
@@ -81,46 +90,92 @@ def _shape(token: str) -> str:
     return f"{size}{'@' in token:d}{'+' in token:d}{'.' in token[1:-1]:d}{'-' in token:d}{any(c.isalpha() for c in token):d}"
 
 
-def _key(token: str) -> str:
-    """Tokens are similar if their letters and digits agree; short ones say too little."""
-    plain = PLAIN.sub("", token).lower()
-    return plain if len(plain) >= 4 else ""
+def _plain(text: str) -> str:
+    """Letters and digits alone; a bracketed "at" or "dot" stands for its sign."""
+    return PLAIN.sub("", SPELT.sub("", text)).lower()
+
+
+def _key(text: str) -> str:
+    """Texts are similar if their letters and digits agree; short ones say too little."""
+    plain = _plain(text)
+    return plain if len(plain) >= (LEAST_DIGITS if plain.isdigit() else 4) else ""
+
+
+def _forms(kind: int, key: str) -> list[str]:
+    """The keys under which a base span may be repeated."""
+    national = [key[n:] for n in (1, 2, 3)] if KINDS[kind] == "phone" else []
+    return [key, *(f"{zero}{x}" for x in national if len(x) > LEAST_DIGITS for zero in ("", "0"))]
+
+
+def _ties(words: list[str], label: list[int], hubs: dict[str, int]) -> dict[int, int]:
+    """Token -> the base span's token it repeats: runs of unlabelled tokens that spell a base span's key."""
+    begun = {key[:n] for key in hubs for n in range(len(key) + 1)}
+    ties: dict[int, int] = {}
+    at = 0
+    while at < len(words):
+        joined, last, hub = "", at, None
+        for j in range(at, min(at + REACH, len(words))):
+            plain = "" if label[j] else _plain(words[j])
+            joined += plain
+            if label[j] or not joined or joined not in begun:
+                break
+            if plain and joined in hubs:
+                last, hub = j, hubs[joined]
+        if hub is not None:
+            ties.update((j, hub) for j in range(at, last + 1))
+        at = last + 1
+    return ties
 
 
 class Graph:
-    """Candidate tokens of one text with their base labels, chain edges and skip edges."""
+    """Candidate tokens of one text with their base labels, chain edges and skip edges; a tied token's shape begins with '='."""
 
     def __init__(self, text: str, spans: list[Span]) -> None:
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        words = [text[a:b] for a, b in tokens]
         label = [0] * len(tokens)
         starts = np.array([t[0] for t in tokens], np.int64)
+        hubs: dict[str, int] = {}
         for kind, start, end in spans:
             first = max(int(np.searchsorted(starts, start, "right")) - 1, 0)
             for i in range(first, int(np.searchsorted(starts, end, "left"))):
                 if tokens[i][1] > start:
                     label[i] = kind + 1
-        named = {_key(text[a:b]) for (a, b), y in zip(tokens, label, strict=True) if y} - {""}
+            if key := _key(text[start:end]):
+                for form in _forms(kind, key):
+                    hubs.setdefault(form, first)
+        ties = _ties(words, label, hubs) if hubs else {}
         self.at, self.where, self.labels, self.shapes = [], [], [], []
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
-        last: dict[str, int] = {}
-        for i, ((a, b), y) in enumerate(zip(tokens, label, strict=True)):
-            token = text[a:b]
-            if not (y or "@" in token or any(map(str.isdigit, token)) or (named and _key(token) in named)):
+        node: dict[int, int] = {}
+        repeats: list[tuple[int, int]] = []
+        seen: dict[str, int] = {}
+        for i, (word, y) in enumerate(zip(words, label, strict=True)):
+            if not (y or i in ties or "@" in word or any(map(str.isdigit, word))):
                 continue
-            key = _key(token)
-            n = len(self.at)
+            n = node[i] = len(self.at)
             if n and self.at[-1] == i - 1:
                 self.chain.append((n - 1, n))
-            if key:
-                # Each mention is tied to the one before it: as many edges as mentions.
-                if key in last:
-                    self.skip.append((last[key], n))
-                last[key] = n
+            if not y and i not in ties and (key := _key(word)):
+                if seen.setdefault(key, n) != n:
+                    repeats.append((seen[key], n))
             self.at.append(i)
-            self.where.append((a, b))
+            self.where.append(tokens[i])
             self.labels.append(y)
-            self.shapes.append(_shape(token))
+            self.shapes.append(("=" if i in ties else "") + _shape(word))
+        self.skip = [(node[hub], node[i]) for i, hub in ties.items()] + repeats
+
+
+def repeats_of(text: str, spans: list[Span]) -> Counter:
+    """How often a base span's kind is (True) and is not (False) that of the first base span of its key."""
+    first: dict[str, int] = {}
+    agreed: Counter = Counter()
+    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+        if key := _key(text[a:b]):
+            if key in first:
+                agreed[first[key] == kind] += 1
+            first.setdefault(key, kind)
+    return agreed
 
 
 class Field:
@@ -129,7 +184,7 @@ class Field:
     def __init__(self, counts: dict[tuple[str, str, str], int]) -> None:
         k = len(KINDS) + 1
         shapes: dict[str, np.ndarray] = {}
-        pairs, agree = np.ones((k, k)), [1.0, 1.0]
+        pairs, agree = np.ones((k, k)), list(AGREE)
         for (what, a, b), n in counts.items():
             if what == "shape":
                 shapes.setdefault(a, np.full(k, 0.5))[int(b)] += n
@@ -138,17 +193,18 @@ class Field:
             else:
                 agree[int(a)] += n
         self.unary = {s: np.minimum(np.log(v / v[0]), np.where(np.arange(k) > 0, SHAPE_CAP, 0.0)) for s, v in shapes.items()}
-        self.rest = np.where(np.arange(k) > 0, 2 * SHAPE_CAP, 0.0)
+        self.unary |= {"=" + s: np.maximum(v, FLOOR) for s, v in self.unary.items()}
+        self.rest = np.where(np.arange(k) > 0, FLOOR, 0.0)
         p = pairs / pairs.sum()
         self.chain = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0))), -2.0, 2.0)
-        self.skip = np.eye(k) * float(np.clip(np.log(agree[1] / agree[0]), 0.5, 4.0))
+        self.skip = np.eye(k) * float(np.clip(np.log(agree[1] / agree[0]), 0.5, 6.0))
 
     def posterior(self, graph: Graph) -> np.ndarray:
         k, n = len(KINDS) + 1, len(graph.at)
         unary = np.array([self.unary.get(s, self.rest) for s in graph.shapes]).reshape(n, k)
         for i, y in enumerate(graph.labels):
             if y:
-                unary[i] = np.where(np.arange(k) == y, CERTAIN, 0.0)
+                unary[i] = np.where(np.arange(k) == y, 0.0, -CERTAIN)
         edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
         if not len(edges):
             belief = unary
@@ -214,10 +270,11 @@ def fit_field(docs: DataFrame, sample: int = 5000) -> Field:
         for batch in slices(batches, 4096, 16):
             seen: Counter = Counter()
             for text in texts(batch.column(0)):
-                graph = Graph(text, base_spans(text))
-                seen.update(("shape", s, str(y)) for s, y in zip(graph.shapes, graph.labels, strict=True))
+                base = base_spans(text)
+                graph = Graph(text, base)
+                seen.update(("shape", s.lstrip("="), str(y)) for s, y in zip(graph.shapes, graph.labels, strict=True))
                 seen.update(("chain", str(graph.labels[a]), str(graph.labels[b])) for a, b in graph.chain)
-                seen.update(("skip", str(int(graph.labels[a] == graph.labels[b])), "") for a, b in graph.skip if graph.labels[a] or graph.labels[b])
+                seen.update({("skip", str(int(same)), ""): n for same, n in repeats_of(text, base).items()})
             rows = [(*k, n) for k, n in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["what", "a", "b", "n"])
 

@@ -620,7 +620,7 @@ def exact_marginals(field, graph):
         score = sum(field.chain[y[a], y[b]] for a, b in graph.chain) + sum(field.skip[y[a], y[b]] for a, b in graph.skip)
         for i in range(n):
             given = graph.labels[i]
-            score += (pii.CERTAIN if y[i] == given else 0.0) if given else field.unary.get(graph.shapes[i], field.rest)[y[i]]
+            score += (0.0 if y[i] == given else -pii.CERTAIN) if given else field.unary.get(graph.shapes[i], field.rest)[y[i]]
         for i in range(n):
             total[i, y[i]] += np.exp(score)
     return total / total.sum(axis=1, keepdims=True)
@@ -668,6 +668,38 @@ def test_repeated_mentions_are_added(spark):
     df = spark.createDataFrame(list(enumerate(f"{t} end" for t in texts)), "doc_id long, text string")
     out = {r["doc_id"]: r for r in pii.op9_pii(df).collect()}
     assert all(out[i]["n_phone"] == 1 for i in range(40)) and all(not out[i]["spans"] for i in range(40, 60))
+    for i in range(40):
+        again = texts[i].index("1555010")
+        assert out[i]["spans"] == f"phone:5:{len('call +1 555 010 0200')},phone:{again}:{again + 11}"
+
+
+REPEATS = [
+    ("192.168.10.12", "192-168-10-12"), ("+15550100199", "15550100199"), ("+15550100199", "1-555-010-0199"), ("+15550100199", "(555) 010-0199"), ("+15550100199", "1 555 010 0199"), ("+44 20 7946 0958", "020 7946 0958"),
+    ("4111 1111 1111 1111", "4111.1111.1111.1111"), ("4111111111111111", "4111/1111/1111/1111"), ("jane.doe@example.com", "jane.doe[at]example.com"), ("jane.doe@example.com", "jane.doe (at) example (dot) com"),
+    ("jane.doe@example.com", "Jane.Doe(at)Example.com:"), ("4111 1111 1111 1111", "4111_1111_1111_1111"),
+]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_planted_repeats_under_a_field_of_the_table(spark):
+    """The field is fitted to the driver's documents. Other spellings of base data are added, in clean prose and among numbers; documents without base data stay as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.fit_field(docs)
+    hit = total = 0
+    for first, other in REPEATS:
+        for times in (1, 3, 10, 40):
+            for before, after in (("and later", "was seen"), ("in 1999", "apples 12"), ("see", "")):
+                text = f"write {first} please " + "".join(f"some words here {before} {other} {after} " for _ in range(times))
+                spans = field.spans(text, base := pii.base_spans(text))
+                assert len(base) == 1
+                total += times
+                hit += sum(any(a <= m.start() and m.end() <= b for k, a, b in spans if k == base[0][0]) for m in re.finditer(re.escape(other.strip("(:")), text))
+    assert hit >= 0.9 * total
+    for r in docs.collect():
+        if r["text"] and not (base := pii.base_spans(r["text"])):
+            assert field.spans(r["text"], base) == []
+    other = "card 4111 1111 1111 1111 paid, order 4111 of 1111 pieces, 98765432101 and 1921681013, ip 192.168.10.12"
+    assert [other[a:b] for _, a, b in field.spans(other, pii.base_spans(other))] == ["192.168.10.12", "4111 1111 1111 1111"]
 
 
 # Odd rows
