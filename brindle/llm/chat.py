@@ -8,10 +8,14 @@ doubled pointers, and each path becomes one conversation.
 Template: `<|role|>`, newline, text, `<|end|>`, newline. Inside texts and roles `&`, `<` and `[` are written as
 entities (`|` too in roles), so no control string can occur there, and reading back undoes it exactly.
 
+Numbers are unique within a tree. A message whose parent is missing begins a path. Messages that answer each other in a
+circle have no root: pointers that still move after as many rounds as the number of messages allows are in one or lead to
+one, and the circle is cut above its smallest number, which becomes a root.
+
 Nulls, ties and repeats: null texts and roles are empty; rows of equal turn follow each other by role and text; repeated
-rows are turns of their own; a null conversation id is a conversation of its own; rows of a given conversation -1 join the
-probe that op6_chat adds under that id. Very long texts are formatted whole. An empty table gives the probe alone. Other
-columns are not read.
+rows are turns of their own; rows with a null conversation id can't be told to belong together, so each is a conversation
+of its own, and they are no hot key; rows of a given conversation -1 join the probe that op6_chat adds under that id. Very
+long texts are formatted whole. An empty table gives the probe alone. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +38,28 @@ def unescape(text: Column) -> Column:
     return F.replace(plain, F.lit("&amp;"), F.lit("&"))
 
 
+def without_circles(nodes: DataFrame, rounds: int) -> DataFrame:
+    """nodes with the parent of each circle's smallest number removed; no tree has more than 2**rounds messages."""
+    low = nodes.where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("up"), F.least("node", "parent").alias("low"))
+    for _ in range(rounds):
+        above = low.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
+        low = written(low.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.least("low", "low2").alias("low")), "chat-circles")
+    # After that many steps every pointer is on a circle, and every message of a circle is pointed at.
+    circles = low.select("tree", F.col("up").alias("node")).distinct().join(low.select("tree", "node", "low"), ["tree", "node"])
+    cut = circles.where("node = low").select("tree", "node", F.lit(True).alias("cut"))
+    whole = nodes.join(cut, ["tree", "node"], "left").withColumn("parent", F.when(F.col("cut").isNull(), F.col("parent")))
+    return written(whole.select(*nodes.columns), "chat-nodes")
+
+
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, leaf, node, depth of every message on the best `branches` paths of each tree; nodes: tree, node, parent, score."""
     start = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("score").cast("double").alias("score")), "chat-pointers")
     # Messages whose pointer has passed their root are done and join no further.
     going, now, jumps, zero = start.where("up IS NOT NULL"), start, [], F.lit(0)
+    rounds = max(start.count(), 1).bit_length()
     while going.limit(1).count():
+        if len(jumps) > rounds:
+            return chosen_paths(without_circles(nodes, rounds), branches)
         jumps.append(going.select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
         moved = going.join(above, ["tree", "up"], "left").select(
@@ -88,12 +108,34 @@ def read_back(output: DataFrame) -> DataFrame:
 
 def chains(conversations: DataFrame) -> DataFrame:
     """Linear conversations as trees: tree, node, parent, score, role, text; every message answers the one before it."""
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    alone = F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string"))
+    tree = F.coalesce(F.col("conv_id").cast("string"), alone)
     node = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long")
     placed = conversations.select(tree.alias("tree"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).withColumn("node", node)
     return placed.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
 
 
+def threads(conversations: DataFrame, width: int = 4) -> DataFrame:
+    """Reply trees of `width` conversations with neighbouring ids: the first message of the one with the smallest id is the
+    root, the first messages of the others answer it. A message scores one point per 16 characters; null ids are left out."""
+    given = conversations.where("conv_id IS NOT NULL")
+    group = F.floor(F.col("conv_id") / width).cast("long")
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    placed = given.select(group.alias("tree"), "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = placed.withColumn("node", F.row_number().over(Window.partitionBy("tree").orderBy(*order)).cast("long"))
+    place = F.row_number().over(Window.partitionBy("tree", "conv_id").orderBy("node"))
+    parent = F.when(place > 1, F.col("node") - 1).when(F.col("node") > 1, F.lit(1).cast("long"))
+    return placed.select(F.col("tree").cast("string").alias("tree"), "node", parent.alias("parent"), F.floor(F.length("text") / 16).cast("double").alias("score"), "role", "text")
+
+
+def best_branches(conversations: DataFrame, branches: int = 2) -> DataFrame:
+    """tree, leaf, n_turns, turns_sha256 of the best branches of each thread, read back from the formatted output."""
+    messages = written(threads(conversations), "chat-messages")
+    output = formatted(chosen_paths(messages.select("tree", "node", "parent", "score"), branches), messages.select("tree", "node", "role", "text"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_back(output).select(F.col("tree").cast("long").alias("tree"), "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"))
+
+
 def op6_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     probe = spark.sql("SELECT -1L conv_id, t turn, r role, '</s>[INST] ok [/INST]' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     messages = written(chains(conversations.select("conv_id", "turn", "role", "text").unionByName(probe)), "chat-messages")
@@ -102,7 +144,7 @@ def op6_chat(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")
     return back.select(
-        F.when(F.col("tree") != "null", F.col("tree")).cast("long").alias("conv_id"),
+        F.when(~F.col("tree").startswith("null:"), F.col("tree")).cast("long").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(learned).cast("long").alias("loss_chars"),

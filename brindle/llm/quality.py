@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger, on DataFrame functions alone.
 
-Every rule is evaluated once per document. The ledger keeps the measurements and one bit per failed rule; a policy is a
-named, versioned mask over those bits, so policies can be applied, compared and ablated later without reading a text
-again.
+Every rule is evaluated once per document. The ledger is a written table of the measurements and one bit per failed rule; a
+policy is a named, versioned mask over those bits, so policies are applied, compared and ablated on the table without
+reading a text again.
 
 Nulls, ties and repeats: a null text has no words and fails `too_short`; every row gets a ledger row, a null id too. Very
 long texts are measured whole. An empty table gives no rows. Other columns are not read.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACES, word_array
+from brindle.llm.common import SPACES, word_array, written
 
 #: Rule name -> its test on a ledger's measurements. A rule's bit is its place here; places are never reused.
 RULES: dict[str, str] = {
@@ -106,6 +106,14 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("failed", failed.cast("long"))
 
 
+def store(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The ledger as a table at `path` (a new one in the shared folder if not given), read back from there."""
+    if path is None:
+        return written(ledger(docs), "quality-ledger")
+    ledger(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:
     """A ledger with `kept`: no rule of the policy failed."""
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(POLICIES[version])).cast("long")) == 0)
@@ -127,6 +135,6 @@ def ablations(rows: DataFrame, versions: tuple[str, ...] = tuple(POLICIES)) -> D
 
 def op10_quality(docs: DataFrame) -> DataFrame:
     base = F.lit(mask(BASE)).cast("long")
-    return apply_policy(ledger(docs)).select(
+    return apply_policy(store(docs)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed"
     )

@@ -70,7 +70,11 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+    return quality.ablations(quality.store(table(spark, sf_dir, "documents")))
+
+
+def chat_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.best_branches(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_licenses": op11_licenses,
     "op12_repair": op12_repair,
     "op13_filter_audit": op13_filter_audit,
+    "chat_branches": chat_branches,
     "quality_ablations": quality_ablations,
 }
 

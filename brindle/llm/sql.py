@@ -24,10 +24,18 @@ b AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor
 SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN times * source_size < target AND upto <= target - times * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM b"""
 
 SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
-OP6 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+OP6 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(length({SAFE.format('text')}) + length(replace({SAFE.format('role')}, '|', '&#124;')) + 13) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+CAST(sum(length({SAFE.format('text')}) + length(replace({SAFE.format('role')}, '|', '&#124;')) + 13) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id, alone"""
+
+BRANCHES = """WITH c AS (SELECT CAST(floor(conv_id / 4) AS BIGINT) AS tree, conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY CAST(floor(conv_id / 4) AS BIGINT) ORDER BY conv_id, turn NULLS FIRST, role, text) AS node FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, conv_id = min(conv_id) OVER (PARTITION BY tree) AS trunk, count(*) OVER (PARTITION BY tree, conv_id) AS n FROM c),
+p AS (SELECT n.tree, n.conv_id, r.node, r.role, r.text FROM n JOIN c r ON r.tree = n.tree AND (r.conv_id = n.conv_id OR r.node = 1) GROUP BY ALL),
+b AS (SELECT p.tree, p.conv_id, max(p.node) AS leaf, count(*) AS n_turns, sum(floor(length(p.text) / 16)) AS score, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY node)) AS turns_sha256 FROM p GROUP BY ALL),
+a AS (SELECT b.*, row_number() OVER (PARTITION BY b.tree ORDER BY score DESC, n_turns DESC, leaf) AS place FROM b JOIN (SELECT tree, conv_id, bool_and(trunk) AS trunk, min(n) AS n FROM n GROUP BY ALL) USING (tree, conv_id)
+WHERE NOT (trunk AND n = 1 AND (SELECT count(DISTINCT m.conv_id) FROM n m WHERE m.tree = b.tree) > 1))
+SELECT tree, leaf, n_turns, turns_sha256 FROM a WHERE place <= 2"""
 
 OP10 = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 e AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i+7], ' ')) AS n FROM e),
@@ -80,4 +88,4 @@ sum(n) FILTER (failed = bit) AS unique_fails, sum(good) FILTER (failed & ahead =
 SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
 CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM r"""
 
-SQL = {"op12_repair": OP12, "op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
+SQL = {"chat_branches": BRANCHES, "op12_repair": OP12, "op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}

@@ -42,6 +42,24 @@ def test_best_branch_of_a_reply_tree(spark):
     assert sorted((r["leaf"], r["node"]) for r in two) == [(4, 1), (4, 2), (4, 4), (6, 1), (6, 3), (6, 5), (6, 6)]
 
 
+def test_circles_and_orphans_end(spark):
+    """1 -> 2 -> 3 -> 1 with 4 answering 2 and 5 itself; 7 answers a message that is not there."""
+    data = [("a", 1, 3, 1.0), ("a", 2, 1, 1.0), ("a", 3, 2, 1.0), ("a", 4, 2, 9.0), ("b", 5, 5, 1.0), ("c", 7, 6, 1.0), ("c", 8, 7, 1.0), ("d", 1, None, 0.0)]
+    nodes = spark.createDataFrame(data, "tree string, node long, parent long, score double")
+    paths = defaultdict(list)
+    for r in sorted(chat.chosen_paths(nodes).collect(), key=lambda r: (r["tree"], r["depth"])):
+        paths[r["tree"]].append(r["node"])
+    assert paths == {"a": [1, 2, 4], "b": [5], "c": [7, 8], "d": [1]}
+
+
+def test_null_ids_stay_apart_and_long_conversations_are_whole(spark):
+    data = [(None, i % 3, "user", f"text {i % 4}") for i in range(50)] + [(9, t, "user" if t % 2 else "assistant", f"{t} " + "word " * 50) for t in range(3000)]
+    got = chat.op6_chat(spark, spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert sorted(r["n_turns"] for r in got if r["conv_id"] is None) == [1] * 50
+    (long,) = [r for r in got if r["conv_id"] == 9]
+    assert long["n_turns"] == 3000 and long["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in data[50:]).encode()).hexdigest()
+
+
 def test_empty_conversations(spark):
     out = chat.op6_chat(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect()
     assert [r["conv_id"] for r in out] == [-1]
@@ -148,7 +166,7 @@ def test_sql_agrees(spark):
     from brindle.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.SQL.items():
         df = queries.QUERIES[name](spark, SF)
