@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import chat
 
@@ -124,6 +125,23 @@ def plain_mix(rows):
     return out
 
 
+def test_columns_of_any_name(spark, docs):
+    """Names with dots and backticks, and names that stages use themselves, come through the four stages that carry columns."""
+    import corpus_pipeline
+
+    odd = ["a.b", "`tick`", "a b", "row", "key", "source_key", "copy", "range", "tie"]
+    now = docs.select("doc_id", "text", "lang", "source", "n_chars").where("text IS NOT NULL").toDF("doc_id", "text", "lang", "source", "n_chars")
+    for i, name in enumerate(odd):
+        now = now.select("*", F.lit(i).alias(name))
+    names = now.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == names
+    got = now.limit(5).collect()
+    assert got and all(tuple(r)[5:] == tuple(range(len(odd))) for r in got)
+    assert corpus_pipeline.packed(spark, now, "").count() > 0
+
+
 def test_run_equals_brute_force(spark, docs, rows, tmp_path):
     """The five stages in plain Python: which documents go, how texts change, how often rows are taken, and every id's place."""
     import corpus_pipeline
