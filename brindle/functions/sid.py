@@ -80,14 +80,33 @@ def partial_hit(predicted: Column, truth: Column) -> Column:
     return F.when(F.size(predicted) > 0, F.aggregate(levels, F.lit(0.0), lambda a, x: a + x) / F.size(predicted)).otherwise(F.lit(0.0))
 
 
-def hit(predicted: Column, truth: Column) -> Column:
-    return F.arrays_overlap(predicted, truth).cast("double")
+def named_codes(text: Column) -> Column:
+    """All triples of a text as they are written, in order; of a null none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(TRIPLE), F.lit(0)), F.expr("cast(array() as array<string>)"))
 
 
-def first_hit(predicted: Column, truth: Column) -> Column:
-    return F.coalesce(F.array_contains(truth, F.get(predicted, 0)), F.lit(False)).cast("double")
+def thought_through(text: Column) -> Column:
+    """What follows the first closing think tag; NULL unless both tags are there."""
+    closing = F.instr(text, THINK_CLOSE)
+    return F.when((closing > 0) & (F.instr(text, THINK_OPEN) > 0), F.substr(text, closing + len(THINK_CLOSE)))
 
 
-def pass_rate(predicted: Column, truth: Column) -> Column:
-    """Distinct predictions that are true, over all predictions with repeats."""
-    return F.when(F.size(predicted) > 0, F.size(F.array_intersect(predicted, truth)) / F.size(predicted)).otherwise(F.lit(0.0))
+def _agreement(said: Column, truth: Column, score) -> Column:
+    """score(predictions, truths), 0 where either is empty."""
+    p, t = named_codes(said), named_codes(truth)
+    return F.when((F.size(p) > 0) & (F.size(t) > 0), score(p, t).cast("double")).otherwise(F.lit(0.0))
+
+
+def hit_reward(prediction: Column, truth: Column) -> Column:
+    """Distinct predictions after the thought that are true, over all of them with repeats; 0 without a thought."""
+    return _agreement(thought_through(prediction), truth, lambda p, t: F.size(F.array_intersect(p, t)) / F.size(p))
+
+
+def first_hit_reward(prediction: Column, truth: Column) -> Column:
+    """1 if the first prediction after the thought is true; 0 without a thought."""
+    return _agreement(thought_through(prediction), truth, lambda p, t: F.array_contains(t, F.get(p, 0)))
+
+
+def pass_rate(prediction: Column, truth: Column) -> Column:
+    """1 if any triple of the whole prediction, its thought included, is true."""
+    return _agreement(prediction, truth, F.arrays_overlap)

@@ -36,6 +36,14 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     return placed.join(range_bases(placed, F.count("*")), "_rid_part").withColumn(name, F.col("_rid_base") + F.col("_rid_at")).drop("_rid_part", "_rid_at", "_rid_base")
 
 
+def with_running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """`name`: the sum of value over the rows before a row in the given order, summed up in parallel ranges."""
+    placed = in_ranges(df.withColumn("_value", value), order)
+    ahead = Window.partitionBy("_rid_part").orderBy("_rid_at").rowsBetween(Window.unboundedPreceding, -1)
+    based = placed.join(range_bases(placed, F.sum("_value")), "_rid_part")
+    return based.withColumn(name, F.col("_rid_base") + F.coalesce(F.sum("_value").over(ahead), F.lit(0))).drop("_rid_part", "_rid_at", "_rid_base", "_value")
+
+
 def take_slice(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:
     """Rows start, start + step, ... before stop."""
     return df.where((F.col("row_id") >= start) & (F.col("row_id") < stop) & (F.pmod(F.col("row_id") - start, F.lit(step)) == 0))

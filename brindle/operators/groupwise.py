@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import policy as P
+
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -206,3 +208,36 @@ def perplexity(df: DataFrame, row: str, logp: str, other: str) -> DataFrame:
     gap = F.col(other) - F.col(logp)
     per = df.groupBy(row).agg(F.avg(logp).alias("a"), F.avg(other).alias("b"), F.sum(-gap).alias("k1"), F.sum(F.exp(gap) - gap - 1).alias("k3"), F.count("*").alias("n"))
     return per.agg(F.avg(F.exp(-F.col("a"))).alias("ppl"), F.avg(F.exp(-F.col("b"))).alias("ppl_other"), F.avg(F.exp(F.col("a") - F.col("b"))).alias("ratio"), (F.sum("k1") / F.sum("n")).alias("kl"), (F.sum("k3") / F.sum("n")).alias("k3"))
+
+
+def masked_rloo(df: DataFrame, group: str, size: int, mask: str, token_scores: dict[str, float], outcomes: dict[str, float]) -> DataFrame:
+    """df with `returns` and `advantages` per token: leave-one-out over several reward sources, summed with their weights.
+
+    token_scores name array columns, rewards of every masked token; outcomes name numbers, the reward of the last masked
+    token. In a source each masked reward r becomes r * n / (n - 1) - sum of the samples' means / (n - 1), where a sample's
+    mean is over its masked tokens. Returns are sums from a token on; advantages are returns whitened over all masked tokens
+    of the table. Samples of groups that do not have `size` members, and samples without a masked token, are left out.
+    """
+    m = F.col(mask)
+    count = F.aggregate(m, F.lit(0), lambda a, x: a + x.cast("int"))
+    sources = [*token_scores, *outcomes]
+    means = [(P.masked_sum(F.col(c), m) / count).alias(f"_mean_{c}") for c in token_scores] + [F.col(c).cast("double").alias(f"_mean_{c}") for c in outcomes]
+    whole = Window.partitionBy(group)
+    rows = df.where(count > 0).select("*", *means).withColumn("_n", F.count("*").over(whole)).where(F.col("_n") == size)
+    based = rows.select("*", *[(F.sum(f"_mean_{c}").over(whole) / (size - 1)).alias(f"_base_{c}") for c in sources])
+    last = F.array_max(F.transform(m, lambda x, i: F.when(x == 1, i)))
+
+    def reward(i: Column) -> Column:
+        total = F.lit(0.0)
+        for c, w in token_scores.items():
+            total = total + w * (F.get(F.col(c), i) * (size / (size - 1)) - F.col(f"_base_{c}"))
+        for c, w in outcomes.items():
+            total = total + F.when(i == F.col("_last"), w * (F.col(c) * (size / (size - 1)) - F.col(f"_base_{c}"))).otherwise(F.lit(0.0))
+        return total
+
+    rewarded = based.withColumn("_last", last).withColumn("_reward", F.transform(m, lambda x, i: F.when(x == 1, reward(i)).otherwise(F.lit(0.0))))
+    returned = rewarded.withColumn("returns", P.suffix_sums(F.col("_reward"), F.transform(m, lambda x: F.lit(1))))
+    tokens = returned.select(F.explode(F.arrays_zip(F.col("returns").alias("x"), m.alias("m"))).alias("e")).where("e.m = 1")
+    stats = tokens.agg(F.avg("e.x").alias("_mean"), F.var_samp("e.x").alias("_var"))  # one row
+    whitened = returned.join(F.broadcast(stats)).withColumn("advantages", F.transform("returns", lambda x: (x - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8)))
+    return whitened.select(*df.columns, "returns", "advantages")

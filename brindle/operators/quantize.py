@@ -80,13 +80,17 @@ def decode(codes: DataFrame, key: str, table: DataFrame) -> DataFrame:
     """key, vector: the sum of the codes' centres."""
     each = codes.select(key, F.posexplode("codes").alias("layer", "code")).join(table, ["layer", "code"])
     parts = each.groupBy(key).agg(F.collect_list("centre").alias("c"))
-    return parts.select(key, F.aggregate(F.slice("c", 2, 1000), F.get("c", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("vector"))
+    return parts.select(key, F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.get("c", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("vector"))
+
+
+#: Keeps the relative error of a coordinate that is zero on both sides at zero.
+EPSILON = 1e-4
 
 
 def reconstruction_loss(df: DataFrame, vector: str, decoded: str) -> DataFrame:
-    """Mean squared error and relative L1 error over all coordinates."""
+    """Mean squared error, and mean over all coordinates of the error relative to the larger of both absolute values."""
     pairs = df.select(F.explode(F.arrays_zip(F.col(vector).alias("x"), F.col(decoded).alias("y"))).alias("p")).select("p.x", "p.y")
-    return pairs.agg(F.avg(F.pow(F.col("x") - F.col("y"), 2)).alias("mse"), (F.avg(F.abs(F.col("x") - F.col("y"))) / F.avg(F.abs("x"))).alias("relative_l1"))
+    return pairs.agg(F.avg(F.pow(F.col("x") - F.col("y"), 2)).alias("mse"), F.avg(F.abs(F.col("x") - F.col("y")) / (F.greatest(F.abs("x"), F.abs("y")) + EPSILON)).alias("relative_l1"))
 
 
 def vocabulary(spark: SparkSession, size: int, levels: str = "abc") -> DataFrame:

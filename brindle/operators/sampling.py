@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.batch import with_row_id
+from brindle.operators.batch import in_ranges, with_row_id, with_running
 
 
 def hash_order(seed: int, *keys: str) -> Column:
@@ -40,21 +40,44 @@ def shards(df: DataFrame, rows: int, order: list[str]) -> DataFrame:
     return placed.withColumn("shard", F.floor(F.col("_place") / rows)).drop("_place")
 
 
+#: Added to every resampling weight, so that each row can be drawn.
+LEAST_WEIGHT = 1e-8
+
+
+def score_weights(df: DataFrame, score: str, how: str, power: float = 2.0, name: str = "weight") -> DataFrame:
+    """df with a resampling weight by score: `pow` |score|**power, `max_min` 1 for the extremes and 0 else, `max_random` 0.4 for the greatest and 0.1 else."""
+    s = F.col(score)
+    if how == "pow":
+        return df.withColumn(name, F.pow(F.abs(s), F.lit(power)) + LEAST_WEIGHT)
+    ends = df.agg(F.max(score).alias("_top"), F.min(score).alias("_low"))  # one row
+    if how == "max_min":
+        weight = F.when((s == F.col("_top")) | (s == F.col("_low")), 1.0).otherwise(0.0)
+    elif how == "max_random":
+        weight = F.when(s == F.col("_top"), 0.4).otherwise(0.1)
+    else:
+        raise ValueError(f"no resampling weight is called {how}")
+    return df.join(F.broadcast(ends)).withColumn(name, weight + LEAST_WEIGHT).drop("_top", "_low")
+
+
 def resample_weighted(df: DataFrame, weight: Column, n: int, seed: int, key: str) -> DataFrame:
-    """n draws with replacement by weight. Draws are hashed uniforms, met with cumulative weights by bucketed ranges.
+    """n draws with replacement by weight; key is unique. A draw is a hashed uniform times the sum of weights.
 
-    Cumulative weights run over ranges of rows in parallel; the draws' bucket (a 1024th of the total) makes the range
-    join an equality join.
+    Rows are placed at their cumulative weight, in parallel ranges. Rows and draws are then sorted together, in ranges again,
+    and each draw takes the last row at or before it; a range hands its last row on to the next. Work is linear in rows and
+    draws, however unevenly weights are spread.
     """
-    rows = with_row_id(df.withColumn("_w", weight.cast("double")), [key], "_at")
-    block = rows.withColumn("_block", F.floor(F.col("_at") / 4096))
-    sums = block.groupBy("_block").agg(F.sum("_w").alias("_s"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    total = sums.agg(F.sum("_s").alias("_total"))
-    upto = F.sum("_w").over(Window.partitionBy("_block").orderBy("_at")) + F.col("_base")
-    spans = block.join(base.select("_block", "_base"), "_block").withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_w")).join(F.broadcast(total))
-    share = lambda c: F.floor(c / F.col("_total") * 1024)
-    wide = spans.withColumn("_bucket", F.explode(F.sequence(share(F.col("_lo")), share(F.col("_hi")))))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)).alias("_u"))
-    met = draws.withColumn("_bucket", F.floor(F.col("_u") * 1024)).join(wide, "_bucket").where((F.col("_u") * F.col("_total") >= F.col("_lo")) & (F.col("_u") * F.col("_total") < F.col("_hi")))
-    return met.select("draw", *df.columns)
+    weighted = df.select(F.col(key).alias("_key"), weight.cast("double").alias("_w")).where("_w > 0")
+    starts = with_running(weighted, ["_key"], F.col("_w"), "_pos")
+    total = weighted.agg(F.sum("_w").alias("_total"))  # one row
+    uniform = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform.alias("_u")).join(F.broadcast(total)).select("draw", (F.col("_u") * F.col("_total")).alias("_pos"))
+    both = starts.select("_pos", F.lit(0).alias("_kind"), F.struct("_key").alias("_row")).unionByName(draws.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    merged = in_ranges(both, ["_pos", "_kind", "draw"])
+    upto = Window.partitionBy("_rid_part").orderBy("_rid_at").rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range: the last row of the ranges before it.
+    ends = merged.where("_kind = 0").groupBy("_rid_part").agg(F.max_by("_row", "_rid_at").alias("_end"))
+    ranges = merged.select("_rid_part").distinct().join(ends, "_rid_part", "left")
+    before = ranges.select("_rid_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_rid_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    met = merged.withColumn("_row", F.last("_row", ignorenulls=True).over(upto)).where("_kind = 1").join(F.broadcast(before), "_rid_part")
+    chosen = met.select("draw", F.coalesce("_row", "_before")["_key"].alias("_key"))
+    return chosen.join(df.withColumn("_key", F.col(key)), "_key").select("draw", *df.columns)

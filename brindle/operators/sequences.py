@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from brindle.functions.arrays import let
+
 PACKS = "shard long, pack long, item long, start int, length int, position int"
 
 
@@ -159,15 +161,44 @@ def math_score(texts: pd.Series, truths: pd.Series) -> pd.Series:
     return pd.Series([float(t is not None and (x := boxed(t)) is not None and math_equal(x, y)) for t, y in zip(texts, truths, strict=True)])
 
 
-def point_score(text: Column, box: Column) -> Column:
-    """Pointing answers: JSON list of [x, y] inside the box 'x1,y1,x2,y2'. 1 / sqrt(place * points) for the first inside, 0 for none, -1 if
-    the list does not parse or has three or more points on one line."""
-    points = F.from_json(text, "array<array<double>>")
-    corner = F.transform(F.split(box, ","), lambda x: F.trim(x).try_cast("double"))
-    whole = lambda a, n: F.size(a).eqNullSafe(F.lit(n)) & F.coalesce(F.forall(a, lambda x: x.isNotNull()), F.lit(False))
-    valid = whole(corner, 4) & F.coalesce(F.forall(points, lambda p: whole(p, 2)), F.lit(False))
-    first, second = F.get(points, 0), F.get(points, 1)
-    on_line = lambda p: (second[0] - first[0]) * (p[1] - first[1]) == (second[1] - first[1]) * (p[0] - first[0])
-    line = (F.size(points) > 2) & F.forall(points, on_line)
-    place = F.array_position(F.transform(points, lambda p: p[0].between(corner[0], corner[2]) & p[1].between(corner[1], corner[3])), F.lit(True))
-    return F.when(~valid | line, F.lit(-1.0)).when(place > 0, 1 / F.sqrt(place * F.size(points))).otherwise(F.lit(0.0))
+def answer_after_thought(text: Column) -> Column:
+    """The trimmed answer after the one think block that a solution begins with; NULL if that is not its form."""
+    space, tags = "[\\s]+", {tag: (F.length(text) - F.length(F.replace(text, F.lit(tag), F.lit("")))) / len(tag) for tag in ("<think>", "</think>")}
+    trimmed = lambda c: F.regexp_replace(c, f"^{space}|{space}$", "")
+    thought = trimmed(F.substring_index(F.substr(text, F.lit(len("<think>") + 1)), "</think>", 1))
+    answer = trimmed(F.substring_index(text, "</think>", -1))
+    form = text.startswith("<think>") & (tags["<think>"] == 1) & (tags["</think>"] == 1) & (thought != "") & (answer != "")
+    return F.when(form, answer)
+
+
+def point_reward(solution: Column, box: Column, think: bool = True) -> Column:
+    """Pointing answers: (score, format, accuracy, num_pred, first_correct, is_collinear); box: (x1, y1, x2, y2).
+
+    An answer is a JSON list of objects, each with two numbers under point_2d. With n points of which the k-th is the first
+    inside the box, accuracy is 1 / sqrt(n * k), and -1 / n if none is. Another form, no points, or any three points on one
+    line give -1 for both accuracy and score; otherwise the score is 1 more than accuracy.
+    """
+    answer = answer_after_thought(solution) if think else solution
+    listed = lambda t: F.when(F.instr(t, "[") > 0, F.substr(t, F.instr(t, "[")))
+    objects = F.from_json(let(answer, listed), "array<struct<point_2d:array<double>>>")
+    whole = lambda p: F.size(p).eqNullSafe(F.lit(2)) & F.coalesce(F.forall(p, lambda x: x.isNotNull()), F.lit(False))
+    sound = lambda points: F.when(F.coalesce(F.forall(points, whole), F.lit(False)), points)
+
+    def on_line(a: Column, b: Column, c: Column) -> Column:
+        return let(F.array((b[1] - a[1]) * (c[0] - a[0]), (c[1] - a[1]) * (b[0] - a[0])), lambda x: F.abs(x[0] - x[1]) <= 1e-9 * F.greatest(F.abs(x[0]), F.abs(x[1])))
+
+    def seen(p: Column) -> Column:
+        after = lambda i: F.slice(p, i + 2, F.size(p))
+        line = F.exists(F.transform(p, lambda a, i: F.exists(F.transform(after(i), lambda b, j: F.exists(F.slice(p, i + j + 3, F.size(p)), lambda c: on_line(a, b, c))), lambda x: x)), lambda x: x)
+        inside = F.transform(p, lambda a: a[0].between(box["x1"], box["x2"]) & a[1].between(box["y1"], box["y2"]))
+        return F.struct(F.coalesce(line, F.lit(False)).alias("line"), F.coalesce(F.array_position(inside, F.lit(True)), F.lit(0)).alias("first"), F.coalesce(F.nullif(F.size(p), F.lit(-1)), F.lit(0)).alias("n"))
+
+    def judged(s: Column) -> Column:
+        fine = (s["n"] > 0) & ~s["line"]
+        raw = F.when(~fine, F.lit(-1.0)).when(s["first"] > 0, 1 / F.sqrt(s["first"] * s["n"])).otherwise(-1.0 / s["n"])
+        return F.struct(
+            (raw + fine.cast("double")).alias("score"), fine.cast("double").alias("format"), raw.alias("accuracy"), F.when(fine, s["n"]).otherwise(F.lit(0)).alias("num_pred"),
+            (fine & (s["first"] == 1)).cast("int").alias("first_correct"), s["line"].cast("int").alias("is_collinear"),
+        )
+
+    return let(let(let(objects, lambda o: sound(F.transform(o, lambda x: x["point_2d"]))), seen), judged)

@@ -7,18 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.batch import with_row_id
+from brindle.operators.batch import with_running
 from brindle.session import scratch
 
 
-def overlaps(tokens: DataFrame, queries: DataFrame, pool: int = 1000, other: bool = True, block: int = 4096) -> DataFrame:
-    """query, candidate, overlap, nq, nc: for a stated query set, the `pool` users of all with the largest token overlap.
+def overlaps(tokens: DataFrame, queries: DataFrame, pool: int | None = 1000, other: bool = True, block: int = 1 << 20) -> DataFrame:
+    """query, candidate, overlap, nq, nc: for a stated query set, the `pool` users of all with the largest token overlap, or all that share a token if pool is None.
 
     tokens and queries have (uid, token), repeats allowed. Each user's distinct tokens become one row, once. Queries go out
-    one block of at most `block` users at a time, as inverted lists; a task counts the overlaps of its users with the block
+    one block at a time, of about `block` tokens at most, as inverted lists; a task counts the overlaps of its users with the block
     and keeps `pool` a query, however hot a token is: the pairs of a token are never rows. Ties go to the smaller id.
     """
     spark = tokens.sparkSession
@@ -33,27 +33,28 @@ def overlaps(tokens: DataFrame, queries: DataFrame, pool: int = 1000, other: boo
     for name, df in (("users", tokens), ("queries", queries)):
         listed(df).write.parquet(f"{path}/{name}")
     users = spark.read.parquet(f"{path}/users")
-    for at, held in enumerate(_blocks(spark.read.parquet(f"{path}/queries"), "uid", block)):
+    for at, held in enumerate(_blocks(spark.read.parquet(f"{path}/queries"), "uid", block, F.size("tokens"))):
         met = users.mapInArrow(_overlapping([r["uid"] for r in held], [r["tokens"] for r in held], pool, other), schema)
         met.write.parquet(f"{path}/met/block={at}")
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("overlap").desc(), "candidate"))
     every = spark.read.schema(schema).parquet(f"{path}/met").select("query", "candidate", "overlap", "nq", "nc")
+    if pool is None:
+        return every
     return every.withColumn("_p", first).where(F.col("_p") <= pool).drop("_p")
 
 
-def _blocks(queries: DataFrame, key: str, block: int) -> Iterator[list[Row]]:
-    """A stated query set in lists of at most `block` rows; only one is held at a time. Without queries, one empty list."""
-    first = queries.limit(block + 1).collect()
-    if len(first) <= block:
-        yield first
-        return
-    del first
-    numbered = with_row_id(queries, [key])
-    for at in range(0, numbered.count(), block):
-        yield numbered.where((F.col("row_id") >= at) & (F.col("row_id") < at + block)).collect()
+def _blocks(queries: DataFrame, key: str, block: int, weight: Column | None = None) -> Iterator[list[Row]]:
+    """A stated query set in lists that weigh at most `block` and one row; only one is held at a time. Without queries, one empty list."""
+    placed = with_running(queries, [key], F.lit(1) if weight is None else weight, "_ahead").withColumn("_block", F.floor(F.col("_ahead") / block))
+    last = placed.agg(F.max("_block").alias("n")).first()["n"]
+    if last is None:
+        yield []
+    for at in range(0, -1 if last is None else last + 1):
+        if held := placed.where(F.col("_block") == at).collect():
+            yield held
 
 
-def _overlapping(ids: list[int], tokens: list[list[str]], pool: int, other: bool, most: int = 1 << 20):
+def _overlapping(ids: list[int], tokens: list[list[str]], pool: int | None, other: bool, most: int = 1 << 20):
     """The `pool` largest overlaps of each query among a task's users. A step expands about `most` list entries and four times as many pairs at most."""
     sizes = np.array([len(x) for x in tokens], np.int64)
     flat = pa.array([x for y in tokens for x in y], pa.string()).dictionary_encode()
@@ -65,6 +66,8 @@ def _overlapping(ids: list[int], tokens: list[list[str]], pool: int, other: bool
 
     def pruned(rows: list[np.ndarray]) -> list[np.ndarray]:
         q, c, o, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        if pool is None:
+            return [q, c, o, n]
         by = np.lexsort((c, -o, q))
         q, c, o, n = q[by], c[by], o[by], n[by]
         first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
@@ -77,6 +80,12 @@ def _overlapping(ids: list[int], tokens: list[list[str]], pool: int, other: bool
             return
         rows: list[list[np.ndarray]] = []
         held = 0
+
+        def gathered() -> pa.RecordBatch:
+            q, c, o, n = pruned(rows)
+            arrays = [pa.array(ids[q]), pa.array(c), pa.array(o.astype(np.int64)), pa.array(sizes[q].astype(np.int32)), pa.array(n.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(arrays, names=["query", "candidate", "overlap", "nq", "nc"])
+
         few = max(1, 4 * most // len(ids))
         parts = (b.slice(i, few).take(pa.array(range(min(few, b.num_rows - i)), pa.int32())) for b in batches for i in range(0, b.num_rows, few))
         for batch in parts:
@@ -103,14 +112,14 @@ def _overlapping(ids: list[int], tokens: list[list[str]], pool: int, other: bool
             keep = ids[query] != users[user] if other else np.ones(len(pair), bool)
             rows.append([query[keep], users[user][keep], times[keep], length[user][keep]])
             held += int(keep.sum())
-            if held > 2 * most:
+            if held > 2 * most and pool is None:
+                yield gathered()
+                rows, held = [], 0
+            elif held > 2 * most:
                 rows = [pruned(rows)]
                 held = len(rows[0][0])
         if rows:
-            q, c, o, n = pruned(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[q]), pa.array(c), pa.array(o.astype(np.int64)), pa.array(sizes[q].astype(np.int32)), pa.array(n.astype(np.int32))], names=["query", "candidate", "overlap", "nq", "nc"]
-            )
+            yield gathered()
 
     return run
 

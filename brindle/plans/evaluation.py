@@ -381,11 +381,24 @@ def _(t):
     return rows.agg(F.round(F.avg((F.signum(F.col("n_chars") - 2000.0) == F.signum(2.0 * F.col("quality") - 1)).cast("int")), 6).alias("accuracy"))
 
 
-@query("agg_masked_rloo", f"WITH {RESP}, g AS (SELECT id, r, (row_number() OVER (ORDER BY id) - 1) // 4 AS b FROM x) SELECT id, round(CASE WHEN count(*) OVER w > 1 THEN (r - avg(r) OVER w) * count(*) OVER w / (count(*) OVER w - 1) ELSE r END, 3) + 0.0 AS advantage FROM g WINDOW w AS (PARTITION BY b)")
+#: A sample is a user's history: token scores, a mask, and an outcome at the last token the mask names; four samples are one prompt's.
+RLOO = f"""WITH {V.INTER}, s AS (SELECT uid, (row_number() OVER (ORDER BY uid) - 1) // 4 AS g, list_transform(hist_pid, lambda p: (p % 7 - 3) / 10.0) AS r, hist_like AS m, uid % 3 / 2.0 AS acc FROM inter WHERE list_sum(hist_like) > 0),
+n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM s), e AS (SELECT uid, g, n, acc, unnest(r) AS r, unnest(m) AS m, generate_subscripts(m, 1) AS i FROM n WHERE n = 4),
+a AS (SELECT uid, g, acc, sum(r * m) / sum(m) AS mean, max(i) FILTER (m = 1) AS last FROM e GROUP BY ALL), b AS (SELECT *, sum(mean) OVER (PARTITION BY g) / 3 AS base, sum(acc) OVER (PARTITION BY g) / 3 AS acc_base FROM a),
+f AS (SELECT e.uid, e.g, i, m, CASE WHEN m = 1 THEN 0.5 * (r * 4 / 3 - base) + CASE WHEN i = last THEN 2.0 * (e.acc * 4 / 3 - acc_base) ELSE 0 END ELSE 0 END AS x FROM e JOIN b USING (uid)),
+c AS (SELECT *, sum(x) OVER (PARTITION BY uid ORDER BY i DESC) AS ret FROM f), w AS (SELECT avg(ret) FILTER (m = 1) AS mean, var_samp(ret) FILTER (m = 1) AS var FROM c)
+SELECT uid, count(*) AS tokens, round(sum(ret), 6) + 0.0 AS returns, round(max(ret) FILTER (i = 1), 6) + 0.0 AS whole, round(sum((ret - mean) / sqrt(var + 1e-8) * m), 4) + 0.0 AS advantage FROM c, w GROUP BY uid"""
+
+
+@query("agg_masked_rloo", RLOO)
 def _(t):
     from brindle.operators.batch import split_id, with_row_id
 
-    return _adv(G.rloo(with_row_id(responses(t).select("id", "r"), ["id"]).withColumn("b", split_id(4)), "b", "r"))
+    rows = V.interactions(t).where("aggregate(hist_like, 0, (a, x) -> a + x) > 0").select("uid", F.transform("hist_pid", lambda p: (p % 7 - 3) / 10.0).alias("r"), F.col("hist_like").alias("m"), (F.col("uid") % 3 / 2.0).alias("acc"))
+    grouped = with_row_id(rows, ["uid"]).withColumn("g", split_id(4))
+    out = G.masked_rloo(grouped, "g", 4, "m", {"r": 0.5}, {"acc": 2.0})
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return out.select("uid", F.size("m").cast("long").alias("tokens"), (F.round(total("returns"), 6) + 0.0).alias("returns"), (F.round(F.get("returns", F.lit(0)), 6) + 0.0).alias("whole"), (F.round(total(F.zip_with("advantages", "m", lambda a, m: a * m)), 4) + 0.0).alias("advantage"))
 
 
 @query("agg_bce", "SELECT round(avg(ln(1 + exp(-(2 * quality - 1) * (n_chars - 2000) / 1000.0))), 6) AS loss FROM documents JOIN labels USING (doc_id)")
@@ -409,8 +422,10 @@ def _(t):
 
 @query("agg_percentile", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS avg, max(value) AS max, min(value) AS min FROM events GROUP BY event_type")
 def _(t):
-    q = lambda p, n: F.round(F.percentile("value", F.lit(p)), 6).alias(n)
-    return t.events.groupBy("event_type").agg(q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.round(F.avg("value"), 6).alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"))
+    shares = M.percentiles(t.events, ["event_type"], "value", [0.5, 0.95, 0.99]).groupBy("event_type")
+    per = shares.agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    rest = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"))
+    return rest.join(per, "event_type")
 
 
 @query("agg_version_stats", "SELECT count(DISTINCT l_linenumber) AS versions, round(avg(CAST(l_suppkey % 5 <> l_partkey % 5 AS INT)), 6) AS changed, max(abs(l_suppkey % 5 - l_partkey % 5)) AS span FROM lineitem")
@@ -421,7 +436,7 @@ def _(t):
 
 @query("agg_tail_ratio", "SELECT round(avg(CAST(value > q AS INT)), 6) AS ratio, min(value) AS min, max(value) AS max FROM events, (SELECT quantile_cont(value, 0.9) AS q FROM events)")
 def _(t):
-    edge = t.events.agg(F.percentile("value", F.lit(0.9)).alias("q"))
+    edge = M.percentiles(t.events, [], "value", [0.9]).select(F.col("value").alias("q"))
     return t.events.join(F.broadcast(edge)).agg(F.round(F.avg((F.col("value") > F.col("q")).cast("int")), 6).alias("ratio"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 

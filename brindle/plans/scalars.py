@@ -131,10 +131,24 @@ def _(t):
     return rewards(made.withColumn("solution", text), "source", "solution", "truth").select("o_orderkey", F.col("reward").alias("score"))
 
 
-@query("fn_hit", f"WITH {V.INTER}, {V.BASKETS}, s AS (SELECT uid, list_slice(pred, 1, 5) AS p, truth FROM baskets) SELECT uid, CASE WHEN len(list_intersect(p, truth)) > 0 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN list_contains(truth, p[1]) THEN 1.0 ELSE 0.0 END AS first, round(len(list_intersect(p, truth)) / len(p), 6) AS pass_rate FROM s")
+#: Orders' generations: without a closing tag, without any, or with the first code inside the thought; truths are codes of their own first item and of other suppliers.
+HIT = f"""WITH {GEN}, truths AS (SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 2 = 1 THEN {ROW_SID} ELSE {SID.format("l_partkey % 8192", "(l_suppkey + 1) % 8192", "l_linenumber")} END, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_orderkey % 7 <> 0) AS truth FROM lineitem GROUP BY l_orderkey),
+said AS (SELECT l_orderkey, CASE l_orderkey % 4 WHEN 0 THEN replace(g, '</think>', '') WHEN 1 THEN replace(replace(g, '</think>', ''), '><s_b_1', '></think><s_b_1') WHEN 2 THEN g || g ELSE g END AS g, truth FROM gen JOIN truths USING (l_orderkey)),
+codes AS (SELECT l_orderkey, regexp_extract_all(CASE WHEN contains(g, '<think>') AND contains(g, '</think>') THEN substr(g, strpos(g, '</think>') + 8) ELSE '' END, '{sid.TRIPLE}') AS p, regexp_extract_all(g, '{sid.TRIPLE}') AS q, regexp_extract_all(coalesce(truth, ''), '{sid.TRIPLE}') AS t FROM said)
+SELECT l_orderkey, CASE WHEN len(p) > 0 AND len(t) > 0 THEN round(len(list_intersect(p, t)) / len(p), 6) ELSE 0.0 END AS hit, CASE WHEN len(p) > 0 AND list_contains(t, p[1]) THEN 1.0 ELSE 0.0 END AS first, CASE WHEN len(list_intersect(q, t)) > 0 THEN 1.0 ELSE 0.0 END AS pass_rate FROM codes"""
+
+
+@query("fn_hit", HIT)
 def _(t):
-    p = F.slice("pred", 1, 5)
-    return V.baskets(t).select("uid", sid.hit(p, F.col("truth")).alias("hit"), sid.first_hit(p, F.col("truth")).alias("first"), F.round(sid.pass_rate(p, F.col("truth")), 6).alias("pass_rate"))
+    code = lambda b: sid.sid_format(F.array((F.col("l_partkey") % 8192).cast("int"), (b % 8192).cast("int"), F.col("l_linenumber")))
+    one = F.when(F.col("l_linenumber") % 2 == 1, code(F.col("l_suppkey"))).otherwise(code(F.col("l_suppkey") + 1))
+    rows = t.lineitem.where("l_orderkey % 7 <> 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("s")))).alias("x"))
+    truths = rows.select("l_orderkey", F.array_join(F.transform("x", lambda e: e["s"]), " ").alias("truth"))
+    cut, g = F.replace("g", F.lit("</think>"), F.lit("")), F.col("g")
+    kind = F.col("l_orderkey") % 4
+    said = F.when(kind == 0, cut).when(kind == 1, F.replace(cut, F.lit("><s_b_1"), F.lit("></think><s_b_1"))).when(kind == 2, F.concat(g, g)).otherwise(g)
+    both = generations(t).withColumn("g", said).join(truths, "l_orderkey", "left")
+    return both.select("l_orderkey", F.round(sid.hit_reward(F.col("g"), F.col("truth")), 6).alias("hit"), sid.first_hit_reward(F.col("g"), F.col("truth")).alias("first"), sid.pass_rate(F.col("g"), F.col("truth")).alias("pass_rate"))
 
 
 @query("fn_partial_hit", "WITH x AS (SELECT o_custkey AS uid, list(DISTINCT l_partkey) AS p, max(l_partkey) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), y AS (SELECT uid, t, unnest(p) AS p FROM x) SELECT uid, round(avg(CASE WHEN p = t THEN 100 WHEN p // 8192 = t // 8192 THEN 10 ELSE 1 END), 6) AS score FROM y GROUP BY uid")
@@ -256,9 +270,24 @@ def _(t):
     return rows.select("n_regionkey", T.passages(F.col("d")).alias("passages"))
 
 
-@query("fn_point_reward", "SELECT p_partkey, CASE WHEN p_size <= 25 THEN 1.0 ELSE 0.0 END AS score FROM part")
+#: Answers of one to three points about a box; every seventh part's answer is broken in one of seven ways.
+POINT = """WITH a AS (SELECT p_partkey, p_size AS x, p_partkey % 60 AS y, p_partkey % 3 + 1 AS n, p_partkey % 7 = 0 AS broken FROM part),
+p AS (SELECT *, [x, (x * 3 + y) % 60, (x + 2 * y) % 50] AS xs, [y, (y * 7 + x) % 60, (x * y) % 55] AS ys FROM a),
+i AS (SELECT *, list_filter(range(1, n + 1), lambda k: xs[k] BETWEEN 10 AND 40 AND ys[k] BETWEEN 5 AND 45) AS inside, n = 3 AND (ys[2] - ys[1]) * (xs[3] - xs[1]) = (ys[3] - ys[1]) * (xs[2] - xs[1]) AS line FROM p),
+s AS (SELECT *, CASE WHEN len(inside) > 0 THEN 1 / sqrt(n * inside[1]) ELSE -1.0 / n END AS raw FROM i)
+SELECT p_partkey, round(CASE WHEN broken OR line THEN -1.0 ELSE raw END, 6) AS accuracy, round(CASE WHEN broken OR line THEN -1.0 ELSE 1 + raw END, 6) AS score FROM s"""
+
+
+@query("fn_point_reward", POINT)
 def _(t):
-    return t.part.select("p_partkey", Q.point_score(F.concat(F.lit("[["), F.col("p_size").cast("string"), F.lit(", 1]]")), F.lit("0,0,25,5")).alias("score"))
+    x, y, n = F.col("p_size"), F.col("p_partkey") % 60, (F.col("p_partkey") % 3 + 1).cast("int")
+    points = F.array(*[F.format_string('{"point_2d": [%d, %d], "label": "a [b]"}', a.cast("long"), b.cast("long")) for a, b in ((x, y), ((x * 3 + y) % 60, (y * 7 + x) % 60), ((x + 2 * y) % 50, (x * y) % 55))])
+    listed = F.concat(F.lit("["), F.array_join(F.slice(points, F.lit(1), n), ", "), F.lit("]"))
+    sound = F.concat(F.lit("<think>look</think> the answer is "), listed, F.lit(" I think"))
+    broken = [listed, F.concat(F.lit("<think> </think>"), listed), F.concat(F.lit("<think>a</think><think>b</think>"), listed), F.concat(F.lit("so <think>a</think>"), listed), F.lit("<think>a</think> [{\"point\": [1, 2]}]"), F.lit("<think>a</think> [{\"point_2d\": [1, 2, 3]}]"), F.lit("<think>a</think> []")]
+    said = F.when(F.col("p_partkey") % 7 == 0, F.element_at(F.array(*broken), (F.col("p_partkey") / 7 % 7).cast("int") + 1)).otherwise(sound)
+    reward = Q.point_reward(said, F.struct(F.lit(10.0).alias("x1"), F.lit(5.0).alias("y1"), F.lit(40.0).alias("x2"), F.lit(45.0).alias("y2")))
+    return t.part.select("p_partkey", reward.alias("r")).select("p_partkey", F.round("r.accuracy", 6).alias("accuracy"), F.round("r.score", 6).alias("score"))
 
 
 @query("fn_yes_no", "SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS label FROM labels")

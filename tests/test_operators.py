@@ -214,8 +214,111 @@ def test_greedy_packs(spark):
 def test_json_and_points(spark):
     df = spark.createDataFrame([('{"a": "\\u00e9"}',), ("{bad \\u00e9",), ("plain",), (None,)], "t string")
     assert [r["x"] for r in df.select(Q.json_plain("t").alias("x")).collect()] == ['{"a":"é"}', "{bad \\u00e9", "plain", None]
-    pts = spark.createDataFrame([("[[1,1]]", "0,0,2,2"), ("[[9,9],[1,1]]", "0,0,2,2"), ("x", "0,0,1,1"), ("[[0,0],[1,1],[2,2]]", "0,0,1,1")], "p string, b string")
-    assert [round(r["s"], 3) for r in pts.select(Q.point_score("p", "b").alias("s")).collect()] == [1.0, 0.5, -1.0, -1.0]
+
+
+POINTS = [
+    ("<think>t</think> [{\"point_2d\": [1, 1]}]", 1.0, 0), ("<think>t</think> x [{\"point_2d\": [9, 9]}, {\"label\": \"[\", \"point_2d\": [1, 1]}] y", 0.5, 0), ("<think>t</think>[{\"point_2d\": [9, 9]}, {\"point_2d\": [8, 9]}]", -0.5, 0),
+    ("<think>t</think>[{\"point_2d\": [0, 0]}, {\"point_2d\": [9, 1]}, {\"point_2d\": [1, 1]}, {\"point_2d\": [2, 2]}]", -1.0, 1), ("[{\"point_2d\": [1, 1]}]", -1.0, 0), ("<think> </think>[{\"point_2d\": [1, 1]}]", -1.0, 0),
+    ("<think>t</think>[[1, 1]]", -1.0, 0), ("<think>t</think>[]", -1.0, 0), ("<think>t</think>none", -1.0, 0), ("<think>t</think>[{\"point_2d\": [1]}]", -1.0, 0), ("<think>t</think>[{\"point_2d\": [1, 1]}", -1.0, 0), (None, -1.0, 0), ("", -1.0, 0),
+    ("<think>t</think><think>u</think>[{\"point_2d\": [1, 1]}]", -1.0, 0), ("<think>t</think>[{\"point_2d\": [3, 1]}, {\"point_2d\": [3, 5]}, {\"point_2d\": [3, 9]}]", -1.0, 1), ("<think>t</think>[{\"point_2d\": [0.5, 1.5]}, {\"point_2d\": [7, 1]}, {\"point_2d\": [2, 8]}]", 1 / 3**0.5, 0),
+]
+
+
+def test_point_rewards(spark):
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("x1", 0.0), ("y1", 0.0), ("x2", 2.0), ("y2", 2.0))])
+    df = spark.createDataFrame([(i, p[0]) for i, p in enumerate(POINTS)], "i int, p string")
+    for r in df.select("i", Q.point_reward(F.col("p"), box).alias("r")).collect():
+        _, accuracy, line = POINTS[r["i"]]
+        assert r["r"]["accuracy"] == pytest.approx(accuracy) and r["r"]["is_collinear"] == line, POINTS[r["i"]]
+        assert r["r"]["score"] == pytest.approx(-1.0 if accuracy == -1.0 else 1 + accuracy)
+    plain = spark.createDataFrame([("[{\"point_2d\": [1, 1]}]",)], "p string").select(Q.point_reward(F.col("p"), box, think=False)["score"]).first()[0]
+    assert plain == 2.0
+
+
+def test_code_rewards(spark):
+    from brindle.functions import sid
+
+    one, two, three = ("<s_a_1><s_b_2><s_c_3>", "<s_a_4><s_b_5><s_c_6>", "<s_a_7><s_b_8><s_c_9>")
+    cases = [
+        (f"<think>{two}</think>{one}{one}{two}", one + three, 1 / 3, 1.0, 1.0), (f"<think>a</think>{two}{one}", one, 0.5, 0.0, 1.0), (f"{one}", one, 0.0, 0.0, 1.0), (f"<think>{one}", one, 0.0, 0.0, 1.0),
+        (f"<think>{one}</think>{two}", one, 0.0, 0.0, 1.0), ("<think>a</think>", one, 0.0, 0.0, 0.0), (f"<think>a</think>{one}", "", 0.0, 0.0, 0.0), (None, one, 0.0, 0.0, 0.0), (f"<think></think>{one}", None, 0.0, 0.0, 0.0),
+    ]
+    df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, p string, t string")
+    p, t = F.col("p"), F.col("t")
+    for r in df.select("i", sid.hit_reward(p, t).alias("hit"), sid.first_hit_reward(p, t).alias("first"), sid.pass_rate(p, t).alias("rate")).collect():
+        assert (r["hit"], r["first"], r["rate"]) == cases[r["i"]][2:], cases[r["i"]]
+
+
+def test_relative_error(spark):
+    from brindle.operators import quantize
+
+    out = quantize.reconstruction_loss(spark.createDataFrame([([1.0, 2.0, -4.0], [1.5, 2.0, -1.0])], "x array<double>, y array<double>"), "x", "y").first()
+    assert out["relative_l1"] == pytest.approx(0.3611, abs=1e-4) and out["mse"] == pytest.approx((0.25 + 9) / 3)
+
+
+def test_masked_leave_one_out(spark):
+    """Token scores and outcomes against plain arithmetic; a group that lacks a sample is left out."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(9):
+        n = rng.randint(1, 6)
+        mask = [1] + [rng.randint(0, 1) for _ in range(n - 1)]
+        rows.append((i, i // 4, [rng.random() for _ in range(n)], mask, float(rng.randint(0, 1))))
+    got = {r["i"]: r for r in G.masked_rloo(spark.createDataFrame(rows, "i int, g int, r array<double>, m array<int>, acc double"), "g", 4, "m", {"r": 0.5}, {"acc": 2.0}).collect()}
+    assert sorted(got) == list(range(8))
+    returns = {}
+    for g in (0, 1):
+        part = [x for x in rows if x[1] == g]
+        base = sum(sum(a * b for a, b in zip(x[2], x[3])) / sum(x[3]) for x in part) / 3
+        acc = sum(x[4] for x in part) / 3
+        for i, _, r, m, a in part:
+            last = max(k for k, v in enumerate(m) if v)
+            x = [(0.5 * (v * 4 / 3 - base) + (2.0 * (a * 4 / 3 - acc) if k == last else 0.0)) if m[k] else 0.0 for k, v in enumerate(r)]
+            returns[i] = [sum(x[k:]) for k in range(len(x))]
+    kept = [v for i, out in returns.items() for v, m in zip(out, rows[i][3]) if m]
+    mean = sum(kept) / len(kept)
+    var = sum((v - mean) ** 2 for v in kept) / (len(kept) - 1)
+    for i, out in returns.items():
+        assert got[i]["returns"] == pytest.approx(out) and got[i]["advantages"] == pytest.approx([(v - mean) / (var + 1e-8) ** 0.5 for v in out])
+
+
+@pytest.mark.parametrize("how", ["pow", "max_min", "max_random"])
+def test_resampling_weights(spark, how):
+    df = spark.createDataFrame([(i, float(i - 3)) for i in range(9)], "k int, s double")
+    got = {r["k"]: r["weight"] for r in R.score_weights(df, "s", how).collect()}
+    want = {i: {"pow": (i - 3) ** 2, "max_min": float(i in (0, 8)), "max_random": 0.4 if i == 8 else 0.1}[how] for i in range(9)}
+    assert got == pytest.approx({i: w + 1e-8 for i, w in want.items()})
+    with pytest.raises(ValueError, match="no resampling weight"):
+        R.score_weights(df, "s", "other")
+
+
+def test_draws_of_very_uneven_weights(spark):
+    """One row holds nearly all weight, most hold almost none, some none; draws equal a plain search in cumulative weights."""
+    from bisect import bisect_right
+    from hashlib import md5
+    from itertools import accumulate
+
+    weights = [0.0 if i % 7 == 0 else 2.0**40 if i == 500 else 2.0 ** -(i % 9) for i in range(1000)]
+    df = spark.createDataFrame(list(enumerate(weights)), "k int, w double").repartition(5)
+    got = {r["draw"]: r["k"] for r in R.resample_weighted(df, F.col("w"), 3000, 5, "k").collect()}
+    upto = list(accumulate(weights))
+    want = {d: bisect_right(upto, int(md5(f"5|{d}".encode()).hexdigest()[:12], 16) / (1 << 48) * upto[-1]) for d in range(3000)}
+    assert got == want
+    even = R.resample_weighted(df.where("w > 0 AND w < 2"), F.lit(1.0), 2000, 5, "k").groupBy("k").count()
+    assert even.agg(F.sum("count")).first()[0] == 2000 and even.count() > 700
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    groups = {"a": rng.normal(size=501), "b": rng.randint(0, 4, 400).astype(float), "c": np.array([2.5])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("d", None)], "g string, v double").repartition(6)
+    shares = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    got = {(r["g"], r["share"]): r["value"] for r in M.percentiles(df, ["g"], "v", shares).collect()}
+    assert got == pytest.approx({(g, s): float(np.quantile(x, s)) for g, x in groups.items() for s in shares})
+    whole = M.percentiles(df, [], "v", [0.9]).collect()
+    assert [r["value"] for r in whole] == pytest.approx([float(np.quantile(np.concatenate(list(groups.values())), 0.9))])
 
 
 def test_overlaps_of_hot_tokens(spark):
@@ -236,6 +339,8 @@ def test_overlaps_of_hot_tokens(spark):
     for q in range(0, 300, 10):
         want = sorted((-len(own[q] & own[c]), c) for c in own if c != q)[:20]
         assert sorted(out[q]) == want
+    every = {(r["query"], r["candidate"]): r["overlap"] for r in U.overlaps(df, df.where("uid % 10 = 0"), pool=None, block=9).collect()}
+    assert every == {(q, c): len(own[q] & own[c]) for q in range(0, 300, 10) for c in own if c != q and own[q] & own[c]}
     import pyarrow as pa
 
     users = sorted(own)
