@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from brindle.plans.registry import Tables, query
+from brindle.session import scratch
 from brindle.streaming import stateful as S
+from brindle.streaming.resume import Ledger
 
 
 def replay(t: Tables, name: str):
@@ -21,6 +23,16 @@ def _(t):
     return S.drained(S.exactly_once(replay(t, "events").select("event_type", "user_id"), "event_type", "user_id"), f"once_{uuid.uuid4().hex}")
 
 
+@query("st_exactly_once_resume", "SELECT event_type AS file, user_id % 2 AS epoch, event_id AS index, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS run FROM events GROUP BY ALL")
+def _(t):
+    """A first job sees a third of all samples; a second one replays everything and gives the rest."""
+    samples = replay(t, "events").select(F.col("event_type").alias("file"), (F.col("user_id") % 2).alias("epoch"), F.col("event_id").alias("index"))
+    ledger = Ledger(t.spark, scratch(t.spark, "ledger"), "file string, epoch long, index long")
+    ledger.drain(samples.where("index % 3 = 0"), ledger.begin())
+    ledger.drain(samples, ledger.begin())
+    return ledger.rows().select("file", "epoch", "index", "run")
+
+
 @query("st_shuffle_buffer")
 def _(t):
     keyed = replay(t, "events").withColumn("k", S.sample_key("event_id", "event_type"))
