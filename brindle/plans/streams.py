@@ -33,21 +33,44 @@ def _(t):
     return ledger.rows().select("file", "epoch", "index", "run")
 
 
-@query("st_shuffle_buffer")
+#: A lane for every 500 events: hashed, and as many as the input asks for.
+LANES = "e AS (SELECT event_id, (SELECT greatest(1, CAST(ceil(count(*) / 500.0) AS BIGINT)) FROM events) AS lanes FROM events), laned AS (SELECT event_id, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % lanes AS VARCHAR) AS lane FROM e)"
+
+
+def laned(t: Tables):
+    lanes = max(1, -(-t.events.count() // 500))
+    hashed = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return replay(t, "events").withColumn("lane", (hashed % lanes).cast("string"))
+
+
+@query("st_shuffle_buffer", f"WITH {LANES} SELECT lane, CAST(event_id AS VARCHAR) AS v FROM laned")
+def _(t):
+    """Every event leaves once, the last ones when the stream ends; tests check the order."""
+    keyed = laned(t).withColumn("k", S.shuffle_key(F.lit(0), "event_id", "event_type"))
+    return S.drained(S.shuffle_buffer(keyed, "lane", "k", "event_id", 100, "event_id", 0.01), f"shuffle_{uuid.uuid4().hex}", rest=S.left_in_buffer).select("lane", "v")
+
+
+@query("st_pack", f"WITH {LANES} SELECT lane, sum(event_id % 50 + 1) AS tokens, count(*) AS items FROM laned GROUP BY lane")
 def _(t):
-    keyed = replay(t, "events").withColumn("k", S.sample_key("event_id", "event_type"))
-    return S.drained(S.shuffle_buffer(keyed, "event_type", "k", "event_id", 100), f"shuffle_{uuid.uuid4().hex}")
+    """Packs of 512 tokens; of each lane the tokens and items in all its packs, the last one included."""
+    rows = laned(t).withColumn("n", (F.col("event_id") % 50 + 1).cast("int"))
+    packs = S.drained(S.running_packs(rows, "lane", "event_id", "n", 512), f"pack_{uuid.uuid4().hex}", rest=S.open_packs)
+    items = packs.select("lane", F.explode(F.split("items", ",").cast("array<bigint>")).alias("item"))
+    return items.groupBy("lane").agg(F.sum(F.col("item") % 50 + 1).alias("tokens"), F.count("*").alias("items"))
 
 
-@query("st_pack")
+@query("st_staleness_control")
 def _(t):
-    rows = replay(t, "events").withColumn("n", (F.col("event_id") % 50 + 1).cast("int"))
-    return S.drained(S.running_packs(rows, "event_type", "event_id", "n", 512), f"pack_{uuid.uuid4().hex}")
+    """Events as submissions, completions and consumptions, with a version every 64 events of a lane's users."""
+    n = F.col("event_id") % 16
+    kind = F.when(F.col("event_id") % 64 == 63, "version").when(n < 10, "submit").when(n < 13, "done").otherwise("consume")
+    steered = laned(t).withColumn("kind", kind)
+    return S.drained(S.rollout_control(steered, "lane", "event_id", "kind", "event_id", 8, 0.5, 2), f"steer_{uuid.uuid4().hex}")
 
 
-@query("st_queue", "SELECT event_type AS lane, least(count(*), 500) AS queued, greatest(count(*) - 500, 0) AS dropped FROM events GROUP BY event_type")
+@query("st_queue", f"WITH {LANES} SELECT lane, least(count(*), 300) AS queued, greatest(count(*) - 300, 0) AS dropped FROM laned GROUP BY lane")
 def _(t):
-    out = S.drained(S.bounded_queue(replay(t, "events"), "event_type", "event_id", 500), f"queue_{uuid.uuid4().hex}", "update")
+    out = S.drained(S.bounded_queue(laned(t), "lane", "event_id", 300), f"queue_{uuid.uuid4().hex}", "update")
     return out.groupBy("lane").agg(F.max("queued").cast("long").alias("queued"), F.max("dropped").cast("long").alias("dropped"))
 
 

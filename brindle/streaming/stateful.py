@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from brindle.session import scratch
 
@@ -27,44 +30,138 @@ def exactly_once(stream: DataFrame, *keys: str, time: str | None = None, late: s
     return stream.dropDuplicates(list(keys))
 
 
-def shuffle_buffer(stream: DataFrame, lane: str, key: str, value: str, capacity: int) -> DataFrame:
-    """Per lane a buffer of `capacity` samples ordered by hash; a full one gives its smallest. Equal keys overwrite."""
+class _Buffer(StatefulProcessor):
+    """A lane's samples by key in map state. See shuffle_buffer."""
 
-    def run(lane_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
-        for pdf in frames:
-            for k, v in sorted(zip(pdf["k"], pdf["v"], strict=True)):
+    def __init__(self, capacity: int, random_fetch: float, idle: int | None) -> None:
+        self.capacity, self.fetched, self.idle = capacity, int(10_000 * random_fetch), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getMapState("held", "k string", "v string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: v[0] for k, v in self.held.iterator()}
+        held, least, out = dict(before), list(before), []
+        heapq.heapify(least)
+        for pdf in rows:
+            for k, v in pdf.sort_values(["o", "k"], kind="stable")[["k", "v"]].itertuples(index=False):
+                if k not in held:
+                    heapq.heappush(least, k)
                 held[k] = v
-                if len(held) > capacity:
-                    least = min(held)
-                    out.append((lane_key[0], least, held.pop(least)))
-        state.update((list(held), list(held.values())))
+                if len(held) >= self.capacity or self.fetched and int(k[-16:], 16) % 10_000 < self.fetched:
+                    first = heapq.heappop(least)
+                    out.append((key[0], first, held.pop(first)))
+        for k in before.keys() - held.keys():
+            self.held.removeKey((k,))
+        for k, v in held.items():
+            if before.get(k, held) != v:
+                self.held.updateValue((k,), (v,))
+        if self.idle is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame(out, columns=["lane", "k", "v"])
 
-    rows = stream.select(F.col(lane).cast("string").alias("lane"), F.col(key).alias("k"), F.col(value).cast("string").alias("v"))
-    return rows.groupBy("lane").applyInPandasWithState(run, "lane string, k string, v string", "k array<string>, v array<string>", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        left = sorted((k[0], v[0]) for k, v in self.held.iterator())
+        self.held.clear()
+        yield pd.DataFrame([(key[0], k, v) for k, v in left], columns=["lane", "k", "v"])
 
+    def close(self) -> None:
+        pass
 
-def running_packs(stream: DataFrame, lane: str, key: str, length: str, longest: int) -> DataFrame:
-    """Greedy packs per lane that go on over micro-batches: a pack is emitted once it is full."""
 
-    def run(lane_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pack, items, used = state.get if state.exists else (0, [], 0)
-        items = list(items)
-        out = []
-        for pdf in frames:
+def shuffle_key(epoch: Column, *parts: str) -> Column:
+    """Samples of an epoch in hash order, epochs one after the other."""
+    return F.concat(F.lpad(epoch.cast("string"), 8, "0"), F.lit("|"), F.substring(sample_key(*parts), 1, 16))
+
+
+def shuffle_buffer(stream: DataFrame, lane: str, key: str, value: str, capacity: int, order: str, random_fetch: float = 0.0, idle: int | None = None) -> DataFrame:
+    """lane, k, v: per lane a buffer of samples by key, a `shuffle_key`. Equal keys overwrite.
+
+    Sends the smallest sample out for each one that fills the buffer to `capacity`, or whose key's hash falls into the
+    share `random_fetch`. A lane without input for `idle` milliseconds empties; what is left when a stream ends is `left_in_buffer`.
+    Within a micro-batch samples come in the given order. Needs the RocksDB state store, which `drained` sets.
+    """
+    rows = stream.select(F.col(lane).cast("string").alias("lane"), F.col(key).alias("k"), F.col(value).cast("string").alias("v"), F.col(order).alias("o"))
+    return rows.groupBy("lane").transformWithStateInPandas(_Buffer(capacity, random_fetch, idle), "lane string, k string, v string", "append", "none" if idle is None else "processingTime")
+
+
+def left_in_buffer(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """lane, k, v: what the buffers of a finished query hold; a lane's samples leave in the order of k."""
+    held = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    return held.select(F.col("key.lane").alias("lane"), F.col("user_map_key.k").alias("k"), F.col("user_map_value.v").alias("v")).sortWithinPartitions("lane", "k")
+
+
+class _Packs(StatefulProcessor):
+    """A lane's open pack. See running_packs."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "pack int, items array<long>, used int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        pack, items, used = self.open.get() if self.open.exists() else (0, [], 0)
+        items, out = list(items), []
+        for pdf in rows:
             for item, n in sorted(zip(pdf["k"].tolist(), pdf["n"].tolist(), strict=True)):
                 items.append(item)
                 used += n
-                if used >= longest:
-                    out.append((lane_key[0], pack, ",".join(map(str, items)), longest))
+                if used >= self.longest:
+                    out.append((key[0], pack, ",".join(map(str, items)), self.longest))
                     pack, items, used = pack + 1, [], 0
-        state.update((pack, items, used))
+        self.open.update((pack, items, used))
         yield pd.DataFrame(out, columns=["lane", "pack", "items", "tokens"])
 
+    def close(self) -> None:
+        pass
+
+
+def running_packs(stream: DataFrame, lane: str, key: str, length: str, longest: int) -> DataFrame:
+    """Greedy packs per lane that go on over micro-batches: a pack is emitted once it is full; the last ones are `open_packs`."""
     rows = stream.select(F.col(lane).cast("string").alias("lane"), F.col(key).cast("long").alias("k"), F.col(length).cast("int").alias("n"))
-    return rows.groupBy("lane").applyInPandasWithState(run, "lane string, pack int, items string, tokens int", "pack int, items array<long>, used int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("lane").transformWithStateInPandas(_Packs(longest), "lane string, pack int, items string, tokens int", "append", "none")
+
+
+def open_packs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """lane, pack, items, tokens: packs that were not full when the stream ended."""
+    held = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint).select(F.col("key.lane").alias("lane"), "value.*")
+    return held.where("size(items) > 0").select("lane", "pack", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.col("used").alias("tokens"))
+
+
+def rollout_control(stream: DataFrame, lane: str, order: str, kind: str, sample: str, required: int, threshold: float, sync_step: int) -> DataFrame:
+    """lane, sample, version, staleness of each sample when it starts, steered by the versions that come in between.
+
+    kind is `submit` (a sample asks to start), `done` (one in flight is finished and queued), `consume` (one leaves the queue)
+    or `version` (new parameters). While staleness, the number of samples started since, or the queue is at
+    required * (threshold + 1) * sync_step, submitted samples wait. A version resets staleness to those in flight and
+    queued; whatever may then start does, in order of submission. Within a micro-batch rows are taken in the given order.
+    """
+    most = int(required * (threshold + 1) * sync_step)
+
+    def run(lane_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, stale, flying, queued, waiting = state.get if state.exists else (0, 0, 0, 0, [])
+        waiting, out = deque(waiting), []
+        for pdf in frames:
+            for what, item in pdf.sort_values("o", kind="stable")[["kind", "k"]].itertuples(index=False):
+                if what == "submit":
+                    waiting.append(item)
+                elif what == "done" and flying:
+                    flying, queued = flying - 1, queued + 1
+                elif what == "consume" and queued:
+                    queued -= 1
+                elif what == "version":
+                    version, stale = version + 1, staleness_after_sync(flying, queued)
+                while waiting and not must_pause(stale, required, threshold, sync_step) and queued < most:
+                    flying, stale = flying + 1, stale + 1
+                    out.append((lane_key[0], waiting.popleft(), version, stale))
+        state.update((version, stale, flying, queued, list(waiting)))
+        yield pd.DataFrame(out, columns=["lane", "sample", "version", "staleness"])
+
+    rows = stream.select(F.col(lane).cast("string").alias("lane"), F.col(order).cast("long").alias("o"), F.col(kind).cast("string").alias("kind"), F.col(sample).cast("long").alias("k"))
+    return rows.groupBy("lane").applyInPandasWithState(run, "lane string, sample long, version int, staleness int", "version int, stale int, flying int, queued int, waiting array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def bounded_queue(stream: DataFrame, lane: str, key: str, capacity: int) -> DataFrame:
@@ -133,24 +230,35 @@ def sessions(df: DataFrame, time: str, gap: str, *by: str) -> DataFrame:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append", rest: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
     """Everything that is available now, as a table: for finite replays and tests.
 
     Rows go to Parquet in the shared folder and never to the driver. A micro-batch has a folder of its own that a repeat
-    overwrites; in complete mode the last one is the table.
+    overwrites; in complete mode the last one is the table. `rest` reads what the finished query's state still holds, which
+    comes last.
     """
-    path = scratch(stream.sparkSession, name)
+    spark = stream.sparkSession
+    path, store = scratch(spark, name), spark.conf.get(STORE)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
-    if query.lastProgress is None:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, batch long").parquet(f"{path}/rows")
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+        if query.lastProgress is None:
+            return spark.createDataFrame([], stream.schema)
+        if rest is not None:
+            put(rest(spark, f"{path}/state").select(*stream.columns), query.lastProgress.batchId + 1)
+    finally:
+        spark.conf.set(STORE, store)
+    rows = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, batch long").parquet(f"{path}/rows")
     if mode == "complete":
         rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
     return rows.select(*stream.columns)

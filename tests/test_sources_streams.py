@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.sources import io as S
@@ -77,10 +79,75 @@ def stream(spark, tmp_path, rows, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
 
 
-def test_shuffle_buffer(spark, tmp_path):
-    rows = [[("l", f"k{i:02}", str(i)) for i in range(j * 10, j * 10 + 10)] for j in range(3)]
-    out = T.drained(T.shuffle_buffer(stream(spark, tmp_path, rows, "lane string, k string, v string"), "lane", "k", "v", 5), "buffered").collect()
-    assert len(out) == 25 and len({r["k"] for r in out}) == 25
+def buffered(batches, capacity, fetched):
+    """A plain buffer per lane: what goes out in order, then what is left in order."""
+    held, out = {}, {}
+    for rows in batches:
+        for lane, k, v, _ in sorted(rows, key=lambda r: (r[3], r[1])):
+            mine = held.setdefault(lane, {})
+            mine[k] = v
+            if len(mine) >= capacity or int(k[-16:], 16) % 10_000 < int(10_000 * fetched):
+                out.setdefault(lane, []).append((min(mine), mine.pop(min(mine))))
+    return {lane: out.get(lane, []) + sorted(mine.items()) for lane, mine in held.items()}
+
+
+@pytest.mark.parametrize("fetched", [0.0, 0.3])
+def test_shuffle_buffer_gives_every_sample_once(spark, tmp_path, fetched):
+    import random
+    from hashlib import md5
+
+    rng = random.Random(2)
+    rows = [(f"l{rng.randint(0, 2)}", f"{rng.randint(0, 1):08}|{md5(str(i % 70).encode()).hexdigest()[:16]}", str(i), i) for i in range(90)]
+    batches = [rows[:30], rows[30:60], rows[60:]]
+    schema = "lane string, k string, v string, o long"
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/n=*")
+    made = T.shuffle_buffer(source, "lane", "k", "v", 8, "o", fetched)
+    got = {}
+    for r in T.drained(made, "buffered", rest=T.left_in_buffer).collect():
+        got.setdefault(r["lane"], []).append((r["k"], r["v"]))
+    want = buffered(batches, 8, fetched)
+    assert {lane: sorted(x) for lane, x in got.items()} == {lane: sorted(x) for lane, x in want.items()}
+    part = T.drained(T.shuffle_buffer(source, "lane", "k", "v", 8, "o", fetched), "buffered")
+    assert part.count() < sum(map(len, want.values()))
+
+
+def steered(rows, most):
+    """A plain simulation of one lane."""
+    version = stale = flying = queued = 0
+    waiting, out = [], []
+    for _, what, item in sorted(rows):
+        if what == "submit":
+            waiting.append(item)
+        elif what == "done" and flying:
+            flying, queued = flying - 1, queued + 1
+        elif what == "consume" and queued:
+            queued -= 1
+        elif what == "version":
+            version, stale = version + 1, flying + queued
+        while waiting and stale < most and queued < most:
+            flying, stale = flying + 1, stale + 1
+            out.append((waiting.pop(0), version, stale))
+    return out
+
+
+def test_rollouts_pause_and_go_on_with_versions(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"l{i % 2}", i, rng.choice(["submit"] * 6 + ["done"] * 3 + ["consume"] * 2 + ["version"]), 1000 + i) for i in range(300)]
+    schema = "lane string, o long, kind string, k long"
+    for n in range(3):
+        spark.createDataFrame(rows[n * 100 : n * 100 + 100], schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/n=*")
+    out = T.drained(T.rollout_control(source, "lane", "o", "kind", "k", 4, 0.5, 2), "steer").collect()
+    for lane in ("l0", "l1"):
+        want = steered([(o, kind, k) for x, o, kind, k in rows if x == lane], 12)
+        assert sorted((r["sample"], r["version"], r["staleness"]) for r in out if r["lane"] == lane) == sorted(want)
+        assert max(s for _, _, s in want) == 12 and len(want) < sum(x == lane and kind == "submit" for x, _, kind, _ in rows)
 
 
 def test_running_packs_and_queue(spark, tmp_path):
@@ -88,6 +155,8 @@ def test_running_packs_and_queue(spark, tmp_path):
     source = stream(spark, tmp_path, rows, "lane string, k long, n int")
     packs = T.drained(T.running_packs(source, "lane", "k", "n", 64), "packs").collect()
     assert len(packs) == 4 and all(len(r["items"].split(",")) == 7 for r in packs)
+    whole = T.drained(T.running_packs(source, "lane", "k", "n", 64), "packs", rest=T.open_packs).collect()
+    assert sorted(int(i) for r in whole for i in r["items"].split(",")) == list(range(30)) and sorted(r["tokens"] for r in whole) == [20, 64, 64, 64, 64]
     counts = T.drained(T.bounded_queue(source, "lane", "k", 12), "queue", "update").collect()
     assert max(r["dropped"] for r in counts) == 18 and max(r["queued"] for r in counts) == 12
 
