@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from brindle.functions import expressions
 from brindle.functions.arrays import let
 
 PACKS = "shard long, pack long, item long, start int, length int, position int"
@@ -149,10 +150,7 @@ def math_equal(a: str | None, b: str | None) -> bool:
     x, y = plain_math(a), plain_math(b)
     if x == y:
         return True
-    try:
-        return abs(float(x.replace(",", "")) - float(y.replace(",", ""))) < 1e-9
-    except ValueError:
-        return False
+    return expressions.equal(a, b)
 
 
 @F.pandas_udf(DoubleType())

@@ -107,11 +107,21 @@ def _(t):
     return t.orders.select("o_orderkey", T.gsm8k_score(said, n).alias("strict"), T.gsm8k_score(said, n, strict=False).alias("flexible"))
 
 
-@query("fn_boxed_math", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 0.0 ELSE 1.0 END AS score FROM part")
+#: Answers about each part's size in eight forms, some wrong; the truth is the square of a sum, a fraction or a pair.
+MATH = """WITH a AS (SELECT p_partkey, p_size AS n, p_partkey % 8 AS k, p_partkey // 8 % 10 AS d FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN 2 * n * (n + d) = 2 * n * n THEN 1.0 ELSE 0.0 END WHEN 2 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END WHEN 3 THEN CASE WHEN abs(round(n / 7, 6) - (n + d) / 7) <= 1e-4 * greatest(round(n / 7, 6), (n + d) / 7) THEN 1.0 ELSE 0.0 END
+WHEN 4 THEN CASE WHEN d % 2 = 0 THEN 1.0 ELSE 0.0 END WHEN 5 THEN CASE WHEN d = 1 OR n = 1 THEN 1.0 ELSE 0.0 END WHEN 6 THEN 0.0 ELSE CASE WHEN d < 5 THEN 1.0 ELSE 0.0 END END AS score FROM a"""
+
+
+@query("fn_boxed_math", MATH)
 def _(t):
-    k = F.col("p_size").cast("string")
-    said = F.concat(F.lit("thus \\boxed{"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("x = \\dfrac{1}{"), k, F.lit("}"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("\\frac{1}{"), k, F.lit("}"))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("1/"), k)).otherwise(F.lit("none")), F.lit("}"))
-    return t.part.select("p_partkey", Q.math_score(said, F.concat(F.lit("\\frac{1}{"), k, F.lit("}"))).alias("score"))
+    n, k, d = F.col("p_size").cast("string"), F.col("p_partkey") % 8, F.floor(F.col("p_partkey") / 8) % 10
+    shown = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    more = F.col("p_size") + d
+    said = [shown("(x + ", n, ")^2"), shown("x = \\frac{1}{", more, "}"), shown("(", n, ", ", more, ")"), F.round(F.col("p_size") / 7, 6).cast("string"), shown("\\sqrt{", n, "} \\cdot ", 2 + d % 2), shown(n, "^{", d, "}"), shown("\\frac{", n), shown("\\sin^2 x + \\cos^2 x + ", n, F.when(d < 5, "").otherwise("x"))]
+    truth = [shown("x^2 + ", 2 * F.col("p_size"), "x + ", F.col("p_size") * F.col("p_size")), shown("\\dfrac{2}{", 2 * F.col("p_size"), "}"), shown("\\left(", n, ",", n, "\\right)"), shown("\\frac{", more, "}{7}"), shown("2\\sqrt{", n, "}"), n, n, shown(F.col("p_size") + 1)]
+    at = lambda a: F.element_at(F.array(*a), (k + 1).cast("int"))
+    return t.part.select("p_partkey", Q.math_score(F.concat(F.lit("thus \\boxed{"), at(said), F.lit("}")), at(truth)).alias("score"))
 
 
 @query("fn_geo3k", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.9 END AS score FROM part")
