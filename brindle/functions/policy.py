@@ -37,6 +37,11 @@ def next_beta(beta: float, kl: float, target: float, steps: int, horizon: int) -
     return beta * (1 + error * steps / horizon)
 
 
+def next_beta_column(beta: Column, kl: Column, target: float, steps: Column, horizon: int) -> Column:
+    """`next_beta` of a row."""
+    return beta * (1 + F.greatest(F.least(kl / target - 1, F.lit(0.2)), F.lit(-0.2)) * steps / horizon)
+
+
 def reverse_kl(student: Column, teacher: Column) -> Column:
     return -(student - teacher)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import let
+
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
@@ -185,3 +187,21 @@ def tool_calls(text: Column) -> Column:
 def passages(docs: Column) -> Column:
     """Retrieved (title, text) passages as one numbered string."""
     return F.array_join(F.transform(docs, lambda d, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), d["title"], F.lit(")\n"), d["text"], F.lit("\n"))), "\n")
+
+
+def content_text(content: Column) -> Column:
+    """The text of a message's content in any of its forms, parsed once: plain text, a part, or a list of parts and texts.
+
+    Parts of another type than text add nothing. What is no JSON object or list, broken JSON included, is plain text; an
+    object that is no text part, and an empty list, are an error for the caller: NULL.
+    """
+
+    def read(v: Column) -> Column:
+        part = lambda p: F.coalesce(F.when(F.try_variant_get(p, "$.type", "string") == "text", F.try_variant_get(p, "$.text", "string")), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")), F.lit(""))
+        parts = F.try_variant_get(v, "$", "array<variant>")
+        kind = F.schema_of_variant(v)
+        listed = F.when(F.size(parts) > 0, F.array_join(F.transform(parts, part), ""))
+        single = F.when(F.try_variant_get(v, "$.type", "string") == "text", F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit("")))
+        return F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), single).otherwise(content)
+
+    return let(F.try_parse_json(content), read)

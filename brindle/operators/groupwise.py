@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +161,48 @@ def bootstrap(df: DataFrame, group: list[str], value: str, order: str, size: int
     return best.groupBy(*group).agg(F.avg("b").alias("best_mean"), F.stddev_pop("b").alias("best_std"), F.avg("w").alias("worst_mean"), F.stddev_pop("w").alias("worst_std"))
 
 
+#: Reducers of a resample by name: a numpy array to a number.
+REDUCERS: dict[str, Callable[[np.ndarray], float]] = {"mean": np.mean, "max": np.max, "min": np.min, "std": np.std}
+
+
+def reducer(name: str) -> Callable:
+    """Registers a reducer; the same name for another function is an error."""
+
+    def put(f: Callable[[np.ndarray], float]) -> Callable[[np.ndarray], float]:
+        if REDUCERS.setdefault(name, f) is not f:
+            raise ValueError(f"reducer {name} is registered already")
+        return f
+
+    return put
+
+
+def bootstrap_by(df: DataFrame, group: str, value: str, order: str, size: int, reducers: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """group, and of each reducer its mean and deviation (population) over `draws` resamples of `size` picks with replacement.
+
+    All reducers see the same resample, an array of picks, and run on Arrow batches of them. A pick is a place in the group's
+    values in the given order, by MD5, so it does not depend on partitioning. Groups are the answers to one prompt,
+    small by design.
+    """
+    if unknown := [r for r in reducers if r not in REDUCERS]:
+        raise ValueError(f"no reducer {', '.join(unknown)}; there are {', '.join(sorted(REDUCERS))}")
+    rows = df.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("_v"))
+    each = rows.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    key = [F.lit(str(seed)), F.col(group).cast("string"), F.col("_d").cast("string")]
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", *key, i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    picked = each.select(group, F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.get("_v", (drawn(i) % F.size("_v")).cast("int"))).alias("_x"))
+
+    def reduced_by(name: str) -> Column:
+        apply = REDUCERS[name]
+
+        def reduce(x: pd.Series) -> pd.Series:
+            return x.map(lambda a: float(apply(a)))
+
+        return F.pandas_udf(reduce, "double")(F.col("_x")).alias(name)
+
+    reduced = picked.select(group, *[reduced_by(r) for r in reducers])
+    return reduced.groupBy(group).agg(*[f(r).alias(f"{r}_{n}") for r in reducers for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 #: Rules of a roll-up, by the first of these found in a metric's name.
 NAME_RULES = (("max", "max"), ("min", "min"))
 

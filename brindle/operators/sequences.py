@@ -92,6 +92,54 @@ def micro_batches(lengths: list[int], longest: int, least: int = 1) -> list[list
     return [sorted(g) for g in balanced(lengths, n)] if n else []
 
 
+def greedy(lengths: list[int], parts: int, equal: bool = False) -> list[list[int]]:
+    """Each item in its order goes to the group with the least sum, the first of equal ones; equal numbers if asked."""
+    if equal and len(lengths) % parts:
+        raise ValueError("items do not divide into equal parts")
+    extra = sum(lengths) + 1 if equal else 0  # outweighs any difference of sums, so numbers stay level
+    heap = [(0, p) for p in range(parts)]
+    groups: list[list[int]] = [[] for _ in range(parts)]
+    for i, n in enumerate(lengths):
+        load, p = heapq.heappop(heap)
+        groups[p].append(i)
+        heapq.heappush(heap, (load + n + extra, p))
+    return groups
+
+
+def micro_batch_counts(df: DataFrame, batch: str, rank: str, length: str, longest: int, divisor: int = 1, least: int = 1) -> DataFrame:
+    """batch, micros: the number of micro-batches that every rank of a batch makes.
+
+    A rank asks for enough micro-batches of `longest` tokens, at least `least` and no more than it has items; the ranks of a
+    batch take the largest wish, rounded up to the divisor. Fewer items than that on some rank are an error, as is a longer item.
+    """
+    own = df.groupBy(batch, rank).agg(F.count("*").alias("n"), F.sum(length).alias("tokens"), F.max(length).alias("top"))
+    wish = F.greatest(F.lit(least), F.least(F.col("n"), F.ceil(F.col("tokens") / longest)))
+    per = own.groupBy(batch).agg((F.ceil(F.max(wish) / divisor) * divisor).cast("int").alias("micros"), F.min("n").alias("n"), F.max("top").alias("top"))
+    sound = F.when(F.col("top") > longest, F.raise_error(F.lit("an item is longer than a micro-batch"))).when(F.col("n") < F.col("micros"), F.raise_error(F.lit("a rank has fewer items than micro-batches")))
+    return per.select(batch, F.coalesce(sound.cast("int"), F.col("micros")).alias("micros"))
+
+
+def rank_micro_batches(df: DataFrame, batch: str, rank: str, key: str, length: str, longest: int, divisor: int = 1, least: int = 1) -> DataFrame:
+    """batch, rank, item, micro, micros: balanced micro-batches, as many on each rank of a batch, those of the largest sum of squared lengths first.
+
+    A rank's share of a batch is bounded by the caller and balanced in one task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", ignore_index=True)
+        lengths = pdf["n"].astype(int).tolist()
+        groups = sorted(balanced(lengths, int(pdf["micros"][0])), key=lambda g: (sum(lengths[i] ** 2 for i in g), min(g, default=0)), reverse=True)
+        micro = [0] * len(pdf)
+        for m, group in enumerate(groups):
+            for i in group:
+                micro[i] = m
+        return pd.DataFrame({"batch": pdf["batch"], "rank": pdf["rank"], "item": pdf["k"], "micro": micro, "micros": pdf["micros"]})
+
+    counts = micro_batch_counts(df, batch, rank, length, longest, divisor, least)
+    rows = df.join(counts, batch).select(F.col(batch).cast("long").alias("batch"), F.col(rank).cast("int").alias("rank"), F.col(key).cast("long").alias("k"), F.col(length).cast("long").alias("n"), "micros")
+    return rows.groupBy("batch", "rank").applyInPandas(run, "batch long, rank int, item long, micro int, micros int")
+
+
 def workload(length: Column, linear: int = 24576) -> Column:
     """Cost of a sequence: linear and quadratic parts."""
     return length * linear + length * length

@@ -152,6 +152,20 @@ def _(t):
     return t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("p")).select("conv_id", T.joined_content(F.col("p")).alias("content"))
 
 
+#: Turns of conversations as plain text, a part, a list of parts and texts, broken JSON, and an object that is no part.
+CONTENT = "SELECT conv_id, turn, CASE (conv_id * 3 + turn) % 6 WHEN 3 THEN '[' || text WHEN 4 THEN NULL WHEN 5 THEN '42' ELSE coalesce(text, '') END AS said FROM conversations"
+
+
+@query("build_any_content", CONTENT)
+def _(t):
+    text, k = F.coalesce("text", F.lit("")), (F.col("conv_id") * 3 + F.col("turn")) % 6
+    half = F.floor(F.length(text) / 2).cast("int")
+    piece = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    listed = F.concat(F.lit('[{"type": "image", "image": "x"}, {"type": "text", "text": '), piece(F.substr(text, F.lit(1), half)), F.lit("}, "), piece(F.substr(text, half + 1)), F.lit("]"))
+    raw = F.when(k == 1, F.concat(F.lit('{"type": "text", "text": '), piece(text), F.lit("}"))).when(k == 2, listed).when(k == 3, F.concat(F.lit("["), F.col("text"))).when(k == 4, F.lit('{"type": "image"}')).when(k == 5, F.lit("42")).otherwise(text)
+    return t.conversations.select("conv_id", "turn", T.content_text(raw).alias("said"))
+
+
 @query("build_loader_sample", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS answer FROM events WHERE event_type IS NOT NULL AND length(trim(coalesce(json_extract_string(props, '$.k'), ''))) > 0")
 def _(t):
     answer = F.trim(F.get_json_object("props", "$.k"))
@@ -191,9 +205,10 @@ def _(t):
     return C.shuffled_choices(rows, "p_partkey").select("p_partkey", F.array_join("choices", "#").alias("choices"), "letter")
 
 
-@query("build_synthetic", "WITH c AS (SELECT i AS id, string_agg(chr(CAST(97 + CAST(('0x' || substr(md5('42|' || i || ':' || j || '|char'), 1, 8)) AS BIGINT) % 6 AS INT)), '' ORDER BY j) AS word FROM range(500) t(i), range(1, 6) u(j) GROUP BY i) SELECT id, word, word[1] AS letter, CAST(length(word) - length(replace(word, word[1], '')) AS BIGINT) AS answer FROM c")
+@query("build_synthetic", "WITH n AS (SELECT row_number() OVER () - 1 AS i FROM customer), c AS (SELECT i AS id, string_agg(chr(CAST(97 + CAST(('0x' || substr(md5('42|' || i || ':' || j || '|char'), 1, 8)) AS BIGINT) % 6 AS INT)), '' ORDER BY j) AS word FROM n, range(1, 6) u(j) GROUP BY i) SELECT id, word, word[1] AS letter, CAST(length(word) - length(replace(word, word[1], '')) AS BIGINT) AS answer FROM c")
 def _(t):
-    return C.char_count_samples(500, t.spark).select("id", "word", "letter", "answer")
+    """As many samples as there are customers."""
+    return C.char_count_samples(t.customer.count(), t.spark).select("id", "word", "letter", "answer")
 
 
 @query("build_coalesce_chain", "SELECT doc_id, coalesce(nullif(source, 'src0'), nullif(lang, ''), '') AS truth FROM documents")

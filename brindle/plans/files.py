@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io as memory
 import json
-import tarfile
 
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from brindle.plans import batches, corpus, evaluation, scalars
 from brindle.plans import views as V
 from brindle.plans.registry import query, same
 from brindle.session import scratch
-from brindle.sources import io
+from brindle.sources import io, tar
 
 __all__ = ["batches", "corpus", "evaluation", "scalars"]
 
@@ -62,16 +60,12 @@ def _(t):
     return io.read_filelist(t.spark, f"{path}/files.json")
 
 
-@query("src_webdataset", "SELECT 'key' || i AS key, 'txt' AS ext, CAST(i AS VARCHAR) AS text FROM range(5) t(i)")
+@query("src_webdataset", "SELECT CAST(doc_id AS VARCHAR) AS key, 'txt' AS ext, md5(coalesce(text, '')) AS md5 FROM documents")
 def _(t):
-    path, raw = scratch(t.spark, "tar"), memory.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w") as tar:
-        for i in range(5):
-            info = tarfile.TarInfo(f"key{i}.txt")
-            info.size = 1
-            tar.addfile(info, memory.BytesIO(str(i).encode()))
-    io.write_bytes(t.spark, f"{path}/0.tar", raw.getvalue())
-    return io.read_tar_shards(t.spark, path).select("key", "ext", F.col("data").cast("string").alias("text"))
+    """Documents written as tar shards and read back in splits of less than a shard."""
+    path = scratch(t.spark, "tar")
+    tar.write(t.documents.select(F.col("doc_id").alias("key"), F.lit("txt").alias("ext"), F.col("text").alias("data")), path)
+    return tar.read(t.spark, path, 1 << 20).select("key", "ext", F.md5("data").alias("md5"))
 
 
 @query("src_json_doc", "SELECT CAST(n_nationkey AS VARCHAR) AS sample_id, n_name AS ground_truth, 2 AS n FROM nation")
@@ -97,13 +91,15 @@ def _(t):
     return io.read_csv(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("src_hdfs_io", "SELECT TRUE AS there, FALSE AS gone")
+@query("src_hdfs_io", "SELECT count(*) AS rows, sum(length(text)) AS chars, TRUE AS there, FALSE AS gone FROM benchmark")
 def _(t):
+    """A table's lines copied within the file system, and read from the copy."""
     path = scratch(t.spark, "fs")
-    io.make_dir(t.spark, f"{path}/a")
-    io.write_text(t.spark, f"{path}/a/x.txt", "x")
-    io.copy(t.spark, f"{path}/a/x.txt", f"{path}/y.txt")
-    return t.spark.range(1).select(F.lit(io.exists(t.spark, f"{path}/y.txt")).alias("there"), F.lit(io.exists(t.spark, f"{path}/z.txt")).alias("gone"))
+    t.benchmark.select("item_id", "text").write.json(f"{path}/a")
+    io.copy(t.spark, f"{path}/a", f"{path}/b")
+    held = t.spark.read.schema("item_id long, text string").json(f"{path}/b")
+    there, gone = io.exists(t.spark, f"{path}/b"), io.exists(t.spark, f"{path}/c")
+    return held.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).withColumn("there", F.lit(there)).withColumn("gone", F.lit(gone))
 
 
 @query("sink_parquet_snappy", NATIONS)
@@ -139,10 +135,14 @@ def _(t):
     return t.documents.where(F.replace("source", F.lit("src0"), F.lit("")) != "").select("doc_id")
 
 
-@query("flt_file_suffix", "SELECT TRUE AS only_parquet")
+@query("flt_file_suffix", "SELECT count(*) AS rows, sum(n_nationkey) AS keys FROM nation")
 def _(t):
-    found = io.list_files(t.spark, t.sf_dir)
-    return t.spark.range(1).select(F.lit(bool(found) and all(f.endswith(".parquet") for f in found)).alias("only_parquet"))
+    """Of a folder with a table's rows as Parquet and as text, the Parquet files alone are read."""
+    path = scratch(t.spark, "suffix")
+    t.nation.select("n_nationkey").write.parquet(f"{path}/a")
+    t.nation.select("n_name").write.text(f"{path}/b")
+    found = [f for f in io.list_files(t.spark, path) if f.endswith(".parquet")]
+    return t.spark.read.parquet(*found).agg(F.count("*").alias("rows"), F.sum("n_nationkey").alias("keys"))
 
 
 @query("fn_sid_from_generation_v2", f"WITH {scalars.GEN} SELECT l_orderkey, CAST(regexp_extract(g, '<s_a_(\\d+)>', 1) AS BIGINT) * 67108864 + CAST(regexp_extract(g, '<s_b_(\\d+)>', 1) AS BIGINT) * 8192 + CAST(regexp_extract(g, '<s_c_(\\d+)>', 1) AS BIGINT) AS code FROM gen")
@@ -174,9 +174,11 @@ def _(t):
     return S.rewards(rows, "source", "solution", "truth", "given", "length", 100, 20).select("o_orderkey", "reward")
 
 
-@query("fn_kl_controller", "SELECT round(0.1 * (1 + 0.2 * 10 / 100), 9) AS beta")
+@query("fn_kl_controller", "WITH k AS (SELECT l_linenumber, avg(abs(l_tax - l_discount)) AS kl, count(*) AS steps FROM lineitem GROUP BY l_linenumber) SELECT l_linenumber, round(0.1 * (1 + greatest(least(kl / 0.03 - 1, 0.2), -0.2) * least(steps, 5000) / 10000), 9) AS beta FROM k")
 def _(t):
-    return t.spark.range(1).select(F.lit(round(P.next_beta(0.1, 2.0, 1.0, 10, 100), 9)).alias("beta"))
+    per = t.lineitem.groupBy("l_linenumber").agg(F.avg(F.abs(F.col("l_tax") - F.col("l_discount"))).alias("kl"), F.count("*").alias("steps"))
+    beta = P.next_beta_column(F.lit(0.1), F.col("kl"), 0.03, F.least("steps", F.lit(5000)), 10_000)
+    return per.select("l_linenumber", F.round(beta, 9).alias("beta"))
 
 
 @query("agg_gspo_ratio", f"WITH {evaluation.MASKED}, e AS (SELECT uid, unnest(x) / 5000 AS a, unnest(m) AS m FROM m) SELECT uid, round(exp(sum(a * m) / (sum(m) + 1e-8)), 5) AS ratio FROM e GROUP BY uid")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io as memory
-import tarfile
-
 from pyspark.sql import functions as F
 
 from brindle.functions import policy as P
@@ -17,7 +14,7 @@ from brindle.plans.batches import ROWS, rows
 from brindle.plans.evaluation import MASKED, RECURSE, RESP, _adv, responses
 from brindle.plans.registry import query
 from brindle.session import scratch
-from brindle.sources import cache, generated, io, tracking, workbook
+from brindle.sources import cache, generated, io, tar, tracking, workbook
 from brindle.streaming.stateful import requeued
 
 # One row per token: an order's lines.
@@ -247,21 +244,18 @@ def _(t):
 # Sources and reports.
 
 
-@query("src_shard_list", "SELECT 'key' || i AS key, 'txt' AS ext, CAST(i AS VARCHAR) AS text, 4 AS samples FROM range(4) t(i)")
+@query("src_shard_list", "SELECT CAST(doc_id AS VARCHAR) AS key, length(coalesce(text, '')) AS chars, count(*) OVER () AS samples FROM documents WHERE doc_id % 2 = 0")
 def _(t):
+    """Half of the documents in listed shards, the other half in shards that no list names."""
     path = scratch(t.spark, "shardlist")
-    for shard in range(2):
-        raw = memory.BytesIO()
-        with tarfile.open(fileobj=raw, mode="w") as tar:
-            for i in (2 * shard, 2 * shard + 1):
-                info = tarfile.TarInfo(f"key{i}.txt")
-                info.size = 1
-                tar.addfile(info, memory.BytesIO(str(i).encode()))
-        io.write_bytes(t.spark, f"{path}/tars/{shard}.tar", raw.getvalue())
-    io.write_bytes(t.spark, f"{path}/unlisted.tar", b"")
-    io.write_results(t.spark, f"{path}/list.json", {"shardlist": [{"url": f"tars/{s}.tar", "nsamples": 2} for s in (1, 0)]})
+    member = lambda c: t.documents.where(c).select(F.col("doc_id").alias("key"), F.lit("txt").alias("ext"), F.col("text").alias("data"))
+    tar.write(member("doc_id % 2 = 0"), f"{path}/listed")
+    tar.write(member("doc_id % 2 = 1"), f"{path}/other")
+    held = t.documents.where("doc_id % 2 = 0").count()
+    names = [f.rsplit("/", 1)[-1] for f in io.list_files(t.spark, f"{path}/listed", ".tar")]
+    io.write_results(t.spark, f"{path}/list.json", {"shardlist": [{"url": f"listed/{n}", "nsamples": held if i == 0 else 0} for i, n in enumerate(names)]})
     shards, samples = io.read_shard_lists(t.spark, [f"{path}/list.json"])
-    return io.read_tar_shards(t.spark, shards).select("key", "ext", F.col("data").cast("string").alias("text"), F.lit(samples).alias("samples"))
+    return io.read_tar_shards(t.spark, shards).select("key", F.length(F.col("data").cast("string")).cast("long").alias("chars"), F.lit(samples).cast("long").alias("samples"))
 
 
 @query("src_hdfs_cache", "SELECT n_nationkey, n_name FROM nation")
@@ -285,9 +279,10 @@ def _(t):
     return t.spark.createDataFrame([(x,) for x in io.markdown(t.nation.select("n_nationkey", "n_name", "n_regionkey")).splitlines()], "line string")
 
 
-@query("src_generated", "SELECT CAST(i AS BIGINT) AS id, 'How many ''a'' are in ' || w || '?' AS question, CAST(length(w) - length(replace(w, 'a', '')) AS INT) AS answer FROM (SELECT i, lower(to_hex(CAST((i * 2654435761) % 4294967296 AS BIGINT))) AS w FROM range(1000) t(i))")
+@query("src_generated", "SELECT i AS id, 'How many ''a'' are in ' || w || '?' AS question, CAST(length(w) - length(replace(w, 'a', '')) AS INT) AS answer FROM (SELECT i, lower(to_hex(CAST((i * 2654435761) % 4294967296 AS BIGINT))) AS w FROM (SELECT row_number() OVER () - 1 AS i FROM orders))")
 def _(t):
-    return generated.read_generated(t.spark, "brindle.sources.generated:Counting", 1000)
+    """As many samples as there are orders."""
+    return generated.read_generated(t.spark, "brindle.sources.generated:Counting", t.orders.count())
 
 
 @query("sink_tracking", "SELECT CAST(o_orderkey % 5 AS BIGINT) AS step, unnest(['price', 'rows']) AS name, round(unnest([avg(o_totalprice), count(*)]), 4) AS value FROM orders GROUP BY 1")
