@@ -297,7 +297,7 @@ def _(t):
 BOOT = """WITH v AS (SELECT o_custkey AS g, list(CAST(o_totalprice AS DOUBLE) ORDER BY o_orderkey) AS v FROM orders GROUP BY o_custkey),
 p AS (SELECT g, d, v[CAST('0x' || substr(md5('42|' || g || '|' || d || '|' || i), 1, 8) AS BIGINT) % len(v) + 1] AS x FROM v, range(1, 21) a(d), range(1, 5) b(i)),
 r AS (SELECT g, d, avg(x) AS mean, max(x) AS max, (max(x) + min(x)) / 2 AS midrange FROM p GROUP BY ALL)
-SELECT g, round(avg(mean), 4) AS mean_mean, round(stddev_pop(mean), 4) AS mean_std, round(avg(max), 4) AS max_mean, round(stddev_pop(max), 4) AS max_std, round(avg(midrange), 4) AS midrange_mean, round(stddev_pop(midrange), 4) AS midrange_std FROM r GROUP BY g"""
+SELECT g, round(avg(mean), 6) AS mean_mean, round(stddev_pop(mean), 6) AS mean_std, round(avg(max), 6) AS max_mean, round(stddev_pop(max), 6) AS max_std, round(avg(midrange), 6) AS midrange_mean, round(stddev_pop(midrange), 6) AS midrange_std FROM r GROUP BY g"""
 
 
 @G.reducer("midrange")
@@ -308,7 +308,7 @@ def midrange(x):
 @query("agg_bootstrap_reducers", BOOT)
 def _(t):
     out = G.bootstrap_by(t.orders.select(F.col("o_custkey").alias("g"), "o_orderkey", "o_totalprice"), "g", "o_totalprice", "o_orderkey", 4, ["mean", "max", "midrange"], 20)
-    return out.select("g", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
+    return out.select("g", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 @query("agg_majority", "WITH v AS (SELECT o_custkey AS g, o_orderstatus AS vote, count(*) AS n, min(o_orderkey) AS f, arg_min(o_totalprice, o_orderkey) AS maj FROM orders GROUP BY ALL) SELECT g, arg_max(maj, (n, -f)) AS maj FROM v GROUP BY g")
