@@ -114,6 +114,15 @@ def seeded(seed: int, key: Column, slot: str, n: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n).cast("long"))
 
 
+def output_path(path: Column, out: str, base: str | None = None) -> Column:
+    """Where a file's result goes below `out`: at its place relative to `base`, or by its name if it is elsewhere."""
+    name = F.concat(F.lit(f"{out.rstrip('/')}/"), F.substring_index(path, "/", -1))
+    if base is None:
+        return name
+    root = f"{base.rstrip('/')}/"
+    return F.when(F.startswith(path, F.lit(root)), F.concat(F.lit(f"{out.rstrip('/')}/"), F.substr(path, F.lit(len(root) + 1)))).otherwise(name)
+
+
 def choice(options: list[str], seed: int, key: Column, slot: str) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (seeded(seed, key, slot, len(options)) + 1).cast("int"))
 

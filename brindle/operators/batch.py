@@ -49,6 +49,23 @@ def take_slice(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame
     return df.where((F.col("row_id") >= start) & (F.col("row_id") < stop) & (F.pmod(F.col("row_id") - start, F.lit(step)) == 0))
 
 
+def pop(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The named columns as a batch of their own, and the batch without them."""
+    if missing := [c for c in columns if c not in df.columns or c == "row_id"]:
+        raise ValueError(f"the batch has no column {', '.join(missing)}")
+    return df.select("row_id", *columns), df.drop(*columns)
+
+
+def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under new names, which must not clash."""
+    if missing := [c for c in names if c not in df.columns]:
+        raise ValueError(f"the batch has no column {', '.join(missing)}")
+    new = [names.get(c, c) for c in df.columns]
+    if len(set(new)) < len(new):
+        raise ValueError("two columns would have one name")
+    return df.toDF(*new)
+
+
 def take_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows in the order and number that `ids` (new_id, row_id) names."""
     return df.join(ids, "row_id").drop("row_id").withColumnRenamed("new_id", "row_id")

@@ -16,6 +16,11 @@ from brindle.operators.lookup import lookup_arrays
 
 SYSTEMS = ["You recommend videos.", "You know what viewers like."]
 USERS = ["The viewer watched: {}. What comes next?", "History: {}. Continue it.", "After {} the viewer opens:"]
+#: Questions about one item.
+ITEMS = [f"{ask} {{}}{end}" for ask, end in (
+    ("Describe", ""), ("Describe in detail", ""), ("What does", " show?"), ("What is in", "?"), ("Explain", ""), ("Tell me about", ""), ("Summarise", ""), ("What happens in", "?"), ("Write a caption for", ""), ("Analyse", ""),
+    ("What is", " about?"), ("Interpret", ""), ("Say what", " contains"), ("Give the content of", ""), ("Which scenes does", " have?"), ("Introduce", ""), ("Put into words:", ""), ("Read", " and describe it"), ("Who or what is in", "?"), ("List the details of", ""),
+)]
 ACTIONS = ("longview", "like", "follow", "forward", "not_interested")
 
 
@@ -116,9 +121,10 @@ def sft_label_pred(df: DataFrame, codes: DataFrame, candidates: int = 10, action
     return _chat(found, seed, F.concat(F.lit("Will the viewer finish "), "code", F.lit("?")), answer, SYSTEMS, ["pos", "label"])
 
 
-def sft_item(items: DataFrame, codes: DataFrame, seed: int = 42) -> DataFrame:
+def sft_item(items: DataFrame, codes: DataFrame, seed: int = 42, systems: list[str] = SYSTEMS, users: list[str] = ITEMS) -> DataFrame:
+    """A question about an item's code and its caption as the answer; both prompts are drawn per item."""
     both = items.where(T.nonblank(F.col("caption"))).join(codes, "pid").withColumn("uid", F.col("pid"))
-    return _chat(both, seed, F.concat(F.lit("Describe "), "code"), F.col("caption"), SYSTEMS)
+    return _chat(both, seed, rendered(T.choice(users, seed, F.col("uid"), "user"), F.col("code")), F.col("caption"), systems)
 
 
 def sft_reason(df: DataFrame, seed: int = 42) -> DataFrame:

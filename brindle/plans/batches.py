@@ -96,6 +96,12 @@ def _(t):
     return t.orders.select("o_orderkey", "o_orderstatus", "o_clerk" if "o_clerk" in t.orders.columns else "o_custkey").drop("o_clerk", "o_custkey").withColumnsRenamed({"o_orderkey": "key"})
 
 
+@query("dp_pop_rename", f"WITH {ROWS} SELECT row_id, k AS key, -k AS popped FROM b")
+def _(t):
+    popped, rest = B.pop(rows(t).withColumn("negative", -F.col("k")), "negative")
+    return B.rename(B.union_columns(rest, popped), {"k": "key", "negative": "popped"}).select("row_id", "key", "popped")
+
+
 @query("dp_union", f"WITH {ROWS} SELECT row_id, k, k * 2 AS double FROM b")
 def _(t):
     r = rows(t)

@@ -31,6 +31,7 @@ def _(t):
     return C.pretrain_item(V.captions(t), V.codes(t))
 
 
+ITEM_USER = V.pick(C.ITEMS, "'42|' || uid || '|user'")
 VIDEO_USER = V.pick(C.USERS, "'42|' || uid || '|user'")
 
 
@@ -101,7 +102,7 @@ def _(t):
     return C.sft_label_pred(V.interactions(t), V.codes(t)).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-@query("build_sft_item", f"WITH {V.CODES}, {V.CAPTIONS}, x AS (SELECT pid AS uid, code, caption FROM captions JOIN codes USING (pid) WHERE length(trim(caption)) > 0) SELECT uid, {V.chat(('system', SYSTEM), ('user', repr('Describe ') + ' || code'), ('assistant', 'caption'))} AS messages FROM x")
+@query("build_sft_item", f"WITH {V.CODES}, {V.CAPTIONS}, x AS (SELECT pid AS uid, code, caption FROM captions JOIN codes USING (pid) WHERE length(trim(caption)) > 0) SELECT uid, {V.chat(('system', SYSTEM), ('user', f"replace({ITEM_USER}, '{{}}', code)"), ('assistant', 'caption'))} AS messages FROM x")
 def _(t):
     return C.sft_item(V.captions(t), V.codes(t))
 

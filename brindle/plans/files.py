@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from brindle.functions import policy as P
-from brindle.functions import sid
+from brindle.functions import sid, text
 from brindle.operators import groupwise as G
 from brindle.operators import scorers as S
 from brindle.plans import batches, corpus, evaluation, scalars
@@ -150,6 +150,13 @@ def _(t):
     return scalars.generations(t).select("l_orderkey", sid.sid_parse_first(F.substring_index("g", "</think>", -1)).alias("code"))
 
 
+@query("fn_path", "SELECT doc_id, '/out/' || CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id || '.parquet' ELSE doc_id || '.parquet' END AS path FROM documents WHERE source IS NOT NULL")
+def _(t):
+    folder = F.when(F.col("doc_id") % 3 == 0, F.lit("/in/")).when(F.col("doc_id") % 3 == 1, F.lit("/inner/")).otherwise(F.lit("/"))
+    path = F.concat(folder, "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".parquet"))
+    return t.documents.where("source IS NOT NULL").select("doc_id", text.output_path(path, "/out/", "/in").alias("path"))
+
+
 @query("fn_preview", "SELECT doc_id, CASE WHEN length(text) > 40 THEN text[1:40] || '...' ELSE text END AS preview FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.when(F.length("text") > 40, F.concat(F.substring("text", 1, 40), F.lit("..."))).otherwise(F.col("text")).alias("preview"))

@@ -84,9 +84,12 @@ def _(t):
     return S.rolling(t.events, "event_id", "value", 5, "user_id").select("event_id", F.round("rolling_avg", 6).alias("rolling_avg"), F.round("rolling_max", 6).alias("rolling_max"))
 
 
-@query("st_dynamic_append", "SELECT count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_type = 'error')")
+@query("st_dynamic_append", "SELECT event_id, generation FROM (SELECT event_id, event_type, unnest(range(0, 3)) AS generation FROM events) WHERE generation = 0 OR event_type = 'error' AND event_id % (2 * generation) = 0")
 def _(t):
-    return t.events.select("event_id").unionByName(t.events.where("event_type = 'error'").select("event_id")).agg(F.count("*").alias("n"))
+    """Errors with an even number are generated again, and of these those that four divides once more."""
+    start = t.events.select("event_id", "event_type", F.lit(0).cast("long").alias("generation"))
+    again = lambda df: df.where("event_type = 'error' AND event_id % (2 * (generation + 1)) = 0 AND generation < 2").withColumn("generation", F.col("generation") + 1)
+    return S.appended(start, again, scratch(t.spark, "appended"), 5).select("event_id", "generation")
 
 
 @query("st_event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

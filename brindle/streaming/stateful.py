@@ -230,6 +230,30 @@ def sessions(df: DataFrame, time: str, gap: str, *by: str) -> DataFrame:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
+def appended(start: DataFrame, generate: Callable[[DataFrame], DataFrame], path: str, rounds: int) -> DataFrame:
+    """A data set that grows while it is read: at the end of each micro-batch `generate` of it is appended as new files.
+
+    The stream meets them in its next round, with its own checkpoint, so that each row is read once; it ends after `rounds`
+    rounds or when nothing was appended. Returns all rows with the micro-batch that read them. A repeated micro-batch
+    overwrites what it gave and what it appended.
+    """
+    spark = start.sparkSession
+    start.write.parquet(f"{path}/data/made=-1")
+    stream = spark.readStream.schema(start.schema).parquet(f"{path}/data/made=*")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/read/batch={number}")
+        held = spark.read.schema(start.schema).parquet(f"{path}/read/batch={number}")
+        generate(held).write.mode("overwrite").parquet(f"{path}/data/made={number}")
+
+    for _ in range(rounds):
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.lastProgress is None or not query.lastProgress.numInputRows:
+            break
+    return spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in start.dtypes)}, batch long").parquet(f"{path}/read")
+
+
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

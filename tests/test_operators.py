@@ -350,3 +350,21 @@ def test_overlaps_of_hot_tokens(spark):
         for b in U._overlapping([3, 5], [sorted(own[3]), sorted(own[5])], 30, True, most)(iter(batches)):
             found.update({(q, c): o for q, c, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)})
         assert found == Counter({(q, c): -o for q in (3, 5) for o, c in sorted((-len(own[q] & own[c]), c) for c in own if c != q)[:30]})
+
+
+def test_pop_and_rename(spark):
+    df = spark.createDataFrame([(0, 1, "a"), (1, 2, "b")], "row_id long, x int, y string")
+    popped, rest = B.pop(df, "y")
+    assert popped.columns == ["row_id", "y"] and rest.columns == ["row_id", "x"]
+    assert B.rename(df, {"x": "y", "y": "x"}).columns == ["row_id", "y", "x"]
+    for wrong in (lambda: B.pop(df, "z"), lambda: B.pop(df, "row_id"), lambda: B.rename(df, {"z": "x"}), lambda: B.rename(df, {"x": "y"})):
+        with pytest.raises(ValueError, match="column"):
+            wrong()
+
+
+def test_output_paths(spark):
+    from brindle.functions import text
+
+    df = spark.createDataFrame([("/in/a/b.parquet",), ("/inner/b.parquet",), ("c.parquet",), (None,)], "p string")
+    assert [r[0] for r in df.select(text.output_path(F.col("p"), "/out/", "/in/")).collect()] == ["/out/a/b.parquet", "/out/b.parquet", "/out/c.parquet", None]
+    assert [r[0] for r in df.select(text.output_path(F.col("p"), "/out")).collect()] == ["/out/b.parquet", "/out/b.parquet", "/out/c.parquet", None]
