@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -36,12 +37,32 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder in spark.checkpoint.dir; in local mode without one, below a new temporary folder."""
+    """A new path below the shared folder in spark.checkpoint.dir; in local mode without one, below a new temporary folder.
+
+    What is written there serves the results that were made from it, and goes when the driver's Python ends or by `forget`.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/brindle-{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(forget)
+    _MADE.append(f"{root.rstrip('/')}/brindle-{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def forget() -> None:
+    """Deletes the scratch tables of this driver; results that still read them are lost."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _MADE:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _MADE.clear()
