@@ -4,34 +4,23 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import scratch
+
 #: A group of more rows than the larger of these, LEAST and a 1/SHARE of all rows, is not joined by a shuffle on its key.
 LEAST, SHARE = 500, 10_000
 #: Words are runs of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; in local mode without one, a new temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="brindle-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder that the session names in spark.checkpoint.dir."""
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

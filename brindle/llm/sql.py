@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from brindle.llm import licenses
+
 SPACE = "[ \\t\\n\\x0b\\x0c\\r]+"
 WORDS = f"list_filter(string_split_regex({{}}, '{SPACE}'), lambda w: w <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -88,4 +90,24 @@ sum(n) FILTER (failed = bit) AS unique_fails, sum(good) FILTER (failed & ahead =
 SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
 CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM r"""
 
-SQL = {"chat_branches": BRANCHES, "op12_repair": OP12, "op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: Every notice is tried at every place of its first phrase.
+NOTICES = [(i, label, words, phrases) for i, (label, words, phrases) in enumerate(licenses.library())]
+PHRASES = [(i, k, p, next(j for j in range(len(words)) if words[j : j + len(p)] == p)) for i, _, words, phrases in NOTICES for k, p in enumerate(phrases)]
+OP11 = f"""WITH t(notice, label, words, parts, base) AS (VALUES {", ".join(f"({i}, '{label}', {_list(words)}, {len(phrases)}, {i < len(licenses.BASE)})" for i, label, words, phrases in NOTICES)}),
+q(notice, k, phrase, place) AS (VALUES {", ".join(f"({i}, {k}, {_list(p)}, {at})" for i, k, p, at in PHRASES)}),
+w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+v AS (SELECT DISTINCT unnest(words) AS word FROM t), d AS (SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS word FROM w) SEMI JOIN v USING (word) GROUP BY word),
+i AS (SELECT word, ln(1 + (SELECT count(*) FROM w) / (coalesce(df, 0) + 1)) AS weight FROM v LEFT JOIN d USING (word)),
+h AS (SELECT r, notice, k, unnest(list_transform(list_filter(range(0, len(ws) - len(phrase) + 1), lambda i: ws[i + 1:i + len(phrase)] = phrase), lambda i: i - place)) AS s FROM w, q WHERE list_has_all(ws, phrase)),
+o AS (SELECT l.r, l.notice, l.s FROM h l JOIN h ON h.r = l.r AND h.notice = l.notice AND abs(h.s - l.s) <= {licenses.SLACK} JOIN t ON t.notice = l.notice WHERE l.k = 0 GROUP BY l.r, l.notice, l.s, parts HAVING count(DISTINCT h.k) = parts),
+x AS (SELECT notice, label, base, len(words) AS size, unnest(list_distinct(words)) AS word FROM t),
+c AS (SELECT r, notice, label, base, s, round(coalesce(sum(weight) FILTER (list_contains(ws[greatest(s - {licenses.SLACK}, 0) + 1:greatest(s - {licenses.SLACK}, 0) + size + {2 * licenses.SLACK}], word)), 0) / sum(weight), 6) AS score FROM o JOIN w USING (r) JOIN x USING (notice) JOIN i USING (word) GROUP BY ALL),
+f AS (SELECT * FROM c WHERE score >= {licenses.COVERED})
+SELECT doc_id, len(ws) AS n_words, count(s) FILTER (base) AS n_base, CAST(min(s) FILTER (base) AS BIGINT) AS first_word, CAST(max(s) FILTER (base) AS BIGINT) AS last_word,
+coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0.0) AS score FROM w LEFT JOIN f USING (r) GROUP BY r, doc_id, ws"""
+
+SQL = {"op11_licenses": OP11, "chat_branches": BRANCHES, "op12_repair": OP12, "op13_filter_audit": OP13, "quality_ablations": ABLATIONS, "op2_ngram_join": OP2, "op5_mixing": OP5, "op6_chat": OP6, "op10_quality": OP10}
