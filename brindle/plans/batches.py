@@ -439,7 +439,7 @@ def _(t):
 def _(t):
     # As many lanes as the tokens ask for: each is a sequence of its own, packed in one task.
     lanes = max(1, -(-(t.documents.agg(F.sum("n_chars").alias("n")).first()["n"] or 0) // 500_000))
-    rows = t.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("shard"), "doc_id", F.least("n_chars", F.lit(20000)).alias("n"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"))
+    rows = t.documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("shard"), "doc_id", F.col("n_chars").alias("n"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"))
     return Q.pack_greedy(rows, "shard", "doc_id", "n", "o", 4096)
 
 

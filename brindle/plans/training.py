@@ -276,7 +276,9 @@ def _(t):
 
 @query("sink_markdown", "SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation UNION ALL SELECT '| n_nationkey | n_name | n_regionkey |' UNION ALL SELECT '| --- | --- | --- |'")
 def _(t):
-    return t.spark.createDataFrame([(x,) for x in io.markdown(t.nation.select("n_nationkey", "n_name", "n_regionkey")).splitlines()], "line string")
+    path = scratch(t.spark, "markdown")
+    io.markdown_lines(t.nation.select("n_nationkey", "n_name", "n_regionkey")).orderBy("place").select("line").write.text(path)
+    return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("src_generated", "SELECT i AS id, 'How many ''a'' are in ' || w || '?' AS question, CAST(length(w) - length(replace(w, 'a', '')) AS INT) AS answer FROM (SELECT i, lower(to_hex(CAST((i * 2654435761) % 4294967296 AS BIGINT))) AS w FROM (SELECT row_number() OVER () - 1 AS i FROM orders))")

@@ -42,7 +42,8 @@ def test_documents_and_tables(spark, tmp_path):
     assert S.read_csv(spark, f"{tmp_path}/r.csv", "name string, rows int").first()["rows"] == 12
     S.write_jsonl(spark.range(3), f"{tmp_path}/j", 7)
     assert S.read_jsonl(spark, f"{tmp_path}/j/step=7").count() == 3
-    assert S.markdown(spark.range(1)) == "| id |\n| --- |\n| 0 |"
+    odd = spark.createDataFrame([(0, "a|b\nc"), (1, None)], "id int, `x.y` string").coalesce(1)
+    assert [r["line"] for r in S.markdown_lines(odd).orderBy("place").collect()] == ["| id | x.y |", "| --- | --- |", "| 0 | a\\|b c |", "| 1 |  |"]
 
 
 def test_tar_shards(spark, tmp_path):
