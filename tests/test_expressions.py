@@ -37,6 +37,14 @@ def test_different_answers(a, b):
     assert time.time() - began < 2
 
 
+def test_whole_numbers_are_exact():
+    """Neighbours above ten thousand are within the tolerance of rounded values."""
+    for a, b in (("14017", "14018"), ("1,000,000", "1000001"), ("2^{14}", "16385"), ("-20000", "-20001"), ("9" * 400, "8" * 400)):
+        assert not expressions.equal(a, b) and not expressions.equal(b, a)
+    assert expressions.equal("14017", "014017") and expressions.equal("1401700", "14017") and expressions.equal("-0", "0")
+    assert expressions.equal("14017.3", "14017.4")
+
+
 def test_percent_is_optional():
     assert not expressions.equal("50", "0.5", percent=False)
 
