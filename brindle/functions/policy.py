@@ -71,9 +71,10 @@ def gpg_loss(logp: Column, advantage: Column) -> Column:
     return -logp * advantage
 
 
-def gspo_ratio(logp: Column, old: Column, mask: Column) -> Column:
-    """The sequence-level ratio: exp of the masked mean log ratio, capped at e^10."""
-    return F.exp(F.least(masked_mean(F.zip_with(logp, old, lambda a, b: a - b), mask), F.lit(10.0)))
+def gspo_ratio(logp: Column, old: Column, mask: Column, most: float | None = 10.0) -> Column:
+    """The sequence-level ratio: exp of the masked mean log ratio, capped at e^most."""
+    mean = masked_mean(F.zip_with(logp, old, lambda a, b: a - b), mask)
+    return F.exp(mean if most is None else F.least(mean, F.lit(most)))
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
