@@ -14,12 +14,15 @@ from brindle.operators.batch import with_running
 from brindle.session import scratch
 
 
-def overlaps(tokens: DataFrame, queries: DataFrame, pool: int | None = 1000, other: bool = True, block: int = 1 << 20) -> DataFrame:
+def overlaps(tokens: DataFrame, queries: DataFrame, pool: int | None = 1000, other: bool = True, block: int = 1 << 20, best: tuple | None = None) -> DataFrame:
     """query, candidate, overlap, nq, nc: for a stated query set, the `pool` users of all with the largest token overlap, or all that share a token if pool is None.
 
-    tokens and queries have (uid, token), repeats allowed. Each user's distinct tokens become one row, once. Queries go out
-    one block at a time, of about `block` tokens at most, as inverted lists; a task counts the overlaps of its users with the block
-    and keeps `pool` a query, however hot a token is: the pairs of a token are never rows. Ties go to the smaller id.
+    tokens and queries have (uid, token), repeats allowed. Each user's distinct tokens become one row, once. Queries are dealt to
+    parts of about `block` / 16 tokens; a token's list of users goes to each part that asks for it, where all pairs of its queries are
+    counted. The work is then that of the pairs. Where tokens are so hot that lists would be sent to many parts, or pairs not
+    fit a part, queries go out one block at a time, of about `block` tokens at most, as inverted lists; a task counts the overlaps
+    of its users with the block and keeps `pool` a query. The pairs of a token are never rows. Ties go to the smaller id.
+    `best` (k, least score, recall and score to stay below) allows leaving out what `similar_users` would.
     """
     spark = tokens.sparkSession
     # A fixed number of partitions: coalesced by their few bytes, the counting below would have few tasks.
@@ -32,8 +35,10 @@ def overlaps(tokens: DataFrame, queries: DataFrame, pool: int | None = 1000, oth
     path, schema = scratch(spark, "overlaps"), "query long, candidate long, overlap long, nq int, nc int"
     for name, df in (("users", tokens), ("queries", queries)):
         listed(df).write.parquet(f"{path}/{name}")
-    users = spark.read.parquet(f"{path}/users")
-    for at, held in enumerate(_blocks(spark.read.parquet(f"{path}/queries"), "uid", block, F.size("tokens"))):
+    users, asked = spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/queries")
+    if n := _parts(users, asked, parts, block):
+        return _listed_pairs(users, asked, n).mapInArrow(_counting(pool, other, best), schema)
+    for at, held in enumerate(_blocks(asked, "uid", block, F.size("tokens"))):
         met = users.mapInArrow(_overlapping([r["uid"] for r in held], [r["tokens"] for r in held], pool, other), schema)
         met.write.parquet(f"{path}/met/block={at}")
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("overlap").desc(), "candidate"))
@@ -43,6 +48,105 @@ def overlaps(tokens: DataFrame, queries: DataFrame, pool: int | None = 1000, oth
     return every.withColumn("_p", first).where(F.col("_p") <= pool).drop("_p")
 
 
+def _parts(users: DataFrame, queries: DataFrame, least: int, block: int, copies: int = 64, pairs: int = 128) -> int | None:
+    """The number of parts of queries, or None if lists would be sent more than `copies` times, or hold more than the tokens of a block, or a part count more than `pairs` pairs a token."""
+    per = lambda df, name: df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias(name))
+    asked = queries.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
+    n = max(least, -(-asked * 16 // block))
+    found = per(users, "c").join(per(queries, "q"), "token").agg(F.sum(F.col("c") * F.least("q", F.lit(n))).alias("sent"), F.sum("c").alias("held"), F.max("c").alias("longest"), F.sum(F.col("c") * F.col("q")).alias("pairs")).first()
+    if found["held"] is None:
+        return n
+    return n if found["sent"] <= copies * found["held"] and found["longest"] <= block and found["pairs"] <= pairs * n * (block // 16) else None
+
+
+def _listed_pairs(users: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """part, q, c: per part and token its queries and users with their numbers of tokens; sorted by part."""
+    who = F.struct(F.col("uid").alias("id"), F.size("tokens").alias("n")).alias("who")
+    q = queries.select(F.pmod(F.hash("uid"), F.lit(n)).alias("part"), who, F.explode("tokens").alias("token")).groupBy("part", "token").agg(F.collect_list("who").alias("q"))
+    c = users.select(who, F.explode("tokens").alias("token")).groupBy("token").agg(F.collect_list("who").alias("c"))
+    return q.join(c, "token").select("part", "q", "c").repartition(n, "part").sortWithinPartitions("part")
+
+
+def _counting(pool: int | None, other: bool, best: tuple | None, most: int = 1 << 22):
+    """The overlaps of each part's queries, of which a task holds one part at a time. A step expands about `most` pairs and one list."""
+
+    def sides(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = lists.flatten()
+        return np.diff(np.asarray(lists.offsets)).astype(np.int64), np.asarray(flat.field(0)), np.asarray(flat.field(1))
+
+    def counted(rows: list[tuple[pa.ListArray, pa.ListArray]]) -> pa.RecordBatch:
+        (many, q, nq), (long, c, nc) = ([np.concatenate(x) for x in zip(*[sides(r[i]) for r in rows], strict=True)] for i in range(2))
+        (qs, first_q, q), (cs, first_c, c) = (np.unique(x, return_index=True, return_inverse=True) for x in (q, c))
+        nq, nc = nq[first_q], nc[first_c]
+        row = np.repeat(np.arange(len(many)), many)
+        times, start = long[row], (np.cumsum(long) - long)[row]
+        found = []
+        for step in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(times) // most)) + 1):
+            n = times[step]
+            ends = np.cumsum(n)
+            users = c[np.repeat(start[step] - ends + n, n) + np.arange(ends[-1])]
+            found.append(np.unique(np.repeat(q[step], n) * len(cs) + users, return_counts=True))
+        pair, o = found[0]
+        if len(found) > 1:
+            pair, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            o = np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64)
+        q, c = pair // len(cs), pair % len(cs)
+        if other:
+            keep = qs[q] != cs[c]
+            q, c, o = q[keep], c[keep], o[keep]
+        if pool is not None and len(q) and np.bincount(q).max() > pool:
+            by = np.lexsort((c, -o, q))
+            by = by[_places(q[by]) < pool]
+            q, c, o = q[by], c[by], o[by]
+        if best is not None:
+            q, c, o = leading(q, c, o, nq, nc)
+        return pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(cs[c]), pa.array(o.astype(np.int64)), pa.array(nq[q]), pa.array(nc[c])], names=["query", "candidate", "overlap", "nq", "nc"])
+
+    def leading(q: np.ndarray, c: np.ndarray, o: np.ndarray, nq: np.ndarray, nc: np.ndarray) -> list[np.ndarray]:
+        """The rows with one of the k largest scores of a query, of those that pass; rows come by query."""
+        k, min_score, max_recall, max_score = best
+        score = o / (nq[q] + nc[c] - o)
+        keep = score >= min_score
+        if max_recall is not None:
+            keep &= o / nq[q] < max_recall
+        if max_score is not None:
+            keep &= score < max_score
+        q, c, o, score = q[keep], c[keep], o[keep], score[keep]
+        if not len(q):
+            return [q, c, o]
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        sizes = np.diff(np.append(starts, len(q)))
+        rest, edge = score.copy(), np.zeros(0)
+        for _ in range(k):
+            edge = np.repeat(np.maximum.reduceat(rest, starts), sizes)
+            rest[rest == edge] = -np.inf
+        keep = score >= edge
+        return [q[keep], c[keep], o[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            named = np.asarray(batch.column(0))
+            for at in np.split(np.arange(len(named)), np.flatnonzero(np.diff(named)) + 1) if len(named) else []:
+                if named[at[0]] != part and rows:
+                    yield counted(rows)
+                    rows = []
+                part = named[at[0]]
+                # Copied, as a slice would hold the whole batch and its offsets start elsewhere.
+                held = batch.take(pa.array(at))
+                rows.append((held.column(1), held.column(2)))
+        if rows:
+            yield counted(rows)
+
+    return run
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """The place from 0 of each row in its run of equal groups."""
+    at = np.arange(len(groups))
+    return at - np.maximum.accumulate(np.where(np.concatenate([[True], groups[1:] != groups[:-1]]), at, 0)) if len(groups) else at
+
+
 def _blocks(queries: DataFrame, key: str, block: int, weight: Column | None = None) -> Iterator[list[Row]]:
     """A stated query set in lists that weigh at most `block` and one row; only one is held at a time. Without queries, one empty list."""
     placed = with_running(queries, [key], F.lit(1) if weight is None else weight, "_ahead").withColumn("_block", F.floor(F.col("_ahead") / block))
@@ -70,16 +174,14 @@ def _overlapping(ids: list[int], tokens: list[list[str]], pool: int | None, othe
             return [q, c, o, n]
         by = np.lexsort((c, -o, q))
         q, c, o, n = q[by], c[by], o[by], n[by]
-        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
-        place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, np.int64)
-        keep = place < pool
+        keep = _places(q) < pool
         return [q[keep], c[keep], o[keep], n[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(ids):
             return
         rows: list[list[np.ndarray]] = []
-        held = 0
+        held, edge = 0, 2 * most
 
         def gathered() -> pa.RecordBatch:
             q, c, o, n = pruned(rows)
@@ -87,11 +189,17 @@ def _overlapping(ids: list[int], tokens: list[list[str]], pool: int | None, othe
             return pa.RecordBatch.from_arrays(arrays, names=["query", "candidate", "overlap", "nq", "nc"])
 
         few = max(1, 4 * most // len(ids))
-        parts = (b.slice(i, few).take(pa.array(range(min(few, b.num_rows - i)), pa.int32())) for b in batches for i in range(0, b.num_rows, few))
-        for batch in parts:
-            users, lists = np.asarray(batch.column(0)), batch.column(1)
-            length = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy()
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in batches:
+                # Tokens are looked up once a batch: each look-up hashes all of the block's.
+                flat = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=names), -1).to_numpy()
+                ends = np.asarray(b.column(1).offsets) - b.column(1).offsets[0].as_py()
+                for i in range(0, b.num_rows, few):
+                    own = ends[i : i + few + 1]
+                    yield np.asarray(b.column(0))[i : i + few], np.diff(own).astype(np.int64), flat[own[0] : own[-1]]
+
+        for users, length, code in parts():
             of = np.repeat(np.arange(len(users)), length)[code >= 0]
             code = code[code >= 0]
             steps = np.cumsum(counts[code]) // most
@@ -115,9 +223,11 @@ def _overlapping(ids: list[int], tokens: list[list[str]], pool: int | None, othe
             if held > 2 * most and pool is None:
                 yield gathered()
                 rows, held = [], 0
-            elif held > 2 * most:
+            elif held > edge:
+                # Where queries have fewer than `pool` users yet, hardly anything goes: the next time is at twice the rows.
                 rows = [pruned(rows)]
                 held = len(rows[0][0])
+                edge = 2 * max(most, held)
         if rows:
             yield gathered()
 
@@ -133,7 +243,7 @@ def similar_users(
     parameters. Ties: score, overlap, then the smaller id.
     """
     scored = (
-        overlaps(tokens, queries, pool, other)
+        overlaps(tokens, queries, pool, other, best=(k, min_score, max_recall, max_score))
         .withColumn("score", F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")))
         .withColumn("recall", F.col("overlap") / F.col("nq"))
         .where(F.col("score") >= min_score)

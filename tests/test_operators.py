@@ -368,3 +368,36 @@ def test_output_paths(spark):
     df = spark.createDataFrame([("/in/a/b.parquet",), ("/inner/b.parquet",), ("c.parquet",), (None,)], "p string")
     assert [r[0] for r in df.select(text.output_path(F.col("p"), "/out/", "/in/")).collect()] == ["/out/a/b.parquet", "/out/b.parquet", "/out/c.parquet", None]
     assert [r[0] for r in df.select(text.output_path(F.col("p"), "/out")).collect()] == ["/out/b.parquet", "/out/b.parquet", "/out/c.parquet", None]
+
+
+def test_overlaps_by_lists(spark):
+    """Dealt as lists, pairs agree with brute force in steps of any size, and a query's pairs are counted in one task."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    own = {u: {f"t{rng.randint(0, 90)}" for _ in range(rng.randint(1, 12))} for u in range(400)}
+    df = spark.createDataFrame([(u, x) for u, xs in own.items() for x in xs], "uid int, token string").repartition(5)
+    want = {(q, c): len(own[q] & own[c]) for q in range(0, 400, 10) for c in own if c != q and own[q] & own[c]}
+    lists = U.overlaps(df, df.where("uid % 10 = 0"), pool=None)
+    assert {(r["query"], r["candidate"]): r["overlap"] for r in lists.collect()} == want
+    assert "Window" not in lists._jdf.queryExecution().toString() and U._parts(*[df.groupBy("uid").agg(F.collect_set("token").alias("tokens"))] * 2, 4, 1 << 20) == 4
+    first = {q: sorted((-n, c) for (p, c), n in want.items() if p == q)[:15] for q in range(0, 400, 10)}
+    found = {q: [] for q in first}
+    for r in U.overlaps(df, df.where("uid % 10 = 0"), pool=15).collect():
+        found[r["query"]].append((-r["overlap"], r["candidate"]))
+        assert (r["nq"], r["nc"]) == (len(own[r["query"]]), len(own[r["candidate"]]))
+    assert {q: sorted(x) for q, x in found.items()} == first
+    got = {q: [] for q in first}
+    for r in U.similar_users(df, df.where("uid % 10 = 0"), k=2, pool=15, min_score=0.0).orderBy("query", "place").collect():
+        got[r["query"]].append(r["candidate"])
+    score = lambda q, n, c: (n / (len(own[q]) + len(own[c]) + n), n, c)
+    assert got == {q: [c for *_, c in sorted(score(q, n, c) for n, c in x if -n / len(own[q]) < 0.8)[:2]] for q, x in first.items()}
+    who = pa.struct([("id", pa.int64()), ("n", pa.int32())])
+    side = lambda users: [{"id": u, "n": len(own[u])} for u in users]
+    tokens = sorted(set().union(*own.values()))
+    rows = [(part, [q for q in range(part * 10, 400, 20) if t in own[q]], [c for c in own if t in own[c]]) for part in (0, 1) for t in tokens]
+    rows = [r for r in rows if r[1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 30]], pa.int32()), *[pa.array([side(r[j]) for r in rows[i : i + 30]], pa.list_(who)) for j in (1, 2)]], names=["part", "q", "c"]) for i in range(0, len(rows), 30)]
+    for most in (1, 50, 10**6):
+        seen = [(q, c, o) for b in U._counting(None, True, None, most)(iter(batches)) for q, c, o in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
+        assert len(seen) == len(want) and {(q, c): o for q, c, o in seen} == want
