@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,28 +186,26 @@ def bleu(candidate: Column, reference: Column, longest: int = 4) -> Column:
 
 
 def bleu_rows(df: DataFrame, key: str, candidate: str, reference: str, name: str = "bleu", longest: int = 4) -> DataFrame:
-    """bleu() of two word arrays per unique key, with n-grams counted by aggregation: linear in the words. NULL counts as no words."""
-    rows = df.select(F.col(key).alias("_key"), *[F.coalesce(c, F.array().cast("array<string>")).alias(n) for c, n in ((F.col(candidate), "_c"), (F.col(reference), "_r"))])
-    sizes = rows.select("_key", F.size("_c").alias("_nc"), F.size("_r").alias("_nr"))
-
-    def grams(words: str) -> Column:
-        w = F.col(words)
-        each = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(w)), lambda i: F.struct(F.lit(n).alias("n"), F.slice(w, i, n).alias("g")))
-        return F.explode(F.concat(*[each(n) for n in range(1, longest + 1)])).alias("_x")
-
-    sides = [rows.select("_key", grams(w), F.lit(int(w == "_c")).alias("_mine")) for w in ("_c", "_r")]
-    counted = sides[0].unionByName(sides[1]).groupBy("_key", "_x").agg(F.sum("_mine").alias("_a"), F.sum(1 - F.col("_mine")).alias("_b"))
-    hit = lambda n: F.sum(F.when(F.col("_x.n") == n, F.least("_a", "_b")).otherwise(0)).cast("double").alias(f"_h{n}")
-    hits = counted.groupBy("_key").agg(*[hit(n) for n in range(1, longest + 1)])
-
-    total = F.lit(0.0)
-    for n in range(1, longest + 1):
-        add = 0.0 if n == 1 else 1.0
-        total = total + F.log((F.col(f"_h{n}") + add) / (F.greatest(F.col("_nc") - n + 1, F.lit(0)) + add))
-    short = F.when(F.col("_nc") < F.col("_nr"), F.exp(1 - F.col("_nr") / F.col("_nc"))).otherwise(F.lit(1.0))
-    # Without a common word the precision is 0 and so is the score.
-    score = F.when((F.col("_nc") > 0) & (F.col("_h1") > 0), short * F.exp(total / longest)).otherwise(F.lit(0.0))
-    return sizes.join(hits, sizes["_key"].eqNullSafe(hits["_key"]), "left").select(sizes["_key"].alias(key), score.alias(name))
+    """bleu() of two word arrays per row, with a row's n-grams counted where it is: linear in the words. NULL counts as no words."""
+
+    def score(c: list, r: list) -> float:
+        codes = {w: i for i, w in enumerate({*c, *r})}
+        c, r = ([codes[w] for w in x] for x in (c, r))
+        total = 0.0
+        for n in range(1, longest + 1):
+            mine, theirs = (Counter(zip(*[x[i:] for i in range(n)])) for x in (c, r))  # noqa: B905
+            hits, add = sum(min(k, theirs[g]) for g, k in mine.items() if g in theirs), 0 if n == 1 else 1
+            # Without a common word the precision is 0 and so is the score.
+            if not hits + add:
+                return 0.0
+            total += math.log((hits + add) / (max(len(c) - n + 1, 0) + add))
+        return (math.exp(1 - len(r) / len(c)) if len(c) < len(r) else 1.0) * math.exp(total / longest)
+
+    @F.pandas_udf("double")
+    def scores(c: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if x is None or not len(x) else score(list(x), [] if y is None else list(y)) for x, y in zip(c, r, strict=True)], dtype=float)
+
+    return df.select(key, scores(candidate, reference).alias(name))
 
 
 def report(df: DataFrame, row: str, name: str, value: str, names: list[str]) -> DataFrame:

@@ -475,10 +475,11 @@ SELECT doc_id, round(CASE WHEN nc > 0 AND h1 > 0 THEN exp(logs / 4) * CASE WHEN
 
 @query("agg_bleu", BLEU)
 def _(t):
-    rows = B.with_row_id(t.documents.select("doc_id", F.split("text", " ").alias("w")), ["doc_id"])
+    rows = B.with_row_id(t.documents.select("doc_id", F.col("text").alias("w")), ["doc_id"])
     ends = rows.agg(F.max("row_id").alias("last"))
     after = rows.join(F.broadcast(ends)).select(F.when(F.col("row_id") == 0, F.col("last")).otherwise(F.col("row_id") - 1).alias("row_id"), F.col("w").alias("ref"))
-    return M.bleu_rows(rows.join(after, "row_id"), "doc_id", "w", "ref").select("doc_id", F.round("bleu", 6).alias("bleu"))
+    both = rows.join(after, "row_id").select("doc_id", *[F.split(c, " ").alias(c) for c in ("w", "ref")])
+    return M.bleu_rows(both, "doc_id", "w", "ref").select("doc_id", F.round("bleu", 6).alias("bleu"))
 
 
 @query("sink_report", "SELECT lang, round(sum(n_chars) FILTER (source = 'src1'), 2) AS recall_src1, round(sum(n_chars) FILTER (source = 'src2'), 2) AS pass_src2 FROM documents GROUP BY lang")

@@ -119,3 +119,10 @@ def test_batch_algebra_takes_all_rows(spark, tmp_path, size):
     assert got("chunk") == sorted((*key, m) for key, m in Counter((i // -(-n // 20), i // 64) for i in range(n)).items())
     fields = ["mini", "n"]
     assert got("iterator") == sorted(Counter(i // 100 for i in range(n)).items())
+
+
+def test_bleu_counts_within_rows(spark):
+    """A pair's n-grams are never rows of a shuffle."""
+    df = spark.createDataFrame([(1, ["a", "b"], ["a", "c"])], "k int, c array<string>, r array<string>")
+    plan = M.bleu_rows(df, "k", "c", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
