@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brindle.functions.arrays import let
 from brindle.functions.sid import BEGIN, END, WIDTH
 
 RUN = r"(?:<\|sid_begin\|>.*?<\|sid_end\|>)+"
@@ -64,12 +65,11 @@ def item_of_code(items: Column, strategy: str, seed: Column) -> Column:
 
     'originally': the first. 'after': the largest count after downsampling, of equal ones one by hash. 'random': any, by hash.
     """
-    draw = lambda a: F.get(a, F.pmod(F.conv(F.substring(F.md5(seed.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.greatest(F.size(a), F.lit(1)).cast("long")).cast("int"))["pid"]
+    draw = lambda found: let(found, lambda a: F.get(a, F.pmod(F.conv(F.substring(F.md5(seed.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.greatest(F.size(a), F.lit(1)).cast("long")).cast("int")))["pid"]
     if strategy == "originally":
         found = F.get(items, 0)["pid"]
     elif strategy == "after":
-        top = F.array_max(F.transform(items, lambda x: x["after"]))
-        found = draw(F.filter(items, lambda x: x["after"] == top))
+        found = draw(let(F.array_max(F.transform(items, lambda x: x["after"])), lambda top: F.filter(items, lambda x: x["after"] == top)))
     elif strategy == "random":
         found = draw(items)
     else:
