@@ -255,7 +255,7 @@ def _(t):
     names = [f.rsplit("/", 1)[-1] for f in io.list_files(t.spark, f"{path}/listed", ".tar")]
     io.write_results(t.spark, f"{path}/list.json", {"shardlist": [{"url": f"listed/{n}", "nsamples": held if i == 0 else 0} for i, n in enumerate(names)]})
     shards, samples = io.read_shard_lists(t.spark, [f"{path}/list.json"])
-    return io.read_tar_shards(t.spark, shards).select("key", F.length(F.col("data").cast("string")).cast("long").alias("chars"), F.lit(samples).cast("long").alias("samples"))
+    return tar.read(t.spark, shards).select("key", F.length(F.col("data").cast("string")).cast("long").alias("chars"), F.lit(samples).cast("long").alias("samples"))
 
 
 @query("src_hdfs_cache", "SELECT n_nationkey, n_name FROM nation")

@@ -42,12 +42,15 @@ class Split(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, split: int) -> None:
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, shards: list[str] | None = None) -> None:
+        self.path, self.split, self.shards = path, split, shards
 
     def partitions(self) -> list[Split]:
-        files, root = _opened(self.path)
-        named = [f.path for f in files.get_file_info(arrow_fs.FileSelector(root, recursive=True)) if f.path.endswith(".tar")]
+        if self.shards is None:
+            files, root = _opened(self.path)
+            named = [f.path for f in files.get_file_info(arrow_fs.FileSelector(root, recursive=True)) if f.path.endswith(".tar")]
+        else:
+            named = [_opened(shard)[1] for shard in self.shards]
         with ThreadPoolExecutor(16) as pool:
             return [s for found in pool.map(self.splits, sorted(named)) for s in found]
 
@@ -65,7 +68,9 @@ class Reader(DataSourceReader):
                 tar.members = []  # a shard may have any number of members
         return found if start is None else [*found, Split(shard, start, 1 << 62)]
 
-    def read(self, partition: Split) -> Iterator[tuple]:
+    def read(self, partition: Split | None) -> Iterator[tuple]:
+        if partition is None:  # without shards
+            return
         files, _ = _opened(self.path)
         with files.open_input_file(partition.shard) as raw:
             raw.seek(partition.start)
@@ -129,14 +134,18 @@ class TarSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"], int(self.options.get("splitBytes", SPLIT)))
+        shards = json.loads(self.options["shards"]) if "shards" in self.options else None
+        return Reader(shards[0] if shards else self.options.get("path", ""), int(self.options.get("splitBytes", SPLIT)), shards)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         return Writer(self.options["path"])
 
 
-def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:
+    """Members of the shards of a folder, or of shards by name in one file system."""
     spark.dataSource.register(TarSource)
+    if not isinstance(path, str):
+        return spark.read.format("brindle_tar").option("splitBytes", split).option("shards", json.dumps(path)).load()
     return spark.read.format("brindle_tar").option("splitBytes", split).load(path)
 
 

@@ -122,3 +122,14 @@ def test_contents_of_any_form(spark):
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CONTENTS)], "i int, c string")
     for r in df.select("i", T.content_text(F.col("c")).alias("t")).collect():
         assert r["t"] == CONTENTS[r["i"]][1], CONTENTS[r["i"]]
+
+
+def test_shards_by_name_are_split(spark, tmp_path):
+    """A named shard is read in splits of bounded size, never as one row, and unnamed ones are not read."""
+    df = spark.range(200).select(F.col("id").alias("key"), F.lit("txt").alias("ext"), F.repeat(F.lit("x"), 1000).alias("data")).repartition(2)
+    tar.write(df, f"{tmp_path}/t")
+    names = sorted(str(p) for p in (tmp_path / "t").glob("*.tar"))
+    whole, one = tar.read(spark, [f"file://{n}" for n in names], split=10_000), tar.read(spark, [f"file://{names[0]}"], split=10_000)
+    assert sorted(int(r["key"]) for r in whole.select("key").collect()) == list(range(200))
+    assert 0 < one.count() < 200 and one.rdd.getNumPartitions() > 5
+    assert tar.read(spark, []).count() == 0
