@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ BLOCK = r"(?s)<\|sid_begin\|>.*?<\|sid_end\|>"
 #: Words of a slot's label, the history that fills it, and how many items it takes; the last is the default.
 SLOTS = ((("长时间",), "longview", 100), (("商品", "购物"), "product", 100), (("广告",), "ad", 200), ((), "video", 512))
 
+#: Blocks whose codes are drawn once for all texts.
+FIRST = 64
+
 
 def slots_filled(text: Column, histories: dict[str, Column], target: Column | None = None) -> Column:
     """A prompt whose runs of item codes are replaced: the label before a run names the history that fills it.
@@ -49,15 +54,22 @@ def example_users(text: Column) -> Column:
 
 def codes_replaced(text: Column, seed: int, width: int = WIDTH) -> Column:
     """Each code of each tagged block replaced by one drawn by hash of seed, block and place; blocks without a code stay."""
-    blocks, between = F.regexp_extract_all(text, F.lit(BLOCK), F.lit(0)), F.split(text, BLOCK, -1)
-    number = lambda i, j: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width).cast("long"))
+    # The same for every text, so those of the first places are drawn when the query is planned.
+    first = F.lit([[int(md5(f"{seed}|{i}|{j}".encode()).hexdigest()[:8], 16) % width for j in range(4)] for i in range(FIRST)])
+    hashed = lambda i, j: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width).cast("long"))
+    number = lambda i, j: F.coalesce(F.get(F.get(first, i), j).cast("long"), hashed(i, j))
 
     def drawn(block: Column, i: Column) -> Column:
-        levels = F.regexp_extract_all(block, F.lit(r"<s_([a-z])_\d+>"), F.lit(1))
-        new = F.transform(levels, lambda x, j: F.concat(F.lit("<s_"), x, F.lit("_"), number(i, j).cast("string"), F.lit(">")))
-        return F.when(F.size(levels) > 0, F.concat(F.lit(BEGIN), F.array_join(new, ""), F.lit(END))).otherwise(block)
+        new = lambda levels: F.transform(levels, lambda x, j: F.concat(F.lit("<s_"), x, F.lit("_"), number(i, j).cast("string"), F.lit(">")))
+        changed = lambda levels: F.when(F.size(levels) > 0, F.concat(F.lit(BEGIN), F.array_join(new(levels), ""), F.lit(END))).otherwise(block)
+        return let(F.regexp_extract_all(block, F.lit(r"<s_([a-z])_\d+>"), F.lit(1)), changed)
+
+    def replaced(whole: Column) -> Column:
+        # Each block is drawn once: what stands before it and its replacement are paired by place.
+        blocks, between = F.transform(F.regexp_extract_all(whole, F.lit(BLOCK), F.lit(0)), drawn), F.split(whole, BLOCK, -1)
+        return F.array_join(F.zip_with(between, blocks, lambda p, new: F.concat(p, F.coalesce(new, F.lit("")))), "")
 
-    return F.array_join(F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(F.transform(blocks, drawn), i), F.lit("")))), "")
+    return let(text, replaced)
 
 
 def item_of_code(items: Column, strategy: str, seed: Column) -> Column:

@@ -226,7 +226,7 @@ e AS (SELECT l_orderkey, unnest(range(len(u))) AS i FROM h),
 c AS (SELECT l_orderkey, i, string_agg('<s_' || substr('abc', CAST(j + 1 AS BIGINT), 1) || '_' || CAST('0x' || substr(md5('9|' || i || '|' || j), 1, 8) AS BIGINT) % 8192 || '>', '' ORDER BY j) AS s FROM e, range(3) t(j) GROUP BY ALL)
 SELECT l_orderkey, string_agg('x ' || '<|sid_begin|>' || s || '<|sid_end|>', '' ORDER BY i) || '.' AS g FROM c GROUP BY l_orderkey""")
 def _(t):
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.format_string("x <|sid_begin|><s_a_%d><s_b_1><s_c_2><|sid_end|>", x["l_partkey"]))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.concat(F.lit("x <|sid_begin|><s_a_"), x["l_partkey"].cast("string"), F.lit("><s_b_1><s_c_2><|sid_end|>")))
     text = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.array_join(listed, ""), F.lit(".")).alias("g"))
     return text.select("l_orderkey", prompts.codes_replaced(F.col("g"), 9).alias("g"))
 

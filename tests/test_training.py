@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -131,6 +132,16 @@ def test_prompts(spark):
     assert odd == "<|sid_begin|>none<|sid_end|>x"
 
 
+def test_codes_of_a_long_prompt_are_drawn_once(spark):
+    """20,000 blocks in one text: a draw of every block for each of them would be 400 million."""
+    code = "<|sid_begin|><s_a_1><s_b_2><s_c_3><|sid_end|>"
+    n, began = 20_000, time.time()
+    changed = spark.range(1).select(F.repeat(F.lit(f"x{code}"), n).alias("t")).select(prompts.codes_replaced(F.col("t"), 9)).first()[0]
+    drawn = lambda i, j: int(md5(f"9|{i}|{j}".encode()).hexdigest()[:8], 16) % 8192
+    assert changed == "".join(f"x<|sid_begin|><s_a_{drawn(i, 0)}><s_b_{drawn(i, 1)}><s_c_{drawn(i, 2)}><|sid_end|>" for i in range(n))
+    assert time.time() - began < 60
+
+
 def test_workbook_round_trip(spark, tmp_path):
     rows = [("a <&> \"b\"", 1, 0.1, True, None), (None, -5, 1e300, False, "é\n x "), ("", 0, 2.0, None, "z")]
     read = workbook.sheet_rows(workbook.workbook(["s", "n", "f", "t", "z"], rows))
