@@ -19,6 +19,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for work that is dear by the row: rows of files that are cut into fewer parts than cores are dealt out."""
+        df, cores = getattr(self, name).select(*columns), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Registers a query and, where SQL can express it, the SQL that DuckDB checks it by."""

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -51,6 +52,30 @@ def test_loss_mask_across_parts(spark):
             assert r["m"] == brute_mask(rows[r["i"]], start, end)
 
 
+def test_loss_mask_of_odd_rows(spark):
+    rows = [None, [], [1, None, 2, 3, None], [2], [3, 3, 2, 3, 2, 2]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, ids array<bigint>").coalesce(1)
+    for start, end in (((2,), (3,)), ((2,), (3, 2)), ((1, 2), (2, 3))):
+        assert [r["m"] for r in df.select("i", A.loss_mask(F.col("ids"), start, end).alias("m")).orderBy("i").collect()] == [None if r is None else brute_mask(r, start, end) for r in rows]
+    odd = [None, "", "é 😀x. .y", "a<b>c", "<<b>", "a<b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, t string").coalesce(1)
+    for start, end in ((" ", "."), ("<b", "b>")):
+        got = [r["m"] for r in df.select("i", A.text_loss_mask(F.col("t"), start, end).alias("m")).orderBy("i").collect()]
+        assert got == [None if x is None else "".join(map(str, brute_mask([ord(c) for c in x], tuple(map(ord, start)), tuple(map(ord, end))))) for x in odd]
+
+
+def test_loss_mask_time_by_the_id(spark):
+    """Four million characters, and four million ids: more than 10 seconds by a lambda for each."""
+    began = time.time()
+    got = spark.range(200).select(A.text_loss_mask(F.repeat(F.lit("ab c. "), 3334), " ", ".").alias("m")).agg(F.sum(F.length("m") - F.length(F.replace("m", F.lit("1"), F.lit("")))).alias("ones")).first()["ones"]
+    # Of each six characters, c and the stop, and from the second on the two before the next space, and the space.
+    assert got == 200 * sum(brute_mask([ord(c) for c in "ab c. " * 3334], (32,), (46,)))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: i % 6)
+    ones = spark.range(200).select(F.aggregate(A.loss_mask(ids, (2,), (4,)), F.lit(0), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0]
+    assert ones == 200 * sum(brute_mask([i % 6 for i in range(20_000)], (2,), (4,)))
+    assert time.time() - began < 30
+
+
 def brute_answer(text):
     plain = "".join(c for c in text.lower() if c not in string.punctuation)
     return " ".join(re.sub(r"\b(a|an|the)\b", " ", plain).split())
