@@ -224,7 +224,8 @@ def point_reward(solution: Column, box: Column, think: bool = True) -> Column:
     inside the box, accuracy is 1 / sqrt(n * k), and -1 / n if none is. Another form, no points, or any three points on one
     line give -1 for both accuracy and score; otherwise the score is 1 more than accuracy.
     """
-    answer = answer_after_thought(solution) if think else solution
+    # A solution is often a long expression: it is made once, not at each of its uses.
+    answer = let(solution, answer_after_thought) if think else solution
     listed = lambda t: F.when(F.instr(t, "[") > 0, F.substr(t, F.instr(t, "[")))
     objects = F.from_json(let(answer, listed), "array<struct<point_2d:array<double>>>")
     whole = lambda p: F.size(p).eqNullSafe(F.lit(2)) & F.coalesce(F.forall(p, lambda x: x.isNotNull()), F.lit(False))

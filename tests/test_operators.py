@@ -235,6 +235,18 @@ def test_point_rewards(spark):
     assert plain == 2.0
 
 
+def test_a_solution_is_made_once(spark):
+    """A solution that takes a while to make counts once in the plan, and rows of one file are dealt to all cores."""
+    from brindle.plans import catalogue
+
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("x1", 0.0), ("y1", 0.0), ("x2", 2.0), ("y2", 2.0))])
+    made = F.concat(F.lit("<think>t</think>"), F.format_string('[{"point_2d": [%d, 1]}]', F.col("id")))
+    df = spark.range(3).select(Q.point_reward(made, box).alias("r"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("point_2d\": [%d") == 1
+    assert [r["r"]["accuracy"] for r in df.collect()] == [1.0, 1.0, 1.0]
+    assert catalogue.QUERIES["fn_point_reward"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
 def test_code_rewards(spark):
     from brindle.functions import sid
 
