@@ -87,13 +87,21 @@ def sft_product(df: DataFrame, videos: DataFrame, products: DataFrame, newest: i
 
 
 def sft_interactive(df: DataFrame, codes: DataFrame, history: int = 512, targets: int = 10, seed: int = 42) -> DataFrame:
-    """One sample per keyword of a JSON map keyword -> item ids."""
-    keyed = training(df).select("uid", "hist_pid", F.explode(F.from_json("keyword_items", "map<string,array<bigint>>")).alias("keyword", "items")).where(F.size("items") > 0)
-    row = F.concat_ws("|", F.col("uid").cast("string"), "keyword")
-    arrays = {"h": A.newest(F.col("hist_pid"), history), "t": A.oldest(F.col("items"), targets)}
-    found = lookup_arrays(keyed.withColumn("row", row), "row", arrays, codes, "pid", "code", ["uid", "keyword"]).where(F.size("t") > 0)
-    prompt = F.concat(F.lit("History: "), F.array_join("h", ""), F.lit("\nThe viewer asks for: "), "keyword")
-    return _chat(found, seed, prompt, F.array_join("t", ""), SYSTEMS, ["keyword"])
+    """One sample per keyword of a JSON map keyword -> item ids. A user's history is looked up once, whatever the number of keywords."""
+    asked = F.map_entries(F.from_json("keyword_items", "map<string,array<bigint>>"))
+    lists = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("keyword"), A.newest(F.col("hist_pid"), history).cast("array<bigint>").alias("ids"))),
+        F.transform(asked, lambda e: F.struct(e["key"].alias("keyword"), A.oldest(e["value"], targets).alias("ids"))),
+    )
+    each = training(df).select("uid", F.explode(lists).alias("e")).select("uid", "e.keyword", F.posexplode("e.ids").alias("pos", "id"))
+    found = each.join(codes.select(F.col("pid").cast("long").alias("id"), F.col("code")), "id").select("uid", "keyword", "pos", "code")
+    # Dealt by user, so that a user's lists meet without another shuffle.
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "")
+    per = found.repartition("uid").groupBy("uid", "keyword").agg(text.alias("text"))
+    whole = per.groupBy("uid").agg(F.max(F.when(F.col("keyword").isNull(), F.col("text"))).alias("h"), F.collect_list(F.when(F.col("keyword").isNotNull(), F.struct("keyword", "text"))).alias("asked"))
+    samples = whole.select("uid", "h", F.explode("asked").alias("a")).select("uid", "h", "a.*")
+    prompt = F.concat(F.lit("History: "), F.coalesce("h", F.lit("")), F.lit("\nThe viewer asks for: "), "keyword")
+    return _chat(samples, seed, prompt, F.col("text"), SYSTEMS, ["keyword"])
 
 
 def sft_label_cond(df: DataFrame, codes: DataFrame, last: int = 10, targets: int = 10, seed: int = 42) -> DataFrame:

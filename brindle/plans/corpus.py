@@ -63,9 +63,13 @@ def _(t):
     f"{V.found('hh', 'h', 'keyed', 'codes', 'k')}, {V.found('tt', 'items', 'keyed', 'codes', 'k')} SELECT uid, keyword, {V.chat(('system', SYSTEM), ('user', repr('History: ') + ' || coalesce(hh_s, ' + repr('') + ') || chr(10) || ' + repr('The viewer asks for: ') + ' || keyword'), ('assistant', 'tt_s'))} AS messages FROM keyed JOIN tt USING (k) LEFT JOIN hh USING (k)",
 )
 def _(t):
-    items = V.clicks(t).groupBy("uid", "flag").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ok", "ln", "pid"))), lambda e: e["pid"]).alias("i"))
-    maps = items.groupBy("uid").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("flag", "i")))).alias("keyword_items"))
-    return C.sft_interactive(V.interactions(t).join(maps, "uid"), V.codes(t))
+    # Line items meet orders once: histories and keywords come from the same list.
+    rows = V.clicks(t).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("ts", "ok", "ln", "pid", "flag"))).alias("x"))
+    past = F.slice(F.transform("x", lambda e: e["pid"]), F.lit(1), F.greatest(F.size("x") - 3, F.lit(0)))
+    flags = F.array_compact(F.array_distinct(F.transform("x", lambda e: e["flag"])))
+    items = F.transform(flags, lambda f: F.struct(f.alias("flag"), F.transform(F.filter("x", lambda e: e["flag"] == f), lambda e: e["pid"]).alias("i")))
+    split = F.when(F.col("uid") % 5 == 4, 1).otherwise(0)
+    return C.sft_interactive(rows.select("uid", split.alias("split"), past.alias("hist_pid"), F.to_json(F.map_from_entries(items)).alias("keyword_items")), V.codes(t))
 
 
 ACTIONS = list(V.ACTION_TESTS)
