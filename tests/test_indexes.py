@@ -94,3 +94,23 @@ def test_text_index_is_exact_and_skips_blocks(spark, tmp_path):
     held = {r["query"]: r["count"] for r in terms.select("query", "term").join(blocks, "term").groupBy("query").count().collect()}
     assert blocks.where("size(docs) > 16").count() == 0 and held[3] > 90
     assert chosen[3] < held[3] / 4 and chosen[1] < held[1], (chosen, held)
+
+
+def test_text_index_shuffles_postings_once(spark, tmp_path):
+    """Rows of one id and length are one document; otherwise the only shuffle of postings is the one into their order."""
+    docs = [(i, f"w{i % 7} w{i % 5} w{i % 5} all") for i in range(300)]
+    for name, rows in (("one", docs), ("two", [*docs, (3, "all all w1 w2"), (3, "w9")])):
+        text_index.build(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t", str(tmp_path / name), size=8)
+        held = {}
+        for r in spark.read.parquet(str(tmp_path / name / "blocks")).collect():
+            assert 0 < len(r["docs"]) <= 8 and r["impacts"] == sorted(r["impacts"], reverse=True) and r["top"] == r["impacts"][0]
+            held.setdefault(r["term"], []).extend(r["docs"])
+        want = {(d, len(t.split()), w) for d, t in rows for w in t.split()}
+        assert {t: sorted(d) for t, d in held.items()} == {w: sorted(d for d, _, x in want if x == w) for w in {w for *_, w in want}}
+        blocks = spark.read.parquet(str(tmp_path / name / "blocks"))
+        assert blocks.count() < sum(len(d) // 8 + 1 for d in held.values()) + 8
+    asked = spark.createDataFrame([(1, "w1 w4")], "id long, t string")
+    plan = text_index.search(spark, str(tmp_path / "one"), asked, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 0 and plan.count("BroadcastHashJoin") == 1
+    plan = text_index._counted(spark.createDataFrame([(1, ["a"])], "doc long, w array<string>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
