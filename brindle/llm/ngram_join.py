@@ -13,8 +13,10 @@
    with is tied to what the ranges before it end with. The ties' components hold every linking pair.
 3. T-occurrence search in blocks of at most BLOCK shingles: inverted lists, of which the long ones are set aside
    (DivideSkip), the short ones are merged by a heap that skips (MergeSkip), and candidates are probed in the long ones
-   by binary search. Counts are exact overlaps. Sets are searched for until those not yet searched for are one group:
-   a large group of near copies takes a few searches and not one for each pair.
+   by binary search. Counts are exact overlaps. Sets stand by size, and each range of sizes has its own threshold: a set
+   with more shingles of its own than a link allows there ends its merge early. Sets are searched for until those not
+   yet searched for are one group, and a set's search ends when it links with that group: a large group of near copies
+   takes neither a search for each pair nor a whole one for each set.
 4. A component of several blocks is cut smaller first: its shingles are counted, exactly now, and step 2 is repeated with
    the rarest first. What is still larger is finished exactly: leaders of each block's linked groups are searched among
    themselves; then the sets outside the component's largest linked group are searched for, in chunks, in those blocks
@@ -31,7 +33,7 @@ handled whole. Other columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -49,6 +51,8 @@ from brindle.llm.components import connected_components
 HOT, HOT_LEAST, WORD_LEAST, LEADERS = 200_000, 3, 8, 16
 #: Shingles of a block, nodes whose ties a task holds, and the k of the prefix filter as a percentage of the smaller set.
 BLOCK, HELD, BESIDE = 1 << 20, 300_000, 6
+#: A search goes by ranges of set sizes, each as wide as this part of the size searched for. The more ASIDE, the fewer lists are set aside.
+RANGES, ASIDE = 64, 0.001
 
 
 class Rule(NamedTuple):
@@ -69,36 +73,74 @@ def _fold(w: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of a batch's distinct words, the words of all texts as places there, and where each text's words start and end. A-Z are lower-cased."""
-    text = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-    cut = pc.split_pattern(pc.replace_substring_regex(text, r"[\t\n\x0b\x0c\r]", " "), " ")
-    words = cut.flatten().dictionary_encode()
-    keys = words.dictionary.to_pylist()
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-    real = np.fromiter(map(bool, keys), bool, len(keys))
-    del keys
-    codes = np.asarray(words.indices)
-    keep = real[codes] if len(codes) else np.zeros(0, bool)
-    return hashed, codes[keep], np.concatenate([[0], np.cumsum(keep)])[np.asarray(cut.offsets)]
-
-
-def _sets(hashed: np.ndarray, codes: np.ndarray, bounds: np.ndarray, k: int, weights: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+#: Bytes as they count: A-Z lower-cased, what parts words as spaces.
+FOLDED = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)), np.uint8)
+#: Words up to this many bytes are hashed all at once, eight bytes at a time.
+SHORT = 64
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and where each text's words start and end. A-Z are lower-cased."""
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    size = int(ends[-1] - ends[0])
+    folded = np.zeros(size + 8, np.uint8)
+    if size:
+        np.take(FOLDED, np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]], out=folded[:size])
+    ends = ends - ends[0]
+    inside = folded[:size] != 32
+    edge = np.zeros(size + 1, bool)
+    edge[ends] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    start = np.flatnonzero(first)
+    length = np.flatnonzero(last) + 1 - start
+    # Eight bytes from each place on; those beyond a word's end are masked.
+    eights = np.ndarray((size + 1,), np.dtype("<u8"), folded, strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    hashes = _mix((eights[start] & masks[np.minimum(length, 8)]) ^ _mix(length.astype(np.uint64)))
+    more = np.flatnonzero((length > 8) & (length <= SHORT))
+    at = 8
+    while len(more):
+        hashes[more] = _mix(hashes[more] * np.uint64(0x9E3779B97F4A7C15) ^ eights[start[more] + at] & masks[np.minimum(length[more] - at, 8)])
+        at += 8
+        more = more[length[more] > at]
+    for i in np.flatnonzero(length > SHORT).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(folded[start[i] : start[i] + length[i]].tobytes())
+    return hashes, np.searchsorted(start, ends)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def _sets(words: np.ndarray, bounds: np.ndarray, k: int, weights: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's sorted distinct shingle hashes, and the sums of their words' weights."""
-    w, g = hashed[codes], np.zeros(len(codes), np.int64) if weights is None else weights[codes]
-    n = len(w) - k + 1
-    every = _fold(w, k) if n > 0 else np.zeros(0, np.uint64)
-    sums = sum(g[j : j + n] for j in range(k)) if n > 0 else g[:0]
+    n = len(words) - k + 1
+    every = _fold(words, k) if n > 0 else np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
+    sums = sum(weights[j : j + n] for j in range(k)) if weights is not None and n > 0 else none
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
             if weights is None:
-                out.append((np.unique(every[a : b - k + 1]), g[:0]))
+                out.append((_distinct(every[a : b - k + 1]), none))
             else:
-                found, first = np.unique(every[a : b - k + 1], return_index=True)
-                out.append((found, sums[a + first]))
+                order = np.argsort(every[a : b - k + 1])
+                found = every[a : b - k + 1][order]
+                new = np.concatenate([[True], found[1:] != found[:-1]])
+                out.append((found[new], sums[a : b - k + 1][order[new]]))
         else:
-            out.append((_fold(w[a:b], b - a) if b > a else np.zeros(0, np.uint64), np.zeros(int(b > a), np.int64)))
+            out.append((_fold(words[a:b], b - a) if b > a else np.zeros(0, np.uint64), np.zeros(int(b > a), np.int64)))
     return out
 
 
@@ -131,11 +173,13 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8192, 16):
-            hashed, codes, bounds = _words(batch.column(1))
-            sets = [s for s, _ in _sets(hashed, codes, bounds, rule.words)]
+            words, bounds = _words(batch.column(1))
+            sets = [s for s, _ in _sets(words, bounds, rule.words)]
             prints = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             found, times = np.unique(np.concatenate(sets), return_counts=True)
-            uses = np.bincount(codes, minlength=len(hashed))
+            coded = pa.array(words).dictionary_encode()
+            hashed = np.asarray(coded.dictionary)
+            uses = np.bincount(np.asarray(coded.indices), minlength=len(hashed))
             often, used = times >= HOT_LEAST, uses >= WORD_LEAST
             m = int(often.sum() + used.sum())
             yield pa.RecordBatch.from_arrays(
@@ -178,21 +222,27 @@ def prefix_entries(docs: DataFrame, rule: Rule, shingles: tuple[np.ndarray, np.n
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks, common, logs = shared.value
+        mask = np.uint64((1 << 22) - 1)
+        perhaps = np.zeros(1 << 22, bool)
+        perhaps[known & mask] = True
         seen: set[bytes] = set()
         for batch in slices(batches, 8192, 8):
             ids, places, tokens = [], [], []
-            hashed, codes, bounds = _words(batch.column(1))
-            at, there = _places(common, hashed)
-            weights = np.where(there, logs[at] if len(logs) else 0, 0)
-            for doc, (s, weight) in zip(batch.column(0).to_pylist(), _sets(hashed, codes, bounds, rule.words, weights), strict=True):
+            words, bounds = _words(batch.column(1))
+            coded = pa.array(words).dictionary_encode()
+            at, there = _places(common, np.asarray(coded.dictionary))
+            weights = np.where(there, logs[at] if len(logs) else 0, 0)[np.asarray(coded.indices)]
+            for doc, (s, weight) in zip(batch.column(0).to_pylist(), _sets(words, bounds, rule.words, weights), strict=True):
                 if doc is None or not len(s):
                     continue
                 if (f := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(f)
                 n = len(s)
-                at, there = _places(known, s)
-                place = (np.where(there, ranks[at], 0) << 16 if len(ranks) else 0) + weight
+                some = np.flatnonzero(perhaps[s & mask])
+                at, there = _places(known, s[some])
+                place = weight.copy()
+                place[some[there]] += ranks[at[there]] << 16
                 need, equal = _need(n, rule), _least_equal(n, rule)
                 cold = s[np.lexsort((s, place))[: max(n - need + _beside(need) + 1, n - equal + _beside(n))]]
                 ids.append(doc)
@@ -362,16 +412,42 @@ class Index:
         self.of = np.split(inverse, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
 
     def search(self, query: int, least: int, after: int, rule: Rule, done) -> Iterator[int]:
-        """Positions past `after` that link with `query`, by DivideSkip with threshold `least`; done(p) ones are passed over."""
+        """Positions past `after` that link with `query`, by DivideSkip with threshold `least` or more; done(p) ones are passed over. Sets stand by size.
+
+        The larger the other set, the larger the overlap of a link: each range of sizes has the threshold of its smallest.
+        """
         mine = self.sizes[query]
-        lists = sorted((x for i in self.of[query].tolist() if (x := self.lists[i])[-1] > after), key=len)
-        if len(lists) < least:
+        by_length = sorted(self.of[query].tolist(), key=lambda t: len(self.lists[t]))
+        at = max(after + 1, bisect_left(self.sizes, -(-rule.num * mine // rule.den)))
+        end = bisect_right(self.sizes, rule.den * mine // rule.num)
+        ranges = []
+        while at < end:
+            ranges.append((at, to := bisect_right(self.sizes, self.sizes[at] + mine // RANGES, at, end)))
+            at = to
+        # The nearest sizes first: a link is likely there, and may end the search.
+        for start, to in sorted(ranges, key=lambda r: abs(2 * query - r[0] - r[1])):
+            need = max(least, -(-rule.num * (mine + self.sizes[start]) // (rule.num + rule.den)))
+            if len(by_length) >= need:
+                yield from self._merged(query, by_length, need, start, to, rule, done)
+
+    def _merged(self, query: int, by_length: list[int], least: int, start: int, end: int, rule: Rule, done) -> Iterator[int]:
+        """Positions from `start` to before `end` that link with `query`, whose lists come by length."""
+        # Where each list enters the range; one that has no other set there does not count.
+        here = []
+        for t in by_length:
+            x = self.lists[t]
+            i = bisect_left(x, start)
+            if i < len(x) and x[i] == query:
+                i += 1
+            if i < len(x) and x[i] < end:
+                here.append((i, x, t))
+        if len(here) < least:
             return
-        longest = len(lists[-1])
-        aside = min(least - 1, int(least / (0.01 * max(longest, 2).bit_length() + 1)))
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        mine, longest = self.sizes[query], len(here[-1][1])
+        aside = min(least - 1, int(least / (ASIDE * max(longest, 2).bit_length() + 1)))
+        short, long = here[: len(here) - aside], np.array(sorted(t for _, _, t in here[len(here) - aside :]), np.int64)
         need = least - aside
-        heap = [(x[i], k, i) for k, x in enumerate(short) if (i := bisect_left(x, after + 1)) < len(x)]
+        heap = [(x[i], k, i) for k, (i, x, _) in enumerate(short)]
         heapq.heapify(heap)
         while len(heap) >= need:
             at = heap[0][0]
@@ -379,22 +455,16 @@ class Index:
             while heap and heap[0][0] == at:
                 popped.append(heapq.heappop(heap))
             if len(popped) >= need:
-                if at != query and not done(at):
-                    shared, left = len(popped), len(long)
-                    other = self.sizes[at]
-                    # den * o >= num * (mine + other - o)
-                    wanted = -(-rule.num * (mine + other) // (rule.num + rule.den))
-                    for x in reversed(long):
-                        if shared + left < wanted:
-                            break
-                        left -= 1
-                        i = bisect_left(x, at)
-                        shared += i < len(x) and x[i] == at
-                    if shared >= wanted:
+                # den * o >= num * (mine + other - o)
+                wanted = -(-rule.num * (mine + self.sizes[at]) // (rule.num + rule.den))
+                # A set's own shingles are in no list.
+                if at != query and len(held := self.of[at]) >= wanted and not done(at):
+                    # The long lists that hold `at` are among its own.
+                    if len(popped) + np.count_nonzero(held[np.minimum(np.searchsorted(held, long), len(held) - 1)] == long) >= wanted:
                         yield at
                 for _, k, i in popped:
-                    if i + 1 < len(short[k]):
-                        heapq.heappush(heap, (short[k][i + 1], k, i + 1))
+                    if i + 1 < len(x := short[k][1]) and x[i + 1] < end:
+                        heapq.heappush(heap, (x[i + 1], k, i + 1))
             else:
                 while heap and len(popped) < need - 1:
                     popped.append(heapq.heappop(heap))
@@ -402,14 +472,15 @@ class Index:
                     return
                 to = heap[0][0]
                 for _, k, i in popped:
-                    if (j := bisect_left(short[k], to, i)) < len(short[k]):
-                        heapq.heappush(heap, (short[k][j], k, j))
+                    if (j := bisect_left(x := short[k][1], to, i)) < len(x) and x[j] < end:
+                        heapq.heappush(heap, (x[j], k, j))
 
 
 def block_links(rows: list[tuple[int, int, bool, np.ndarray]], rule: Rule) -> list[tuple[int, int]]:
     """Links that connect all linking sets of which one is asked for. rows: id, linked group, whether it is asked for, set; by set size.
 
     Sets are searched for until those not searched for yet are in one group: between them there is nothing left to find.
+    A set that links with the group that waits waits with it: the sets outside find their own links with it.
     """
     parent: dict[int, int] = {}
     first: dict[int, int] = {}
@@ -448,6 +519,9 @@ def block_links(rows: list[tuple[int, int, bool, np.ndarray]], rule: Rule) -> li
                 root = join(p, other)
                 if grows and size[root] > (size[_find(parent, main)] if main is not None else 1):
                     main = root
+                if main is not None and _find(parent, main) == root:
+                    waiting.append(p)
+                    break
         left = waiting
     return links
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -238,6 +239,51 @@ def test_search_finds_exact_overlaps():
         assert got == want
 
 
+def family(members, seed):
+    """Sets by size: near copies of one set, of which about half link; all but a few shingles are in most sets."""
+    rng = np.random.RandomState(seed)
+    base, out = rng.randint(0, 1 << 40, 300), []
+    for _ in range(members):
+        own = rng.randint(1 << 40, 1 << 41, rng.randint(0, 50))
+        out.append(np.unique(np.concatenate([rng.permutation(base)[: len(base) - len(own) - rng.randint(4)], own])).astype(np.uint64))
+    return [(i, i, True, s) for i, s in enumerate(sorted(out, key=len))]
+
+
+def test_search_of_a_family_takes_few_steps(monkeypatch):
+    """A set of a family takes few steps of the merge, not one for each entry of its lists, and all that a look at each pair links is linked."""
+    rule, steps, pop = ngram_join.Rule(4, 85, 100), [], ngram_join.heapq.heappop
+    monkeypatch.setattr(ngram_join.heapq, "heappop", lambda heap: steps.append(1) or pop(heap))
+    for members in (100, 400):
+        rows = family(members, members)
+        steps.clear()
+        links = ngram_join.block_links(rows, rule)
+        assert len(steps) < members * members // 2
+        sets = [set(r[3].tolist()) for r in rows]
+        pairs = {(i, j) for i in range(members) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+        assert {(max(x), min(x)) for x in links} <= pairs
+        groups = []
+        for edges in (links, pairs):
+            up = {}
+            for a, b in edges:
+                ngram_join._union(up, a, b)
+            groups.append([ngram_join._find(up, i) for i in range(members)])
+        assert groups[0] == groups[1] and members // 4 < len(set(groups[0])) < members * 3 // 4
+
+
+def test_words_are_hashed_whole():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [None, "", " A b\tC\n", "É é À à 日本 語", "a\x0bb\x0cc\rd\x1fe\x00", *("".join(rng.choice("aB \n") for _ in range(rng.randint(0, 50))) for _ in range(300))]
+    texts += ["x" * n for n in range(1, 140)] + ["x" * n + "y" for n in range(140)]
+    for column in (pa.array(texts), pa.array(texts).slice(7, 90)):
+        hashes, bounds = ngram_join._words(column)
+        words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in column.to_pylist()]
+        assert np.diff(bounds).tolist() == [len(w) for w in words]
+        found = set(zip(hashes.tolist(), [w for ws in words for w in ws], strict=True))
+        assert len(found) == len({h for h, _ in found}) == len({w for _, w in found})
+
+
 # Packing
 
 
